@@ -52,18 +52,6 @@ def prefix_keys(h: np.ndarray) -> np.ndarray:
     return np.minimum(least[:n], least[width - have : width - have + n])
 
 
-def runs(position: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the runs of consecutive positions over which all of same stay equal."""
-    if not len(position):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.ones(len(position), bool)
-    new[1:] = position[1:] != position[:-1] + 1
-    for x in same:
-        new[1:] |= x[1:] != x[:-1]
-    first = np.flatnonzero(new)
-    return first, np.append(first[1:], len(position))
-
-
 def equal_windows(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the window starts at and, in that order, the number of the topmost node of depth WINDOW that each
     hangs below. Order within a node is that of at. Neighbours are compared by all of their words."""
@@ -116,7 +104,7 @@ def _prefixes(buckets: int):
                     w = at[gone == removed]
                     if not len(w):
                         continue
-                    first, last = runs(w, words.row[w], *([] if removed else [key[w]]))
+                    first, last = T.runs(w, words.row[w], *([] if removed else [key[w]]))
                     start, end = w[first], w[last - 1] + 1
                     row = words.row[start]
                     k = key[start]
@@ -215,7 +203,7 @@ def _subtrees(table: pa.Table) -> pa.Table:
     row = words.row[at]
     gone = later(*equal_windows(h, at), doc[row])
     w, row = at[gone], row[gone]
-    first, last = runs(w, row)
+    first, last = T.runs(w, row)
     start = w[first] - words.row_ptr[row[first]] + s[row[first]]
     length = w[last - 1] - w[first] + WINDOW
     return pa.table({"doc_id": doc[row[first]], "s": start.astype(np.int32), "e": (start + length).astype(np.int32)})
