@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _text as T
-from ledgerloom.llm._spark import components, store, store_counted
+from ledgerloom.llm._spark import components, small, store, store_counted
 
 SHINGLE = 5
 THRESHOLD = (85, 100)
@@ -214,8 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = banded.join(first, "band").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     groups = components(edges, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
     ranked = store(_blocks(groups), "blocks")
+    members, seen = store_counted(ranked.select("rep").distinct(), "member-ids", n=F.count(F.lit(1)))
     texts = store(
-        docs.join(ranked.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
+        docs.join(small(members, seen["n"]), F.col("doc_id") == F.col("rep"), "left_semi")
         .dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"),
         "members",
     )
