@@ -13,6 +13,9 @@ split by a prefix of variable length, one subtree a prefix, and subtrees are pac
   neighbours are compared word by word, and the runs of equal windows are the topmost nodes of depth >= WINDOW. The
   smallest doc_id below a node keeps the passage; all other suffixes there lose it.
 
+Texts meet their segments and spans by a shuffle on doc_id at every size; the spans of a large corpus have no bound that
+would allow a broadcast.
+
 Nulls have no words. Rows of one doc_id are never judged against each other and lose the same word positions. Rows whose doc_id is
 null are left whole and take nothing from others. Texts shorter than a window stay whole. Other columns aren't read.
 """
@@ -28,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _text as T
-from ledgerloom.llm._spark import partitions, store, store_counted
+from ledgerloom.llm._spark import partitions, store
 
 WINDOW = 13
 K = 5
-#: Spans are broadcast up to so many, else joined by a shuffle of the texts.
-BROADCAST_SPANS = 1_000_000
 
 _RANGES = "doc_id long, key long, s int, e int, removed boolean"
 
@@ -209,25 +210,23 @@ def _subtrees(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[row[first]], "s": start.astype(np.int32), "e": (start + length).astype(np.int32)})
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
-    """doc_id and the word spans (s, e) it loses, as one list a document, and the number of spans."""
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id and the word spans (s, e) it loses, as one list a document."""
     spark = docs.sparkSession
     buckets = partitions(spark) * 4
     packed = docs.mapInArrow(
         _prefixes(buckets), "bucket int, removed boolean, key binary, doc binary, s binary, n binary"
     )
     ranges = packed.groupBy("bucket").applyInArrow(_repeated, _RANGES)
-    ranges, count = store_counted(ranges, "prefixes", n=F.count_if(~F.col("removed")))
+    ranges = store(ranges, "prefixes")
     wanted = ranges.where("not removed").groupBy("doc_id").agg(F.collect_list(F.struct("key", "s", "e")).alias("parts"))
-    wanted = F.broadcast(wanted) if count["n"] <= BROADCAST_SPANS else wanted
     moved = docs.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(
         _segments(buckets), "bucket int, doc binary, s binary, size binary, text binary"
     )
     found = moved.groupBy("bucket").applyInArrow(_subtrees, "doc_id long, s int, e int")
     spans = found.unionByName(ranges.where("removed").select("doc_id", "s", "e"))
     spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    spans, count = store_counted(spans, "spans", n=F.sum(F.size("spans").cast("long")))
-    return spans, count["n"] or 0
+    return store(spans, "spans")
 
 
 def _cut(batches):
@@ -256,9 +255,7 @@ def _cut(batches):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans, n = repeated_spans(docs)
-    spans = F.broadcast(spans) if n <= BROADCAST_SPANS else spans
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    return docs.join(repeated_spans(docs), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     )
 
