@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,8 @@ class Entry:
     operators: tuple[str, ...]
 
 
+MODULES = ("reconcile", "texts", "pages")
+
 _ENTRIES: dict[str, Entry] = {}
 
 
@@ -33,12 +36,15 @@ def register(name: str, operators: str, sql: str | None = None) -> Callable[[Que
 
 
 def entries() -> dict[str, Entry]:
+    """All entries; the plan modules register theirs on import."""
+    for module in MODULES:
+        import_module(f"ledgerloom.plans.{module}")
     return dict(_ENTRIES)
 
 
 def queries() -> dict[str, Query]:
-    return {name: e.query for name, e in _ENTRIES.items()}
+    return {name: e.query for name, e in entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: e.sql for name, e in _ENTRIES.items() if e.sql}
+    return {name: e.sql for name, e in entries().items() if e.sql}
