@@ -66,21 +66,29 @@ def usable(dictionary: DataFrame) -> DataFrame:
     return dictionary.where((F.col("verified")) & (~F.col("ignored")) & (F.col("weight") > EXACT_WEIGHT))
 
 
+def _deletions(c: Column) -> Column:
+    """The string and what is left of it after deleting one or two characters."""
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(v))), lambda i: F.concat(F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1)))
+
+    one = F.array_distinct(cut(c))
+    return F.array_distinct(F.concat(F.array(c), one, F.flatten(F.transform(one, cut))))
+
+
+def near_entries(keys: DataFrame, entries: DataFrame) -> DataFrame:
+    """key, raw_form, canonical_form, weight, distance of the entries within 2 edits of each key.
+
+    Strings within 2 edits share a string got by deleting up to 2 characters of each, so candidates come from an equi-join on
+    such strings: no key meets an entry that shares none. Keys and entries have 3 to 40 characters."""
+    words = keys.where("length(key) between 3 and 40").select("key", F.explode(_deletions(F.col("key"))).alias("d"))
+    known = entries.where("length(raw_form) between 3 and 40").select("raw_form", "canonical_form", "weight", F.explode(_deletions(F.col("raw_form"))).alias("d"))
+    pairs = words.join(known, "d").drop("d").distinct()
+    return pairs.withColumn("distance", F.levenshtein("key", "raw_form", MAX_DISTANCE)).where("distance >= 0")
+
+
 def fuzzy_lookup(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """JN18: key, canonical_form, weight of the best usable entry within 2 edits and 80% similarity.
-
-    Candidates come from deletion neighbourhoods: two strings within 2 edits share a string got by deleting up to 2
-    characters of each, so the join is an equi-join on hashes of those and no entry is compared that shares none."""
-    # Up to two deletions: positions (i), (i, j) of strings of bounded length.
-    def neighbourhood(c: Column) -> Column:
-        one = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
-        two = F.flatten(F.transform(one, lambda d: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(d))), lambda i: F.concat(F.substr(d, F.lit(1), i - 1), F.substr(d, i + 1)))))
-        return F.array_distinct(F.concat(F.array(c), one, two))
-
-    words = keys.where("length(key) between 3 and 40").select("key", F.explode(neighbourhood(F.col("key"))).alias("d"))
-    entries = usable(dictionary).where("length(raw_form) between 3 and 40").select("raw_form", "canonical_form", "weight", F.explode(neighbourhood(F.col("raw_form"))).alias("d"))
-    near = words.join(entries, "d").drop("d").distinct().withColumn("distance", F.levenshtein("key", "raw_form", MAX_DISTANCE)).where("distance >= 0")
-    scored = near.withColumn("ratio", ratio_column("key", "raw_form") / 100).where(F.col("ratio") >= MIN_RATIO)
+    """JN18: key, canonical_form, weight of the best usable entry within 2 edits and 80% similarity."""
+    scored = near_entries(keys, usable(dictionary)).withColumn("ratio", ratio_column("key", "raw_form") / 100).where(F.col("ratio") >= MIN_RATIO)
     scored = scored.withColumn("score", F.col("ratio") * (1 - 0.05 * F.col("distance")))
     best = scored.groupBy("key").agg(F.max_by(F.struct("canonical_form", "score", "raw_form"), F.struct("score", F.col("weight"), F.col("raw_form"))).alias("b"))
     return best.select("key", "b.canonical_form", F.least(F.col("b.score") * 0.95, F.lit(0.95)).alias("weight"))
