@@ -53,6 +53,11 @@ MAX_BYTES, MAX_PAGES = 50 * 1024 * 1024, 50
 # --------------------------------------------------------------------------------------------------------------------
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def accepted_upload(name: Column, content: Column, n_pages: Column) -> Column:
     """SRC1."""
     ok = name.endswith(".pdf") & (F.length(content) <= MAX_BYTES) & (F.substring(content, 1, 4) == F.lit(b"%PDF")) & n_pages.between(1, MAX_PAGES)
@@ -96,23 +101,31 @@ def field_confidence(value: Column, words: Column, confs: Column) -> Column:
 
 def classify(text: Column, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
     """CLS1: struct(type, confidence) from keyword rules; the top 40% of the lines weigh more."""
-    up = F.upper(text)
+    def scored(v: Column) -> Column:
+        each = []
+        for i, (kind, patterns) in enumerate(keywords.items()):
+            s = F.lit(0.0)
+            for p in patterns:
+                s = s + F.when(v["top"].rlike("(?U)" + p), 0.40).when(v["up"].rlike("(?U)" + p), 0.15).otherwise(0.0)
+            each.append(F.struct((-F.least(F.lit(1.0), s)).alias("s"), F.lit(i).alias("i"), F.lit(kind).alias("k")))
+        return F.array_sort(F.array(*each))
+
+    def decided(order: Column) -> Column:
+        best, second = -order[0]["s"], -order[1]["s"]
+        return F.struct(
+            F.when(best < 0.15, "UNKNOWN").otherwise(order[0]["k"]).alias("type"),
+            F.when(best < 0.15, 0.0).when(best - second < 0.10, best * 0.70).otherwise(best).alias("confidence"),
+        )
+
+    up = F.upper(F.coalesce(text, F.lit("")))
     lines = F.split(up, r"\R|[\x0b\x0c\x1c-\x1e]")
-    top = F.array_join(F.slice(lines, 1, F.greatest(F.lit(1), F.floor(F.size(lines) * 4 / 10).cast("int"))), "\n")
-    scores = []
-    for kind, patterns in keywords.items():
-        s = F.lit(0.0)
-        for p in patterns:
-            s = s + F.when(top.rlike("(?U)" + p), 0.40).when(up.rlike("(?U)" + p), 0.15).otherwise(0.0)
-        scores.append((kind, F.least(F.lit(1.0), s)))
-    order = F.array_sort(
-        F.array(*[F.struct((-s).alias("s"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, (k, s) in enumerate(scores)])
-    )
-    best, second = -order[0]["s"], -order[1]["s"]
-    kind = F.when(best < 0.15, "UNKNOWN").otherwise(order[0]["k"])
-    conf = F.when(best < 0.15, F.lit(0.0)).when(best - second < 0.10, best * 0.70).otherwise(best)
+    parts = _let(lines, lambda v: F.struct(
+        up.alias("up"), F.array_join(F.slice(v, 1, F.greatest(F.lit(1), F.floor(F.size(v) * 4 / 10).cast("int"))), "\n").alias("top")
+    ))
     short = F.length(F.trim(F.coalesce(text, F.lit("")))) < 10
-    return F.struct(F.when(short, "UNKNOWN").otherwise(kind).alias("type"), F.when(short, 0.0).otherwise(conf).alias("confidence"))
+    return _let(_let(parts, scored), lambda order: _let(decided(order), lambda d: F.struct(
+        F.when(short, "UNKNOWN").otherwise(d["type"]).alias("type"), F.when(short, 0.0).otherwise(d["confidence"]).alias("confidence")
+    )))
 
 
 def cascade(rule: Column, external_type: Column, external_conf: Column, rule_at: float = RULE_AT, external_at: float = EXTERNAL_AT) -> Column:
