@@ -253,7 +253,7 @@ def _evidence() -> Column:
 
 def _logit(p: Column) -> Column:
     q = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), p))
-    return F.log(q / (1 - q))
+    return F.when(p.isNotNull(), F.log(q / (1 - q)))
 
 
 def posteriors(evidence: DataFrame) -> tuple[DataFrame, float, int]:
