@@ -3,7 +3,7 @@
 Document evidence. Two classifiers are fitted on a bounded sample of labelled rows (SAMPLE_ROWS, taken by a hash of
 the doc_id): low quality, a logistic regression on style measures of the text; toxicity, the number of distinct terms
 from a learnt lexicon. A term is a lower-cased word or a word's first 4 or 6 bytes; candidates occur in at least
-MIN_SUPPORT toxic sample rows with the given precision, and are chosen greedily by the toxic rows they newly cover, so that
+MIN_SUPPORT toxic sample rows (more in a large sample) with the given precision, and are chosen greedily by the toxic rows they newly cover, so that
 accidental terms of one text's copies do not enter once the text is covered. Both yield probabilities.
 
 Hierarchy. A document's host is its source, its path is (source, lang). Evidence is summed by path and by host in map-side
@@ -29,8 +29,10 @@ from ledgerloom.llm import _text as T
 from ledgerloom.llm._spark import small, store, store_counted
 
 SAMPLE_ROWS = 20_000
-MIN_SUPPORT = 4
+MIN_SUPPORT = 3
 PRECISION = 0.9
+#: A term needs a sample row in so many besides, so that chance finds of a large sample do not enter.
+ROWS_PER_SUPPORT = 5_000
 MAX_TERMS = 20_000
 MAX_LEXICON = 400
 REJECT = 0.5
@@ -156,7 +158,7 @@ class Model:
                 break
         self.weights = w
 
-    def fit_lexicon(self, keys: np.ndarray, rows: list[list[int]], toxic: np.ndarray) -> None:
+    def fit_lexicon(self, keys: np.ndarray, rows: list[list[int]], toxic: np.ndarray, least: int) -> None:
         members: dict[int, list[int]] = {}
         for r, own in enumerate(rows):
             if toxic[r]:
@@ -167,11 +169,11 @@ class Model:
         while len(chosen) < MAX_LEXICON and members:
             gain = {k: sum(r in open_rows for r in own) for k, own in members.items()}
             best = max(gain, key=lambda k: (gain[k], -k))
-            if gain[best] < MIN_SUPPORT:
+            if gain[best] < least:
                 break
             chosen.append(best)
             open_rows -= set(members.pop(best))
-            members = {k: own for k, own in members.items() if gain[k] >= MIN_SUPPORT}
+            members = {k: own for k, own in members.items() if gain[k] >= least}
         self.lexicon = np.sort(keys[chosen]) if chosen else np.zeros(0, np.uint64)
         picked = set(chosen)
         hits = np.array([min(3, len(picked.intersection(own))) for own in rows], np.int64)
@@ -202,6 +204,11 @@ class Model:
         return toxic, bad
 
 
+def support(rows: int) -> int:
+    """The toxic sample rows that a lexicon term needs."""
+    return max(MIN_SUPPORT, rows // ROWS_PER_SUPPORT)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a sample of at most about SAMPLE_ROWS labelled rows."""
     spark = docs.sparkSession
@@ -215,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.join(F.broadcast(drawn), "doc_id").select("text", F.col("q").cast("int").alias("quality"), F.col("t").cast("int").alias("toxic"))
     rows = store(rows, "labelled").repartition(max(8, spark.sparkContext.defaultParallelism))
     counts = rows.mapInArrow(_term_counts, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    good = counts.where((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") >= PRECISION * F.col("n")))
+    least = support(min(n, SAMPLE_ROWS))
+    good = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * F.col("n")))
     keys = np.sort(np.array([r["term"] for r in good.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()], np.int64).view(np.uint64))
     got = rows.mapInArrow(
         _sample_rows(spark.sparkContext.broadcast(keys)), "quality int, toxic int, style array<double>, terms array<int>, n long"
@@ -223,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if got:
         toxic = np.array([r["toxic"] == 1 for r in got])
         known = [r for r in got if r["quality"] is not None]
-        model.fit_lexicon(keys, [r["terms"] for r in got], toxic)
+        model.fit_lexicon(keys, [r["terms"] for r in got], toxic, least)
         if known:
             model.fit_style(np.array([r["style"] for r in known]), np.array([float(r["quality"] == 0) for r in known]))
     return model
