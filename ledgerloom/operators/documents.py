@@ -217,17 +217,24 @@ def extract_header(docs: DataFrame, kind: str) -> DataFrame:
 def text_line(line: Column) -> Column:
     """EXT5: a text-table line as struct(ref, designation, qty, price, total, tva_rate, confidence); null if no item."""
     parts = F.filter(F.split(F.trim(line), r" {2,}|\t"), lambda p: F.trim(p) != "")
-    rate = F.filter(parts, lambda p: p.rlike(r"^\s*\d{1,2}([.,]\d+)?\s*%\s*$"))
-    numeric = F.filter(parts, lambda p: p.rlike(r"^[\d\s.,]+$"))
-    words = F.filter(parts, lambda p: ~p.rlike(r"^[\d\s.,]+$") & ~p.rlike("%"))
-    at = lambda a, i: X.number(F.try_element_at(a, F.lit(i)))
-    tva = X.number(F.regexp_replace(F.try_element_at(rate, F.lit(1)), "%", ""))
-    qty, ref = at(numeric, 1), F.try_element_at(words, F.lit(1))
-    item = F.struct(
-        ref.alias("ref"), F.try_element_at(words, F.lit(2)).alias("designation"), qty.alias("qty"), at(numeric, 2).alias("price"), at(numeric, 3).alias("total"),
-        F.when((tva > 0) & (tva <= 30), tva).alias("tva_rate"), F.when(ref.isNotNull() & qty.isNotNull(), 0.75).otherwise(0.50).alias("confidence"),
-    )
-    return F.when((F.size(parts) >= 2) & ~G.is_footer_or_short(line), item)
+
+    def sorted_out(p: Column) -> Column:
+        return F.struct(
+            F.size(p).alias("n"), F.filter(p, lambda x: x.rlike(r"^\s*\d{1,2}([.,]\d+)?\s*%\s*$")).alias("rate"),
+            F.transform(F.slice(F.filter(p, lambda x: x.rlike(r"^[\d\s.,]+$")), 1, 3), lambda x: X.number(x)).alias("numbers"),
+            F.filter(p, lambda x: ~x.rlike(r"^[\d\s.,]+$") & ~x.rlike("%")).alias("words"),
+        )
+
+    def item(v: Column) -> Column:
+        at = lambda a, i: F.try_element_at(v[a], F.lit(i))
+        tva = X.number(F.regexp_replace(at("rate", 1), "%", ""))
+        known = at("words", 1).isNotNull() & at("numbers", 1).isNotNull()
+        return F.when(v["n"] >= 2, F.struct(
+            at("words", 1).alias("ref"), at("words", 2).alias("designation"), at("numbers", 1).alias("qty"), at("numbers", 2).alias("price"), at("numbers", 3).alias("total"),
+            F.when((tva > 0) & (tva <= 30), tva).alias("tva_rate"), F.when(known, 0.75).otherwise(0.50).alias("confidence"),
+        ))
+
+    return F.when(~G.is_footer_or_short(line), _let(_let(parts, sorted_out), item))
 
 
 def text_items(lines: DataFrame) -> DataFrame:
@@ -236,7 +243,8 @@ def text_items(lines: DataFrame) -> DataFrame:
     n_cols = sum((F.when(up.rlike("|".join(p.replace("^", r"\b") for p in ps)), 1).otherwise(0) for ps in COLUMN_HEADERS.values()), F.lit(0))
     head = lines.withColumn("__n", n_cols).where("__n >= 3").groupBy("doc_id").agg(F.min("line_no").alias("head"))
     stopped = F.max(G.is_table_stop("line").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    body = lines.join(head, "doc_id").where("line_no > head").withColumn("stopped", stopped).where("stopped = 0").withColumn("item", text_line(F.col("line"))).where("item is not null")
+    body = lines.join(head, "doc_id").where("line_no > head").withColumn("stopped", stopped).where("stopped = 0")
+    body = body.select("doc_id", "line_no", F.explode(F.array(text_line(F.col("line")))).alias("item")).where("item is not null")  # computed once
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
     return body.withColumn("line_number", number).where(G.valid_product_line(F.col("item.ref"), F.col("item.price"), F.col("item.qty"), F.col("item.designation"))).select("doc_id", "line_number", "item.*")
 

@@ -199,9 +199,11 @@ def alias_targets(lines: DataFrame, aliases: DataFrame, keys: DataFrame) -> Data
     active = aliases.where("is_active").select(
         "supplier_key", F.col("id").alias("alias_id"), X.match_key("external_ref").alias("__external"), X.match_key("internal_ref").alias("alias_target")
     )
-    per_job = keys.join(active, "supplier_key")
-    first = per_job.groupBy("job_id", "__external").agg(F.min_by(F.struct("alias_target", "alias_id"), F.struct("priority", "alias_id")).alias("a"))
-    out = lines.withColumn("__external", X.match_key("ref")).join(first, ["job_id", "__external"], "left")
+    at = lines.withColumn("__external", X.match_key("ref"))
+    wanted = at.select("job_id", "__external").where("__external <> ''").distinct().join(keys, "job_id")
+    hits = wanted.join(active, ["supplier_key", "__external"])
+    first = hits.groupBy("job_id", "__external").agg(F.min_by(F.struct("alias_target", "alias_id"), F.struct("priority", "alias_id")).alias("a"))
+    out = at.join(first, ["job_id", "__external"], "left")
     return out.select(*[F.col(c) for c in lines.columns], F.col("a.alias_target").alias("alias_target"), F.col("a.alias_id").alias("alias_id"))
 
 
