@@ -86,11 +86,14 @@ def weighted_ratio(a: str, b: str) -> float:
 
 @lru_cache(maxsize=1 << 17)
 def fuzz(a: str, b: str) -> float:
-    """JN4."""
-    return max(token_sort_ratio(a, b), weighted_ratio(a, b)) if a and b else 0.0
+    """JN4. For two single words of like length all its parts are the plain ratio, or less."""
+    if not a or not b:
+        return 0.0
+    if " " not in a and " " not in b and 2 * max(len(a), len(b)) < 3 * min(len(a), len(b)):
+        return ratio(a, b)
+    return max(token_sort_ratio(a, b), weighted_ratio(a, b))
 
 
-@lru_cache(maxsize=1 << 17)
 def pair_score(ref_a: str, desc_a: str, ref_b: str, desc_b: str) -> tuple[float, int]:
     """JN2: confidence and layer of two lines by normalised reference and description; the earlier layer wins ties."""
     if ref_a and ref_a == ref_b:
