@@ -270,3 +270,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+with d as (select doc_id, {_WORDS} w from documents), b as (select coalesce(item_id::varchar, '') item, {_WORDS} w from benchmark),
+bw as (select distinct item, least(13, len(w)) k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') g from (select item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) i from b where len(w) > 0)),
+dw as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') g from (select doc_id, w, k, unnest(range(1, greatest(1, len(w) - k + 2))) i from d, (select distinct k from bw))),
+h as (select doc_id, i, bw.k, item from dw join bw on dw.k = bw.k and dw.g = bw.g),
+p as (select doc_id, count(distinct i + j) n from h, (select unnest(range(0, 13)) j) where j < k group by doc_id),
+t as (select doc_id, count(distinct item) n, array_to_string(list_sort(list(distinct item)), ',') names from h group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(p.n, 0)::bigint n_hit, coalesce(t.n, 0)::bigint n_items, sha256(coalesce(names, '')) items_sha256,
+  (coalesce(p.n, 0) > 0 and 20 * coalesce(p.n, 0) >= len(w)) contaminated from d left join p using (doc_id) left join t using (doc_id)
+"""

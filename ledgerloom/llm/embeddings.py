@@ -204,3 +204,15 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) x from embeddings),
+f as (select * from v where label is not null and len(x) > 0 and len(list_filter(x, lambda y: y is null or not isfinite(y))) = 0 and len(list_filter(x, lambda y: y <> 0)) > 0),
+e as (select a.vec_id a, b.vec_id b from f a join f b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x)) / sqrt(list_dot_product(b.x, b.x)) >= 0.98),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) m from r group by a), n as (select a, count(*)::bigint n from e group by a)
+select vec_id, coalesce(n, 0)::bigint n_links, least(vec_id, coalesce(m, vec_id)) component_id, vec_id <= coalesce(m, vec_id) kept
+from v left join n on n.a = vec_id left join c on c.a = vec_id
+"""

@@ -277,3 +277,16 @@ def _minority(ranked: DataFrame, several: DataFrame, joined: DataFrame) -> DataF
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') || case when len(w) < 5 then chr(10) || len(w) else '' end g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i from w where len(w) > 0)),
+n as (select doc_id, count(*)::bigint n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) m from r group by a)
+select w.doc_id, coalesce(n, 0)::bigint n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) component_id, w.doc_id <= coalesce(m, w.doc_id) kept
+from w left join n using (doc_id) left join c on c.a = w.doc_id
+"""

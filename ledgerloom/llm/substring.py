@@ -262,3 +262,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept_text")
+
+
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 11)) i from w where len(w) >= 13),
+g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') k from s),
+b as (select doc_id, i, min(doc_id) over (partition by k) as first from g),
+r as (select distinct doc_id, i + j as p from b, (select unnest(range(0, 13)) j) where first < doc_id),
+l as (select doc_id, list(p) lost from r group by doc_id),
+k as (select w.doc_id, w, list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains(coalesce(lost, []), i) then null else w[i] end), lambda x: x is not null) kept from w left join l using (doc_id))
+select doc_id, len(w)::bigint n_words, (len(w) - len(kept))::bigint n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) kept_sha256 from k
+"""
