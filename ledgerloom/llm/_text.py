@@ -172,3 +172,20 @@ def split_binary(values: np.ndarray, order: np.ndarray, cuts: np.ndarray) -> pa.
     data = np.ascontiguousarray(values[order] if order is not None else values)
     off = (cuts.astype(np.int64) * width).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def pack(column: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each value of a string or binary array compressed, and its size; nulls are empty."""
+    raw, offsets = buffers(column)
+    data = memoryview(raw)
+    out = [_ZSTD.compress(data[a:b], asbytes=True) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return pa.array(out, pa.binary()), pa.array(np.diff(offsets).astype(np.int32))
+
+
+def unpack(packed: pa.Array, sizes: pa.Array) -> pa.Array:
+    """The binary values that pack() compressed."""
+    data = [_ZSTD.decompress(x.as_buffer(), n, asbytes=True) if n else b"" for x, n in zip(packed, sizes.to_pylist())]
+    return pa.array(data, pa.large_binary())

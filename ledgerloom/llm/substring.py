@@ -13,7 +13,7 @@ split by a prefix of variable length, one subtree a prefix, and subtrees are pac
   neighbours are compared word by word, and the runs of equal windows are the topmost nodes of depth >= WINDOW. The
   smallest doc_id below a node keeps the passage; all other suffixes there lose it.
 
-Texts meet their segments and spans by a shuffle on doc_id at every size; the spans of a large corpus have no bound that
+Texts meet their segments and spans, compressed, by a shuffle on doc_id at every size; the spans of a large corpus have no bound that
 would allow a broadcast.
 
 Nulls have no words. Rows of one doc_id are never judged against each other and lose the same word positions. Rows whose doc_id is
@@ -156,13 +156,13 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 
 def _segments(buckets: int):
-    """Words of the segments, packed for the groups of their prefixes. Columns: doc_id, text, segments."""
+    """Words of the segments, packed for the groups of their prefixes. Columns: doc_id, packed text, its size, segments."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            raw, offsets = T.buffers(batch.column(1))
-            lists = batch.column(2)
+            raw, offsets = T.buffers(T.unpack(batch.column(1), batch.column(2)))
+            lists = batch.column(3)
             cut = lists.offsets.to_numpy()
             flat = lists.values
             if isinstance(flat, pa.ExtensionArray):
@@ -186,7 +186,7 @@ def _segments(buckets: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own), T.split_binary(ids[a:b][row], order, at), T.split_binary(s[part], order, at),
-                        T.split_binary((hi - lo).astype(np.int32), None, at), pa.array(text, pa.binary()),
+                        T.split_binary((hi - lo).astype(np.int32), None, at), T.pack(pa.array(text, pa.binary()))[0],
                     ],
                     ["bucket", "doc", "s", "size", "text"],
                 )
@@ -197,7 +197,8 @@ def _segments(buckets: int):
 def _subtrees(table: pa.Table) -> pa.Table:
     """Of one group of subtrees: the word spans that suffixes below deep nodes lose."""
     doc, s, size = _joined(table, "doc", np.int64), _joined(table, "s", np.int32), _joined(table, "size", np.int32)
-    raw = np.frombuffer(b"".join(table.column("text").to_pylist()), np.uint8)
+    sizes = [int(np.frombuffer(x, np.int32).sum()) for x in table.column("size").to_pylist()]
+    raw, _ = T.buffers(T.unpack(table.column("text").combine_chunks(), pa.array(sizes)))
     words = T.Words(raw, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), T.NON_SPACE)
     h = words.hashes()
     at = np.flatnonzero(words.fits(WINDOW))
@@ -210,6 +211,11 @@ def _subtrees(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[row[first]], "s": start.astype(np.int32), "e": (start + length).astype(np.int32)})
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, packed, size: what the shuffles move of a text."""
+    return docs.mapInArrow(_pack, "doc_id long, packed binary, size int")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id and the word spans (s, e) it loses, as one list a document."""
     spark = docs.sparkSession
@@ -220,7 +226,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ranges = packed.groupBy("bucket").applyInArrow(_repeated, _RANGES)
     ranges = store(ranges, "prefixes")
     wanted = ranges.where("not removed").groupBy("doc_id").agg(F.collect_list(F.struct("key", "s", "e")).alias("parts"))
-    moved = docs.join(wanted, "doc_id").select("doc_id", "text", "parts").mapInArrow(
+    moved = packed_texts(docs).join(wanted, "doc_id").select("doc_id", "packed", "size", "parts").mapInArrow(
         _segments(buckets), "bucket int, doc binary, s binary, size binary, text binary"
     )
     found = moved.groupBy("bucket").applyInArrow(_subtrees, "doc_id long, s int, e int")
@@ -229,11 +235,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return store(spans, "spans")
 
 
+def _pack(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), *T.pack(batch.column(1))], ["doc_id", "packed", "size"])
+
+
 def _cut(batches):
     for batch in batches:
         out = []
-        spans = batch.column(2).to_pylist()
-        texts = batch.column(1).cast(pa.binary()).to_pylist()
+        spans = batch.column(3).to_pylist()
+        texts = T.unpack(batch.column(1), batch.column(2)).to_pylist()
         for text, lost in zip(texts, spans):
             words = (text or b"").split()
             n = len(words)
@@ -255,7 +266,8 @@ def _cut(batches):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), kept_sha256."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.join(repeated_spans(docs), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
+    spans = repeated_spans(docs)
+    return packed_texts(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "size", "spans").mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
     )
 
