@@ -3,9 +3,9 @@
 A document is the set of its distinct 5-word shingles. A SetSketch keeps, for each of M registers, the smallest of
 the exponentially distributed hash values of the set's elements, stored as the power of a base B it lies at and
 truncated to a fixed range. Sketches merge by the larger register. Equal registers become more likely with the
-Jaccard similarity, so bands of them find candidates; the numbers of larger, smaller and equal registers give the
-likelihood of a similarity jointly with the known set sizes, which sorts out unlikely pairs; the rest is verified on
-the full sets.
+Jaccard similarity, so bands of them find candidates, which are verified on the full sets. similarity() estimates a
+pair by likelihood, jointly from the numbers of larger, smaller and equal registers and the known set sizes; the
+near_duplicates() job does not need it, for it verifies whole candidate groups without going through pairs.
 
 Shape of the job:
 
@@ -40,8 +40,6 @@ BASE = 1.02
 LEVELS = 1 << 13
 BLOCK_ROWS = 192
 PIVOTS = 3
-#: A pair is dropped before verification if its estimate is so far (in standard errors) below the threshold.
-SLACK = 6.0
 
 _rng = np.random.default_rng(85100)
 _MULT = _rng.integers(1, 1 << 62, REGISTERS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
