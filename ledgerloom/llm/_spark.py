@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A side with at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+BATCH_ROWS = 1_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -25,9 +26,18 @@ def scratch(spark: SparkSession) -> str:
     return own
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows from here on in this session: texts are large, and the JVM and the Python
+    worker each hold a batch or two per task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the lineage ends there, so lost executors cost
     only the reads in flight. The folder is the cluster's to empty, as for checkpoints."""
+    lean(df.sparkSession)
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

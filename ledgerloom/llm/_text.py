@@ -86,6 +86,7 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES):
         to = min(n, max(at + 1, to))
         yield at, to
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 class Words:

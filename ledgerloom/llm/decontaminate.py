@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _text as T
-from ledgerloom.llm._spark import store
+from ledgerloom.llm._spark import lean, store
 
 WINDOW = 13
 SHINGLE = 3
@@ -238,6 +238,7 @@ def _covered(spans: list[dict]) -> int:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit word ranges)."""
     spark = docs.sparkSession
+    lean(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // (4 * BLOCK_WORDS)))
