@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 LINE_TOTAL, DOCUMENT_TOTAL, SCHEMA_TOTAL = 0.02, 0.10, 0.05
 
 
-def line_math(total: Column, expected: Column, least: Column = F.lit(0.02)) -> Column:
+def line_math(total: Column, expected: Column, least: Column | None = None) -> Column:
     """Whether a line total agrees with quantity times price: within least or 1% of it. Missing or zero values agree."""
     known = F.coalesce((total != 0) & (expected != 0), F.lit(False))
+    least = F.lit(LINE_TOTAL) if least is None else least
     return ~known | (F.abs(total - expected) <= F.greatest(least, F.lit(0.01) * F.abs(expected)))
 
 
