@@ -13,6 +13,10 @@ from ledgerloom.llm import decontaminate, minhash, mixing, quality, sharding
 from ledgerloom.llm._spark import small, store, store_counted
 
 
+#: Near copies go from this Jaccard similarity of word shingles; 32 bands of 6 registers find its pairs.
+NEAR, BAND_ROWS = (80, 100), 6
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,7 +30,7 @@ def _without(docs: DataFrame, lost: DataFrame, name: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, threshold=NEAR, band_rows=BAND_ROWS)
     return _without(docs, found.where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
 
 

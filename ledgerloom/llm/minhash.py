@@ -111,48 +111,52 @@ def similarity(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> float:
     return float(j[int(np.argmax(like))])
 
 
-def bands(registers: np.ndarray) -> np.ndarray:
+def bands(registers: np.ndarray, band_rows: int = BAND_ROWS) -> np.ndarray:
     """Band hashes (rows x bands)."""
     out = []
-    for b in range(REGISTERS // BAND_ROWS):
+    for b in range(REGISTERS // band_rows):
         acc = np.full(len(registers), b + 1, np.uint64)
-        for i in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
+        for i in range(b * band_rows, (b + 1) * band_rows):
             acc = T.mix(acc * np.uint64(1_000_003) + registers[:, i].astype(np.uint64))
         out.append(acc)
     return np.stack(out, 1).view(np.int64)
 
 
-def _digests(batches):
+def _digests(band_rows: int):
     """doc_id, n_shingles, two halves of the sequence digest, band hashes; no bands for empty sets."""
-    for batch in batches:
-        raw, offsets = T.buffers(batch.column(1))
-        for a, b in T.blocks(offsets):
-            words = T.Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1], T.NON_SPACE, T.LOWER)
-            h = words.hashes()
-            values, bounds = shingle_sets(words)
-            size = np.diff(bounds)
-            full = np.flatnonzero(size > 0)
-            d = []
-            for seed in (17, 91):
-                T.POWERS.upto(len(h) + 1)
-                sums = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(T.mix(h + np.uint64(seed)) * T.POWERS.pow[: len(h)], out=sums[1:])
-                d.append(T.mix((sums[words.row_ptr[1:]] - sums[words.row_ptr[:-1]]) * T.POWERS.inv[words.row_ptr[:-1]] + words.count.astype(np.uint64)).view(np.int64))
-            hashes = bands(sketch(values, np.append(bounds[full], bounds[-1]))) if len(full) else np.zeros((0, 1), np.int64)
-            width = REGISTERS // BAND_ROWS
-            lists = np.zeros(b - a + 1, np.int32)
-            lists[1:][full] = width
-            lists = np.cumsum(lists, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(d[0]), pa.array(d[1]),
-                    pa.ListArray.from_arrays(pa.array(lists), pa.array(hashes.ravel())),
-                ],
-                ["doc_id", "n_shingles", "d0", "d1", "bands"],
-            )
-
-
-def links(texts: pa.Array, old: np.ndarray) -> list[tuple[int, int]]:
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = T.buffers(batch.column(1))
+            for a, b in T.blocks(offsets):
+                words = T.Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1], T.NON_SPACE, T.LOWER)
+                h = words.hashes()
+                values, bounds = shingle_sets(words)
+                size = np.diff(bounds)
+                full = np.flatnonzero(size > 0)
+                d = []
+                for seed in (17, 91):
+                    T.POWERS.upto(len(h) + 1)
+                    sums = np.zeros(len(h) + 1, np.uint64)
+                    np.cumsum(T.mix(h + np.uint64(seed)) * T.POWERS.pow[: len(h)], out=sums[1:])
+                    d.append(T.mix((sums[words.row_ptr[1:]] - sums[words.row_ptr[:-1]]) * T.POWERS.inv[words.row_ptr[:-1]] + words.count.astype(np.uint64)).view(np.int64))
+                hashes = bands(sketch(values, np.append(bounds[full], bounds[-1])), band_rows) if len(full) else np.zeros((0, 1), np.int64)
+                width = REGISTERS // band_rows
+                lists = np.zeros(b - a + 1, np.int32)
+                lists[1:][full] = width
+                lists = np.cumsum(lists, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(d[0]), pa.array(d[1]),
+                        pa.ListArray.from_arrays(pa.array(lists), pa.array(hashes.ravel())),
+                    ],
+                    ["doc_id", "n_shingles", "d0", "d1", "bands"],
+                )
+
+    return run
+
+
+def links(texts: pa.Array, old: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
     """Verified links (row pairs) that join the rows as far as their sets allow. Rows with equal old labels need no
     link. Each row is compared with the rows of other labels by counting the shingles they share, so the links
     returned are a forest and the comparisons are complete."""
@@ -166,7 +170,7 @@ def links(texts: pa.Array, old: np.ndarray) -> list[tuple[int, int]]:
     post = row[order]
     start = np.searchsorted(ids[order], np.arange(ids.max() + 2 if len(ids) else 1))
     label = np.unique(old, return_inverse=True)[1].astype(np.int64)
-    num, den = THRESHOLD
+    num, den = threshold
     out = []
     for i in range(1, n):
         if not size[i]:
@@ -185,21 +189,28 @@ def links(texts: pa.Array, old: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(table: pa.Table) -> pa.Table:
+def _verify(threshold: tuple[int, int]):
     """The links of one block. Rows that came to be compared with the block only are joined among themselves elsewhere."""
-    table = table.sort_by("rep")
-    rep = table.column("rep").to_numpy()
-    pairs = links(table.column("text").combine_chunks(), table.column("label").to_numpy())
-    a = np.array([p[0] for p in pairs], np.int64)
-    b = np.array([p[1] for p in pairs], np.int64)
-    return pa.table({"a": rep[a], "b": rep[b]})
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        rep = table.column("rep").to_numpy()
+        pairs = links(table.column("text").combine_chunks(), table.column("label").to_numpy(), threshold)
+        a = np.array([p[0] for p in pairs], np.int64)
+        b = np.array([p[1] for p in pairs], np.int64)
+        return pa.table({"a": rep[a], "b": rep[b]})
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; see the module's docstring."""
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, band_rows: int = BAND_ROWS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; see the module's docstring. Pairs link from a Jaccard similarity of threshold
+    (numerator, denominator); a lower one needs fewer registers a band to find as many of its pairs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     digests = docs.mapInArrow(
-        _digests, "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>"
+        _digests(band_rows), "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>"
     )
     digests = store(digests, "sketch")
     reps = store(
@@ -219,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "members",
     )
     ready = ranked.join(texts, "rep").withColumn("label", F.col("rep"))
-    found = store(ready.groupBy("grp", "block").applyInArrow(_verify, "a long, b long"), "links")
+    found = store(ready.groupBy("grp", "block").applyInArrow(_verify(threshold), "a long, b long"), "links")
     joined = components(found, "joined")
     several = ranked.groupBy("grp").agg(F.max("block").alias("last")).where("last > 0")
     rest, count = store_counted(
@@ -232,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .join(several.select("grp"), "grp", "left_semi")
         )
         again = home.unionByName(rest).dropDuplicates(["rep", "grp", "block"]).join(texts, "rep")
-        more = store(again.groupBy("grp", "block").applyInArrow(_verify, "a long, b long"), "more-links")
+        more = store(again.groupBy("grp", "block").applyInArrow(_verify(threshold), "a long, b long"), "more-links")
         joined = components(found.unionByName(more), "joined")
     final = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
         "d0", "d1", F.coalesce("component", "rep").alias("component_id")
@@ -274,7 +285,7 @@ def _minority(ranked: DataFrame, several: DataFrame, joined: DataFrame) -> DataF
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=(85, 100), band_rows=8)
 
 
 SQL = r"""

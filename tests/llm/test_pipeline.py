@@ -1,5 +1,7 @@
 """The corpus pipeline over a small folder, stage by stage."""
 
+import random
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -22,5 +24,23 @@ def test_stages(spark):
     assert len(toxic & set(out.doc_id)) <= 0.5 * len(toxic)  # 87 labels teach the lexicon only in part
 
 
+def test_near_duplicates_from_080(spark):
+    """The stage against brute force at 0.8, on texts and their copies with one to three words changed."""
+    r = random.Random(8)
+    data = []
+    for i in range(150):
+        base = [f"w{r.randrange(5000)}" for _ in range(100)]
+        copy = list(base)
+        for j in range(1 + i % 3):
+            copy[15 + 25 * j] = f"q{i}-{j}"
+        data += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(96)} for i, t in data}
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 300, 2)}
+    assert sum(0.8 <= x < 0.85 for x in share.values()) >= 40 and any(x < 0.8 for x in share.values())
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {row["doc_id"] for row in corpus_pipeline.deduplicate(spark, docs, SF).collect()}
+    assert kept == set(range(0, 300, 2)) | {i + 1 for i, x in share.items() if x < 0.8}
+
+
 def test_oracle_is_declared():
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
