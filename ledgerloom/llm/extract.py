@@ -4,9 +4,10 @@ A page's markup gives blocks of text. Blocks in an article or main element belon
 it that are marked as something else (menus, footers, asides, forms, adverts, comments). All other blocks are loose.
 Whether loose text is boilerplate is decided over the pages of its host: their loose token streams are concatenated, a
 suffix array over them finds the substrings of RUN or more tokens that repeat across distinct pages, and the tokens they
-cover are removed; what is left of a page's loose blocks are unique runs. A page without article or main takes
-the unique runs of its unmarked loose blocks as its main text. Repeats inside an article never cost it text: copied
-articles and shared passages are content.
+cover are removed; what is left of a page's loose blocks are unique runs. The unique runs of unmarked loose blocks belong
+to every page's main text, in page order with the blocks of its article or main elements. Beside those, a loose block of
+fewer than RUN tokens also goes if it is a whole block of as many pages. Repeats inside an article never cost it text:
+copied articles and shared passages are content.
 
 A host's pages are dealt to cells of about CELL_PAGES by a hash, so a host of any size is spread; text counts as
 repeated if it occurs on SHARE of the cell's pages and on at least MIN_PAGES. A run that repeats across a host does so
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +82,13 @@ def _marks(name: str, attributes: str, rooted: bool) -> bool:
 
 def blocks(source: str) -> tuple[list[str], list[str], list[str]]:
     """Blocks of the article or main elements, unmarked loose blocks and marked loose blocks, each in page order."""
-    main, loose, marked = [], [], []
+    found = ordered_blocks(source)
+    return tuple([b for k, b in found if k == kind] for kind in ("main", "loose", "marked"))
+
+
+def ordered_blocks(source: str) -> list[tuple[str, str]]:
+    """Kind (main, loose or marked) and text of all blocks in page order."""
+    found = []
     stack: list[tuple[str, bool, bool]] = []
     rooted = out = False
     text: list[str] = []
@@ -89,7 +98,7 @@ def blocks(source: str) -> tuple[list[str], list[str], list[str]]:
             joined = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                (marked if out else main if rooted else loose).append(joined)
+                found.append(("marked" if out else "main" if rooted else "loose", joined))
 
     def close(to: int) -> None:
         nonlocal rooted, out
@@ -131,7 +140,7 @@ def blocks(source: str) -> tuple[list[str], list[str], list[str]]:
         rooted, out = inner, skip
         stack.append((name, rooted, out))
     flush()
-    return main, loose, marked
+    return found
 
 
 def host(url: str | None) -> str:
@@ -140,16 +149,20 @@ def host(url: str | None) -> str:
 
 
 def _parse(batches):
+    """main has the main blocks in page order, with a null in the place of each loose block; slot the number of that among
+    the loose blocks, null for main blocks."""
     for batch in batches:
         urls = batch.column(1).to_pylist()
-        rows = [blocks(x.as_py() or "") for x in batch.column(2)]
+        rows = [ordered_blocks(x.as_py() or "") for x in batch.column(2)]
+        kinds = [[[b for k, b in r if k == kind] for r in rows] for kind in ("loose", "marked")]
+        main = [[b if k == "main" else None for k, b in r if k != "marked"] for r in rows]
+        slot = [[i if b is None else None for i, b in zip(accumulate(int(x is None) for x in m), m)] for m in main]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), batch.column(1), pa.array([host(u) for u in urls], pa.string()),
-                pa.array(["\n".join(r[0]) if r[0] else None for r in rows], pa.string()),
-                *(pa.array([r[i] for r in rows], pa.list_(pa.string())) for i in (1, 2)),
+                batch.column(0), batch.column(1), pa.array([host(u) for u in urls], pa.string()), pa.array(slot, pa.list_(pa.int32())),
+                *(pa.array(x, pa.list_(pa.string())) for x in (main, *kinds)),
             ],
-            ["page_id", "url", "host", "main", "loose", "marked"],
+            ["page_id", "url", "host", "slot", "main", "loose", "marked"],
         )
 
 
@@ -209,41 +222,44 @@ def _whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
 
 
 def _cell(table: pa.Table) -> pa.Table:
-    """Rows of one cell with the unique runs of their loose blocks."""
+    """Rows of one cell with what is unique of each of their loose blocks, empty if nothing is."""
     loose = [[b.split(" ") for b in x or []] for x in table.column("loose").to_pylist()]
     marked = [[b.split(" ") for b in x or []] for x in table.column("marked").to_pylist()]
     streams = [[t for b in [*x, *y] for t in b] for x, y in zip(loose, marked)]
-    flags = covered(streams, RUN, max(MIN_PAGES, int(np.ceil(SHARE * len(streams)))))
+    least = max(MIN_PAGES, int(np.ceil(SHARE * len(streams))))
+    flags = covered(streams, RUN, least)
+    short = Counter(b for x, y in zip(loose, marked) for b in {tuple(b) for b in [*x, *y] if len(b) < RUN})
     out = []
-    for own, f in zip(loose, flags):
+    for own, f, beside in zip(loose, flags, table.column("rooted").to_pylist()):
         at, kept = 0, []
         for b in own:
             left = " ".join(t for t, x in zip(b, _whole_runs(f[at : at + len(b)])) if not x)
             at += len(b)
-            if left:
-                kept.append(left)
-        out.append("\n".join(kept))
-    return pa.table({"row": table.column("row"), "unique": pa.array(out, pa.string())})
+            kept.append("" if beside and short[tuple(b)] >= least else left)
+        out.append(kept)
+    return pa.table({"row": table.column("row"), "unique": pa.array(out, pa.list_(pa.string()))})
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     parsed = store(
-        pages.mapInArrow(_parse, "page_id long, url string, host string, main string, loose array<string>, marked array<string>")
+        pages.mapInArrow(_parse, "page_id long, url string, host string, slot array<int>, main array<string>, loose array<string>, marked array<string>")
         .withColumn("row", F.monotonically_increasing_id()),
         "parsed",
     )
     hosts, seen = store_counted(parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts", n=F.count(F.lit(1)))
     cells = F.ceil(F.col("n") / F.lit(CELL_PAGES))
-    dealt = parsed.select("row", "host", "loose", "marked").join(small(hosts, seen["n"]), "host").select(
-        "host", F.pmod(F.xxhash64("row"), cells).alias("cell"), "row", "loose", "marked"
+    rooted = F.exists("main", lambda b: b.isNotNull()).alias("rooted")
+    dealt = parsed.select("row", "host", "loose", "marked", rooted).join(small(hosts, seen["n"]), "host").select(
+        "host", F.pmod(F.xxhash64("row"), cells).alias("cell"), "row", "loose", "marked", "rooted"
     )
-    unique = dealt.groupBy("host", "cell").applyInArrow(_cell, "row long, unique string").where("unique <> ''")
+    unique = dealt.groupBy("host", "cell").applyInArrow(_cell, "row long, unique array<string>").where("size(unique) > 0")
     unique = store(unique, "unique")
-    text = F.coalesce("main", "unique", F.lit(""))
-    return parsed.join(unique, "row", "left").select(
-        "page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars")
+    placed = F.zip_with("main", "slot", lambda b, i: F.coalesce(b, F.get("unique", i - 1)))
+    text = F.array_join(F.filter(F.when(F.col("unique").isNull(), F.col("main")).otherwise(placed), lambda b: b != ""), "\n")
+    return parsed.join(unique, "row", "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
     )
 
 

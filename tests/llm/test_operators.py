@@ -272,6 +272,16 @@ def test_extract(spark):
     assert rows(extract.main_text(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
 
+def test_extract_loose_text_beside_articles(spark):
+    """The suffix array decides unmarked loose text of pages with an article too, and what stays is in page order."""
+    page = "<body><div>Site</div><div>go one two three four five six</div><h1>Head {0}</h1><article><p>Body {0}</p></article><p>After {0}</p></body>"
+    data = [(i, f"http://a/{i}", page.format(i)) for i in range(6)]
+    data += [(6, "http://b/", "<body><p>First</p><main>x<p>y</main><div>z</div></body>"), (7, "http://b/2", "<article>only</article>")]
+    by = {r["page_id"]: r["text"] for r in rows(extract.main_text(spark.createDataFrame(data, "page_id long, url string, html string")))}
+    assert [by[i] for i in range(6)] == [f"Head {i}\nBody {i}\nAfter {i}" for i in range(6)]
+    assert by[6] == "First\nx\ny\nz" and by[7] == "only"
+
+
 def test_suffix_array():
     r = np.random.default_rng(5)
     tokens = r.integers(0, 3, 60)
