@@ -6,7 +6,7 @@ the smallest for which all groups fit into the given number of shards (bisection
 
 Only so many items reach the packing as a parameter allows, whatever the input: groups smaller than a parcel (the
 total over PARCELS) are put into parcels by a hash of their text, whole; at most PARCELS groups are larger. A group
-above GROUP_SHARE of an even shard cannot stay in one shard with sizes near equal; it is cut into pieces by a hash of
+above GROUP_SHARE even shards cannot stay in one shard with sizes near equal; it is cut into pieces by a hash of
 its rows. Sizes, parcels and pieces are counted by map-side combined aggregation over all rows.
 
 Slots are numbered in cells of a shard of about CELL_ROWS rows, with the cells' counts as offsets.
@@ -27,7 +27,7 @@ from ledgerloom.llm._spark import store, store_counted
 SHARDS = 40
 OVERHEAD = 16
 PARCELS = 8192
-GROUP_SHARE = 0.5
+GROUP_SHARE = 1.0
 PIECES = 4096
 CELL_ROWS = 1024
 

@@ -111,6 +111,16 @@ def test_sharding(spark, docs, none):
     assert max(load.values()) - min(load.values()) < 0.05 * sum(load.values())
 
 
+def test_sharding_keeps_groups_of_up_to_an_even_shard(spark):
+    data = [(i, "same text " * 20) for i in range(75)] + [(1000 + i, f"{i:03} other " * 22 + "x") for i in range(325)]
+    by, load = defaultdict(set), Counter()
+    for row in rows(sharding.shard(spark.createDataFrame(data, "doc_id long, text string"), shards=4)):
+        by[row["doc_id"] < 1000].add(row["shard"])
+        load[row["shard"]] += row["size"]
+    assert len(by[True]) == 1
+    assert max(load.values()) - min(load.values()) < 0.05 * sum(load.values())
+
+
 def brute_components(data):
     sets = {}
     for i, t, *_ in data:
