@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A side with at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 BATCH_ROWS = 1_000
+#: A node with more rows than this is salted where its rows meet; so many salted nodes are broadcast at most.
+HUB = 256
+HUBS = 2_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -59,13 +62,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _meet(rows: DataFrame, per: DataFrame, name: str) -> DataFrame:
+    """rows (u, v) joined with per (u, m, n) on u, n being the rows of u. Those of a u with more than HUB rows are dealt to
+    several keys by a hash of v, and its row of per is repeated for each, so no hub meets its row in one task."""
+    per, seen = store_counted(per, name, hubs=F.count_if(F.col("n") > HUB))
+    if not seen["hubs"]:
+        return rows.join(per, "u")
+    pieces = F.ceil(F.col("n") / F.lit(HUB)).cast("int")
+    hubs = per.where(F.col("n") > HUB).select("u", pieces.alias("k"))
+    dealt = rows.join(small(hubs, seen["hubs"], HUBS), "u", "left")
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("v"), F.coalesce("k", F.lit(1))).cast("int"))
+    every = per.withColumn("s", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.join(every, ["u", "s"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars: (node, component) for each node of an edge, the
     component being the smallest node of its set.
 
-    edges has long columns a and b. A round pre-aggregates minima before its shuffle and joins them back, so a hub
-    is a skewed join side that adaptive execution splits, never one group in one task. Rounds grow with the
-    logarithm of the longest path. Null ends and loops are ignored.
+    edges has long columns a and b. A round pre-aggregates minima before its shuffle and joins them back; the rows of hubs are
+    salted for that join. Rounds grow with the logarithm of the longest path. Null ends and loops are ignored.
     """
     spark = edges.sparkSession
     pairs = (
@@ -77,17 +93,17 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         "n": F.count(F.lit(1)),
         "s": F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_000_007))),
     }
+    count = F.count(F.lit(1)).alias("n")
     pairs, last = store_counted(pairs, f"{name}-pairs", **mark)
     if not last["n"]:
         return spark.createDataFrame([], "node long, component long")
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), count).select("u", F.least("m", "u").alias("m"), "n")
+        large = _meet(both, least, f"{name}-least").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), count)
         pairs = (
-            linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _meet(large, low, f"{name}-low").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )

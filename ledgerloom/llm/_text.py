@@ -1,4 +1,4 @@
-"""Vectorised words, word hashes and word-window hashes over Arrow string columns.
+"""Vectorised words, word hashes, exact word numbers and word-window hashes over Arrow string columns.
 
 Texts are worked on as UTF-8 bytes. Every separator class used here is ASCII, so a byte table decides word
 membership without decoding. Work is cut into blocks of whole rows of about ``BLOCK_BYTES``, which bounds memory
@@ -7,6 +7,8 @@ whatever the batch; one longer text is a block of its own.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -31,7 +33,8 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 SAME = np.arange(256, dtype=np.uint8)
-_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+#: Words longer than this are hashed by a cryptographic digest.
+LONG_WORD = 96
 
 
 class _Powers:
@@ -109,20 +112,43 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        POWERS.upto(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, U)
-        np.cumsum(_VALUES[self.raw] * POWERS.pow[: len(self.raw)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * POWERS.inv[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U))
+        return self._hashes(self.ends)
 
     def prefix_hashes(self, k: int) -> np.ndarray:
         """A hash of each word's first k bytes (of the whole word if shorter)."""
-        POWERS.upto(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, U)
-        np.cumsum(_VALUES[self.raw] * POWERS.pow[: len(self.raw)], out=sums[1:])
-        ends = np.minimum(self.ends, self.starts + k)
-        h = (sums[ends] - sums[self.starts]) * POWERS.inv[self.starts]
-        return mix(h + (ends - self.starts).astype(U) + U(k * 7919))
+        return mix(self._hashes(np.minimum(self.ends, self.starts + k)) + U(k * 7919))
+
+    def _hashes(self, ends: np.ndarray) -> np.ndarray:
+        """Eight bytes at a time, each step through the finaliser, so that no arithmetic relation between words carries over."""
+        length = ends - self.starts
+        out = mix(length.astype(U) + U(_BASE))
+        if not len(length):
+            return out
+        eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.raw, np.zeros(8, np.uint8)]), 8)
+        open_ = np.flatnonzero(length <= LONG_WORD)
+        for step in range(0, LONG_WORD, 8):
+            open_ = open_[length[open_] > step]
+            if not len(open_):
+                break
+            chunk = np.ascontiguousarray(eight[self.starts[open_] + step]).view(U).ravel()
+            left = np.minimum(length[open_] - step, 8).astype(U)
+            chunk &= U(0xFFFFFFFFFFFFFFFF) >> (U(64) - left * U(8))
+            out[open_] = mix((out[open_] ^ chunk) * U(_BASE))
+        for i in np.flatnonzero(length > LONG_WORD):
+            word = self.raw[self.starts[i] : ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word; equal numbers are equal bytes, compared and not only hashed."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64)
+        size = self.ends - self.starts
+        off = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(int(off[-1])) + np.repeat(self.starts - off[:-1], size)
+        data = pa.py_buffer(np.ascontiguousarray(self.raw[place]))
+        words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), data])
+        return words.dictionary_encode().indices.to_numpy().astype(np.int64)
 
     def fits(self, k: int) -> np.ndarray:
         """For each word, whether k words from it on lie in its row."""
@@ -190,3 +216,20 @@ def unpack(packed: pa.Array, sizes: pa.Array) -> pa.Array:
     """The binary values that pack() compressed."""
     data = [_ZSTD.decompress(x.as_buffer(), n, asbytes=True) if n else b"" for x, n in zip(packed, sizes.to_pylist())]
     return pa.array(data, pa.large_binary())
+
+
+def gram_numbers(numbers: np.ndarray, k: int) -> np.ndarray:
+    """A number for numbers[i:i+k] at each i where the array has k more; equal numbers are equal runs (by prefix doubling)."""
+    if len(numbers) < k:
+        return np.zeros(0, np.int64)
+    rank, length = np.unique(numbers, return_inverse=True)[1].astype(np.int64), 1
+    while length < k:
+        step = min(length, k - length)
+        both = rank[: len(rank) - step] * (len(numbers) + 1) + rank[step:]
+        rank, length = np.unique(both, return_inverse=True)[1].astype(np.int64), length + step
+    return rank
+
+
+def digest(data: bytes) -> bytes:
+    """128 bits of the SHA-256 of a text's words, given its bytes as folded: runs of white space are one space."""
+    return hashlib.sha256(b" ".join(data.split())).digest()[:16]
