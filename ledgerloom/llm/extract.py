@@ -1,17 +1,23 @@
 """Main text of web pages, with a suffix array per host for boilerplate.
 
-A page's markup gives blocks of text. Blocks in an article or main element belong to the main text, but for regions in
-it that are marked as something else (menus, footers, asides, forms, adverts, comments). All other blocks are loose.
-Whether loose text is boilerplate is decided over the pages of its host: their loose token streams are concatenated, a
-suffix array over them finds the substrings of RUN or more tokens that repeat across distinct pages, and the tokens they
-cover are removed; what is left of a page's loose blocks are unique runs. The unique runs of unmarked loose blocks belong
-to every page's main text, in page order with the blocks of its article or main elements. Beside those, a loose block of
-fewer than RUN tokens also goes if it is a whole block of as many pages. Repeats inside an article never cost it text:
-copied articles and shared passages are content.
-
-A host's pages are dealt to cells of about CELL_PAGES by a hash, so a host of any size is spread; text counts as
-repeated if it occurs on SHARE of the cell's pages and on at least MIN_PAGES. A run that repeats across a host does so
-in each of its cells. Cells get loose text only; article text stays in place.
+A page's markup gives blocks of text and is a prior. Blocks in an article or main element are likely content; what is marked as a menu,
+header, footer, aside, form, advert, notice or comment goes; all other blocks are loose, and so are those whose class or id only hints at such
+(share-price, search-results). Repeats over the pages of a host decide about loose text, with or without an article on the page:
+
+* The token streams of a host's pages (all of their blocks outside articles, the marked ones too, for they show what repeats) are
+  concatenated and their suffixes sorted, the suffix array, with the length of the prefix that neighbours share. A suffix is carried to a depth of
+  DEPTH tokens, which finds every repeat: tokens covered by repeats of RUN or more tokens are covered by their parts of RUN to
+  DEPTH tokens. For each suffix the longest prefix of RUN or more tokens that occurs on enough distinct pages of the host is boilerplate.
+* Enough is one law at every size: a share SHARE of the host's distinct pages, at least MIN_PAGES and on a host of fewer pages all of them, two at least.
+  Rows of a host with the same html are one page.
+* What is left of a loose block are its unique runs. Beside an article, a loose block of fewer than RUN tokens goes if it is a whole block of as many pages.
+* A block inside an article is content, copied articles and shared passages too, unless it stands on at least half of the host's
+  distinct pages and NOTICE_PAGES of them: then it is a notice of the site. Where such blocks would be half of an article or more, the article is a
+  copied one and keeps them.
+
+The suffix array of a host is partitioned: suffixes are dealt by their first RUN tokens to groups of about GROUP_PAGES pages, after equal
+suffixes of a batch of pages are counted together, so neither a large host nor a footer on all of its pages meets in one task whole. Pages are weighed by one over the
+number of their copies, so counts of distinct pages are sums. Results do not depend on how the rows are partitioned.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones dropped,
 the rest joined by a line feed. Null html and pages without text give the empty string. A null url has no host;
@@ -20,32 +26,38 @@ such pages share one. Repeated rows are answered one by one; other columns are n
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
-from collections import Counter
-from itertools import accumulate
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import _text as T
 from ledgerloom.llm._spark import small, store, store_counted
 
 RUN = 6
+DEPTH = 16
 MIN_PAGES = 3
-SHARE = 0.05
-CELL_PAGES = 256
+SHARE = 0.01
+NOTICE_SHARE = 0.5
+NOTICE_PAGES = 5
+GROUP_PAGES = 2048
 
-_RAW = "script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math|title"
+_RAW = "script|style|noscript|template|textarea|select|iframe|object|canvas|title"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
+    rf"|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>?"
     r"|[^<]+|<",
     re.S | re.I,
 )
+#: Drawings and formulas: their text is not content; they end where the block around them ends if they are left open.
+_DRAWN = frozenset(("svg", "math"))
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
@@ -60,37 +72,41 @@ _MARKED = frozenset(
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
+_WORDS = re.compile(r"[\s_-]+")
+#: What may stand beside a marked word in the name of a class or id that is marked as a whole.
+_PARTS = frozenset("area bar block body bottom box btn button buttons col column container content footer form group head header inner item items left link links list main menu nav outer page panel right row section site top widget wrap wrapper".split())
 
+CONTENT, LOOSE, MARKED = "main", "loose", "marked"
 
-def _marks(name: str, attributes: str, rooted: bool) -> bool:
-    """Whether an element is marked as something other than content."""
+
+def _marks(name: str, attributes: str, rooted: bool) -> int:
+    """2 for an element marked as something other than content, 1 for one that a class or id hints at, otherwise 0."""
     if name in _OUT or name == "header" and not rooted:
-        return True
-    if not attributes or name in ("html", "body", "main"):
-        return False
+        return 2
+    if not attributes or name in ("html", "body", "main", "article"):
+        return 0
+    most = 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
-            return True
+            return 2
         if key in ("class", "id"):
-            words = set(re.split(r"[\s_-]+", value))
-            if words & _MARKED or not rooted and "header" in words:
-                return True
-    return False
-
-
-def blocks(source: str) -> tuple[list[str], list[str], list[str]]:
-    """Blocks of the article or main elements, unmarked loose blocks and marked loose blocks, each in page order."""
-    found = ordered_blocks(source)
-    return tuple([b for k, b in found if k == kind] for kind in ("main", "loose", "marked"))
+            for token in value.split():
+                words = set(_WORDS.split(token)) - {""}
+                found = words & _MARKED or not rooted and "header" in words
+                if found and words <= _MARKED | _PARTS:
+                    return 2
+                most = max(most, int(bool(found)))
+    return most
 
 
 def ordered_blocks(source: str) -> list[tuple[str, str]]:
     """Kind (main, loose or marked) and text of all blocks in page order."""
     found = []
-    stack: list[tuple[str, bool, bool]] = []
-    rooted = out = False
+    stack: list[tuple[str, bool, int]] = []
+    open_: Counter[str] = Counter()
+    rooted, out = False, 0
     text: list[str] = []
 
     def flush() -> None:
@@ -98,12 +114,21 @@ def ordered_blocks(source: str) -> list[tuple[str, str]]:
             joined = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                found.append(("marked" if out else "main" if rooted else "loose", joined))
+                found.append((MARKED if out == 2 else CONTENT if rooted and not out else LOOSE, joined))
 
     def close(to: int) -> None:
         nonlocal rooted, out
+        for name, _, _ in stack[to:]:
+            open_[name] -= 1
         del stack[to:]
-        rooted, out = stack[-1][1:] if stack else (False, False)
+        rooted, out = stack[-1][1:] if stack else (False, 0)
+
+    def leave_drawing() -> None:
+        """A block's tag inside an open drawing: the drawing was left open."""
+        at = next((i for i, x in enumerate(stack) if x[0] in _DRAWN), None)
+        if at is not None:
+            flush()
+            close(at)
 
     for m in _TOKEN.finditer(source):
         name = m.group(3)
@@ -113,15 +138,19 @@ def ordered_blocks(source: str) -> list[tuple[str, str]]:
                 text.append(got)
             continue
         name = name.lower()
+        drawn = open_["svg"] + open_["math"] > 0
+        if drawn and name in _BLOCK and name != "title":
+            leave_drawing()
         if m.group(2):
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
             if name in _BLOCK:
                 flush()
-            if at >= 0:
-                if stack[at][1:] != (stack[-1][1:]):
+            if open_[name] > 0:
+                at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
+                if stack[at - 1][1:] != stack[-1][1:] if at else stack[-1][1:] != (False, 0):
                     flush()
                 close(at)
             continue
+        closed = m.group(4).endswith("/")
         if name in _BLOCK:
             flush()
             if name != "br":
@@ -131,83 +160,149 @@ def ordered_blocks(source: str) -> list[tuple[str, str]]:
                         break
                     if stack[i][0] in _BLOCK:
                         break
-        if name in _VOID or m.group(4).endswith("/") and name not in _BLOCK:
+        if name in _VOID or closed and name not in _BLOCK:
             continue
         inner = rooted or name in ("article", "main") or "role=\"main\"" in m.group(4)
-        skip = out or _marks(name, m.group(4), rooted)
+        skip = 2 if name in _DRAWN else max(out, _marks(name, m.group(4), rooted))
         if (inner, skip) != (rooted, out):
             flush()
         rooted, out = inner, skip
         stack.append((name, rooted, out))
+        open_[name] += 1
     flush()
     return found
 
 
-def host(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m.group(1).lower() if m else ""
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+
+
+def _token(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
+
+
+class Stream:
+    """The blocks of a page outside articles: tokens as 64-bit hashes, one after the other."""
+
+    def __init__(self, blocks: list[tuple[str, str]]) -> None:
+        self.blocks = [(kind, text.split(" ")) for kind, text in blocks if kind != CONTENT]
+        names: dict[str, int] = {}
+        self.tokens = np.array([names.setdefault(t, _token(t)) for _, b in self.blocks for t in b], np.uint64)
+        self.starts = np.concatenate([[0], np.cumsum([len(b) for _, b in self.blocks])]).astype(np.int64)
+
+    def suffixes(self) -> np.ndarray:
+        """The first DEPTH tokens of each suffix of RUN or more tokens; zeros stand after the end."""
+        n = len(self.tokens)
+        if n < RUN:
+            return np.zeros((0, DEPTH), np.uint64)
+        padded = np.concatenate([self.tokens, np.zeros(DEPTH, np.uint64)])
+        return np.lib.stride_tricks.sliding_window_view(padded, DEPTH)[: n - RUN + 1]
+
+    def shorts(self) -> list[int]:
+        """Hashes of the whole blocks of fewer than RUN tokens."""
+        return [_token("\n" + " ".join(b)) for _, b in self.blocks if len(b) < RUN]
+
+
+def suffix_names(suffixes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of the first k tokens of each suffix."""
+    h = np.full(len(suffixes), k, np.uint64)
+    for j in range(k):
+        h = T.mix((h ^ suffixes[:, j]) * np.uint64(0x9E3779B97F4A7C15))
+    return h
+
+
+def suffix_array(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes by their tokens and the length of the prefix that each shares with the one before it."""
+    order = np.lexsort(suffixes.T[::-1])
+    same = (suffixes[order][1:] == suffixes[order][:-1]) & (suffixes[order][1:] != 0)
+    return order, np.concatenate([[0], np.cumprod(same, axis=1).sum(1)]).astype(np.int64) if len(order) else np.zeros(0, np.int64)
 
 
-def _parse(batches):
-    """main has the main blocks in page order, with a null in the place of each loose block; slot the number of that among
-    the loose blocks, null for main blocks."""
+def covered_lengths(suffixes: np.ndarray, pages: np.ndarray, least: int) -> np.ndarray:
+    """For each of distinct suffixes the longest prefix of RUN or more tokens that is on least pages; 0 if none.
+    pages has a row for each suffix and, as its columns, the pages counted with it for prefixes of RUN to DEPTH tokens."""
+    order, shared = suffix_array(suffixes)
+    out = np.zeros(len(order), np.int64)
+    for depth in range(DEPTH, RUN - 1, -1):
+        whole = suffixes[order][:, depth - 1] != 0
+        node = np.cumsum(shared < depth) - 1
+        total = np.bincount(node, weights=pages[order, depth - RUN], minlength=1)[node] if len(order) else np.zeros(0)
+        hit = whole & (total > least - 0.5) & (out[order] == 0)
+        out[order[hit]] = depth
+    return out
+
+
+_SUFFIXES = "host string, grp int, suffixes binary, weights binary, pages double, notice long"
+
+
+def _parsed(batch: pa.RecordBatch, column: int):
+    for x in batch.column(column):
+        yield ordered_blocks(x.as_py() or "")
+
+
+def _emit(batches):
+    """Of pages (host, groups, weight, html): for each host and group of suffixes of a batch the distinct suffixes, and how many pages have each
+    prefix of RUN to DEPTH tokens (a prefix's pages are counted with the first suffix of a page that has it); and the hashes of whole blocks
+    that repeats decide about, with their pages: short loose ones and blocks of articles."""
+    width = DEPTH - RUN + 1
+    for batch in batches:
+        hosts, groups, weights = (batch.column(i).to_pylist() for i in range(3))
+        parts: dict[tuple, list] = defaultdict(list)
+        whole: Counter = Counter()
+        for host, n, weight, blocks in zip(hosts, groups, weights, _parsed(batch, 3)):
+            stream = Stream(blocks)
+            for name in {*stream.shorts(), *(_token(text) for kind, text in blocks if kind == CONTENT)}:
+                whole[(host, name)] += weight
+            x = np.unique(stream.suffixes(), axis=0)
+            if not len(x):
+                continue
+            order, shared = suffix_array(x)
+            x = x[order]
+            pages = weight * (shared[:, None] < np.arange(RUN, DEPTH + 1)[None, :])
+            to = (suffix_names(x, RUN) % np.uint64(n)).astype(np.int64)
+            for g in np.unique(to):
+                parts[(host, int(g))].append((x[to == g], pages[to == g]))
+        rows: list[tuple] = []
+        for (host, g), own in parts.items():
+            x, back = np.unique(np.concatenate([p[0] for p in own]), axis=0, return_inverse=True)
+            pages = np.zeros((len(x), width))
+            np.add.at(pages, back.ravel(), np.concatenate([p[1] for p in own]))
+            data = T.pack(pa.array([x.tobytes(), pages.astype(np.float32).tobytes()], pa.binary()))[0].to_pylist()
+            rows.append((host, g, *data, float(len(x)), None))
+        rows += [(host, None, None, None, float(n), name - (1 << 64) if name >> 63 else name) for (host, name), n in whole.items()]
+        cols = list(zip(*rows)) or [()] * 6
+        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "grp", "suffixes", "weights", "pages", "notice"])
+
+
+def _repeats(table: pa.Table) -> pa.Table:
+    """Of one group of a host: the names of suffixes that begin with boilerplate, and its length in tokens."""
+    n = [int(x) for x in table.column("pages").to_pylist()]
+    width = DEPTH - RUN + 1
+    data = [T.unpack(table.column(c).combine_chunks(), pa.array([m * size for m in n])).to_pylist() for c, size in (("suffixes", DEPTH * 8), ("weights", width * 4))]
+    x = np.frombuffer(b"".join(data[0]), np.uint64).reshape(-1, DEPTH)
+    pages = np.frombuffer(b"".join(data[1]), np.float32).reshape(-1, width).astype(np.float64)
+    x, back = np.unique(x, axis=0, return_inverse=True)
+    total = np.zeros((len(x), width))
+    np.add.at(total, back.ravel(), pages)
+    length = covered_lengths(x, total, table.column("least")[0].as_py())
+    some = np.flatnonzero(length)
+    host = pa.array([table.column("host")[0].as_py()] * len(some), pa.string())
+    return pa.table({"host": host, "name": suffix_names(x[some], DEPTH).view(np.int64), "length": pa.array(length[some], pa.int32())})
+
+
+def _names(batches):
+    """Of pages (key, host, html): key, host, the names of the page's suffixes and of the whole blocks that repeats decide about."""
     for batch in batches:
-        urls = batch.column(1).to_pylist()
-        rows = [ordered_blocks(x.as_py() or "") for x in batch.column(2)]
-        kinds = [[[b for k, b in r if k == kind] for r in rows] for kind in ("loose", "marked")]
-        main = [[b if k == "main" else None for k, b in r if k != "marked"] for r in rows]
-        slot = [[i if b is None else None for i, b in zip(accumulate(int(x is None) for x in m), m)] for m in main]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), batch.column(1), pa.array([host(u) for u in urls], pa.string()), pa.array(slot, pa.list_(pa.int32())),
-                *(pa.array(x, pa.list_(pa.string())) for x in (main, *kinds)),
-            ],
-            ["page_id", "url", "host", "slot", "main", "loose", "marked"],
-        )
-
-
-def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first depth tokens (by prefix doubling), and for each the length, up to depth, of the
-    prefix it shares with the one before it. Tokens are numbers; a suffix's end sorts first."""
-    n = len(tokens)
-    ranks = [np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1] if n else [np.zeros(0, np.int64)]
-    length = 1
-    while length < depth:
-        step = min(length, depth - length)
-        after = np.zeros(n, np.int64)
-        after[: n - step if step < n else 0] = ranks[-1][step:]
-        ranks.append(np.unique(ranks[-1] * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1)
-        length += step
-    order = np.argsort(ranks[-1], kind="stable")
-    shared = np.zeros(n, np.int64)
-    alive = np.ones(max(n - 1, 0), bool)
-    for j in range(depth):
-        a, b = order[1:] + j, order[:-1] + j
-        alive &= (a < n) & (b < n)
-        alive[alive] = ranks[0][a[alive]] == ranks[0][b[alive]]
-        shared[1:] += alive
-    return order, shared
-
-
-def covered(pages: list[list[str]], run: int = RUN, least: int = MIN_PAGES) -> list[np.ndarray]:
-    """For each page's tokens, whether a substring of run tokens that repeats on at least so many distinct pages
-    covers it."""
-    size = np.array([len(p) + 1 for p in pages], np.int64)
-    ids: dict[str, int] = {}
-    flat = np.fromiter((ids.setdefault(t, len(ids)) for p in pages for t in [*p, "\0"]), np.int64, int(size.sum()))
-    end = np.cumsum(size) - 1
-    flat[end] = len(ids) + np.arange(len(pages))  # no substring runs over a page's end
-    owner = np.repeat(np.arange(len(pages)), size)
-    order, shared = suffix_array(flat, run)
-    group = np.cumsum(shared < run) - 1
-    pair = np.unique(np.column_stack([group, owner[order]]), axis=0) if len(order) else np.zeros((0, 2), np.int64)
-    wide = np.bincount(pair[:, 0], minlength=1) >= least
-    starts = order[wide[group]] if len(order) else order
-    edge = np.zeros(len(flat) + run + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + run, -1)
-    flags = np.cumsum(edge)[: len(flat)] > 0
-    return [flags[e - s + 1 : e] for e, s in zip(end, size)]
+        keys, hosts, names = [], [], []
+        for key, host, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _parsed(batch, 2)):
+            stream = Stream(blocks)
+            own = {*suffix_names(stream.suffixes(), DEPTH).view(np.int64).tolist()}
+            whole = {*stream.shorts(), *(_token(text) for kind, text in blocks if kind == CONTENT)}
+            own |= set(np.array(sorted(whole), np.uint64).view(np.int64).tolist())
+            keys += [key] * len(own)
+            hosts += [host] * len(own)
+            names += own
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hosts, pa.string()), pa.array(names, pa.int64())], ["key", "host", "name"])
 
 
 def _whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -221,46 +316,82 @@ def _whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
     return out
 
 
-def _cell(table: pa.Table) -> pa.Table:
-    """Rows of one cell with what is unique of each of their loose blocks, empty if nothing is."""
-    loose = [[b.split(" ") for b in x or []] for x in table.column("loose").to_pylist()]
-    marked = [[b.split(" ") for b in x or []] for x in table.column("marked").to_pylist()]
-    streams = [[t for b in [*x, *y] for t in b] for x, y in zip(loose, marked)]
-    least = max(MIN_PAGES, int(np.ceil(SHARE * len(streams))))
-    flags = covered(streams, RUN, least)
-    short = Counter(b for x, y in zip(loose, marked) for b in {tuple(b) for b in [*x, *y] if len(b) < RUN})
-    out = []
-    for own, f, beside in zip(loose, flags, table.column("rooted").to_pylist()):
-        at, kept = 0, []
-        for b in own:
-            left = " ".join(t for t, x in zip(b, _whole_runs(f[at : at + len(b)])) if not x)
-            at += len(b)
-            kept.append("" if beside and short[tuple(b)] >= least else left)
-        out.append(kept)
-    return pa.table({"row": table.column("row"), "unique": pa.array(out, pa.list_(pa.string()))})
+def page_text(blocks: list[tuple[str, str]], lengths: dict[int, int]) -> str:
+    """The main text of a page: lengths has the boilerplate that begins at a suffix, by its name; -1 for whole blocks on as many pages as such
+    a run, 0 for those on as many as a notice."""
+    stream = Stream(blocks)
+    flags = np.zeros(len(stream.tokens) + 1, np.int64)
+    for i, name in enumerate(suffix_names(stream.suffixes(), DEPTH).view(np.int64).tolist() if lengths else []):
+        reach = lengths.get(name, 0)
+        if reach > 0:
+            flags[i] += 1
+            flags[i + reach] -= 1
+    covered = np.cumsum(flags)[:-1] > 0
+    gone, notices = ({x % (1 << 64) for x, length in lengths.items() if length <= 0 and length >= low} for low in (-1, 0))
+    content = [text for kind, text in blocks if kind == CONTENT]
+    rooted = bool(content)
+    if 2 * sum(len(text) for text in content if _token(text) in notices) >= sum(map(len, content)):
+        notices = set()
+    out, at = [], 0
+    for kind, text in blocks:
+        if kind == CONTENT:
+            if _token(text) not in notices:
+                out.append(text)
+            continue
+        tokens = stream.blocks[at][1]
+        own = covered[stream.starts[at] : stream.starts[at + 1]]
+        at += 1
+        if kind == MARKED or rooted and len(tokens) < RUN and _token("\n" + text) in gone:
+            continue
+        left = " ".join(t for t, x in zip(tokens, _whole_runs(own)) if not x)
+        if left:
+            out.append(left)
+    return "\n".join(out)
+
+
+def _assemble(batches):
+    for batch in batches:
+        texts = []
+        for found, blocks in zip(batch.column(3).to_pylist(), _parsed(batch, 2)):
+            texts.append(page_text(blocks, {x["name"]: x["length"] for x in found or []}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages (page_id, url, html)."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    parsed = store(
-        pages.mapInArrow(_parse, "page_id long, url string, host string, slot array<int>, main array<string>, loose array<string>, marked array<string>")
-        .withColumn("row", F.monotonically_increasing_id()),
-        "parsed",
-    )
-    hosts, seen = store_counted(parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts", n=F.count(F.lit(1)))
-    cells = F.ceil(F.col("n") / F.lit(CELL_PAGES))
-    rooted = F.exists("main", lambda b: b.isNotNull()).alias("rooted")
-    dealt = parsed.select("row", "host", "loose", "marked", rooted).join(small(hosts, seen["n"]), "host").select(
-        "host", F.pmod(F.xxhash64("row"), cells).alias("cell"), "row", "loose", "marked", "rooted"
-    )
-    unique = dealt.groupBy("host", "cell").applyInArrow(_cell, "row long, unique array<string>").where("size(unique) > 0")
-    unique = store(unique, "unique")
-    placed = F.zip_with("main", "slot", lambda b, i: F.coalesce(b, F.get("unique", i - 1)))
-    text = F.array_join(F.filter(F.when(F.col("unique").isNull(), F.col("main")).otherwise(placed), lambda b: b != ""), "\n")
-    return parsed.join(unique, "row", "left").select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).select(
-        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    url, html = F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit(""))
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+    key = F.unhex(F.md5(F.concat_ws("\n", host, html)))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), host.alias("host"), key.alias("key"))
+    keys = store(pages.groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies")), "page-keys")
+    hosts, seen = store_counted(keys.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts", n=F.count(F.lit(1)))
+    copied, many = store_counted(keys.where("copies > 1").select("key", "copies"), "copied", n=F.count(F.lit(1)))
+    at = pages.join(small(hosts, seen["n"]), "host").join(small(copied, many["n"]), "key", "left").select(
+        "host", F.ceil(F.col("n") / F.lit(GROUP_PAGES)).cast("int").alias("groups"), (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"), "html"
     )
+    emitted = store(at.mapInArrow(_emit, _SUFFIXES), "suffixes")
+    n = F.col("n").cast("double")
+    least = F.ceil(F.greatest(F.lit(2.0), F.least(F.lit(float(MIN_PAGES)), n), F.lit(SHARE) * n)).cast("long")
+    notices = F.ceil(F.greatest(F.lit(float(NOTICE_PAGES)), F.lit(NOTICE_SHARE) * n)).cast("long")
+    limits = small(hosts.select("host", least.alias("least"), notices.alias("notices")), seen["n"])
+    grouped = emitted.where("grp is not null").join(limits, "host").select("host", "grp", "suffixes", "weights", "pages", "least")
+    runs = grouped.groupBy("host", "grp").applyInArrow(_repeats, "host string, name long, length int")
+    return _answer(pages, emitted, limits, runs)
+
+
+def _answer(pages: DataFrame, emitted: DataFrame, limits: DataFrame, runs: DataFrame) -> DataFrame:
+    """Meets pages with the runs and whole blocks of their hosts that are boilerplate."""
+    blocks = emitted.where("notice is not null").groupBy("host", "notice").agg(F.sum("pages").alias("pages")).where("pages > 1.5").join(limits, "host")
+    # an article's block goes as a notice; a short loose one by the limit of runs. The names of both kinds differ
+    short, long = F.col("pages") > F.col("least") - F.lit(0.5), F.col("pages") > F.col("notices") - F.lit(0.5)
+    names = blocks.where(short | long).select("host", F.col("notice").alias("name"), F.when(long, 0).otherwise(-1).alias("length"))
+    found, seen = store_counted(runs.unionByName(names), "boilerplate", n=F.count(F.lit(1)))
+    own = pages.select("key", "host", "html").mapInArrow(_names, "key binary, host string, name long")
+    hits = own.join(small(found, seen["n"]), ["host", "name"]).groupBy("key").agg(F.collect_set(F.struct("name", "length")).alias("found"))
+    hits, some = store_counted(hits, "hits", n=F.count(F.lit(1)))
+    out = pages.join(small(hits, some["n"]), "key", "left").select("page_id", "url", "html", "found")
+    out = out.mapInArrow(_assemble, "page_id long, url string, text string")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
