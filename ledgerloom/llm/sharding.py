@@ -4,105 +4,161 @@ Rows of equal texts are a group that stays together. Groups sorted by size, larg
 the least remaining capacity that holds them, found in a balanced tree over the remaining capacities. The capacity is
 the smallest for which all groups fit into the given number of shards (bisection), so shard sizes come out near equal.
 
-Only so many items reach the packing as a parameter allows, whatever the input: groups smaller than a parcel (the
-total over PARCELS) are put into parcels by a hash of their text, whole; at most PARCELS groups are larger. A group
-above GROUP_SHARE even shards cannot stay in one shard with sizes near equal; it is cut into pieces by a hash of
-its rows. Sizes, parcels and pieces are counted by map-side combined aggregation over all rows.
+Every group goes through the packing. Groups of equal size are interchangeable, so the packing works on runs: Spark counts the
+groups of each size, the driver packs sizes with their counts (a bin that was tightest for an item stays so for the next one of the same size, so a
+run fills it at once), and the ranks of a size's groups are dealt to the bins of its run. What reaches the driver is a row a
+distinct size, at most the square root of twice all bytes, however many rows there are; what goes back are intervals of ranks.
 
-Slots are numbered in cells of a shard of about CELL_ROWS rows, with the cells' counts as offsets.
+A group above an even shard cannot stay in one shard with sizes near equal; it alone is cut, into pieces by a hash of
+its rows, which are packed as groups. Sizes and pieces are counted by map-side combined aggregation over all rows.
 
-A null text has size 16, crc 0 and its own group (equal to the empty text). Null doc_ids are allowed. Fully equal rows
-of a cell take its slots in either order. An empty table gives no rows.
+Ranks and slots are numbered in cells of about CELL_ROWS rows, with the cells' counts as offsets.
+
+A null text has size 16, crc 0 and its own group (equal to the empty text). Null and repeated doc_ids are allowed. Fully equal rows
+of a cell take its slots in either order. Other columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._spark import store, store_counted
+from ledgerloom.llm._spark import small, store, store_counted
 
 SHARDS = 40
 OVERHEAD = 16
-PARCELS = 8192
-GROUP_SHARE = 1.0
 PIECES = 4096
 CELL_ROWS = 1024
 
 
 class RemainingTree:
-    """The open bins by remaining capacity: an ordered set, balanced in two levels.
+    """The open bins by (remaining capacity, bin): an AVL tree with removal of the tightest bin that holds a size."""
 
-    Chunks of at most 2 * CHUNK entries are kept in order and split when they overflow, so insert, remove and the
-    search for the tightest bin cost the logarithm of the number of bins plus a bounded move.
-    """
-
-    CHUNK = 64
+    __slots__ = ("root",)
 
     def __init__(self) -> None:
-        self.chunks: list[list[tuple[int, int]]] = []
-        self.heads: list[tuple[int, int]] = []
+        self.root = None
 
     def insert(self, item: tuple[int, int]) -> None:
-        if not self.chunks:
-            self.chunks, self.heads = [[item]], [item]
-            return
-        i = max(0, bisect.bisect_right(self.heads, item) - 1)
-        bisect.insort(self.chunks[i], item)
-        self.heads[i] = self.chunks[i][0]
-        if len(self.chunks[i]) > 2 * self.CHUNK:
-            rest = self.chunks[i][self.CHUNK :]
-            del self.chunks[i][self.CHUNK :]
-            self.chunks.insert(i + 1, rest)
-            self.heads.insert(i + 1, rest[0])
+        self.root = _insert(self.root, item)
 
     def take_tightest(self, size: int) -> tuple[int, int] | None:
         """Removes and returns the entry of least capacity >= size, the first bin among equals."""
-        i = max(0, bisect.bisect_left(self.heads, (size, -1)) - 1)
-        while i < len(self.chunks):
-            j = bisect.bisect_left(self.chunks[i], (size, -1))
-            if j < len(self.chunks[i]):
-                found = self.chunks[i].pop(j)
-                if self.chunks[i]:
-                    self.heads[i] = self.chunks[i][0]
-                else:
-                    del self.chunks[i], self.heads[i]
-                return found
-            i += 1
-        return None
-
-
-def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """The bin of each size and the number of bins of the given capacity; a size above it gets a bin of its own."""
-    tree, bins, count = RemainingTree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        found = tree.take_tightest(sizes[i])
-        if found is None:
-            found = (max(capacity, sizes[i]), count)
-            count += 1
-        tree.insert((found[0] - sizes[i], found[1]))
-        bins[i] = found[1]
-    return bins, count
-
-
-def pack(sizes: list[int], shards: int) -> list[int]:
-    """The shard of each item, by best fit decreasing at the smallest capacity found that needs no more shards."""
-    low = max(max(sizes, default=0), -(-sum(sizes) // shards))
+        node, found = self.root, None
+        while node is not None:
+            if node[0][0] >= size:
+                found, node = node[0], node[1]
+            else:
+                node = node[2]
+        if found is not None:
+            self.root = _remove(self.root, found)
+        return found
+
+
+# A node is (item, left, right, height).
+
+
+def _height(node) -> int:
+    return node[3] if node else 0
+
+
+def _node(item, left, right):
+    return (item, left, right, 1 + max(_height(left), _height(right)))
+
+
+def _balanced(item, left, right):
+    if _height(left) > _height(right) + 1:
+        if _height(left[1]) < _height(left[2]):
+            inner = left[2]
+            return _node(inner[0], _node(left[0], left[1], inner[1]), _node(item, inner[2], right))
+        return _node(left[0], left[1], _node(item, left[2], right))
+    if _height(right) > _height(left) + 1:
+        if _height(right[2]) < _height(right[1]):
+            inner = right[1]
+            return _node(inner[0], _node(item, left, inner[1]), _node(right[0], inner[2], right[2]))
+        return _node(right[0], _node(item, left, right[1]), right[2])
+    return _node(item, left, right)
+
+
+def _insert(node, item):
+    if node is None:
+        return _node(item, None, None)
+    if item < node[0]:
+        return _balanced(node[0], _insert(node[1], item), node[2])
+    return _balanced(node[0], node[1], _insert(node[2], item))
+
+
+def _remove(node, item):
+    if item < node[0]:
+        return _balanced(node[0], _remove(node[1], item), node[2])
+    if item > node[0]:
+        return _balanced(node[0], node[1], _remove(node[2], item))
+    if node[1] is None or node[2] is None:
+        return node[1] or node[2]
+    least = node[2]
+    while least[1] is not None:
+        least = least[1]
+    return _balanced(least[0], node[1], _remove(node[2], least[0]))
+
+
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """Packs runs (size, count) of falling sizes: pieces (run, bin, items) in order of placing, and the number of bins. A size above
+    the capacity gets bins of its own. Stops when there are more than most bins."""
+    tree, pieces, count = RemainingTree(), [], 0
+    for i, (size, left) in enumerate(runs):
+        while left:
+            found = tree.take_tightest(size)
+            if found is None:
+                found = (max(capacity, size), count)
+                count += 1
+                if most is not None and count > most:
+                    return pieces, count
+            fit = min(left, found[0] // size)
+            tree.insert((found[0] - fit * size, found[1]))
+            pieces.append((i, found[1], fit))
+            left -= fit
+    return pieces, count
+
+
+def pack(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Pieces (run, shard, items) by best fit decreasing at the smallest capacity found that needs no more shards. An item above an
+    even share of what is left gets a shard of its own first, so that the others are still even among the rest."""
+    runs, alone = list(runs), []
+    total = sum(size * n for size, n in runs)
+    for i, (size, n) in enumerate(runs):
+        while n and size * (shards - len(alone)) > total and shards - len(alone) > 1:
+            alone.append((i, len(alone), 1))
+            total, n = total - size, n - 1
+        runs[i] = (size, n)
+        if n:
+            break
+    taken = len(alone)
+    left = shards - taken
+    low = max([-(-total // left), *(size for size, n in runs if n)][:2])
     high = low
-    best, count = best_fit_decreasing(sizes, high)
-    while count > shards:
+    best, count = best_fit_decreasing(runs, high, left)
+    while count > left:
         low, high = high + 1, high + max(1, high // 50)
-        best, count = best_fit_decreasing(sizes, high)
+        best, count = best_fit_decreasing(runs, high, left)
     while high - low > max(0, high // 100_000):
         middle = (low + high) // 2
-        bins, count = best_fit_decreasing(sizes, middle)
-        if count <= shards:
-            best, high = bins, middle
+        pieces, count = best_fit_decreasing(runs, middle, left)
+        if count <= left:
+            best, high = pieces, middle
         else:
             low = middle + 1
-    return best
+    return alone + [(i, b + taken, n) for i, b, n in best]
+
+
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows (with a column cell) and their place, from 0, among those of equal keys: by cell, then by order."""
+    ahead = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n")).select(
+        *keys, "cell", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset")
+    )
+    inside = Window.partitionBy(*keys, "cell").orderBy(*order)
+    out = rows.withColumn("place", F.row_number().over(inside) - 1).join(offsets, [*keys, "cell"])
+    return out.withColumn(name, (F.col("offset") + F.col("place")).cast("long")).drop("offset", "place", "cell")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,47 +168,38 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     rows = store(
         docs.select(
             F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(OVERHEAD)).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp"),
+            F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("grp"),
         ),
         "sizes",
     )
     groups = rows.groupBy("grp").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n"))
     groups, seen = store_counted(groups, "groups", total=F.sum("total"), rows=F.sum("n"))
     total, n_rows = int(seen["total"] or 0), int(seen["rows"] or 0)
-    parcel = F.pmod(F.xxhash64("grp"), F.lit(PARCELS)).cast("int")
-    piece = F.pmod(F.xxhash64("grp", "doc_id", "size"), F.lit(PIECES)).cast("int")
-    least, most = total // PARCELS, int(GROUP_SHARE * total / shards)
-    large = groups.where(F.col("total") > least)
-    split = {bytes(r["grp"]) for r in large.where(F.col("total") > most).collect()}
-    whole = [(bytes(r["grp"]), int(r["total"])) for r in large.where(F.col("total") <= most).orderBy("grp").collect()]
-    loose = groups.where(F.col("total") <= least).groupBy(parcel.alias("parcel")).agg(F.sum("total").alias("total"))
-    items = [("p", r["parcel"], int(r["total"])) for r in loose.orderBy("parcel").collect()]
-    items += [("g", g, t) for g, t in whole]
-    if split:
-        cut = spark.createDataFrame([(bytearray(g),) for g in sorted(split)], "grp binary")
-        pieces = rows.join(F.broadcast(cut), "grp", "left_semi").groupBy("grp", piece.alias("piece")).agg(F.sum("size").alias("total"))
-        items += [("s", (bytes(r["grp"]), r["piece"]), int(r["total"])) for r in pieces.orderBy("grp", "piece").collect()]
-    where = dict(zip([(k, v) for k, v, _ in items], pack([t for _, _, t in items], shards)))
-    by_parcel = [where.get(("p", i), 0) for i in range(PARCELS)]
-    fixed = [(bytearray(g), s) for (k, g), s in where.items() if k == "g"]
-    cells = [(bytearray(v[0]), v[1], s) for (k, v), s in where.items() if k == "s"]
-    parcels = spark.createDataFrame(list(enumerate(by_parcel)), "parcel int, by_parcel int")
-    out = rows.withColumn("parcel", parcel).withColumn("piece", piece).join(F.broadcast(parcels), "parcel")
-    out = out.join(F.broadcast(spark.createDataFrame(fixed, "grp binary, by_group int")), "grp", "left")
-    out = out.join(F.broadcast(spark.createDataFrame(cells, "grp binary, piece int, by_piece int")), ["grp", "piece"], "left")
-    out = out.select("doc_id", "size", "text_crc32", F.coalesce("by_piece", "by_group", "by_parcel").alias("shard"))
-    n_cells = max(1, n_rows // (shards * CELL_ROWS))
-    out = store(out.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_cells))), "shards")
-    ahead = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = out.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")).select(
-        "shard", "cell", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset")
-    )
-    inside = Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "size")
-    out = out.withColumn("place", F.row_number().over(inside) - 1).join(offsets, ["shard", "cell"])
-    return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("offset") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    # fewer groups than shards can be above an even shard
+    cut = [(bytearray(r["grp"]),) for r in groups.where(F.col("total") * shards > total).select("grp").collect()]
+    piece = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PIECES)).cast("int")
+    if cut:
+        marked = F.broadcast(spark.createDataFrame(cut, "grp binary").withColumn("cut", F.lit(True)))
+        rows = rows.join(marked, "grp", "left").withColumn("piece", F.when(F.col("cut"), piece).otherwise(0)).drop("cut")
+    else:
+        rows = rows.withColumn("piece", F.lit(0))
+    n_cells = max(1, n_rows // CELL_ROWS)
+    items = rows.groupBy("grp", "piece").agg(F.sum("size").alias("total"))
+    items = _numbered(items.withColumn("cell", F.pmod(F.xxhash64("grp", "piece"), F.lit(n_cells))), ["total"], ["grp", "piece"], "rank")
+    items = store(items, "items")
+    runs = sorted(((int(r["total"]), int(r["n"])) for r in items.groupBy("total").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    dealt, at = [], {}
+    for i, to, n in pack(runs, shards):
+        first = at.get(i, 0)
+        dealt.append((runs[i][0], first, first + n, to))
+        at[i] = first + n
+    intervals = small(spark.createDataFrame(dealt, "total long, first long, last long, shard int"), len(dealt))
+    placed = items.join(intervals, "total").where("rank >= first and rank < last").select("grp", "piece", "shard")
+    out = rows.join(placed, ["grp", "piece"]).select("doc_id", "size", "text_crc32", "shard")
+    cells = max(1, n_rows // (shards * CELL_ROWS))
+    out = store(out.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(cells))), "shards")
+    out = _numbered(out, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
