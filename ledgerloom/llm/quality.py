@@ -1,16 +1,21 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
 Document evidence. Two classifiers are fitted on a bounded sample of labelled rows (SAMPLE_ROWS, taken by a hash of
-the doc_id): low quality, a logistic regression on style measures of the text; toxicity, the number of distinct terms
-from a learnt lexicon. A term is a lower-cased word or a word's first 4 or 6 bytes; candidates occur in at least
-MIN_SUPPORT toxic sample rows (more in a large sample) with the given precision, and are chosen greedily by the toxic rows they newly cover, so that
-accidental terms of one text's copies do not enter once the text is covered. Both yield probabilities.
+the doc_id): low quality, a logistic regression on style measures of the text; toxicity, a logistic regression on the summed weights (log likelihood
+ratios) of the distinct terms that a text has from a learnt lexicon; a word counts by its heaviest term. A term is a lower-cased word or a word's first PREFIXES
+bytes. Its support is counted over different texts, copies and near
+copies once (by min-hashes of the sampled texts). A term enters the lexicon if its support alone is strong: STRONG texts, with a precision whose lower
+confidence bound is BOUND. Of weaker terms, with MIN_SUPPORT texts at least (more in a large sample) and precision PRECISION, as few enter as cover the toxic rows that
+no strong term covers, chosen greedily by the rows they newly cover. Candidates are the MAX_TERMS terms of the sample with most toxic rows; MAX_WEAK bounds the
+weak ones. Both classifiers yield probabilities.
 
 Hierarchy. A document's host is its source, its path is (source, lang). Evidence is summed by path and by host in map-side
 combined aggregations. A host's posterior shrinks its mean evidence toward the global mean with a strength found from
 the spread between hosts (method of moments); a path's shrinks toward its host's. The log odds of a document move by
 its path's log odds against the global ones, and documents with final probability above REJECT are rejected.
 
+A text is scored once: its evidence is stored, posteriors are summed from what is stored and joined back to it.
+
 Texts without words, or null, carry no evidence: their probability is their path's posterior. Null sources and langs are
 values of their own. Without labels there is no lexicon and no style model, evidence is EPS everywhere, nothing is
 rejected. Label rows with null doc_id are ignored; of repeated ones, the largest values count. Repeated document rows
@@ -21,23 +26,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ledgerloom.llm import _text as T
 from ledgerloom.llm._spark import small, store, store_counted
 
 SAMPLE_ROWS = 20_000
 MIN_SUPPORT = 3
+STRONG = 8
 PRECISION = 0.9
+#: Lower confidence bound of a strong term's precision, and the normal quantile that it is taken at.
+BOUND, QUANTILE = 0.7, 1.64
 #: A term needs a sample row in so many besides, so that chance finds of a large sample do not enter.
 ROWS_PER_SUPPORT = 5_000
 MAX_TERMS = 20_000
-MAX_LEXICON = 400
+MAX_WEAK = 400
+SIGNS = 4
 REJECT = 0.5
 EPS = 1e-4
-PREFIXES = (4, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 _CLASSES = [
     np.isin(np.arange(256), list(range(65, 91))),
@@ -78,8 +86,17 @@ def terms(words: T.Words, h: np.ndarray) -> list[np.ndarray]:
     return [h, *(words.prefix_hashes(k) for k in PREFIXES)]
 
 
-def _read(batch: pa.RecordBatch, at: int):
-    raw, offsets = T.buffers(batch.column(at))
+def _signs(words: T.Words, h: np.ndarray) -> np.ndarray:
+    """SIGNS min-hashes of each row's words (rows x SIGNS); rows of equal or nearly equal texts share most of them."""
+    out = np.zeros((len(words.count), SIGNS), np.int64)
+    full = np.flatnonzero(words.count)
+    for i in range(SIGNS if len(full) else 0):
+        out[full, i] = np.minimum.reduceat(T.mix(h + np.uint64(i + 1)), words.row_ptr[full]).view(np.int64)
+    return out
+
+
+def _read(texts: pa.Array):
+    raw, offsets = T.buffers(texts)
     for a, b in T.blocks(offsets):
         yield a, b, T.Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1], T.NON_SPACE, T.LOWER), raw[offsets[a] : offsets[b]]
 
@@ -88,7 +105,7 @@ def _term_counts(batches):
     """term, toxic and all rows of the sample that have it; columns text, quality, toxic."""
     for batch in batches:
         toxic = np.array([bool(x) for x in batch.column(2).to_pylist()])
-        for a, b, words, _ in _read(batch, 0):
+        for a, b, words, _ in _read(batch.column(0)):
             t, r = np.concatenate(terms(words, words.hashes())), np.tile(words.row, 1 + len(PREFIXES))
             order = np.lexsort((r, t))
             t, r = t[order], r[order]
@@ -108,12 +125,12 @@ def _term_counts(batches):
 
 
 def _sample_rows(shared):
-    """quality, toxic, style and the candidate terms of each sample row."""
+    """quality, toxic, style, the candidate terms and min-hashes of each sample row."""
 
     def run(batches):
         keys = shared.value
         for batch in batches:
-            for a, b, words, raw in _read(batch, 0):
+            for a, b, words, raw in _read(batch.column(0)):
                 h = words.hashes()
                 x = style(raw, words, h)
                 found = [set() for _ in range(b - a)]
@@ -126,21 +143,35 @@ def _sample_rows(shared):
                     [
                         batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a),
                         pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([sorted(f) for f in found], pa.list_(pa.int32())),
-                        pa.array(words.count),
+                        pa.array(words.count), pa.array(_signs(words, h).tolist(), pa.list_(pa.int64())),
                     ],
-                    ["quality", "toxic", "style", "terms", "n"],
+                    ["quality", "toxic", "style", "terms", "n", "signs"],
                 )
 
     return run
 
 
+def _sums(shared):
+    """toxic and the summed term weights of the sample rows that the half's terms do not come from."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, words, _ in _read(batch.column(0)):
+                h = words.hashes()
+                total, other = shared.value.sums(words, h), _signs(words, h)[:, 0] & 1 == 1
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), pa.array(total)], ["toxic", "total"]).filter(pa.array(other))
+
+    return run
+
+
 class Model:
     """Style weights, lexicon and calibration."""
 
     def __init__(self) -> None:
         self.mean = self.scale = self.weights = None
         self.lexicon = np.zeros(0, np.uint64)
-        self.toxic_by_hits = np.full(4, EPS)
+        self.term_weights = np.zeros(0)
+        self.slope, self.offset = 1.0, 0.0
 
     def fit_style(self, x: np.ndarray, bad: np.ndarray) -> None:
         if len(bad) < 20 or bad.min() == bad.max():
@@ -158,29 +189,81 @@ class Model:
                 break
         self.weights = w
 
-    def fit_lexicon(self, keys: np.ndarray, rows: list[list[int]], toxic: np.ndarray, least: int) -> None:
+    def fit_lexicon(self, keys: np.ndarray, rows: list[list[int]], signs: np.ndarray, toxic: np.ndarray, least: int) -> None:
         members: dict[int, list[int]] = {}
         for r, own in enumerate(rows):
-            if toxic[r]:
-                for k in own:
-                    members.setdefault(k, []).append(r)
-        open_rows = {r for own in members.values() for r in own}
+            for k in own:
+                members.setdefault(k, []).append(r)
+        bad: dict[int, list[int]] = {}
         chosen = []
-        while len(chosen) < MAX_LEXICON and members:
-            gain = {k: sum(r in open_rows for r in own) for k, own in members.items()}
+        for k, own in members.items():
+            hit = [r for r in own if toxic[r]]
+            support, clean = different(signs[hit]), different(signs[[r for r in own if not toxic[r]]])
+            if support >= STRONG and lower_bound(support, support + clean) >= BOUND:
+                chosen.append(k)
+            elif support >= least and len(hit) >= PRECISION * len(own):
+                bad[k] = hit
+        covered = {r for k in chosen for r in members[k]}
+        open_rows = {r for own in bad.values() for r in own} - covered
+        weak = 0
+        while weak < MAX_WEAK and bad:
+            gain = {k: sum(r in open_rows for r in own) for k, own in bad.items()}
             best = max(gain, key=lambda k: (gain[k], -k))
             if gain[best] < least:
                 break
             chosen.append(best)
-            open_rows -= set(members.pop(best))
-            members = {k: own for k, own in members.items() if gain[k] >= least}
-        self.lexicon = np.sort(keys[chosen]) if chosen else np.zeros(0, np.uint64)
-        picked = set(chosen)
-        hits = np.array([min(3, len(picked.intersection(own))) for own in rows], np.int64)
-        for k in range(4):
-            some = hits == k
-            self.toxic_by_hits[k] = np.clip((toxic[some].sum() + 0.05) / (some.sum() + 0.1), EPS, 1 - EPS) if k and some.any() else EPS
-        self.toxic_by_hits[1:] = np.maximum.accumulate(self.toxic_by_hits)[1:]
+            weak += 1
+            open_rows -= set(bad.pop(best))
+            bad = {k: own for k, own in bad.items() if gain[k] >= least}
+        chosen = sorted(chosen, key=lambda k: keys[k])
+        self.lexicon = keys[chosen] if chosen else np.zeros(0, np.uint64)
+        texts = different(signs[toxic]), different(signs[~toxic])
+        weights = []
+        for k in chosen:
+            own = np.array(members[k])
+            have = different(signs[own[toxic[own]]]), different(signs[own[~toxic[own]]])
+            weights.append(np.log((have[0] + 0.5) / (texts[0] + 1)) - np.log((have[1] + 0.5) / (texts[1] + 1)))
+        self.term_weights = np.array(weights)
+
+    def fit_toxic(self, sums: np.ndarray, toxic: np.ndarray) -> None:
+        """The logistic curve from summed weights to the probability of toxicity, over rows that have a term and were not
+        used for the terms. Weights pull toward the likelihood ratios that they are, with the prior odds of the rows."""
+        y = toxic.astype(float)
+        if not len(y):
+            return
+        z = np.column_stack([sums / 5, np.ones(len(y))])
+        start = np.array([5.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) - sums.mean()])
+        ridge = np.array([0.05, 0.05])
+
+        def loss(w: np.ndarray) -> float:
+            return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).sum() + (ridge * (w - start) ** 2).sum() / 2)
+
+        w, now = start, loss(start)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * (w - start))
+            size = 1.0
+            while size > 1e-4 and loss(w - size * step) > now:
+                size /= 2
+            w = w - size * step
+            before, now = now, loss(w)
+            if before - now < 1e-9:
+                break
+        self.slope, self.offset = max(float(w[0]) / 5, 0.05), float(w[1])
+
+    def sums(self, words: T.Words, h: np.ndarray) -> np.ndarray:
+        """The summed weights of each row's distinct terms, each word by its heaviest."""
+        rows = len(words.count)
+        if not len(self.lexicon):
+            return np.zeros(rows)
+        best, term = np.zeros(len(h)), np.full(len(h), -1)
+        for t in terms(words, h):
+            i = np.minimum(np.searchsorted(self.lexicon, t), len(self.lexicon) - 1)
+            ok = np.flatnonzero((self.lexicon[i] == t) & (self.term_weights[i] > best))
+            best[ok], term[ok] = self.term_weights[i[ok]], i[ok]
+        at = np.flatnonzero(term >= 0)
+        pairs = np.unique(np.column_stack([words.row[at], term[at]]), axis=0)
+        return np.bincount(pairs[:, 0], weights=self.term_weights[pairs[:, 1]], minlength=rows) if len(at) else np.zeros(rows)
 
     def score(self, raw: np.ndarray, words: T.Words) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of toxicity and of low quality; NaN for rows without words."""
@@ -190,20 +273,26 @@ class Model:
         if self.weights is not None:
             z = np.column_stack([(style(raw, words, h) - self.mean) / self.scale, np.ones(rows)])
             bad = np.clip(1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30))), EPS, 1 - EPS)
-        hits = np.zeros(rows, np.int64)
-        if len(self.lexicon):
-            for t in terms(words, h):
-                i = np.minimum(np.searchsorted(self.lexicon, t), len(self.lexicon) - 1)
-                ok = np.flatnonzero(self.lexicon[i] == t)
-                if len(ok):
-                    pairs = np.unique(np.column_stack([words.row[ok], i[ok]]), axis=0)
-                    hits += np.bincount(pairs[:, 0], minlength=rows)
-        toxic = self.toxic_by_hits[np.minimum(hits, 3)].copy()
+        sums = self.sums(words, h)
+        toxic = np.where(sums > 0, np.clip(1 / (1 + np.exp(-np.clip(self.slope * sums + self.offset, -30, 30))), EPS, 1 - EPS), EPS)
         none = words.count == 0
         toxic[none] = bad[none] = np.nan
         return toxic, bad
 
 
+def different(signs: np.ndarray) -> int:
+    """The number of different texts among rows with these min-hashes: the least over the hashes."""
+    return min((len(np.unique(signs[:, i])) for i in range(signs.shape[1])), default=0) if len(signs) else 0
+
+
+def lower_bound(hits: int, n: int) -> float:
+    """The lower end of the Wilson interval of hits among n."""
+    if not n:
+        return 0.0
+    p, z = hits / n, QUANTILE * QUANTILE / n
+    return (p + z / 2 - QUANTILE * np.sqrt(p * (1 - p) / n + z / (4 * n))) / (1 + z)
+
+
 def support(rows: int) -> int:
     """The toxic sample rows that a lexicon term needs."""
     return max(MIN_SUPPORT, rows // ROWS_PER_SUPPORT)
@@ -219,44 +308,47 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     share = min(1.0, SAMPLE_ROWS / n)
     drawn = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    rows = docs.join(F.broadcast(drawn), "doc_id").select("text", F.col("q").cast("int").alias("quality"), F.col("t").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", F.col("q").cast("int").alias("quality"), F.col("t").cast("int").alias("toxic"))
     rows = store(rows, "labelled").repartition(max(8, spark.sparkContext.defaultParallelism))
     counts = rows.mapInArrow(_term_counts, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     least = support(min(n, SAMPLE_ROWS))
-    good = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * F.col("n")))
+    good = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= BOUND * F.col("n")))
     keys = np.sort(np.array([r["term"] for r in good.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()], np.int64).view(np.uint64))
     got = rows.mapInArrow(
-        _sample_rows(spark.sparkContext.broadcast(keys)), "quality int, toxic int, style array<double>, terms array<int>, n long"
+        _sample_rows(spark.sparkContext.broadcast(keys)), "quality int, toxic int, style array<double>, terms array<int>, n long, signs array<long>"
     ).where("n > 0").collect()
     if got:
         toxic = np.array([r["toxic"] == 1 for r in got])
         known = [r for r in got if r["quality"] is not None]
-        model.fit_lexicon(keys, [r["terms"] for r in got], toxic, least)
+        signs = np.array([r["signs"] for r in got], np.int64)
+        terms_ = [r["terms"] for r in got]
+        # near copies share min-hashes, so they are on one side; the curve is fitted on the side that gave no terms
+        half = np.flatnonzero(signs[:, 0] & 1 == 0)
+        model.fit_lexicon(keys, [terms_[i] for i in half], signs[half], toxic[half], least)
+        pairs = rows.mapInArrow(_sums(spark.sparkContext.broadcast(model)), "toxic int, total double").where("total > 0").collect()
+        model.fit_toxic(np.array([r["total"] for r in pairs]), np.array([r["toxic"] == 1 for r in pairs], bool))
+        model.fit_lexicon(keys, terms_, signs, toxic, least)
         if known:
             model.fit_style(np.array([r["style"] for r in known]), np.array([float(r["quality"] == 0) for r in known]))
     return model
 
 
-def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs and the columns __p_toxic, __p_bad."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+def evidence(text: Column, model: Model, spark: SparkSession) -> Column:
+    """struct(toxic, bad): the probabilities of a text, null where it has no words. Only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            toxic, bad = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for a, b, words, raw in _read(batch, at):
-                toxic[a:b], bad[a:b] = shared.value.score(raw, words)
-            none = np.isnan(toxic)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(toxic, mask=none), pa.array(bad, mask=none)], [*batch.schema.names, "__p_toxic", "__p_bad"]
-            )
+    def run(texts: pa.Array) -> pa.Array:
+        toxic, bad = np.zeros(len(texts)), np.zeros(len(texts))
+        for a, b, words, raw in _read(texts):
+            toxic[a:b], bad[a:b] = shared.value.score(raw, words)
+        none = np.isnan(toxic)
+        return pa.StructArray.from_arrays([pa.array(toxic, mask=none), pa.array(bad, mask=none)], ["toxic", "bad"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("__p_toxic", "double").add("__p_bad", "double"))
+    return F.arrow_udf(run, "struct<toxic:double,bad:double>")(text)
 
 
-def _evidence() -> Column:
-    return 1 - (1 - F.col("__p_toxic")) * (1 - F.col("__p_bad"))
+def _either(p: str) -> Column:
+    return 1 - (1 - F.col(f"{p}.toxic")) * (1 - F.col(f"{p}.bad"))
 
 
 def _logit(p: Column) -> Column:
@@ -264,9 +356,9 @@ def _logit(p: Column) -> Column:
     return F.when(p.isNotNull(), F.log(q / (1 - q)))
 
 
-def posteriors(evidence: DataFrame) -> tuple[DataFrame, float, int]:
+def posteriors(found: DataFrame) -> tuple[DataFrame, float, int]:
     """Paths (host, path) with host_posterior and path_posterior, the global mean and the number of paths."""
-    paths = evidence.groupBy("host", "path").agg(F.count("e").alias("n"), F.coalesce(F.sum("e"), F.lit(0.0)).alias("s"))
+    paths = found.groupBy("host", "path").agg(F.count("e").alias("n"), F.coalesce(F.sum("e"), F.lit(0.0)).alias("s"))
     paths = store(paths, "paths")
     hosts = paths.groupBy(F.col("host").alias("__h")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     one = hosts.agg(F.sum("hn"), F.sum("hs"), F.sum(F.col("hs") * F.col("hs") / F.greatest("hn", F.lit(1))), F.count_if(F.col("hn") > 0)).first()
@@ -277,34 +369,36 @@ def posteriors(evidence: DataFrame) -> tuple[DataFrame, float, int]:
     host = (F.lit(strength * mean) + F.col("hs")) / (F.lit(strength) + F.col("hn"))
     out = paths.join(hosts, F.col("host").eqNullSafe(F.col("__h")))
     out = out.select(
-        F.col("host").alias("__host"), F.col("path").alias("__path"), host.alias("host_posterior"),
+        "host", "path", host.alias("host_posterior"),
         ((F.lit(strength) * host + F.col("s")) / (F.lit(strength) + F.col("n"))).alias("path_posterior"),
     )
     out, seen = store_counted(out, "posteriors", n=F.count(F.lit(1)))
     return out, mean, seen["n"]
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs and the columns __p_toxic, __p_bad, host_posterior, path_posterior, __score, __rejected."""
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """A struct row of the columns keep of each document, and e (its evidence), host_posterior, path_posterior, score, rejected."""
     model = fit(docs, labels)
-    lean = with_evidence(docs.select("doc_id", "text", "source", "lang"), model)
-    means, mean, n = posteriors(lean.select(F.col("source").alias("host"), F.col("lang").alias("path"), _evidence().alias("e")))
-    at = with_evidence(docs, model)
-    at = at.join(small(means, n), F.col("source").eqNullSafe(F.col("__host")) & F.col("lang").eqNullSafe(F.col("__path")), "left")
+    row = F.struct(*[F.col(c) for c in keep]).alias("row")
+    at = docs.select(row, F.col("source").alias("host"), F.col("lang").alias("path"), evidence(F.col("text"), model, docs.sparkSession).alias("e"))
+    at = store(at, "evidence")
+    means, mean, n = posteriors(at.select("host", "path", _either("e").alias("e")))
+    means = small(means.withColumnsRenamed({"host": "h", "path": "p"}), n)
+    at = at.join(means, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
     shift = _logit(F.col("path_posterior")) - F.lit(float(np.log(mean / (1 - mean))))
-    odds = F.coalesce(_logit(_evidence()) + shift, _logit(F.col("path_posterior")))
-    return at.withColumn("__score", 1 / (1 + F.exp(-odds))).withColumn("__rejected", F.col("__score") > REJECT)
+    odds = F.coalesce(_logit(_either("e")) + shift, _logit(F.col("path_posterior")))
+    score = 1 / (1 + F.exp(-odds))
+    return at.select("row", "e", "host_posterior", "path_posterior", score.alias("score"), (score > REJECT).alias("rejected"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with their own columns."""
-    return judged(docs, labels).where(~F.col("__rejected")).select(*docs.columns)
+    return judged(docs, labels, docs.columns).where(~F.col("rejected")).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    out = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ["doc_id"])
     return out.select(
-        "doc_id", F.col("__p_toxic").alias("p_toxic"), F.col("__p_bad").alias("p_low_quality"), "host_posterior",
-        "path_posterior", F.col("__score").alias("score"), F.col("__rejected").alias("rejected"),
+        "row.doc_id", F.col("e.toxic").alias("p_toxic"), F.col("e.bad").alias("p_low_quality"), "host_posterior", "path_posterior", "score", "rejected"
     )
