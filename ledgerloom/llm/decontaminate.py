@@ -8,20 +8,22 @@ candidates:
 1. One pass counts, over all documents, the shingles that the benchmark has; each window's shingles are ordered by that
    count and the rarest is its prefix.
 2. A second pass joins document shingles with the prefixes. A match fixes where the window would lie; it has to fit
-   into the document there (length and position bounds), and then every word is compared over the item-sized window.
+   into the document there (length and position bounds), and then every word is compared over the item-sized window, by its hash and, where
+   all hashes agree, by its bytes.
 
-The index is broadcast in blocks of at most BLOCK_WORDS benchmark words; a larger benchmark takes several passes, each
-adding to the documents' results, so memory is bounded and no document is moved. Documents are never grouped: a
-passage that a third of them hold is found in each on its own.
+The index is broadcast in blocks of at most BLOCK_WORDS benchmark words; a larger benchmark takes several passes. A pass gives
+word spans and items of the documents that it hits, without their texts; spans and items of several passes meet by (doc_id, digest of the text).
+Documents are never grouped: a passage that a third of them hold is found in each on its own.
 
 Nulls and texts without words have no hits. Equal windows of several items count for each of the items; items without
-words occur nowhere. A null item_id counts as the empty string. Repeated document rows are answered one by one. Other
-columns of either table are not read.
+words occur nowhere. A null item_id counts as the empty string. A null doc_id is a value like any other; repeated document rows are answered one by
+one. Other columns of either table are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ def _words(texts: list[str]) -> T.Words:
 
 
 class Windows:
-    """Distinct windows of benchmark items: their words' hashes, the items of each, and all of their shingles."""
+    """Distinct windows of benchmark items: their words and these words' hashes, the items of each, and all of their shingles."""
 
     def __init__(self, items: list[tuple[str, str]]) -> None:
         words = _words([text or "" for _, text in items])
@@ -61,18 +63,19 @@ class Windows:
         self.names = [name for name, _ in items]
         empty = np.zeros(0, np.int64)
         start, size, owner = (np.concatenate(x) if x else empty for x in (starts, sizes, owner))
-        table = np.zeros((len(start), WINDOW), np.uint64)
+        table, numbers = np.zeros((len(start), WINDOW), np.uint64), np.full((len(start), WINDOW), -1)
+        number = words.numbers()
         for j in range(WINDOW):
             fits = size > j
             table[fits, j] = h[start[fits] + j]
-        if len(start):
-            keyed, where = np.unique(np.column_stack([table, size.astype(np.uint64)]), axis=0, return_inverse=True)
-            where = where.ravel()
-        else:
-            keyed, where = np.zeros((0, WINDOW + 1), np.uint64), empty
-        self.words, self.size = keyed[:, :WINDOW], keyed[:, WINDOW].astype(np.int64)
+            numbers[fits, j] = number[start[fits] + j]
+        first, where = np.unique(numbers, axis=0, return_index=True, return_inverse=True)[1:] if len(start) else (empty, empty)
+        where = where.ravel()
+        self.words, self.size = table[first], size[first]
+        data = words.raw.tobytes()
+        self.texts = [b" ".join(data[x:y] for x, y in zip(words.starts[s : s + k], words.ends[s : s + k])) for s, k in zip(start[first], self.size)]
         order = np.lexsort((owner, where))
-        self.items, self.item_ptr = owner[order], np.searchsorted(where[order], np.arange(len(keyed) + 1))
+        self.items, self.item_ptr = owner[order], np.searchsorted(where[order], np.arange(len(first) + 1))
         self.shingles = {}
         for k in range(1, SHINGLE + 1):
             own = np.flatnonzero(np.minimum(self.size, SHINGLE) == k)
@@ -151,9 +154,16 @@ def _counts(shared):
     return run
 
 
+def _says(words: T.Words, data: bytes, start: int, text: bytes, k: int) -> bool:
+    """Whether the k words from start on are the window's."""
+    if data[words.starts[start] : words.ends[start + k - 1]] == text:
+        return True
+    return b" ".join(data[x:y] for x, y in zip(words.starts[start : start + k], words.ends[start : start + k])) == text
+
+
 def hits(words: T.Words, h: np.ndarray, windows: Windows, index: dict) -> tuple[np.ndarray, np.ndarray]:
     """Verified occurrences: word positions of their starts and the windows' numbers."""
-    found_at, found = [], []
+    found_at, found, data = [], [], words.raw.tobytes()
     for k, (keys, ptr, window, offset, table) in index.items():
         at, i = _lookup(_shingles(words, h, k), keys, table)
         n = ptr[i + 1] - ptr[i]
@@ -171,18 +181,22 @@ def hits(words: T.Words, h: np.ndarray, windows: Windows, index: dict) -> tuple[
             same = ~inside
             same[inside] = h[start[inside] + j] == windows.words[w[inside], j]
             start, w = start[same], w[same]
-        found_at.append(start)
-        found.append(w)
+        ok = np.fromiter((_says(words, data, s, windows.texts[x], k) for s, x, k in zip(start.tolist(), w.tolist(), windows.size[w].tolist())), bool, len(start))
+        found_at.append(start[ok])
+        found.append(w[ok])
     empty = np.zeros(0, np.int64)
     return (np.concatenate(found_at), np.concatenate(found)) if found else (empty, empty)
 
 
-def _scan(shared):
+def _scan(shared, only_hits: bool):
+    """doc_id, key, n_words, spans, items of documents (doc_id, text, key); of all of them, or of those that are hit."""
+
     def run(batches):
         windows, index = shared.value
         for batch in batches:
             raw, offsets = T.buffers(batch.column(1))
-            spans, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            spans: list = [None] * batch.num_rows
+            names: list = [None] * batch.num_rows
             n_words = np.zeros(len(offsets) - 1, np.int64)
             for a, b in T.blocks(offsets):
                 words = T.Words(raw[offsets[a] : offsets[b]], offsets[a : b + 1], T.ALNUM, T.LOWER)
@@ -203,24 +217,27 @@ def _scan(shared):
                 for r, x in both:
                     own = windows.items[windows.item_ptr[x] : windows.item_ptr[x + 1]]
                     names[a + r] = [*(names[a + r] or []), *[windows.names[i] for i in own]]
-            yield pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
-                    pa.array([sorted(set(x)) if x else x for x in names], pa.list_(pa.string())), pa.array(n_words),
+                    batch.column(0), batch.column(2), pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
+                    pa.array([sorted(set(x)) if x else x for x in names], pa.list_(pa.string())),
                 ],
-                ["doc_id", "text", "spans", "items", "n_words"],
+                ["doc_id", "key", "n_words", "spans", "items"],
             )
+            yield out.filter(pa.array([x is not None for x in spans], pa.bool_())) if only_hits else out
 
     return run
 
 
 def _digest(batches):
+    """Of rows (doc_id, n_words, spans, items): what is counted of them; spans and items may come from several passes."""
     for batch in batches:
         n_hit, n_items, digest = [], [], []
         for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            names = sorted(set(items or []))
             n_hit.append(_covered(spans or []))
-            n_items.append(len(items or []))
-            digest.append(hashlib.sha256(",".join(items or []).encode()).hexdigest())
+            n_items.append(len(names))
+            digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), batch.column(2)],
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
@@ -228,6 +245,7 @@ def _digest(batches):
 
 
 def _covered(spans: list[dict]) -> int:
+    """Words that the spans cover together."""
     total, last = 0, -1
     for s, e in sorted((x["s"], x["e"]) for x in spans):
         total += max(0, e - max(s, last))
@@ -242,25 +260,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // (4 * BLOCK_WORDS)))
-    out = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
-        F.lit(None).cast("array<struct<s:int,e:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
-    )
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))) if n > 1 else F.lit(None).cast("binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    found = []
     for block in range(n):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == block) if n > 1 else items
         windows = Windows([(r[0], r[1]) for r in part.collect()])
         keys = windows.keys()
         counts: dict[int, dict[int, int]] = {}
         if keys:
-            rare = docs.select(F.col(text_col)).mapInArrow(_counts(spark.sparkContext.broadcast(keys)), "k int, key long, n long")
+            rare = texts.select("text").mapInArrow(_counts(spark.sparkContext.broadcast(keys)), "k int, key long, n long")
             for r in rare.groupBy("k", "key").agg(F.sum("n")).collect():
                 counts.setdefault(r[0], {})[r[1]] = r[2]
         shared = spark.sparkContext.broadcast((windows, windows.prefixes(counts)))
-        out = out.select("doc_id", "text", "spans", "items").mapInArrow(
-            _scan(shared), "doc_id long, text string, spans array<struct<s:int,e:int>>, items array<string>, n_words long"
+        found.append(texts.mapInArrow(_scan(shared, block > 0), "doc_id long, key binary, n_words long, spans array<struct<s:int,e:int>>, items array<string>"))
+    out = found[0]
+    if n > 1:
+        found = [store(x, "decontaminate") for x in found]
+        all_hits = reduce(DataFrame.unionByName, found).where("spans is not null").groupBy("doc_id", "key").agg(
+            F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
         )
-        if block < n - 1:
-            out = store(out, "decontaminate")
+        other = all_hits.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "spans", "items")
+        out = found[0].select("doc_id", "key", "n_words").join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     out = out.select("doc_id", "n_words", "spans", "items").mapInArrow(
         _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<s:int,e:int>>"
     )
