@@ -13,7 +13,8 @@ CELL_ROWS documents are summed on their own and their totals give each cell its
 
 Null texts have size 0 and take 0 words. Null sources are one source. Sources without words have target 0. A null
 quality, and a quality that is not positive, weighs 1. Rows with equal keys follow doc_id, then size; fully equal
-rows share a place in either order with the same multiset of results. A null doc_id is a value like any other.
+rows share a place in either order with the same multiset of results. A null doc_id is a value like any other. Repeated label rows of a
+document count as one with the largest quality. All rows of one doc_id have one key and so one cell: a doc_id is taken to name a document.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def uniform(value: Column) -> Column:
 def targets(sizes: DataFrame) -> DataFrame:
     """source, n, source_size, target of a table with one row per source (source, n, source_size).
 
-    One task orders the sources, a row each; documents are not in it.
+    One task orders the sources, a row each; documents are not in it. A source is a dimension of the mix with a weight of its own, thousands of
+    them at most; hosts or other keys that grow with the documents have to be mapped to sources first.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (F.pmod(F.col("rank"), F.lit(len(WEIGHTS))) + 1).cast("int"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -98,7 +100,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
-    """Quality weights of the labels table: doc_id, weight."""
+    """Quality weights of the labels table: doc_id, weight; of repeated rows the largest quality counts."""
+    labels = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     weight = F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, BAD).otherwise(1.0)
     return labels.select(F.col("doc_id"), weight.alias("weight"))
 
