@@ -14,6 +14,8 @@ BATCH_ROWS = 1_000
 #: A node with more rows than this is salted where its rows meet; so many salted nodes are broadcast at most.
 HUB = 256
 HUBS = 2_000_000
+#: Pairs of nodes in a file of intermediate pairs, about.
+PAIRS = 5_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -62,26 +64,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _meet(rows: DataFrame, per: DataFrame, name: str) -> DataFrame:
-    """rows (u, v) joined with per (u, m, n) on u, n being the rows of u. Those of a u with more than HUB rows are dealt to
-    several keys by a hash of v, and its row of per is repeated for each, so no hub meets its row in one task."""
-    per, seen = store_counted(per, name, hubs=F.count_if(F.col("n") > HUB))
-    if not seen["hubs"]:
-        return rows.join(per, "u")
-    pieces = F.ceil(F.col("n") / F.lit(HUB)).cast("int")
-    hubs = per.where(F.col("n") > HUB).select("u", pieces.alias("k"))
-    dealt = rows.join(small(hubs, seen["hubs"], HUBS), "u", "left")
-    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("v"), F.coalesce("k", F.lit(1))).cast("int"))
-    every = per.withColumn("s", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return dealt.join(every, ["u", "s"]).select("u", "v", "m")
+def _meet(rows: DataFrame, per: DataFrame, hubs: DataFrame, many: int) -> DataFrame:
+    """rows (u, v) joined with per (u, m). The rows of hubs (u, n; many of them), nodes with n rows, are dealt to several keys by a hash of v, and
+    the hub's row of per is repeated for each, so no hub meets its row in one task."""
+    if not many:
+        return rows.join(per, "u").select("u", "v", "m")
+    k = small(hubs.select("u", F.ceil(F.col("n") / F.lit(HUB)).cast("int").alias("k")), many, HUBS)
+    dealt = rows.join(k, "u", "left").withColumn("s", F.pmod(F.xxhash64("v"), F.coalesce("k", F.lit(1))).cast("int"))
+    every = per.join(k, "u", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+    return dealt.drop("k").join(every.drop("k"), ["u", "s"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large and small stars: (node, component) for each node of an edge, the
     component being the smallest node of its set.
 
-    edges has long columns a and b. A round pre-aggregates minima before its shuffle and joins them back; the rows of hubs are
-    salted for that join. Rounds grow with the logarithm of the longest path. Null ends and loops are ignored.
+    edges has long columns a and b. Pairs (u, v) have u > v. A round takes the least v of each u. For the large star a pair moves down from v to v's own
+    least neighbour; only nodes that are both some pair's u and another's v have one, so stars that are settled meet nothing. For the small star all v of
+    a u are tied to the least of them; nodes with many are salted. When no such nodes are left and each u has one v, pairs are the components. Rounds
+    grow with the logarithm of the longest path. Null ends and loops are ignored.
     """
     spark = edges.sparkSession
     pairs = (
@@ -89,28 +90,26 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    mark = {
-        "n": F.count(F.lit(1)),
-        "s": F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_000_007))),
-    }
-    count = F.count(F.lit(1)).alias("n")
-    pairs, last = store_counted(pairs, f"{name}-pairs", **mark)
-    if not last["n"]:
+    pairs, now = store_counted(pairs, f"{name}-pairs", n=F.count(F.lit(1)))
+    if not now["n"]:
         return spark.createDataFrame([], "node long, component long")
     for _ in range(rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), count).select("u", F.least("m", "u").alias("m"), "n")
-        large = _meet(both, least, f"{name}-least").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), count)
+        low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        below = pairs.select(F.col("v").alias("w")).distinct()
+        low = low.join(below, F.col("u") == F.col("w"), "left").select("u", "m", "n", F.col("w").isNotNull().alias("inner"))
+        files = -(-now["n"] // PAIRS)
+        low, seen = store_counted(low.coalesce(files), f"{name}-low", n=F.count(F.lit(1)), inner=F.count_if("inner"), hubs=F.count_if(F.col("n") > HUB))
+        if not seen["inner"] and seen["n"] == now["n"]:
+            break
+        inner = low.where("inner").select(F.col("u").alias("v"), F.col("m").alias("lower"))
+        large = pairs.join(small(inner, seen["inner"], HUBS), "v", "left").select("u", F.coalesce("lower", "v").alias("v"))
+        per = large.groupBy("u").agg(F.min("v").alias("m"))
+        linked = _meet(large, per, low.where(F.col("n") > HUB).select("u", "n"), seen["hubs"])
         pairs = (
-            _meet(large, low, f"{name}-low").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct()
+            linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(per.select("u", F.col("m").alias("v"))).distinct()
         )
-        pairs, now = store_counted(pairs, f"{name}-pairs", **mark)
-        if now == last:
-            break
-        last = now
+        pairs, now = store_counted(pairs.coalesce(files), f"{name}-pairs", n=F.count(F.lit(1)))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))

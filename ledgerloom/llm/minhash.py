@@ -23,16 +23,15 @@ Shape of the job:
    and such a member visits only the cells within its reach. Connected components of the verified links are the result.
 
 Nulls and texts without words have no set, link with nothing and stand alone. Set sizes count distinct 64-bit shingle hashes; links are verified
-on the words themselves. Rows that repeat a doc_id are answered one by one, each by its own text's class; where a doc_id has the smallest place in
-several classes, the first of them by digest is compared with others and the rest link exact copies only. Rows with a null doc_id stand alone with a
-null component. Other columns are not read.
+on the words themselves. Rows that repeat a doc_id are answered one by one, each with its own set size; they are one document with several texts, and what
+one of them is linked with, all are. Rows with a null doc_id stand alone with a null component. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _text as T
@@ -264,7 +263,8 @@ def links(texts: pa.Array, old: np.ndarray, threshold: tuple[int, int] = THRESHO
 
 
 def _verify(threshold: tuple[int, int], measure: bool):
-    """The links (a, b) of one block, and with measure the distance d of each row a to the pivot, the row whose rep is the group's number."""
+    """The links (a, b) of one block between reps, and with measure the distance d of each row a to the pivot, the row whose rep is the
+    group's number; without it the links are between labels."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
@@ -272,7 +272,8 @@ def _verify(threshold: tuple[int, int], measure: bool):
         pivot = int(np.searchsorted(rep, grp)) if measure else None
         pairs, away = links(table.column("text").combine_chunks(), table.column("label").to_numpy(), threshold, pivot)
         a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-        out = pa.table({"a": rep[a], "b": pa.array(rep[b]), "d": pa.nulls(len(a), pa.float64())})
+        name = rep if measure else table.column("label").to_numpy()
+        out = pa.table({"a": name[a], "b": pa.array(name[b]), "d": pa.nulls(len(a), pa.float64())})
         if measure:
             out = pa.concat_tables([out, pa.table({"a": rep, "b": pa.nulls(len(rep), pa.int64()), "d": away})])
         return out
@@ -293,11 +294,9 @@ def near_duplicates(
     digests = store(docs.mapInArrow(_digests, "doc_id long, n_shingles long, digest binary, registers binary"), "sketch")
     classes = (
         digests.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("registers").alias("registers"))
+        .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("registers").alias("registers"))
     )
-    again = F.row_number().over(Window.partitionBy("id").orderBy("digest"))
-    classes = store(classes.withColumn("turn", again), "classes")
-    reps = classes.where("turn = 1").select(F.col("id").alias("rep"), "n", "registers", "digest")
+    reps = store(classes, "classes")
     edges = candidate_edges(reps, threshold, band_rows)
     groups = components(edges, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
     members, seen = store_counted(groups.join(reps.select("rep", "n", "digest"), "rep"), "members", n=F.count(F.lit(1)))
@@ -316,10 +315,10 @@ def near_duplicates(
     if count["n"]:
         again = _visits(wide, 1 - threshold[0] / threshold[1]).join(texts, "rep")
         more = store(again.groupBy("grp", "cell", "part", "turn").applyInArrow(_verify(threshold, False), "a long, b long, d double"), "more-links")
-        joined = components(found.where("d is null").unionByName(more), "joined")
-    final = classes.join(joined, (F.col("id") == F.col("node")) & (F.col("turn") == 1), "left").select(
-        "digest", F.coalesce("component", "id").alias("component_id")
-    )
+        again = components(more.select("a", "b"), "rejoined").select(F.col("node").alias("component"), F.col("component").alias("last"))
+        joined = joined.unionByName(members.select(F.col("rep").alias("node"), F.col("rep").alias("component")).join(joined.select("node"), "node", "left_anti"))
+        joined = joined.join(again, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    final = reps.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = digests.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
@@ -329,16 +328,17 @@ def near_duplicates(
 
 
 def _own_text(texts: DataFrame) -> DataFrame:
-    """rep, text from rows (rep, digest, text): one text a rep, that of the digest."""
+    """rep, text from rows (rep, digest, text): the text of each rep that has the digest, once."""
 
     def run(batches):
         for batch in batches:
             raw, offsets = T.buffers(batch.column(2))
             folded = T.LOWER[raw].tobytes()
             good = [T.digest(folded[a:b]) == d for a, b, d in zip(offsets, offsets[1:], batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["rep", "text"]).filter(pa.array(good, pa.bool_()))
+            yield batch.filter(pa.array(good, pa.bool_()))
 
-    return texts.select("rep", "digest", "text").mapInArrow(run, "rep long, text string").dropDuplicates(["rep"])
+    own = texts.select("rep", "digest", "text").mapInArrow(run, "rep long, digest binary, text string")
+    return own.dropDuplicates(["rep", "digest"]).drop("digest")
 
 
 def _cells(members: DataFrame, several: DataFrame, away: DataFrame, joined: DataFrame) -> DataFrame:
