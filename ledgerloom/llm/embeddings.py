@@ -305,10 +305,10 @@ def points(classes: DataFrame) -> DataFrame:
 def place(found: DataFrame) -> DataFrame:
     """pt, leaves for points (pt, key, v)."""
     spark = found.sparkSession
-    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sizes = store(sizes.withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(LEAF)))).cast("int")), "labels")
+    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("points"))
+    sizes = store(sizes.withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log2(F.col("points") / F.lit(LEAF)))).cast("int")), "labels")
     deep = sizes.where("depth > 0")
-    share = F.pmod(F.xxhash64("pt"), F.lit(1_000_000)) < F.lit(1_000_000) * F.lit(float(SAMPLE)) / F.col("n") + 1
+    share = F.pmod(F.xxhash64("pt"), F.lit(1_000_000)) < F.lit(1_000_000) * F.lit(float(SAMPLE)) / F.col("points") + 1
     keys = sorted((r["key"], r["depth"]) for r in deep.select("key", "depth").collect())
     # a tree has at most SAMPLE / ENOUGH fitted nodes, and each of its lowest ones a cut for every level below
     size = lambda depth: TREES * (SAMPLE // ENOUGH) * (depth + 2) * 100
@@ -325,7 +325,7 @@ def place(found: DataFrame) -> DataFrame:
     for depths in batches:
         names = F.broadcast(spark.createDataFrame(sorted(depths.items()), "key string, depth int"))
         own = found.join(names, "key")
-        drawn = own.join(F.broadcast(deep.select("key", "n").join(names.select("key"), "key")), "key").where(share).select("pt", "key", "v", "depth")
+        drawn = own.join(F.broadcast(deep.select("key", "points").join(names.select("key"), "key")), "key").where(share).select("pt", "key", "v", "depth")
         cuts: dict[tuple[str, int], dict[tuple[int, int], float]] = {}
         for r in drawn.groupBy("key").applyInArrow(_fit, "key string, tree int, node long, level int, cut double").collect():
             cuts.setdefault((r["key"], r["tree"]), {})[(r["node"], r["level"])] = r["cut"]
