@@ -29,7 +29,8 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ SHARE = 0.01
 NOTICE_SHARE = 0.5
 NOTICE_PAGES = 5
 GROUP_PAGES = 2048
+#: So much boilerplate of all hosts is held as one table by every task.
+NAMES = 1_000_000
 
 _RAW = "script|style|noscript|template|textarea|select|iframe|object|canvas|title"
 _TOKEN = re.compile(
@@ -176,30 +179,52 @@ def ordered_blocks(source: str) -> list[tuple[str, str]]:
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+@lru_cache(maxsize=1 << 16)
 def _token(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
 
 
-class Stream:
-    """The blocks of a page outside articles: tokens as 64-bit hashes, one after the other."""
-
-    def __init__(self, blocks: list[tuple[str, str]]) -> None:
-        self.blocks = [(kind, text.split(" ")) for kind, text in blocks if kind != CONTENT]
-        names: dict[str, int] = {}
-        self.tokens = np.array([names.setdefault(t, _token(t)) for _, b in self.blocks for t in b], np.uint64)
-        self.starts = np.concatenate([[0], np.cumsum([len(b) for _, b in self.blocks])]).astype(np.int64)
-
-    def suffixes(self) -> np.ndarray:
-        """The first DEPTH tokens of each suffix of RUN or more tokens; zeros stand after the end."""
-        n = len(self.tokens)
-        if n < RUN:
-            return np.zeros((0, DEPTH), np.uint64)
-        padded = np.concatenate([self.tokens, np.zeros(DEPTH, np.uint64)])
-        return np.lib.stride_tricks.sliding_window_view(padded, DEPTH)[: n - RUN + 1]
-
-    def shorts(self) -> list[int]:
-        """Hashes of the whole blocks of fewer than RUN tokens."""
-        return [_token("\n" + " ".join(b)) for _, b in self.blocks if len(b) < RUN]
+def _whole(kind: str, text: str) -> int:
+    """The name of a whole block: a digest of its kind and text."""
+    return int.from_bytes(hashlib.blake2b(f"{kind}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Pages:
+    """The blocks of a batch of pages and their token stream outside articles, tokens as 64-bit hashes and DEPTH zeros after each page. at has
+    the places of the suffixes of RUN or more tokens, page their pages, suffixes their first DEPTH tokens."""
+
+    def __init__(self, sources: list[str]) -> None:
+        self.blocks = [ordered_blocks(x) for x in sources]
+        flat: list[int] = []
+        self.starts, at, page = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, blocks in enumerate(self.blocks):
+            start = len(flat)
+            for kind, text in blocks:
+                if kind != CONTENT:
+                    flat.extend(map(_token, text.split(" ")))
+            self.starts.append(start)
+            n = len(flat) - start - RUN + 1
+            if n > 0:
+                at.append(np.arange(start, start + n))
+                page.append(np.full(n, i))
+            flat.extend([0] * DEPTH)
+        self.tokens = np.array(flat, np.uint64)
+        self.at, self.page = np.concatenate(at), np.concatenate(page)
+        windows = np.lib.stride_tricks.sliding_window_view(self.tokens, DEPTH) if len(flat) else np.zeros((0, DEPTH), np.uint64)
+        self.suffixes = np.ascontiguousarray(windows[self.at])
+
+    def ranks(self) -> np.ndarray:
+        """Numbers of the suffixes in the order of their first DEPTH tokens, by prefix doubling."""
+        rank, length = np.unique(self.tokens, return_inverse=True)[1].astype(np.int64), 1
+        while length < DEPTH:
+            after = np.zeros(len(rank), np.int64)
+            after[: len(rank) - length] = rank[length:]
+            rank, length = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1].astype(np.int64), 2 * length
+        return rank[self.at]
+
+    def whole(self, i: int) -> set[int]:
+        """Names of the whole blocks of a page that repeats decide about: those of articles and short loose ones."""
+        return {_whole(kind, text) for kind, text in self.blocks[i] if kind == CONTENT or kind == LOOSE and text.count(" ") < RUN - 1}
 
 
 def suffix_names(suffixes: np.ndarray, k: int) -> np.ndarray:
@@ -234,44 +259,60 @@ def covered_lengths(suffixes: np.ndarray, pages: np.ndarray, least: int) -> np.n
 _SUFFIXES = "host string, grp int, suffixes binary, weights binary, pages double, notice long"
 
 
-def _parsed(batch: pa.RecordBatch, column: int):
-    for x in batch.column(column):
-        yield ordered_blocks(x.as_py() or "")
+def shared_prefixes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of tokens that suffixes share from their beginning."""
+    return np.cumprod((a == b) & (a != 0), axis=1).sum(1).astype(np.int64)
+
+
+def distinct_suffixes(pages: Pages, host: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hosts (numbers), distinct suffixes and how many pages have each prefix of RUN to DEPTH tokens: a page counts, by its
+    weight, with the first of its suffixes that has the prefix. host and weight are by page."""
+    rank = pages.ranks()
+    order = np.lexsort((rank, pages.page))
+    x, page = pages.suffixes[order], pages.page[order]
+    shared = np.zeros(len(order), np.int64)
+    shared[1:] = np.where(page[1:] == page[:-1], shared_prefixes(x[1:], x[:-1]), 0)
+    counted = weight[page][:, None] * (shared[:, None] < np.arange(RUN, DEPTH + 1)[None, :])
+    own, rank = host[page], rank[order]
+    order = np.lexsort((rank, own))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(rank[order]) != 0) | (np.diff(own[order]) != 0)])) if len(order) else order
+    sums = np.add.reduceat(counted[order], new, axis=0) if len(order) else counted
+    return own[order][new], x[order][new], sums
 
 
 def _emit(batches):
     """Of pages (host, groups, weight, html): for each host and group of suffixes of a batch the distinct suffixes, and how many pages have each
-    prefix of RUN to DEPTH tokens (a prefix's pages are counted with the first suffix of a page that has it); and the hashes of whole blocks
-    that repeats decide about, with their pages: short loose ones and blocks of articles."""
-    width = DEPTH - RUN + 1
+    prefix of RUN to DEPTH tokens; and the names of whole blocks that repeats decide about, with their pages."""
     for batch in batches:
-        hosts, groups, weights = (batch.column(i).to_pylist() for i in range(3))
-        parts: dict[tuple, list] = defaultdict(list)
+        pages = Pages([x.as_py() or "" for x in batch.column(3)])
+        hosts = batch.column(0).dictionary_encode()
+        names, code = hosts.dictionary.to_pylist(), hosts.indices.to_numpy()
+        weight = batch.column(2).to_numpy()
+        groups = np.zeros(len(names), np.int64)
+        groups[code] = batch.column(1).to_numpy()
+        host, x, counted = distinct_suffixes(pages, code, weight)
+        to = (suffix_names(x, RUN) % groups[host].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((to, host))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(host[order]) != 0) | (np.diff(to[order]) != 0)])) if len(order) else order
+        cut = np.append(cut, len(order))
+        data = [[], []]
+        for a, b in zip(cut[:-1], cut[1:]):
+            data[0].append(x[order[a:b]].tobytes())
+            data[1].append(counted[order[a:b]].astype(np.float32).tobytes())
+        first = order[cut[:-1]]
         whole: Counter = Counter()
-        for host, n, weight, blocks in zip(hosts, groups, weights, _parsed(batch, 3)):
-            stream = Stream(blocks)
-            for name in {*stream.shorts(), *(_token(text) for kind, text in blocks if kind == CONTENT)}:
-                whole[(host, name)] += weight
-            x = np.unique(stream.suffixes(), axis=0)
-            if not len(x):
-                continue
-            order, shared = suffix_array(x)
-            x = x[order]
-            pages = weight * (shared[:, None] < np.arange(RUN, DEPTH + 1)[None, :])
-            to = (suffix_names(x, RUN) % np.uint64(n)).astype(np.int64)
-            for g in np.unique(to):
-                parts[(host, int(g))].append((x[to == g], pages[to == g]))
-        rows: list[tuple] = []
-        for (host, g), own in parts.items():
-            x, back = np.unique(np.concatenate([p[0] for p in own]), axis=0, return_inverse=True)
-            pages = np.zeros((len(x), width))
-            np.add.at(pages, back.ravel(), np.concatenate([p[1] for p in own]))
-            data = T.pack(pa.array([x.tobytes(), pages.astype(np.float32).tobytes()], pa.binary()))[0].to_pylist()
-            rows.append((host, g, *data, float(len(x)), None))
-        rows += [(host, None, None, None, float(n), name - (1 << 64) if name >> 63 else name) for (host, name), n in whole.items()]
-        cols = list(zip(*rows)) or [()] * 6
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["host", "grp", "suffixes", "weights", "pages", "notice"])
+        for i, h in enumerate(code.tolist()):
+            for name in pages.whole(i):
+                whole[(h, name)] += weight[i]
+        n, m = len(first), len(whole)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([*(names[h] for h in host[first]), *(names[h] for h, _ in whole)], pa.string()), pa.array([*to[first].tolist(), *[None] * m], pa.int32()),
+                *(pa.array([*T.pack(pa.array(d, pa.binary()))[0].to_pylist(), *[None] * m], pa.binary()) for d in data),
+                pa.array([*np.diff(cut).astype(float).tolist(), *map(float, whole.values())], pa.float64()), pa.array([*[None] * n, *(name for _, name in whole)], pa.int64()),
+            ],
+            ["host", "grp", "suffixes", "weights", "pages", "notice"],
+        )
 
 
 def _repeats(table: pa.Table) -> pa.Table:
@@ -293,16 +334,14 @@ def _repeats(table: pa.Table) -> pa.Table:
 def _names(batches):
     """Of pages (key, host, html): key, host, the names of the page's suffixes and of the whole blocks that repeats decide about."""
     for batch in batches:
-        keys, hosts, names = [], [], []
-        for key, host, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _parsed(batch, 2)):
-            stream = Stream(blocks)
-            own = {*suffix_names(stream.suffixes(), DEPTH).view(np.int64).tolist()}
-            whole = {*stream.shorts(), *(_token(text) for kind, text in blocks if kind == CONTENT)}
-            own |= set(np.array(sorted(whole), np.uint64).view(np.int64).tolist())
-            keys += [key] * len(own)
-            hosts += [host] * len(own)
-            names += own
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(hosts, pa.string()), pa.array(names, pa.int64())], ["key", "host", "name"])
+        pages = Pages([x.as_py() or "" for x in batch.column(2)])
+        name = suffix_names(pages.suffixes, DEPTH).view(np.int64)
+        whole = [(i, n) for i in range(batch.num_rows) for n in pages.whole(i)]
+        row = np.concatenate([pages.page, np.array([i for i, _ in whole], np.int64)])
+        name = np.concatenate([name, np.array([n for _, n in whole], np.int64)])
+        both = np.unique(np.column_stack([row, name]), axis=0)
+        take = pa.array(both[:, 0])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(both[:, 1])], ["key", "host", "name"])
 
 
 def _whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -316,45 +355,74 @@ def _whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
     return out
 
 
-def page_text(blocks: list[tuple[str, str]], lengths: dict[int, int]) -> str:
-    """The main text of a page: lengths has the boilerplate that begins at a suffix, by its name; -1 for whole blocks on as many pages as such
-    a run, 0 for those on as many as a notice."""
-    stream = Stream(blocks)
-    flags = np.zeros(len(stream.tokens) + 1, np.int64)
-    for i, name in enumerate(suffix_names(stream.suffixes(), DEPTH).view(np.int64).tolist() if lengths else []):
-        reach = lengths.get(name, 0)
-        if reach > 0:
-            flags[i] += 1
-            flags[i + reach] -= 1
-    covered = np.cumsum(flags)[:-1] > 0
-    gone, notices = ({x % (1 << 64) for x, length in lengths.items() if length <= 0 and length >= low} for low in (-1, 0))
+def page_text(blocks: list[tuple[str, str]], covered: np.ndarray, whole: dict[int, int]) -> str:
+    """The main text of a page. covered tells which tokens outside its articles are boilerplate; whole has the names of whole blocks on as many
+    pages as such a run (-1) or as a notice (0)."""
     content = [text for kind, text in blocks if kind == CONTENT]
-    rooted = bool(content)
-    if 2 * sum(len(text) for text in content if _token(text) in notices) >= sum(map(len, content)):
+    notices = {text for text in content if whole.get(_whole(CONTENT, text)) == 0} if whole else set()
+    if 2 * sum(len(text) for text in content if text in notices) >= sum(map(len, content)):
         notices = set()
     out, at = [], 0
     for kind, text in blocks:
         if kind == CONTENT:
-            if _token(text) not in notices:
+            if text not in notices:
                 out.append(text)
             continue
-        tokens = stream.blocks[at][1]
-        own = covered[stream.starts[at] : stream.starts[at + 1]]
-        at += 1
-        if kind == MARKED or rooted and len(tokens) < RUN and _token("\n" + text) in gone:
+        n = text.count(" ") + 1
+        own, at = covered[at : at + n], at + n
+        if kind == MARKED or content and n < RUN and whole and _whole(LOOSE, text) in whole:
             continue
-        left = " ".join(t for t, x in zip(tokens, _whole_runs(own)) if not x)
+        left = " ".join(t for t, x in zip(text.split(" "), _whole_runs(own)) if not x) if own.any() else text
         if left:
             out.append(left)
     return "\n".join(out)
 
 
-def _assemble(batches):
+def _texts(pages: Pages, reach: np.ndarray, whole: list[dict[int, int]]) -> list[str]:
+    """The pages' texts; reach has the boilerplate tokens that begin at each suffix."""
+    edge = np.zeros(len(pages.tokens) + 1, np.int64)
+    some = np.flatnonzero(reach)
+    np.add.at(edge, pages.at[some], 1)
+    np.add.at(edge, pages.at[some] + reach[some], -1)
+    covered = np.cumsum(edge)[:-1] > 0
+    ends = [*pages.starts[1:], len(pages.tokens)]
+    return [page_text(b, covered[s:e], w) for b, s, e, w in zip(pages.blocks, pages.starts, ends, whole)]
+
+
+def _met(batches):
+    """Texts of pages (page_id, url, html, found), found being the page's names (name, length) that are boilerplate."""
     for batch in batches:
-        texts = []
-        for found, blocks in zip(batch.column(3).to_pylist(), _parsed(batch, 2)):
-            texts.append(page_text(blocks, {x["name"]: x["length"] for x in found or []}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        pages = Pages([x.as_py() or "" for x in batch.column(2)])
+        found = [{x["name"]: x["length"] for x in f or []} for f in batch.column(3).to_pylist()]
+        name = suffix_names(pages.suffixes, DEPTH).view(np.int64).tolist()
+        reach = np.array([max(0, found[i].get(n, 0)) for i, n in zip(pages.page.tolist(), name)], np.int64)
+        whole = [{n: x for n, x in f.items() if x <= 0} for f in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_texts(pages, reach, whole), pa.string())], ["page_id", "url", "text"])
+
+
+def _looked_up(shared):
+    """Texts of pages (page_id, url, html, host) by a table of all boilerplate: sorted names under their hosts, and lengths."""
+
+    def run(batches):
+        keys, lengths = shared.value
+        for batch in batches:
+            pages = Pages([x.as_py() or "" for x in batch.column(2)])
+            hosts = batch.column(3).dictionary_encode()
+            salt = np.array([_token(h) for h in hosts.dictionary.to_pylist()], np.uint64)[hosts.indices.to_numpy()]
+            wholes = [pages.whole(i) for i in range(batch.num_rows)]
+            row = np.repeat(np.arange(len(wholes)), [len(w) for w in wholes])
+            name = np.concatenate([suffix_names(pages.suffixes, DEPTH), np.array([n for w in wholes for n in w], np.int64).view(np.uint64)])
+            page = np.concatenate([pages.page, row])
+            key = T.mix(name ^ salt[page])
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            length = np.where(keys[i] == key, lengths[i], 1 - DEPTH) if len(keys) else np.full(len(key), 1 - DEPTH)
+            n = len(pages.at)
+            found: list[dict[int, int]] = [{} for _ in wholes]
+            for j in np.flatnonzero(length[n:] >= -1):
+                found[row[j]][int(name[n + j].view(np.int64))] = int(length[n + j])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_texts(pages, np.maximum(length[:n], 0), found), pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -380,17 +448,28 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def _answer(pages: DataFrame, emitted: DataFrame, limits: DataFrame, runs: DataFrame) -> DataFrame:
-    """Meets pages with the runs and whole blocks of their hosts that are boilerplate."""
+    """Meets pages with the runs and whole blocks of their hosts that are boilerplate: by a table that every task has if it is within NAMES, otherwise by
+    a join of each page's names."""
+    spark = pages.sparkSession
     blocks = emitted.where("notice is not null").groupBy("host", "notice").agg(F.sum("pages").alias("pages")).where("pages > 1.5").join(limits, "host")
     # an article's block goes as a notice; a short loose one by the limit of runs. The names of both kinds differ
     short, long = F.col("pages") > F.col("least") - F.lit(0.5), F.col("pages") > F.col("notices") - F.lit(0.5)
     names = blocks.where(short | long).select("host", F.col("notice").alias("name"), F.when(long, 0).otherwise(-1).alias("length"))
     found, seen = store_counted(runs.unionByName(names), "boilerplate", n=F.count(F.lit(1)))
-    own = pages.select("key", "host", "html").mapInArrow(_names, "key binary, host string, name long")
-    hits = own.join(small(found, seen["n"]), ["host", "name"]).groupBy("key").agg(F.collect_set(F.struct("name", "length")).alias("found"))
-    hits, some = store_counted(hits, "hits", n=F.count(F.lit(1)))
-    out = pages.join(small(hits, some["n"]), "key", "left").select("page_id", "url", "html", "found")
-    out = out.mapInArrow(_assemble, "page_id long, url string, text string")
+    if seen["n"] <= NAMES:
+        table = found.toArrow()
+        hosts = table.column("host").combine_chunks().dictionary_encode()
+        salt = np.array([_token(h) for h in hosts.dictionary.to_pylist()], np.uint64)[hosts.indices.to_numpy()]
+        key = T.mix(table.column("name").to_numpy().view(np.uint64) ^ salt)
+        order = np.argsort(key)
+        shared = spark.sparkContext.broadcast((key[order], table.column("length").to_numpy()[order].astype(np.int64)))
+        out = pages.select("page_id", "url", "html", "host").mapInArrow(_looked_up(shared), "page_id long, url string, text string")
+    else:
+        own = pages.select("key", "host", "html").mapInArrow(_names, "key binary, host string, name long")
+        hits = own.join(found, ["host", "name"]).groupBy("key").agg(F.collect_set(F.struct("name", "length")).alias("found"))
+        hits, some = store_counted(hits, "hits", n=F.count(F.lit(1)))
+        out = pages.join(small(hits, some["n"]), "key", "left").select("page_id", "url", "html", "found")
+        out = out.mapInArrow(_met, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
