@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import _c, cleanup_key
+from ledgerloom.functions.text import _c, cleanup_key, match_key
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 PROTECTED_FIELDS = (
@@ -39,6 +39,10 @@ TABLE_STOPS = (
     r"NET\s+HORS\s+TAXES", r"(?:BASE|MONTANT|TOTAL)\s+T\.?\s*V\.?\s*A\.?", r"SOUS.TOTAL", r"TOTAL\s+G[EÉ]N[EÉ]RAL",
     r"ARRET[EÉE]+\s+(?:LA\s+)?PR[EÉ]SENT", r"\bFODEC\b", r"\bTIMBRE\b", r"REMISE\s+HORS\s+TAXES",
 )
+TEXT_FOOTERS = (
+    "TOTAL HORS TAXES", "NET HORS TAXES", "TOTAL TTC", "MONTANT T.T.C", "NET À PAYER", "NET A PAYER", "SOUS-TOTAL", "MONTANT TTC", "ARRETEE LA PRESENTE",
+)
+TEXT_FOOTER_LINE = r"(?i)^\s*(?:TOTAL\s+H\.?\s*T\.?|MONTANT\s+H\.?\s*T\.?)\s*[:\-]?\s*[\d\s,.]+"
 SAFE_VERDICTS = ("LOW_CONFIDENCE", "PARTIAL_MATCH", "MATCH")
 STATUS_LABELS = {
     "PENDING": "en attente", "PROCESSING": "en cours", "CLASSIFYING": "classification", "EXTRACTING": "extraction",
@@ -83,9 +87,9 @@ def is_protected(x: Column | str, field: Column | None = None, patterns: tuple[s
 def is_dictionary_candidate(x: Column | str, field: Column | None = None) -> Column:
     """FLT3: a word worth a dictionary entry."""
     v = F.trim(_c(x))
-    n, digits = F.length(v), _count(v, "0-9")
-    ok = (_count(v, "A-Za-z0-9") >= 2) & v.rlike("[A-Za-z]") & ~((n <= 10) & (digits > 0) & (digits > F.lit(0.40) * n))
-    return F.coalesce(~is_protected(v, field) & ok & ~v.rlike(r"^[0-9\s.,]+$"), F.lit(False))
+    n, digits = _count(v, "A-Za-z0-9"), _count(v, "0-9")
+    ok = (n >= 2) & v.rlike("[A-Za-z]") & ~((n <= 10) & (digits > 0) & (digits > F.lit(0.40) * n))
+    return F.coalesce(~is_protected(v, field) & ok & ~v.rlike(r"^[0-9\s.,/\-]+$"), F.lit(False))
 
 
 def is_normalizable_field(x: Column | str) -> Column:
@@ -115,7 +119,7 @@ def valid_product_line(ref: Column, price: Column, qty: Column, designation: Col
     """FLT7."""
     has_ref, has_price = F.coalesce(ref != "", F.lit(False)), F.coalesce(price > 0, F.lit(False))
     words = F.filter(F.split(F.coalesce(designation, F.lit("")), r"\s+"), lambda w: F.length(w) > 1)
-    prose = (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(r"^\p{L}+$"))
+    prose = (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(r"^[A-ZÀ-Ÿa-zà-ÿ\-]+$"))
     return (has_ref | has_price | F.coalesce(qty > 0, F.lit(False))) & ~(~has_ref & ~has_price & prose)
 
 
@@ -146,10 +150,17 @@ def has_number(words: Column) -> Column:
     return F.coalesce(F.exists(words, lambda w: F.regexp_replace(w, "[,. ]", "").rlike("^[0-9]+$")), F.lit(False))
 
 
-def is_footer_or_short(line: Column | str) -> Column:
-    """FLT13: a text-table line that carries no item."""
+def is_skipped_line(line: Column | str) -> Column:
+    """FLT13: a text-table line that is passed over: short, or without digits."""
+    v = F.trim(_c(line))
+    return F.coalesce((F.length(v) < 5) | ~v.rlike("[0-9]"), F.lit(True))
+
+
+def is_text_footer(line: Column | str) -> Column:
+    """FLT13: a line that ends a text table."""
     v = F.trim(_c(line))
-    return F.coalesce((F.length(v) < 5) | ~v.rlike("[0-9]") | is_table_stop(v), F.lit(True))
+    up = F.upper(v)
+    return F.coalesce(F.exists(F.array(*[F.lit(k) for k in TEXT_FOOTERS]), lambda k: up.contains(k)) | v.rlike(TEXT_FOOTER_LINE), F.lit(False))
 
 
 def needs_fallback(n_lines: Column, confidence: Column, transcribed: Column) -> Column:
@@ -170,6 +181,11 @@ def safe_alias_candidate(verdict: Column, n_mismatch: Column, bc_ref: Column, do
     return F.coalesce(verdict.isin(*SAFE_VERDICTS) & (n_mismatch == 0) & (bc_ref != "") & (doc_ref != "") & both, F.lit(False))
 
 
+def is_alias_line(bc_ref: Column, document_ref: Column, external: Column, internal: Column) -> Column:
+    """FLT19: a verdict line of the requested alias pair, both sides normalised."""
+    return F.coalesce((match_key(bc_ref) == match_key(internal)) & (match_key(F.coalesce(document_ref, F.lit(""))) == match_key(external)), F.lit(False))
+
+
 def contains_text(x: Column, y: Column, needle: str) -> Column:
     """FLT20."""
     hit = F.lower(F.coalesce(x, F.lit(""))).contains(needle.lower()) | F.lower(F.coalesce(y, F.lit(""))).contains(needle.lower())

@@ -59,6 +59,9 @@ def solve(orders: list[tuple], documents: list[tuple]) -> list[tuple[int, int, f
     """(order index, document index, confidence, layer) of pairs accepted. Lines: (idx, ref, desc, price, alias target)."""
     if not orders or not documents:
         return []
+    settled = _all_exact(orders, documents)
+    if settled is not None:
+        return settled
     score = np.zeros((len(orders), len(documents)))
     layer = np.zeros(score.shape, int)
     for i, (_, ref, desc, price, _) in enumerate(orders):
@@ -76,6 +79,28 @@ def solve(orders: list[tuple], documents: list[tuple]) -> list[tuple[int, int, f
     ]
 
 
+def _all_exact(orders: list[tuple], documents: list[tuple]) -> list[tuple[int, int, float, int]] | None:
+    """The assignment where every line of the smaller side has a full score with one line of the other and with no second one: no other
+    assignment reaches that total. None where that is not so."""
+    of: dict[str, list[tuple[int, int]]] = {}
+    for j, (_, ref, _, _, target) in enumerate(documents):
+        for key, layer in {(ref, 1), (target, ALIAS_LAYER)}:
+            if key:
+                of.setdefault(key, []).append((j, layer))
+    found, taken = [], set()
+    for order in orders:
+        hits = of.get(order[1], [])
+        if len({j for j, _ in hits}) > 1:
+            return None
+        if hits:
+            j, layer = max(hits, key=lambda x: x[1])
+            if j in taken:
+                return None
+            taken.add(j)
+            found.append((order[0], documents[j][0], 1.0, layer))
+    return found if len(found) == min(len(orders), len(documents)) else None
+
+
 def _jobs(batches):
     """Consecutive rows of one job: (job, rows)."""
     job, rows = None, []

@@ -25,6 +25,7 @@ CONFUSIONS = (
 VARIANT_CATEGORIES = ("PRODUCT", "BRAND", "MATERIAL", "HEADER", "DOCUMENT")
 EXACT_WEIGHT = 0.7
 MAX_DISTANCE, MIN_RATIO = 2, 0.80
+LONG = 24
 # --------------------------------------------------------------------------------------------------------------------
 
 
@@ -66,6 +67,11 @@ def usable(dictionary: DataFrame) -> DataFrame:
     return dictionary.where((F.col("verified")) & (~F.col("ignored")) & (F.col("weight") > EXACT_WEIGHT))
 
 
+def verified(dictionary: DataFrame) -> DataFrame:
+    """What the fuzzy lookup searches: verified entries that are not ignored, of any weight."""
+    return dictionary.where(F.col("verified") & ~F.col("ignored"))
+
+
 def _deletions(c: Column) -> Column:
     """The string and what is left of it after deleting one or two characters."""
     def cut(v: Column) -> Column:
@@ -75,20 +81,46 @@ def _deletions(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), one, F.flatten(F.transform(one, cut))))
 
 
+def _cuts(n: Column) -> list[tuple[Column, Column]]:
+    """Starts and lengths of three even pieces of a string of n characters."""
+    third = F.floor(n / 3).cast("int")
+    return [(F.lit(1), third), (third + 1, third), (2 * third + 1, (n - 2 * third).cast("int"))]
+
+
+def _pieces(c: Column) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("at"), F.substr(c, a, k).alias("piece")) for i, (a, k) in enumerate(_cuts(F.length(c)))])
+
+
+def _places(c: Column, n: Column) -> Column:
+    """Where the pieces of an entry of n characters may stand in a string within MAX_DISTANCE edits of it."""
+    each = []
+    for i, (a, k) in enumerate(_cuts(n)):
+        for shift in range(-MAX_DISTANCE, MAX_DISTANCE + 1):
+            each.append(F.when(a + shift >= 1, F.struct(F.lit(i).alias("at"), F.substr(c, F.greatest(F.lit(1), a + shift), k).alias("piece"))))
+    return F.array_distinct(F.array_compact(F.array(*each)))
+
+
 def near_entries(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """key, raw_form, canonical_form, weight, distance of the entries within 2 edits of each key.
 
     Strings within 2 edits share a string got by deleting up to 2 characters of each, so candidates come from an equi-join on
-    such strings: no key meets an entry that shares none. Keys and entries have 3 to 40 characters."""
-    words = keys.where("length(key) between 3 and 40").select("key", F.explode(_deletions(F.col("key"))).alias("d"))
-    known = entries.where("length(raw_form) between 3 and 40").select("raw_form", "canonical_form", "weight", F.explode(_deletions(F.col("raw_form"))).alias("d"))
-    pairs = words.join(known, "d").drop("d").distinct()
+    such strings: no key meets an entry that shares none. Longer strings than LONG have too many of them; of such a string, cut into
+    three pieces, two edits leave one piece as it is, at most two places away, so they meet by pieces and places instead. A string near the limit takes both ways."""
+    short = lambda df, c: df.where(F.length(c) <= LONG)
+    entry = ("raw_form", "canonical_form", "weight")
+    words = short(keys, "key").select("key", F.explode(_deletions(F.col("key"))).alias("d"))
+    known = short(entries, "raw_form").select(*entry, F.explode(_deletions(F.col("raw_form"))).alias("d"))
+    far = lambda df, c: df.where(F.length(c) > LONG - MAX_DISTANCE)
+    pieces = far(entries, "raw_form").select(*entry, F.explode(_pieces(F.col("raw_form"))).alias("p")).select(*entry, F.col("p.at").alias("at"), F.col("p.piece").alias("d"), F.length("raw_form").alias("n"))
+    places = far(keys, "key").select("key", F.explode(F.sequence(F.length("key") - MAX_DISTANCE, F.length("key") + MAX_DISTANCE)).alias("n"))
+    places = places.select("key", "n", F.explode(_places(F.col("key"), F.col("n"))).alias("p")).select("key", "n", F.col("p.at").alias("at"), F.col("p.piece").alias("d"))
+    pairs = words.join(known, "d").drop("d").unionByName(places.join(pieces, ["n", "at", "d"]).select("key", *entry)).distinct()
     return pairs.withColumn("distance", F.levenshtein("key", "raw_form", MAX_DISTANCE)).where("distance >= 0")
 
 
 def fuzzy_lookup(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """JN18: key, canonical_form, weight of the best usable entry within 2 edits and 80% similarity."""
-    scored = near_entries(keys, usable(dictionary)).withColumn("ratio", ratio_column("key", "raw_form") / 100).where(F.col("ratio") >= MIN_RATIO)
+    """JN18: key, canonical_form, weight of the best verified entry within 2 edits and 80% similarity."""
+    scored = near_entries(keys, verified(dictionary)).withColumn("ratio", ratio_column("key", "raw_form") / 100).where(F.col("ratio") >= MIN_RATIO)
     scored = scored.withColumn("score", F.col("ratio") * (1 - 0.05 * F.col("distance")))
     best = scored.groupBy("key").agg(F.max_by(F.struct("canonical_form", "score", "raw_form"), F.struct("score", F.col("weight"), F.col("raw_form"))).alias("b"))
     return best.select("key", "b.canonical_form", F.least(F.col("b.score") * 0.95, F.lit(0.95)).alias("weight"))

@@ -40,9 +40,23 @@ HEADERS = {
     "total_ttc": (r"(?:TOTAL\s*T\.?\s*T\.?\s*C\.?|MONTANT\s*TTC|NET\s*À\s*PAYER)\s*[:\-]?\s*([\d\s.,]+)",),
     "tva_rate": (r"(?:TVA|T\.V\.A\.)\s*(?:@|À|A|:)?\s*(\d{1,2}(?:[.,]\d{1,2})?)\s*%", r"(\d{1,2}(?:[.,]\d{1,2})?)\s*%\s*(?:TVA|T\.V\.A\.)"),
 }
+TABLE_HEADERS = {
+    "ref_produit": (r"R[ÉE]F[.\s]*(?:PRODUIT|ART|ARTICLE)?", r"CODE\s*(?:ARTICLE|PRODUIT)?", r"R[ÉE]F\.?"),
+    "designation": (r"D[ÉE]SIGNATION", r"LIBELL[ÉE]", r"DESCRIPTION", r"ARTICLE"),
+    "qty": (r"(?:QT[ÉE]|QUANTIT[ÉE]|QTE|NB)\b", r"QT[ÉE]\.?"),
+    "unit": (r"UNIT[ÉE]", r"U\.?M\.?", r"MESURE"),
+    "prix_unitaire": (r"PRIX\s*U(?:NIT\.?)?(?:\s*H\.?T\.?)?", r"P\.?\s*U\.?\s*H\.?T\.?", r"P\.?U\.?"),
+    "tva_rate": (r"T\.?V\.?A\.?", r"TVA\s*%"),
+    "total_ligne_ht": (r"TOTAL\s*H\.?T\.?", r"MONTANT\s*H\.?T\.?", r"TOTAL\s*LIGNE"),
+}
 COLUMN_HEADERS = {
-    "ref_produit": (r"^R[EÉ]F", r"^CODE", r"^ARTICLE"), "designation": (r"^D[EÉ]SIGNATION", r"^LIBELL[EÉ]", r"^DESCRIPTION"), "qty": (r"^QT[EÉ]", r"^QUANTIT[EÉ]"),
-    "prix_unitaire": (r"^P\.?U", r"^PRIX"), "tva_rate": (r"^T\.?V\.?A", r"^TAUX"), "total_ligne_ht": (r"^MONTANT", r"^TOTAL"),
+    "ref_produit": (r"R[ÉE]F[.\s]*(?:PRODUIT|ART(?:ICLE)?)?", r"CODE\s*(?:ARTICLE|PRODUIT)?", r"R[ÉE]F\.?", r"ARTICLE"),
+    "designation": (r"D[ÉE]SIGNATION", r"LIBELL[ÉE]", r"DESCRIPTION"),
+    "qty": (r"(?:QT[ÉE]|QUANTIT[ÉE]|QTE|NB)\b", r"QT[ÉE]\.?"),
+    "unit": (r"UNIT[ÉE]", r"U\.?M\.?", r"MESURE"),
+    "prix_unitaire": (r"PRIX\s*U(?:NIT\.?)?(?:\s*H\.?T\.?)?", r"P\.?\s*U\.?\s*H\.?T\.?", r"P\.?U\.?", r"PRIX\s*UN"),
+    "tva_rate": (r"T\.?V\.?A\.?", r"TVA\s*%"),
+    "total_ligne_ht": (r"TOTAL\s*H\.?T\.?", r"MONTANT\s*H\.?T\.?", r"TOTAL\s*LIGNE", r"TOTAL\s*HT"),
 }
 HIT, MISS = 0.85, 0.0
 RULE_AT, EXTERNAL_AT = 0.90, 0.70
@@ -215,38 +229,52 @@ def extract_header(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def text_line(line: Column) -> Column:
-    """EXT5: a text-table line as struct(ref, designation, qty, price, total, tva_rate, confidence); null if no item."""
-    parts = F.filter(F.split(F.trim(line), r" {2,}|\t"), lambda p: F.trim(p) != "")
+    """EXT5: a text-table line as struct(ref, designation, qty, price, total, tva_rate, confidence); null if no item.
+
+    Parts stand between runs of spaces. Texts are the reference and the designation; the first plausible part with a percent sign is the rate; other numbers are
+    quantity, price and total in their order."""
+    parts = F.filter(F.transform(F.split(F.trim(line), r"\s{2,}|\t"), lambda p: F.trim(p)), lambda p: p != "")
+    numeric = lambda p: F.regexp_replace(F.replace(p, F.lit(","), F.lit(".")), r"[€%\s]", "").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
 
     def sorted_out(p: Column) -> Column:
-        return F.struct(
-            F.size(p).alias("n"), F.filter(p, lambda x: x.rlike(r"^\s*\d{1,2}([.,]\d+)?\s*%\s*$")).alias("rate"),
-            F.transform(F.slice(F.filter(p, lambda x: x.rlike(r"^[\d\s.,]+$")), 1, 3), lambda x: X.number(x)).alias("numbers"),
-            F.filter(p, lambda x: ~x.rlike(r"^[\d\s.,]+$") & ~x.rlike("%")).alias("words"),
-        )
+        numbers = F.filter(p, numeric)
+        rates = F.filter(numbers, lambda x: F.coalesce(x.contains("%") & (X.number(x) > 0) & (X.number(x) <= 30), F.lit(False)))
+        first = F.array_position(numbers, F.try_element_at(rates, F.lit(1)))
+        rest = F.filter(F.transform(F.filter(numbers, lambda x, i: F.coalesce(i + 1 != first, F.lit(True))), X.number), lambda x: x.isNotNull())
+        return F.struct(F.size(p).alias("n"), F.filter(p, lambda x: ~numeric(x)).alias("words"), X.number(F.try_element_at(rates, F.lit(1))).alias("rate"), rest.alias("numbers"))
 
     def item(v: Column) -> Column:
-        at = lambda a, i: F.try_element_at(v[a], F.lit(i))
-        tva = X.number(F.regexp_replace(at("rate", 1), "%", ""))
-        known = at("words", 1).isNotNull() & at("numbers", 1).isNotNull()
-        return F.when(v["n"] >= 2, F.struct(
-            at("words", 1).alias("ref"), at("words", 2).alias("designation"), at("numbers", 1).alias("qty"), at("numbers", 2).alias("price"), at("numbers", 3).alias("total"),
-            F.when((tva > 0) & (tva <= 30), tva).alias("tva_rate"), F.when(known, 0.75).otherwise(0.50).alias("confidence"),
+        at = lambda i: F.try_element_at(v["numbers"], F.lit(i))
+        ref = X.safe_reference(F.try_element_at(v["words"], F.lit(1)))
+        more = F.slice(v["words"], 2, F.greatest(F.lit(1), F.size(v["words"])))
+        known = F.coalesce(ref != "", F.lit(False)) & F.coalesce(at(1) != 0, F.lit(False))
+        some = (F.size(v["words"]) > 0) | F.coalesce(at(1) != 0, F.lit(False)) | F.coalesce(at(2) != 0, F.lit(False))
+        return F.when((v["n"] >= 2) & some, F.struct(
+            ref.alias("ref"), F.when(F.size(v["words"]) > 1, X.squeeze(F.array_join(more, " "))).alias("designation"), at(1).alias("qty"), at(2).alias("price"), at(3).alias("total"),
+            v["rate"].alias("tva_rate"), F.when(known, 0.75).otherwise(0.50).alias("confidence"),
         ))
 
-    return F.when(~G.is_footer_or_short(line), _let(_let(parts, sorted_out), item))
+    return F.when(~G.is_skipped_line(line), _let(_let(parts, sorted_out), item))
 
 
 def text_items(lines: DataFrame) -> DataFrame:
-    """WIN5, FLT13, WIN7: items after the first header line up to the first stop line. lines: doc_id, line_no, line."""
+    """WIN5, FLT13, WIN7: items after the first header line. Short lines and lines without digits are passed over before the end of the table is
+    looked for, so a caption of totals without a number ends nothing. lines: doc_id, line_no, line."""
     up = F.upper(F.col("line"))
-    n_cols = sum((F.when(up.rlike("|".join(p.replace("^", r"\b") for p in ps)), 1).otherwise(0) for ps in COLUMN_HEADERS.values()), F.lit(0))
+    n_cols = sum((F.when(up.rlike("|".join(ps)), 1).otherwise(0) for ps in TABLE_HEADERS.values()), F.lit(0))
     head = lines.withColumn("__n", n_cols).where("__n >= 3").groupBy("doc_id").agg(F.min("line_no").alias("head"))
-    stopped = F.max(G.is_table_stop("line").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    body = lines.join(head, "doc_id").where("line_no > head").withColumn("stopped", stopped).where("stopped = 0")
-    body = body.select("doc_id", "line_no", F.explode(F.array(text_line(F.col("line")))).alias("item")).where("item is not null")  # computed once
+    body = lines.join(head, "doc_id").where(F.col("line_no") > F.col("head")).where(~G.is_skipped_line("line"))
+    stopped = F.max(G.is_text_footer("line").cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    body = body.withColumn("stopped", stopped).where("stopped = 0").where(F.size(F.filter(F.split(F.trim("line"), r"\s{2,}|\t"), lambda p: F.trim(p) != "")) >= 2)
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return body.withColumn("line_number", number).where(G.valid_product_line(F.col("item.ref"), F.col("item.price"), F.col("item.qty"), F.col("item.designation"))).select("doc_id", "line_number", "item.*")
+    body = body.withColumn("line_number", number).select("doc_id", "line_number", F.explode(F.array(text_line(F.col("line")))).alias("item")).where("item is not null")  # computed once
+    return body.where(G.valid_product_line(F.col("item.ref"), F.col("item.price"), F.col("item.qty"), F.col("item.designation"))).select("doc_id", "line_number", "item.*")
+
+
+def spatial_or_text(spatial: DataFrame, text: DataFrame) -> DataFrame:
+    """EXT8: the lines of the spatial table of a document, or those of its text table where there are none. Both: doc_id and equal columns."""
+    rest = text.join(spatial.select("doc_id").distinct(), "doc_id", "left_anti")
+    return spatial.withColumn("by", F.lit("SPATIAL")).unionByName(rest.withColumn("by", F.lit("TEXT")))
 
 
 def word_rows(words: DataFrame, keys: list[str], gap: int = ROW_GAP) -> DataFrame:
@@ -266,7 +294,7 @@ def word_rows(words: DataFrame, keys: list[str], gap: int = ROW_GAP) -> DataFram
 
 
 def column_headers(rows: DataFrame, keys: list[str], search_rows: int = 120) -> DataFrame:
-    """WIN3: the header row's columns: keys, row, name, x_min, x_max. Spans of one to three words; three columns needed, else two."""
+    """WIN3: the header row's columns: keys, row, name, x_min, x_max. Shorter spans of one to three words first; three columns needed, else two."""
     w = Window.partitionBy(*keys, "row").orderBy("x", "ord")
     at = rows.where(F.col("row") < search_rows)
     for k in (1, 2):
@@ -317,7 +345,7 @@ def cell_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
     confs = [F.col(f"{n}.confidence") for n in ("ref_produit", "designation", "qty", "prix_unitaire", "total_ligne_ht")]
     conf = F.coalesce(F.least(*confs), F.lit(0.5))
     out = wide.select(
-        *keys, "row", X.safe_reference(value["ref_produit"]).alias("ref_produit"), value["designation"].alias("designation"), X.quantity(value["qty"])["value"].alias("qty"),
+        *keys, "row", X.safe_reference(value["ref_produit"]).alias("ref_produit"), value["designation"].alias("designation"), X.quantity(value["qty"])["value"].alias("qty"), value["unit"].alias("unit"),
         X.money(value["prix_unitaire"])["value"].alias("prix_unitaire"), X.number(F.regexp_replace(value["tva_rate"], "%", "")).alias("tva_rate"),
         X.money(value["total_ligne_ht"])["value"].alias("total_ligne_ht"), conf.alias("confidence"), (conf < 0.70).alias("low"),
     )
@@ -358,7 +386,8 @@ def first_json(text):
 
 EXTERNAL = (
     "struct<ref_document:string,ref_bc_linked:string,date:string,supplier:string,total_ht:string,total_ttc:string,tva_rate:string,"
-    "lines:array<struct<ref_produit:string,designation:string,qty:string,prix_unitaire:string,tva_rate:string,total_ligne_ht:string>>>"
+    "lines:array<struct<ref_produit:string,designation:string,qty:string,unit:string,prix_unitaire:string,tva_rate:string,total_ligne_ht:string,"
+    "ref_confidence:double,designation_confidence:double>>>"
 )
 
 
@@ -366,8 +395,11 @@ def mapped_external(docs: DataFrame) -> DataFrame:
     """EXT13, EXT14: documents from external JSON (columns doc_id, first_try, second_try), the second try where the first
     does not parse; confidence 0.70, tier 3."""
     at = docs.withColumn("j", F.coalesce(F.from_json(first_json("first_try"), EXTERNAL), F.from_json(first_json("second_try"), EXTERNAL)))
+    polished = lambda x: polished_reference(x["ref_produit"], F.coalesce(x["ref_confidence"], F.lit(1.0)))
+    described = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x["designation_confidence"], F.lit(1.0))))
     line = lambda x: F.struct(
-        X.safe_reference(x["ref_produit"]).alias("ref_produit"), x["designation"].alias("designation"), X.quantity(x["qty"])["value"].alias("qty"),
+        X.safe_reference(polished(x)["ref"]).alias("ref_produit"), x["designation"].alias("designation"), x["unit"].alias("unit"),
+        F.least(polished(x)["confidence"], described(x)).alias("line_confidence"), X.quantity(x["qty"])["value"].alias("qty"),
         X.scale_corrected(X.quantity(x["qty"])["value"], X.money(x["prix_unitaire"])["value"], X.money(x["total_ligne_ht"])["value"]).cast(X.NUMBER).alias("prix_unitaire"),
         X.number(x["tva_rate"]).alias("tva_rate"), X.money(x["total_ligne_ht"])["value"].alias("total_ligne_ht"),
     )
@@ -378,6 +410,16 @@ def mapped_external(docs: DataFrame) -> DataFrame:
     )
 
 
+def attach_pages(groups: DataFrame, pages: DataFrame) -> DataFrame:
+    """JN22: the page facts (job_id, page_number and more) of each document group (job_id, group_no, pages), one row a page of the group."""
+    return groups.select("job_id", "group_no", F.explode("pages").alias("page_number")).join(pages, ["job_id", "page_number"])
+
+
+def lines_by_type(lines: DataFrame) -> DataFrame:
+    """AGG21: mined lines of each document type."""
+    return lines.groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_context(text: Column, token: Column, width: int = 5) -> Column:
     """WIN8: the words around the first word that contains a token."""
     words = F.split(text, r"\s+")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.functions.similarity import fuzz_column
+from ledgerloom.functions.similarity import fuzz_column, ratio_column
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 ISSUER_LABELS = ("fournisseur", "vendeur", "emetteur", "émetteur", "société", "societe", "raison sociale", "de :", "de:", "from:")
@@ -25,6 +25,7 @@ COLUMNS = {
 TOKEN = r"([A-Za-z0-9][A-Za-z0-9.\-/]{2,18}[A-Za-z0-9])"
 PROMOTE_AT, KEEP, TOP = 3, 12, 8
 ENRICH_AT, CREATE_AT = 0.35, 0.20
+SAME_NAME = 0.85
 # --------------------------------------------------------------------------------------------------------------------
 
 
@@ -41,24 +42,27 @@ def containing_supplier(texts: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 def profile_scores(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     """JN16: doc_id, name, score of the best profile. profiles: name, siret, vat_number, name_aliases, keywords,
-    ref_patterns. The weights are summed over the checks a profile allows and divided by their number."""
-    up = texts.select("doc_id", "detected_name", F.upper(X.fold_accents("text")).alias("__t"))
+    ref_patterns. The weights of the checks that count are summed and divided by their number; keywords count wherever a profile has some. Of equal scores
+    the last name counts. Names are compared once a distinct pair, and only pairs whose lengths allow the similarity."""
+    up = texts.select("doc_id", "detected_name", F.col("text").alias("__raw"), F.upper("text").alias("__t"))
     at = up.join(profiles, F.lit(True))
-    inside = lambda v: F.coalesce((v != "") & F.col("__t").contains(F.upper(X.fold_accents(v))), F.lit(False))
+    names = at.select(F.upper("detected_name").alias("__d"), F.upper("name").alias("__n")).where("__d <> '' and __n <> ''").distinct()
+    alike = names.where(F.abs(F.length("__d") - F.length("__n")) <= F.lit(1 - SAME_NAME) * (F.length("__d") + F.length("__n")))
+    alike = alike.withColumn("__alike", ratio_column("__d", "__n") >= 100 * SAME_NAME).where("__alike")
+    at = at.join(alike, (F.upper("detected_name") == F.col("__d")) & (F.upper("name") == F.col("__n")), "left")
+    inside = lambda v: F.coalesce((F.length(v) >= 3) & F.col("__t").contains(F.upper(v)), F.lit(False))
+    exact = lambda v: F.coalesce((v != "") & F.col("__raw").contains(v), F.lit(False))
     n = lambda c: (F.coalesce(F.size(c), F.lit(0)) > 0)
-    words = F.size(F.filter("keywords", lambda k: F.col("__t").contains(F.upper(k)))) / F.greatest(F.size("keywords"), F.lit(1))
+    words = F.size(F.filter("keywords", lambda k: (k != "") & F.col("__t").contains(F.upper(k)))) / F.greatest(F.size("keywords"), F.lit(1))
     checks = [
-        (F.coalesce(F.col("name") != "", F.lit(False)), F.when(inside(F.col("name")), 0.70).when(X.supplier_key("detected_name") == X.supplier_key("name"), 0.30).otherwise(0.0)),
-        (n("name_aliases"), F.when(F.exists("name_aliases", inside), 0.50).otherwise(0.0)),
-        (F.coalesce(F.col("siret") != "", F.lit(False)), F.when(inside(F.col("siret")), 0.90).otherwise(0.0)),
-        (F.coalesce(F.col("vat_number") != "", F.lit(False)), F.when(inside(F.col("vat_number")), 0.90).otherwise(0.0)),
-        (n("keywords"), words * 0.40),
-        (n("ref_patterns"), F.when(F.exists("ref_patterns", lambda p: F.regexp_like(F.col("__t"), p)), 0.30).otherwise(0.0)),
+        (inside(F.col("name")), F.lit(0.70)), (F.coalesce("__alike", F.lit(False)), F.lit(0.30)), (F.coalesce(F.exists("name_aliases", inside), F.lit(False)), F.lit(0.50)),
+        (exact(F.col("siret")), F.lit(0.90)), (exact(F.col("vat_number")), F.lit(0.90)), (n("keywords"), words * 0.40),
+        (F.coalesce(F.exists("ref_patterns", lambda p: F.regexp_like(F.col("__t"), p)), F.lit(False)), F.lit(0.30)),
     ]
     total, used = F.lit(0.0), F.lit(0)
-    for allowed, weight in checks:
-        total, used = total + F.when(allowed, weight).otherwise(0.0), used + allowed.cast("int")
-    scored = at.withColumn("score", F.least(F.lit(1.0), total / F.greatest(used, F.lit(1))))
+    for counted, weight in checks:
+        total, used = total + F.when(counted, weight).otherwise(0.0), used + counted.cast("int")
+    scored = at.withColumn("score", F.least(F.lit(1.0), total / F.greatest(used, F.lit(1)))).where("score > 0")
     return scored.groupBy("doc_id").agg(F.max_by(F.struct("name", "score"), F.struct("score", F.col("name"))).alias("b")).select("doc_id", "b.name", "b.score")
 
 

@@ -67,16 +67,15 @@ def classify_cascade(spark, sf_dir):
     return at.select("job_id", "page_number", F.col("c.type").alias("final_type"), F.col("c.tier").alias("tier"))
 
 
-@register("continuation_pages", "FLT9 FLT10", f"with {_PAGES} select job_id, page_number from p where regexp_matches(upper(text), 'PAGE\\s+\\d+\\s+(OF|SUR|DE)\\s+\\d+|\\bSUITE\\b|(^|\\W)\\d{{1,2}}\\s*/\\s*\\d{{1,2}}([^\\w\\s]|$)')")
+@register("continuation_pages", "FLT9", f"with {_PAGES} select job_id, page_number from p where regexp_matches(upper(text), 'PAGE\\s+\\d+\\s+(OF|SUR|DE)\\s+\\d+|\\bSUITE\\b|(^|\\W)\\d{{1,2}}\\s*/\\s*\\d{{1,2}}([^\\w\\s]|$)')")
 def continuation_pages(spark, sf_dir):
     return _pages(spark, sf_dir).where(G.is_continuation("text")).select("job_id", "page_number")
 
 
 @register("ref_hint", "CLS4", f"""with {_PAGES} select job_id, page_number, coalesce(nullif(regexp_extract(up, '(?:N[°o]?\\s*)?BC[-\\s/]?\\d{{2,4}}[-\\s/]?\\d{{2,6}}'), ''), nullif(regexp_extract(up, '(?:N[°o]?\\s*)?BL[-\\s/]?\\d{{2,4}}[-\\s/]?\\d{{2,6}}'), ''),
-  nullif(regexp_extract(up, '(?:N[°o]?\\s*)?FAC[-\\s/]?\\d{{2,4}}[-\\s/]?\\d{{2,6}}'), ''), '') hint from (select *, upper(text) up from p where page_number <> 3 and not (page_number = 1 and job_id % 3 = 2))""")
+  nullif(regexp_extract(up, '(?:N[°o]?\\s*)?FAC[-\\s/]?\\d{{2,4}}[-\\s/]?\\d{{2,6}}'), ''), nullif(regexp_extract(up, '\\d{{4}}[-/]\\d{{3,6}}'), ''), '') hint from (select *, upper(text) up from p)""")
 def ref_hint(spark, sf_dir):
-    at = _pages(spark, sf_dir).where("page_number <> 3 and not (page_number = 1 and job_id % 3 = 2)")
-    return at.select("job_id", "page_number", D.reference_hint(F.col("text")).alias("hint"))
+    return _pages(spark, sf_dir).select("job_id", "page_number", D.reference_hint(F.col("text")).alias("hint"))
 
 
 @register("page_groups", "WIN1 AGG10", f"""with {_CLASS}, g as (select job_id, page_number, doc_type, confidence, case when doc_type = 'BC' and page_number = 1 then 0 else page_number end grp from c where doc_type <> 'RECEPTION')
@@ -86,48 +85,74 @@ def page_groups(spark, sf_dir):
     return D.group_pages(at).select("job_id", "group_no", "doc_type", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "confidence")
 
 
-@register("header_extract", "EXT1 EXT2 EXT9", f"""with {_PAGES} select job_id, 'BC-2024-' || lpad(job_id::varchar, 6, '0') pattern_ref, strptime(regexp_extract(text, 'DATE: (\\S+)', 1), '%d/%m/%Y')::date document_date from p where page_number = 0""")
+def _header(patterns: tuple[str, ...], x: str = "upper(text)") -> str:
+    return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract({x}, {_sql_regex(p)}, 1)), '')" for p in patterns) + ")"
+
+
+_HEADS = ", ".join(f"{_header(ps)} {name}" for name, ps in D.HEADERS.items() if name in ("ref_bc", "ref_bl", "ref_facture", "ref_bc_linked", "date"))
+
+
+@register("header_extract", "EXT1 EXT2", f"""with {_PAGES}, h as (select job_id, {_HEADS} from p where page_number = 0)
+select job_id, ref_bc ref_document, strptime(\"date\", '%d/%m/%Y')::date document_date, case when \"date\" is null then 0 else 0.85 end::double confidence from h where ref_bc is not null""")
 def header_extract(spark, sf_dir):
-    pages = _pages(spark, sf_dir).where("page_number = 0")
-    ref = D.header_field(F.col("text"), D.HEADERS["ref_bc"][2:])["value"]
-    return pages.select("job_id", ref.alias("pattern_ref"), X.date(D.header_field(F.col("text"), D.HEADERS["date"])["value"]).alias("document_date"))
+    docs = _pages(spark, sf_dir).where("page_number = 0").select(F.col("job_id").alias("doc_id"), "text")
+    return D.extract_header(docs, "BC").select(F.col("doc_id").alias("job_id"), "ref_document", "document_date", "confidence")
 
 
-@register("invoice_header", "EXT4 NUM3", f"""with {_PAGES} select o_orderkey job_id, (o_totalprice::decimal(18, 3) * case when o_totalprice >= 10000 then 1000 else 1 end)::double total_ht, 19::double tva_rate, 0::double confidence from orders""")
+@register("aliased_header", "EXT9", f"""with {_PAGES}, a as (select job_id, replace(replace(upper(text), 'LIGNES', 'N°BC: Z9-77'), 'BON DE COMMANDE N°', 'PIECE ') as t from p where page_number = 0)
+select job_id, {_header(D.HEADERS["ref_bc"], "t")} ref_document from a""")
+def aliased_header(spark, sf_dir):
+    """A supplier that names the order's number otherwise."""
+    text = D.with_aliases(F.col("text"), {"Lignes": "N°BC: Z9-77", "bon de commande n°": "piece "})
+    return _pages(spark, sf_dir).where("page_number = 0").select("job_id", D.header_field(text, D.HEADERS["ref_bc"])["value"].alias("ref_document"))
+
+
+@register("invoice_header", "EXT4 NUM3", f"""with {_PAGES}, h as (select job_id, {_HEADS} from p where page_number = 2)
+select job_id, ref_facture ref_document, ref_bc_linked, (o_totalprice::decimal(18, 3) * case when o_totalprice >= 10000 then 1000 else 1 end)::double total_ht, 19::double tva_rate, 0::double confidence from h join orders on o_orderkey = job_id""")
 def invoice_header(spark, sf_dir):
     docs = _pages(spark, sf_dir).where("page_number = 2").select(F.col("job_id").alias("doc_id"), "text")
-    return D.extract_header(docs, "FACTURE").select(F.col("doc_id").alias("job_id"), F.col("total_ht").cast("double").alias("total_ht"), F.col("tva_rate").cast("double").alias("tva_rate"), "confidence")
+    return D.extract_header(docs, "FACTURE").select(F.col("doc_id").alias("job_id"), "ref_document", "ref_bc_linked", F.col("total_ht").cast("double").alias("total_ht"), F.col("tva_rate").cast("double").alias("tva_rate"), "confidence")
 
 
-@register("delivery_header", "EXT3")
+@register("delivery_header", "EXT3", f"""with {_PAGES}, h as (select job_id, {_HEADS} from p where page_number = 1)
+select job_id doc_id, ref_bl ref_document, case when ref_bl is null or \"date\" is null then 0 else 0.85 end::double confidence from h""")
 def delivery_header(spark, sf_dir):
-    docs = _pages(spark, sf_dir).where("page_number = 1 and job_id % 3 = 1").select(F.col("job_id").alias("doc_id"), "text")
+    docs = _pages(spark, sf_dir).where("page_number = 1").select(F.col("job_id").alias("doc_id"), "text")
     return D.extract_header(docs, "BL").select("doc_id", "ref_document", "confidence")
 
 
-_LINES = """t as (select l_orderkey doc_id, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) + 1 as line_no, 'P' || lpad(l_partkey::varchar, 9, '0') as ref, l_quantity::bigint qty, floor(l_extendedprice)::bigint total from lineitem)"""
+_LINES = """t as (select l_orderkey doc_id, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) + 1 as line_no, 'P' || lpad(l_partkey::varchar, 9, '0') as ref, l_quantity::bigint qty, floor(l_extendedprice)::bigint total, l_partkey % 4 as kind from lineitem)"""
 
 
 def _text_lines(spark, sf_dir) -> DataFrame:
-    """Rendered text tables: a header, one line an item, a totals line."""
+    """Rendered text tables: a caption, a header, a caption of totals without a number, one line an item in four layouts, a totals line and a line after it."""
     from pyspark.sql import Window
 
     li = P.table(spark, sf_dir, "lineitem")
     no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")) + 1
     gap = F.lit("   ")
     s = lambda c: c.cast("string")
-    item = F.concat(F.lit("P"), F.lpad(s(F.col("l_partkey")), 9, "0"), gap, F.lit("ARTICLE DIVERS"), gap, s(F.col("l_quantity").cast("long")), gap, F.lit("2,500"), gap, s(F.floor("l_extendedprice").cast("long")), gap, F.lit("19%"))
-    items = li.select(F.col("l_orderkey").alias("doc_id"), no.alias("line_no"), item.alias("line"))
+    ref, qty, total = F.concat(F.lit("P"), F.lpad(s(F.col("l_partkey")), 9, "0")), s(F.col("l_quantity").cast("long")), s(F.floor("l_extendedprice").cast("long"))
+    kind = F.col("l_partkey") % 4
+    item = (
+        F.when(kind == 0, F.concat(ref, gap, F.lit("ARTICLE DIVERS"), gap, qty, gap, F.lit("2,500"), gap, total, gap, F.lit("19%")))
+        .when(kind == 1, F.concat(F.lit("  "), ref, F.lit("\t"), F.lit("ARTICLE DIVERS"), gap, qty, gap, F.lit("2,500"), gap, total))
+        .when(kind == 2, F.concat(F.lit("7 %"), gap, ref, gap, F.lit("ARTICLE"), gap, qty, gap, F.lit("2,500"), gap, F.lit("TYPE B"), gap, total))
+        .otherwise(F.concat(ref, gap, qty))
+    )
+    items = li.select(F.col("l_orderkey").alias("doc_id"), (no + 2).alias("line_no"), item.alias("line"))
     ends = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
-    head = ends.select("doc_id", F.lit(1).alias("line_no"), F.lit("REF   DESIGNATION   QTE   P.U   MONTANT").alias("line"))
-    foot = ends.select("doc_id", (F.col("n") + 2).cast("int").alias("line_no"), F.lit("TOTAL HT : 1 000,000").alias("line"))
-    return items.unionByName(head).unionByName(foot)
+    row = lambda at, text: ends.select("doc_id", at.cast("int").alias("line_no"), F.lit(text).alias("line"))
+    out = items
+    for at, text in ((F.lit(1), "QTE 2024"), (F.lit(2), "CODE   DÉSIGNATION   QTE   P.U"), (F.lit(3), "TOTAL TTC"), (F.col("n") + 4, "TOTAL HT : 1 000,000"), (F.col("n") + 5, "P1   APRES   5   6")):
+        out = out.unionByName(row(at, text))
+    return out
 
 
-@register("text_table", "EXT5 WIN5 WIN7 FLT7 FLT11 FLT13", f"with {_LINES} select doc_id, (line_no - 1)::int line_number, ref, qty::double qty, 2.5::double price, total::double total, 19::double tva_rate, 0.75::double confidence from t")
+@register("text_table", "EXT5 WIN5 WIN7 FLT7 FLT11 FLT13", f"with {_LINES} select doc_id, (line_no - 1)::int line_number, ref, case kind when 2 then 'ARTICLE TYPE B' when 3 then null else 'ARTICLE DIVERS' end designation, qty::double qty, case when kind < 3 then 2.5::double end price, case when kind < 3 then total::double end total, case kind when 0 then 19 when 2 then 7 end::double tva_rate, 0.75::double confidence from t")
 def text_table(spark, sf_dir):
     d = lambda c: F.col(c).cast("double").alias(c)
-    return D.text_items(_text_lines(spark, sf_dir)).select("doc_id", "line_number", "ref", d("qty"), d("price"), d("total"), d("tva_rate"), "confidence")
+    return D.text_items(_text_lines(spark, sf_dir)).select("doc_id", "line_number", "ref", "designation", d("qty"), d("price"), d("total"), d("tva_rate"), "confidence")
 
 
 _BOX = """b as (select l_orderkey doc_id, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) as i, l_partkey, l_quantity, l_extendedprice from lineitem)"""
@@ -145,15 +170,15 @@ def _boxes(spark, sf_dir) -> DataFrame:
         return F.struct(text.cast("string").alias("text"), F.lit(x).alias("x"), F.lit(dy).alias("dy"))
 
     items = at.select("doc_id", "i", F.posexplode(F.array(
-        word(F.concat(F.lit("P"), F.col("l_partkey").cast("string")), 10, 0), word(F.lit("VIS"), 110, 2), word(F.col("l_quantity").cast("long"), 210, 4), word(F.floor("l_extendedprice").cast("long"), 310, 5),
+        word(F.concat(F.lit("P"), F.col("l_partkey").cast("string")), 10, 0), word(F.lit("VIS"), 110, 2), word(F.col("l_quantity").cast("long"), 210, 4), word(F.lit("PCE"), 310, 1), word(F.floor("l_extendedprice").cast("long"), 410, 5),
     )).alias("k", "w"))
-    head = at.select("doc_id").distinct().select("doc_id", F.lit(0).alias("i"), F.posexplode(F.array(word(F.lit("REF"), 10, 0), word(F.lit("DESIGNATION"), 110, 0), word(F.lit("QTE"), 210, 0), word(F.lit("MONTANT"), 310, 0))).alias("k", "w"))
+    head = at.select("doc_id").distinct().select("doc_id", F.lit(0).alias("i"), F.posexplode(F.array(word(F.lit("REF"), 10, 0), word(F.lit("DESIGNATION"), 110, 0), word(F.lit("QTE"), 210, 0), word(F.lit("UNITE"), 310, 0), word(F.lit("MONTANT HT"), 410, 0))).alias("k", "w"))
     return items.unionByName(head).select(
         "doc_id", (F.col("i") * 10 + F.col("k")).alias("ord"), "w.text", "w.x", (F.col("i") * 20 + F.col("w.dy")).alias("y"), F.lit(50).alias("w"), F.lit(15).alias("h"), F.lit(85.0).alias("conf")
     )
 
 
-@register("word_rows", "SRC10 WIN2", f"with {_BOX} select doc_id, i * 10 + k as \"ord\", i::int as \"row\" from b, (select unnest(range(0, 4)) k) union all select distinct doc_id, k, 0 from b, (select unnest(range(0, 4)) k)")
+@register("word_rows", "WIN2", f"with {_BOX} select doc_id, i * 10 + k as \"ord\", i::int as \"row\" from b, (select unnest(range(0, 5)) k) union all select distinct doc_id, k, 0 from b, (select unnest(range(0, 5)) k)")
 def word_rows(spark, sf_dir):
     return D.word_rows(_boxes(spark, sf_dir), ["doc_id"]).select("doc_id", F.col("ord").cast("long").alias("ord"), "row")
 
@@ -162,17 +187,17 @@ def _columns(rows: DataFrame) -> DataFrame:
     return D.column_bounds(D.column_headers(rows, ["doc_id"]), ["doc_id"], F.lit(1000.0))
 
 
-@register("column_bounds", "WIN3 WIN4", f"""with {_BOX}, c as (select distinct doc_id, unnest([('ref_produit', 10), ('designation', 110), ('qty', 210), ('total_ligne_ht', 310)]) z from b)
+@register("column_bounds", "WIN3 WIN4", f"""with {_BOX}, c as (select distinct doc_id, unnest([('ref_produit', 10), ('designation', 110), ('qty', 210), ('unit', 310), ('total_ligne_ht', 410)]) z from b)
 select doc_id, z[1] as \"name\", coalesce((lag(z[2] + 50) over w + z[2]) / 2.0, 0)::double low, coalesce((z[2] + 50 + lead(z[2]) over w) / 2.0, 1000)::double high from c window w as (partition by doc_id order by z[2])""")
 def column_bounds(spark, sf_dir):
     return _columns(D.word_rows(_boxes(spark, sf_dir), ["doc_id"])).select("doc_id", "name", "low", "high")
 
 
-@register("spatial_table", "EXT6 EXT7 EXT8 AGG20 FLT12", f"with {_BOX} select doc_id, i::int as \"row\", 'P' || l_partkey ref_produit, 'VIS' designation, l_quantity::bigint::double qty, floor(l_extendedprice)::double total_ligne_ht, 0.85::double confidence from b")
+@register("spatial_table", "EXT6 EXT7 AGG20 FLT12", f"with {_BOX} select doc_id, i::int as \"row\", 'P' || l_partkey ref_produit, 'VIS' designation, l_quantity::bigint::double qty, 'PCE' unit, floor(l_extendedprice)::double total_ligne_ht, 0.85::double confidence from b")
 def spatial_table(spark, sf_dir):
     rows = D.word_rows(_boxes(spark, sf_dir), ["doc_id"])
     out = D.cell_lines(D.table_cells(rows, _columns(rows), ["doc_id"]), ["doc_id"])
-    return out.select("doc_id", "row", "ref_produit", "designation", F.col("qty").cast("double").alias("qty"), F.col("total_ligne_ht").cast("double").alias("total_ligne_ht"), "confidence")
+    return out.select("doc_id", "row", "ref_produit", "designation", F.col("qty").cast("double").alias("qty"), "unit", F.col("total_ligne_ht").cast("double").alias("total_ligne_ht"), "confidence")
 
 
 @register("page_sources", "SRC2 SRC4 AGG19", "select o_custkey job_id, count(*)::bigint n_pages, sum((o_orderkey % 100 > 50 and o_shippriority_ < 0.3)::int)::bigint native, sum((not (o_orderkey % 100 > 50 and o_shippriority_ < 0.3))::int)::bigint scanned from (select *, (o_orderkey % 7) / 10.0 as o_shippriority_ from orders) group by 1")
@@ -181,7 +206,7 @@ def page_sources(spark, sf_dir):
     return count_pages(o)
 
 
-@register("text_source", "SRC5 SRC6 SRC7 SRC8", """select doc_id, case when doc_id % 3 = 0 and (doc_id % 10) / 10.0 < 0.7 then 'TRANSCRIPTION' else 'OCR' end as "source", case when doc_id % 3 = 0 and (doc_id % 10) / 10.0 < 0.7 then 1 else len(text) end::int n from documents""")
+@register("text_source", "SRC7 SRC8", """select doc_id, case when doc_id % 3 = 0 and (doc_id % 10) / 10.0 < 0.7 then 'TRANSCRIPTION' else 'OCR' end as "source", case when doc_id % 3 = 0 and (doc_id % 10) / 10.0 < 0.7 then 1 else len(text) end::int n from documents""")
 def text_source(spark, sf_dir):
     c = D.chosen_text(F.col("text"), (F.col("doc_id") % 10) / 10, F.when(F.col("doc_id") % 3 == 0, F.lit("t")))
     return P.table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.source", F.length("c.text").alias("n"))
@@ -243,7 +268,7 @@ select doc_id, n_errors, n_warnings, n_errors = 0 is_valid, array_to_string(list
   case when bq > 0 then 'qty' end, case when r = '' then 'ref_document' end, case when nr > 0 then 'ref_produit' end, case when bm > 0 then 'total_ligne_ht' end], lambda x: x is not null), ',') findings from e"""
 
 
-@register("validate_order", "VAL1 VAL5", _validation_sql("BC"))
+@register("validate_order", "VAL1", _validation_sql("BC"))
 def validate_order(spark, sf_dir):
     return _validated(spark, sf_dir, "BC")
 

@@ -77,7 +77,7 @@ def line_verdicts(spark, sf_dir):
     return _exact_lines(spark, sf_dir)
 
 
-@register("global_verdict", "AGG1 AGG2 AGG3 VRD7 SNK2 SNK4", _EXACT + """ select job_id, global_verdict, case when global_verdict in ('REVIEW', 'INCOMPLETE')
+@register("global_verdict", "AGG1 AGG2 AGG3 VRD7", _EXACT + """ select job_id, global_verdict, case when global_verdict in ('REVIEW', 'INCOMPLETE')
   then 'REVIEW_REQUIRED' else 'COMPLETED' end status, total_lines, match_count, mismatch_count, missing_count, extra_count, low_confidence_count from jobs""")
 def global_verdict(spark, sf_dir):
     return _exact_jobs(spark, sf_dir)
@@ -103,7 +103,7 @@ def missing_lines(spark, sf_dir):
     return bc.join(P.invoice_lines(bc).select("job_id", "ref"), ["job_id", "ref"], "left_anti").select("job_id", "ref", "ord")
 
 
-@register("extra_lines", "JN10 SET4", WITH + """ select f.job_id, f.ref, f.ord from fac f where not exists (select 1 from orders_ o where f.job_id = o.job_id and f.ref = o.ref)""")
+@register("extra_lines", "SET4", WITH + """ select f.job_id, f.ref, f.ord from fac f where not exists (select 1 from orders_ o where f.job_id = o.job_id and f.ref = o.ref)""")
 def extra_lines(spark, sf_dir):
     bc = P.order_lines(spark, sf_dir)
     return P.invoice_lines(bc).join(bc.select("job_id", "ref"), ["job_id", "ref"], "left_anti").select("job_id", "ref", "ord")
@@ -128,7 +128,7 @@ def bc_consolidate(spark, sf_dir):
     return M.consolidate_orders(bc).select("job_id", "ref", F.col("price").alias("price_m"), "qty", "idx")
 
 
-@register("link_documents", "JN5 JN6", """with k as (select o_orderkey job_id, 'BC2024' || lpad(o_orderkey::varchar, 8, '0') a,
+@register("link_documents", "JN5", """with k as (select o_orderkey job_id, 'BC2024' || lpad(o_orderkey::varchar, 8, '0') a,
   case o_orderkey % 6 when 0 then null when 1 then 'BC-2024/' || lpad(o_orderkey::varchar, 8, '0') when 2 then 'BC2O24' || lpad(o_orderkey::varchar, 8, '0')
     when 3 then 'BC2O24' || lpad(o_orderkey::varchar, 8, '0') || 'Z' when 4 then 'ZZ2024' || lpad(o_orderkey::varchar, 8, '0') || 'Z' else 'BC2024' || lpad(o_orderkey::varchar, 8, '0') end b from orders),
 n as (select *, regexp_replace(a, '[^A-Z0-9]', '', 'g') x, regexp_replace(coalesce(b, ''), '[^A-Z0-9]', '', 'g') y from k),
@@ -197,7 +197,7 @@ def scale_correct(spark, sf_dir):
     return P.order_lines(spark, sf_dir).select("job_id", "ord", X.scale_corrected(F.col("qty"), (F.col("price_m") * m).cast("double"), F.col("qty") * F.col("price_m")).alias("corrected"))
 
 
-@register("line_math_check", "EXT7 NUM6", """select l_orderkey job_id, l_linenumber line, l_quantity qty,
+@register("line_math_check", "EXT7", """select l_orderkey job_id, l_linenumber line, l_quantity qty,
   (abs(floor(l_extendedprice * (1 - l_discount) * 1000) - floor(l_extendedprice * 1000)) <= greatest(20, 0.01::double * floor(l_extendedprice * 1000))) ok from lineitem""")
 def line_math_check(spark, sf_dir):
     from ledgerloom.operators.validation import line_math
@@ -291,7 +291,7 @@ def _sides(spark, sf_dir):
     return shape(bc0, seq), M.merge_deliveries(bl), aliased, totals
 
 
-@register("three_way_match", "JN1 JN2 JN3 JN7 JN11 VRD1 VRD3 VRD4 VRD5 SET1 SNK2")
+@register("three_way_match", "JN1 JN2 JN3 JN7 JN11 VRD1 VRD3 VRD4 SET1")
 def three_way_match(spark, sf_dir):
     bc, bl, fac, totals = _sides(spark, sf_dir)
     return M.three_way_match(bc, bl, fac, totals).withColumn("mismatch_fields", F.array_join("mismatch_fields", ","))
@@ -340,7 +340,7 @@ def job_search(spark, sf_dir):
     return o.where(G.job_matches("e_77", name, G.status_label(status), X.shown_date("o_orderdate"))).select(F.col("o_orderkey").alias("job_id"))
 
 
-@register("audit_trail", "SRT2 SNK3", """select event_id, user_id actor, event_type, ts created_at, row_number() over (partition by user_id order by ts, event_id)::int as seq,
+@register("audit_trail", "SRT2", """select event_id, user_id actor, event_type, ts created_at, row_number() over (partition by user_id order by ts, event_id)::int as seq,
   cast(json_extract_string(props, '$.k') as bigint) page_number from events""")
 def audit_trail(spark, sf_dir):
     e = P.table(spark, sf_dir, "events")

@@ -48,12 +48,12 @@ def ref_normalize(spark, sf_dir):
     return _refs(spark, sf_dir).select("job_id", "line", X.match_key("raw").alias("key"))
 
 
-@register("ocr_numeric_fix", "NRM1 NRM2 NRM14", f"with {_REFS}, t as (select distinct raw, replace(raw, ' ', '') s from r) select raw, upper(trim({_OCR})) fixed from t")
+@register("ocr_numeric_fix", "NRM1 NRM2", f"with {_REFS}, t as (select distinct raw, replace(raw, ' ', '') s from r) select raw, upper(trim({_OCR})) fixed from t")
 def ocr_numeric_fix(spark, sf_dir):
     return _refs(spark, sf_dir).select("raw").distinct().select("raw", X.reference("raw").alias("fixed"))
 
 
-@register("desc_normalize", "NRM5 NRM7", f"select doc_id, trim(regexp_replace(lower({_fold('text')}), '[^a-z0-9 ]', '', 'g'), ' ') description from documents")
+@register("desc_normalize", "NRM7", f"select doc_id, trim(regexp_replace(lower({_fold('text')}), '[^a-z0-9 ]', '', 'g'), ' ') description from documents")
 def desc_normalize(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", X.description("text").alias("description"))
 
@@ -76,7 +76,7 @@ def _numbers(spark, sf_dir) -> DataFrame:
     return P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("line"), raw.alias("raw"))
 
 
-@register("french_number_parse", "NUM1 NUM2 NUM3 NRM3", f"""with {_NUMS}, c as (select *, regexp_replace(raw, '[^0-9.,]', '', 'g') s from f),
+@register("french_number_parse", "NUM1", f"""with {_NUMS}, c as (select *, regexp_replace(raw, '[^0-9.,]', '', 'g') s from f),
 k as (select *, len(s) - len(replace(s, ',', '')) c, len(s) - len(replace(s, '.', '')) d, len(regexp_extract(s, ',([0-9]*)$', 1)) a, coalesce(try_cast(regexp_extract(s, '^([0-9]*),', 1) as bigint), 0) w from c)
 select job_id, line, raw, try_cast(case when c = 1 and d = 0 then case when a <= 2 or a = 3 and w < 10000 then replace(s, ',', '.') else replace(s, ',', '') end when d = 1 and c = 0 then s
   when c = 1 then replace(replace(s, '.', ''), ',', '.') when d = 1 then replace(s, ',', '')
@@ -101,7 +101,7 @@ def date_normalize(spark, sf_dir):
 _NOISE = ", ".join(_lit(w) for w in X.SUPPLIER_NOISE)
 
 
-@register("supplier_name_key", "NRM8 NRM12 SRT3", f"""with n as (select s_suppkey, case s_suppkey % 3 when 0 then 'Sté ' || s_name || ' S.A.R.L' when 1 then 'Ets. ' || s_name || ' Tunisie' else 'SARL' end raw from supplier),
+@register("supplier_name_key", "NRM8 SRT3", f"""with n as (select s_suppkey, case s_suppkey % 3 when 0 then 'Sté ' || s_name || ' S.A.R.L' when 1 then 'Ets. ' || s_name || ' Tunisie' else 'SARL' end raw from supplier),
 t as (select *, regexp_extract_all(upper({_fold('raw')}), '[A-Z0-9]+') a from n), k as (select *, list_filter(a, lambda x: x not in ({_NOISE})) b from t)
 select s_suppkey, raw, array_to_string(case when len(b) > 0 then b else a end, '') "key" from k""")
 def supplier_name_key(spark, sf_dir):
@@ -138,20 +138,19 @@ def _sql_protected(v: str) -> str:
     return f"({_sql_code(v)} or (regexp_matches({v}, {_lit(G.DATE)}) and len({v}) <= 12) or " + " or ".join(f"regexp_matches({v}, {_lit(p)})" for p in (G.AMOUNT, G.FISCAL_ID, G.EMAIL, G.IBAN)) + ")"
 
 
-_ASCII = "regexp_matches(token, '^[\\x21-\\x7E]+$')"
+_ALNUM = "len(regexp_replace(token, '[^A-Za-z0-9]', '', 'g'))"
+_WORD = f"{_ALNUM} >= 2 and regexp_matches(token, '[A-Za-z]') and not ({_ALNUM} <= 10 and regexp_matches(token, '[0-9]') and len(regexp_replace(token, '[^0-9]', '', 'g')) > 0.40 * {_ALNUM})"
 
 
-@register("protected_values", "FLT1 FLT2 FLT4", f"with {_TOKENS} select token, {_sql_code('token')} code, {_sql_protected('token')} protected from w where {_ASCII}")
+@register("protected_values", "FLT1 FLT2", f"with {_TOKENS} select token, {_sql_code('token')} code, {_sql_protected('token')} protected from w")
 def protected_values(spark, sf_dir):
-    t = _tokens(spark, sf_dir).where(F.col("token").rlike(r"^[\x21-\x7E]+$"))
+    t = _tokens(spark, sf_dir)
     return t.select("token", G.looks_like_code("token").alias("code"), G.is_protected("token").alias("protected"))
 
 
-@register("dictionary_candidates", "FLT3", f"""with {_TOKENS} select token from w where {_ASCII} and not {_sql_protected('token')} and len(regexp_replace(token, '[^A-Za-z0-9]', '', 'g')) >= 2
-  and regexp_matches(token, '[A-Za-z]') and not (len(token) <= 10 and regexp_matches(token, '[0-9]') and len(regexp_replace(token, '[^0-9]', '', 'g')) > 0.40 * len(token))""")
+@register("dictionary_candidates", "FLT3", f"""with {_TOKENS} select token from w where not {_sql_protected('token')} and {_WORD}""")
 def dictionary_candidates(spark, sf_dir):
-    t = _tokens(spark, sf_dir).where(F.col("token").rlike(r"^[\x21-\x7E]+$"))
-    return t.where(G.is_dictionary_candidate("token")).select("token")
+    return _tokens(spark, sf_dir).where(G.is_dictionary_candidate("token")).select("token")
 
 
 @register("ocr_noise_tokens", "FLT8", f"with {_TOKENS} select token from w where len(token) <= 1 or len(regexp_replace(token, '[^\\p{{L}}\\p{{N}}]', '', 'g')) < 0.40 * len(token)")
@@ -179,8 +178,7 @@ _PAIRS = ", ".join(f"({_lit(a)}, {_lit(b)})" for a, b in D.VARIANTS)
 @register("ocr_variants", "DIC2", f"""with {_WORDS}, k as (select lower(raw) raw_form, arg_min(category, (ord, raw)) category from seedw where raw <> '' group by 1), p as (select * from (values {_PAIRS}) t(a, b)),
 v as (select distinct raw_form base, substr(raw_form, 1, instr(raw_form, a) - 1) || b || substr(raw_form, instr(raw_form, a) + len(a)) variant from k, p where contains(raw_form, a)),
 t as (select base, variant, variant as token from v where variant <> base and len(variant) >= 3)
-select base, variant from t where not {_sql_protected('token')} and len(regexp_replace(token, '[^A-Za-z0-9]', '', 'g')) >= 2 and regexp_matches(token, '[A-Za-z]')
-  and not (len(token) <= 10 and regexp_matches(token, '[0-9]') and len(regexp_replace(token, '[^0-9]', '', 'g')) > 0.40 * len(token))""")
+select base, variant from t where not {_sql_protected('token')} and {_WORD}""")
 def ocr_variants(spark, sf_dir):
     w = _seed_words(spark, sf_dir).select(F.lower("raw").alias("raw_form"), F.upper("raw").alias("canonical_form"), F.lit("PRODUCT").alias("category")).where("raw_form <> ''").distinct()
     return D.ocr_variants(w).select("base", "variant").distinct()
@@ -206,21 +204,22 @@ def dictionary_stats(spark, sf_dir):
     return D.statistics(_dictionary(spark, sf_dir))
 
 
-@register("dictionary_exact", "JN17 DIC9", f"with {_DICT} select w.raw, d.canonical_form, d.weight from (select distinct raw from seedw where raw <> '') w join dict d on lower(w.raw) = d.raw_form where d.verified and not d.ignored and d.weight > 0.7")
+@register("dictionary_exact", "JN17", f"with {_DICT} select w.raw, d.canonical_form, d.weight from (select distinct raw from seedw where raw <> '') w join dict d on lower(w.raw) = d.raw_form where d.verified and not d.ignored and d.weight > 0.7")
 def dictionary_exact(spark, sf_dir):
     words = _seed_words(spark, sf_dir).where("raw <> ''").select("raw").distinct()
     return words.join(D.usable(_dictionary(spark, sf_dir)), X.dictionary_key("raw") == F.col("raw_form")).select("raw", "canonical_form", "weight")
 
 
-@register("dictionary_fuzzy", "JN18", f"""with {_DICT}, m as (select distinct case when len(raw_form) > 4 then substr(raw_form, 1, 2) || 'q' || substr(raw_form, 4) end as k from dict),
-p as (select k, raw_form, canonical_form, weight, levenshtein(k, raw_form) d from m join dict on verified and not ignored and weight > 0.7 and k is not null where levenshtein(k, raw_form) <= 2)
+@register("dictionary_fuzzy", "JN18", f"""with {_DICT}, longer as (select * from dict union all select raw_form || repeat(raw_form, 8), canonical_form, category, weight, source, verified, ignored from dict),
+m as (select distinct substr(raw_form, 1, 2) || 'q' || substr(raw_form, 4) as k from longer),
+p as (select k, raw_form, canonical_form, weight, levenshtein(k, raw_form) d from m join longer on verified and not ignored and k is not null where levenshtein(k, raw_form) <= 2)
 select k "key", count(*)::bigint near, min(d)::int nearest from p group by k""")
 def dictionary_fuzzy(spark, sf_dir):
     """The candidates of the fuzzy lookup, which SQL can check; its scores are tested against brute force."""
     d = _dictionary(spark, sf_dir)
-    k = F.concat(F.substring("raw_form", 1, 2), F.lit("q"), F.substring("raw_form", 4, 100))
-    keys = d.where("length(raw_form) > 4").select(k.alias("key")).distinct()
-    return D.near_entries(keys, D.usable(d)).groupBy("key").agg(F.count(F.lit(1)).alias("near"), F.min("distance").alias("nearest"))
+    d = d.unionByName(d.withColumn("raw_form", F.concat("raw_form", F.repeat("raw_form", F.lit(8)))))
+    k = F.concat(F.substring("raw_form", 1, 2), F.lit("q"), F.substring("raw_form", 4, 1000))
+    return D.near_entries(d.select(k.alias("key")).distinct(), D.verified(d)).groupBy("key").agg(F.count(F.lit(1)).alias("near"), F.min("distance").alias("nearest"))
 
 
 @register("dictionary_correct", "DIC3 JN17 JN18")
@@ -249,12 +248,12 @@ def dictionary_insert(spark, sf_dir):
     return D.absent(d.where("length(raw_form) % 2 = 0"), d).select("raw_form")
 
 
-@register("cleanup_flags", "DIC10 FLT5 FLT6 NRM10", f"""with {_TOKENS}, t as (select token, lower(trim(token)) v, case len(token) % 2 when 0 then 'MANUAL' else 'MODEL' end source from w where regexp_matches(token, '^[A-Za-z0-9/._=x@-]+$')),
+@register("cleanup_flags", "FLT5 FLT6 NRM10", f"""with {_TOKENS}, t as (select token, lower(trim(token)) v, case len(token) % 2 when 0 then 'MANUAL' else 'MODEL' end source from w),
 h as (select *, (regexp_matches(v, {_lit(G.EMAIL)}) or regexp_matches(v, '^[0-9\\s.,/\\-]+$') or regexp_matches(v, {_lit(G.DATE)}) or regexp_matches(v, '^[a-z]{{2}}[0-9]{{2}}[0-9a-z]{{4,}}$') or regexp_matches(v, {_lit('(?i)' + G.FISCAL_ID)})
   or regexp_matches(v, '\\b(mf|m\\.f)\\s*[:\\-/]?\\s*[0-9]') or regexp_matches(v, '\\b(matricule\\s+fiscal|mat\\s+fiscal|code\\s+tva|c\\.?tva)\\b.*[0-9]') or regexp_matches(v, '[0-9]+\\s*[xX*]\\s*[0-9]+') or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[/_\\-=]'))) hard from t)
 select token, hard, (hard or (source <> 'MANUAL' and ((regexp_matches(v, '[a-z]') and regexp_matches(v, '[0-9]') and len(regexp_replace(v, '[^a-z0-9]', '', 'g')) >= 4) or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[/_.+\\-=]'))))) generated from h""")
 def cleanup_flags(spark, sf_dir):
-    t = _tokens(spark, sf_dir).where(F.col("token").rlike("^[A-Za-z0-9/._=x@-]+$"))
+    t = _tokens(spark, sf_dir)
     source = F.when(F.length("token") % 2 == 0, "MANUAL").otherwise("MODEL")
     return t.select("token", G.is_hard_protected("token").alias("hard"), G.looks_generated("token", source).alias("generated"))
 
@@ -292,7 +291,7 @@ def pattern_mining(spark, sf_dir):
     return S.mine_patterns(texts, "supplier")
 
 
-@register("pattern_promotion", "AGG13 STR4", """with e as (select l_suppkey supplier_key, l_returnflag || l_linestatus || (l_partkey % 50) pattern, l_orderkey doc_id from lineitem),
+@register("pattern_promotion", "AGG13", """with e as (select l_suppkey supplier_key, l_returnflag || l_linestatus || (l_partkey % 50) pattern, l_orderkey doc_id from lineitem),
 c as (select supplier_key, pattern, count(distinct doc_id)::bigint documents from e group by all having count(distinct doc_id) >= 3)
 select supplier_key, pattern, documents, place from (select *, row_number() over (partition by supplier_key order by documents desc, pattern)::int place from c) where place <= 12""")
 def pattern_promotion(spark, sf_dir):
@@ -309,7 +308,7 @@ def header_keywords(spark, sf_dir):
 _SUPPLIED = """d as (select doc_id, case when doc_id % 4 = 0 then text || ' ' || (select min(s_name) from supplier where s_suppkey = 1 + doc_id % 10) else text end as text from documents)"""
 
 
-@register("supplier_contains", "JN15 FLT15", f"with {_SUPPLIED} select doc_id, min(s_name) supplier_name from d join supplier on contains(upper({_fold('text')}), upper({_fold('s_name')})) group by doc_id")
+@register("supplier_contains", "JN15", f"with {_SUPPLIED} select doc_id, min(s_name) supplier_name from d join supplier on contains(upper({_fold('text')}), upper({_fold('s_name')})) group by doc_id")
 def supplier_contains(spark, sf_dir):
     sup = P.table(spark, sf_dir, "supplier")
     named = sup.select((F.col("s_suppkey") - 1).alias("k"), "s_name")
