@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
@@ -74,3 +74,19 @@ def assembled(documents: DataFrame, lines: DataFrame, results: DataFrame) -> Dat
     docs = documents.join(per_doc, ["job_id", "doc_id"], "left").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "doc_type", "lines"))).alias("documents"))
     done = F.col("status").isin("COMPLETED", "REVIEW_REQUIRED")
     return results.join(docs, "job_id", "left").select("job_id", "status", F.when(done, F.col("documents")).alias("documents"), F.when(~done, F.lit("not complete")).alias("message"))
+
+
+def alias_order(aliases: DataFrame, keys: DataFrame) -> DataFrame:
+    """SRT5: the active aliases of each job in the order of its supplier keys. aliases: id, supplier_key, is_active; keys: job_id, supplier_key, priority."""
+    at = aliases.where("is_active").join(keys, "supplier_key")
+    place = F.row_number().over(Window.partitionBy("job_id").orderBy("priority", "id"))
+    return at.select("job_id", "id", "supplier_key", "priority", place.alias("place"))
+
+
+def rematched(saved: DataFrame, again: DataFrame) -> DataFrame:
+    """VRD9: saved results (job_id, status and more) overwritten by those of a new run over the saved data; the job's status stays."""
+    fields = [c for c in saved.columns if c not in ("job_id", "status")]
+    new = again.select("job_id", F.struct(*fields).alias("__new"))
+    return saved.join(new, "job_id", "left").select(
+        "job_id", "status", *[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
+    )

@@ -18,7 +18,7 @@ class Entry:
     operators: tuple[str, ...]
 
 
-MODULES = ("reconcile", "texts", "pages")
+MODULES = ("reconcile", "texts", "pages", "forms", "flows")
 
 _ENTRIES: dict[str, Entry] = {}
 

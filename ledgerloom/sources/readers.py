@@ -48,9 +48,9 @@ def seed_aliases(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.transform(values, lambda v: F.replace(v, F.lit("''"), F.lit("'"))).alias("values")).where(F.size("values") >= 2)
 
 
-def job_documents(spark: SparkSession, path: str) -> DataFrame:
-    """SRC14: nested job results."""
-    return spark.read.schema(JOB).json(path, multiLine=True)
+def job_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC14: nested job results; a job a file, or with lines a job a line."""
+    return spark.read.schema(JOB).json(path, multiLine=not lines)
 
 
 def job_lines(jobs: DataFrame) -> DataFrame:

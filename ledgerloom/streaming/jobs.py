@@ -6,11 +6,13 @@ with the checkpoint makes results exactly-once. Learning never feeds back inside
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.operators.suppliers import KEEP, PROMOTE_AT
 
@@ -30,14 +32,26 @@ def run_batches(stream: DataFrame, batch: Callable[[DataFrame], DataFrame], targ
 
 
 def promoted_patterns(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """AGG13, STR4: evidence (supplier_key, pattern, doc_id) counted across micro-batches; patterns with PROMOTE_AT documents. State is
-    in the checkpoint, one row a pattern and document."""
-    seen = stream.dropDuplicates(["supplier_key", "pattern", "doc_id"]).groupBy("supplier_key", "pattern").agg(F.count(F.lit(1)).alias("documents"))
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.where(F.col("documents") >= PROMOTE_AT).write.mode("overwrite").parquet(target)
-
-    return seen.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """AGG13, STR4: evidence (supplier_key, pattern, doc_id) counted across micro-batches by keyed state; a pattern is written once, when its
+    PROMOTE_AT-th document is seen. State is at most PROMOTE_AT document ids a pattern."""
+    once = stream.dropna(subset=["supplier_key", "pattern", "doc_id"]).select(F.col("supplier_key").cast("string").alias("supplier_key"), "pattern", F.col("doc_id").cast("long").alias("doc_id"))
+    found = once.groupBy("supplier_key", "pattern").applyInPandasWithState(
+        _evidence, "supplier_key string, pattern string, documents long", "docs array<long>", "append", GroupStateTimeout.NoTimeout
+    )
+    return run_batches(found, lambda df: df, target, checkpoint)
+
+
+def _evidence(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    docs = set(state.get[0]) if state.exists else set()
+    promoted = len(docs) >= PROMOTE_AT
+    for part in parts:
+        for doc in part["doc_id"] if len(docs) < PROMOTE_AT else ():
+            docs.add(int(doc))
+            if len(docs) == PROMOTE_AT:
+                break
+    state.update((sorted(docs),))
+    if not promoted and len(docs) >= PROMOTE_AT:
+        yield pd.DataFrame({"supplier_key": [key[0]], "pattern": [key[1]], "documents": [len(docs)]})
 
 
 def with_dimension(stream: DataFrame, load: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
