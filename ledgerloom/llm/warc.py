@@ -3,8 +3,10 @@
 Writing. Of records with equal payloads of at least MIN_REVISIT bytes the one with the smallest page_id is a response,
 others revisit it; that is settled by a map-side combined aggregation over digests, joined back. Each record is made
 and compressed (a gzip member of its own) where its page is read, so only compressed records are moved. They are
-range-sorted by page_id; every range between two quantiles is a shard. A shard's task rolls to a new file once FILE_BYTES of compressed records
-are reached, writes each file under a temporary name of its own attempt and renames it to its final name, which holds
+range-sorted by page_id. A range is a run of cells of CELL_IDS ids with about SHARD_BYTES of payload (more in a very large input, so that there are SHARDS
+ranges at most), from exact sums over all rows; a cell heavier than that is split by a hash of page_id and digest. So shards, files and their bytes depend on the
+rows alone, not on settings or partitions. A shard's task rolls to a new file once FILE_BYTES of compressed records
+are reached, begins each file with a warcinfo record, writes it under a temporary name of its own attempt and renames it to its final name, which holds
 the shard's and the file's number. A repeated attempt or a lost executor thus leaves the same final files and at
 worst stray temporary ones, which no reader looks at. The tasks' manifest rows (file, records, bytes, sha256) are stored
 as a table; a file counts only if the manifest names it.
@@ -14,39 +16,45 @@ headers, block digests are recomputed, and a record that does not agree with its
 
 The folder may be in any store that pyarrow opens by its URI; it must be shared. Null html is an empty payload. A null
 url gives a record without target URI. Null page_ids sort first, have no identity, and neither revisit nor are
-revisited. Repeated rows of a page_id each get a record; with equal payloads each of them but the first response refers to it
-only if the page_id differs. Other columns are not read.
+revisited. Repeated rows of a page_id each get a record with an id of its own (a record's id comes from page_id and digest, and from its place among equal
+ones); they refer to another record only if its page_id differs. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._spark import partitions, scratch, store
+from ledgerloom.llm._spark import partitions, scratch, small, store, store_counted
 
 MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
+SHARDS = 100_000
+CELL_IDS = 1024
+#: Bytes of a record besides its payload, about.
+OVERHEAD = 700
 DATE = "2024-01-01T00:00:00Z"
 _NS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers: int | None) -> bytes:
-    """One WARC/1.1 record, uncompressed."""
-    digest = hashlib.sha256(payload).hexdigest()
+def record_id(page_id: int | None, digest: str, place: int = 0) -> str:
+    """The id of a record; place counts the records before it with equal page_id and digest."""
+    return f"<urn:uuid:{uuid.uuid5(_NS, f'page {page_id} {digest}' + (f' {place}' if place else ''))}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers: int | None, place: int = 0) -> bytes:
+    """One WARC/1.1 record, uncompressed; digest is the payload's SHA-256."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
-    name = lambda x: uuid.uuid5(_NS, f"page {x}")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name(page_id)}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head += [
@@ -54,15 +62,39 @@ def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refe
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: <urn:uuid:{name(refers)}>", f"X-Refers-To-Page: {refers}"]
+        head += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: {record_id(refers, digest)}", f"X-Refers-To-Page: {refers}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> dict:
-    """The fields of a record; raises ValueError where its digests or lengths disagree."""
+def info(file: str) -> bytes:
+    """The warcinfo record that begins a file."""
+    block = b"software: ledgerloom\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NS, 'file ' + file)}>", f"WARC-Date: {DATE}", f"WARC-Filename: {file}",
+        "Content-Type: application/warc-fields", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Length: {len(block)}",
+    ]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def pack(data: bytes) -> bytes:
+    """A gzip member without a time or a name."""
+    packed = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packed.compress(data) + packed.flush()
+
+
+def renamed(packed: bytes, place: int) -> bytes:
+    """A packed record under the id of a later place among equal ones."""
+    data = zlib.decompress(packed, 31)
+    fields = dict(x.split(": ", 1) for x in data.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+    page, digest = fields.get("X-Page-ID"), fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    return pack(data.replace(fields["WARC-Record-ID"].encode(), record_id(None if page is None else int(page), digest, place).encode(), 1))
+
+
+def parse(data: bytes) -> dict | None:
+    """The fields of a page's record, None for a warcinfo record; raises ValueError where digests or lengths disagree."""
     head, _, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != "WARC/1.1":
@@ -71,6 +103,8 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     if rest[len(block) :] != b"\r\n\r\n" or "sha256:" + hashlib.sha256(block).hexdigest() != fields["WARC-Block-Digest"]:
         raise ValueError(f"block of {fields['WARC-Record-ID']} disagrees with its header")
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(x.split(b": ", 1) for x in http.split(b"\r\n")[1:])[b"Content-Length"])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -83,29 +117,16 @@ def parse(data: bytes) -> dict:
     }
 
 
-def _records(bounds: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            yield from _packed(batch, bounds)
-
-    return run
-
-
-def _packed(batch: pa.RecordBatch, bounds: np.ndarray):
-    """Compressed records and the shard of each: the number of bounds up to its page_id."""
-    for at in range(0, batch.num_rows, 512):
-        out = []
-        part = batch.slice(at, 512)
-        ids, urls = part.column(0).to_pylist(), part.column(1).to_pylist()
-        for page, url, html, refers in zip(ids, urls, part.column(2).cast(pa.binary()), part.column(3).to_pylist()):
-            kind = "response" if refers is None else "revisit"
-            packed = zlib.compressobj(6, zlib.DEFLATED, 31)
-            out.append(packed.compress(record(page, url, html.as_py() or b"", kind, refers)) + packed.flush())
-        own = np.array([-1 if x is None else x for x in ids], np.int64)
-        shard = np.where([x is None for x in ids], 0, np.searchsorted(bounds, own, "right"))
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array(shard.astype(np.int32)), pa.array(out, pa.binary())], ["page_id", "shard", "packed"]
-        )
+def _records(batches):
+    """Of pages (page_id, url, html, digest, first, shard): the compressed records."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            ids, urls, digests, refers = (part.column(i).to_pylist() for i in (0, 1, 3, 4))
+            out = []
+            for page, url, html, digest, first in zip(ids, urls, part.column(2).cast(pa.binary()), digests, refers):
+                out.append(pack(record(page, url, html.as_py() or b"", digest, "response" if first is None else "revisit", first)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(5), part.column(3), part.column(1), pa.array(out, pa.binary())], ["page_id", "shard", "digest", "url", "packed"])
 
 
 def _files(folder: str, limit: int):
@@ -122,19 +143,26 @@ def _files(folder: str, limit: int):
             store_.move(temporary, final)
             rows.append((final.rpartition("/")[2], shard, number, records, size, seen.hexdigest()))
 
-        number = -1
+        number, last, place = -1, None, 0
         for batch in batches:
-            for packed, own in zip(batch.column(2), batch.column(1).to_pylist()):
+            for packed, page, own, digest in zip(batch.column(4), batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = packed.as_py()
                 if own != shard:
                     if sink is not None:
                         close()
                     sink, shard, number = None, own, -1
+                place = place + 1 if (page, digest) == last else 0
+                last = page, digest
+                if place:
+                    data = renamed(data, place)
                 if sink is None:
-                    number, records, size, seen = number + 1, 0, 0, hashlib.sha256()
-                    final = f"{base}/part-{shard:05d}-{number:05d}.warc.gz"
-                    temporary = f"{base}/.{shard:05d}-{number:05d}-{attempt}-{uuid.uuid4().hex}.tmp"
+                    number, records = number + 1, 0
+                    final = f"{base}/part-{shard:06d}-{number:05d}.warc.gz"
+                    temporary = f"{base}/.{shard:06d}-{number:05d}-{attempt}-{uuid.uuid4().hex}.tmp"
                     sink = store_.open_output_stream(temporary, compression=None)
+                    first = pack(info(final.rpartition("/")[2]))
+                    sink.write(first)
+                    size, seen = len(first), hashlib.sha256(first)
                 sink.write(data)
                 seen.update(data)
                 records, size = records + 1, size + len(data)
@@ -163,7 +191,10 @@ def _parsed(folder: str):
                 with store_.open_input_stream(f"{base}/{file}", compression=None) as source:
                     out = []
                     for member in _members(source, seen):
-                        out.append(parse(member))
+                        fields = parse(member)
+                        if fields is None:
+                            continue
+                        out.append(fields)
                         rows += 1
                         if len(out) == 5000:
                             yield pa.RecordBatch.from_pylist(out, schema)
@@ -199,20 +230,38 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
     target.create_dir(base, recursive=True)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     size = F.octet_length("html")
-    keyed = pages.select("page_id", F.when(size >= MIN_REVISIT, F.unhex(F.sha2("html", 256))).alias("digest"))
-    first = keyed.where("digest is not null and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    first = first.where("first < last")
-    refers = store(keyed.join(first, "digest").where("page_id > first").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "first").distinct(), "revisits")
-    digest = F.when(size >= MIN_REVISIT, F.unhex(F.sha2("html", 256)))
-    marked = pages.join(refers, (F.col("page_id") == F.col("__page")) & (digest == F.col("__digest")), "left")
-    n = max(1, partitions(spark))
-    cuts = pages.approxQuantile("page_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    bounds = np.unique(np.array(cuts, np.float64).astype(np.int64))
-    records = marked.select("page_id", "url", "html", "first").mapInArrow(_records(bounds), "page_id long, shard int, packed binary")
-    sorted_ = records.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id")
+    pages = pages.withColumn("digest", F.sha2("html", 256))
+    keyed = pages.where(size >= MIN_REVISIT).where("page_id is not null").select("page_id", F.unhex("digest").alias("d"))
+    first = keyed.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
+    refers = keyed.join(first, "d").where("page_id > first").select(F.col("page_id").alias("__page"), F.hex("d").alias("__digest"), "first").distinct()
+    refers = store(refers, "revisits")
+    marked = pages.join(refers, (F.col("page_id") == F.col("__page")) & (F.upper("digest") == F.col("__digest")), "left")
+    cells, n = _ranges(pages, size)
+    cell = _cell()
+    marked = marked.join(cells, cell.eqNullSafe(F.col("cell"))).withColumn("shard", (F.col("base") + F.pmod(F.xxhash64("page_id", "digest"), F.col("parts"))).cast("int"))
+    records = marked.select("page_id", "url", "html", "digest", "first", "shard").mapInArrow(_records, "page_id long, shard int, digest string, url string, packed binary")
+    sorted_ = records.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
     return store(sorted_.mapInArrow(_files(folder, file_bytes), "file string, shard long, number long, records long, bytes long, sha256 string"), "manifest")
 
 
+def _cell() -> Column:
+    return F.floor(F.col("page_id") / F.lit(CELL_IDS)).cast("long")
+
+
+def _ranges(pages: DataFrame, size: Column) -> tuple[DataFrame, int]:
+    """cell, base, parts: the first shard of each cell of ids and the shards it takes; and the number of shards. Running sums go by blocks of cells."""
+    bytes_ = (size + F.lit(OVERHEAD)).cast("long")
+    sums, seen = store_counted(pages.groupBy(_cell().alias("cell")).agg(F.sum(bytes_).alias("bytes")), "cells", n=F.count(F.lit(1)), total=F.sum("bytes"))
+    share = max(SHARD_BYTES, -(-(seen["total"] or 0) // SHARDS))
+    sums = sums.withColumn("block", F.floor(F.col("cell") / F.lit(CELL_IDS)).cast("long"))
+    before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("block").agg(F.sum("bytes").alias("bytes")).select(F.col("block").alias("b"), before(Window.orderBy(F.col("block").asc_nulls_first())).alias("ahead"))
+    at = sums.withColumn("inside", before(Window.partitionBy("block").orderBy(F.col("cell").asc_nulls_first()))).join(F.broadcast(blocks), F.col("block").eqNullSafe(F.col("b")))
+    parts = F.greatest(F.lit(1), F.floor(F.col("bytes") / F.lit(share))).cast("long")
+    out = at.select("cell", F.floor((F.col("ahead") + F.col("inside")) / F.lit(share)).cast("long").alias("base"), parts.alias("parts"))
+    return small(out, seen["n"]), int(-(-(seen["total"] or 0) // share)) + 1
+
+
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the files that the manifest names."""
     files = manifest.select("file", "sha256", "records").repartition(partitions(manifest.sparkSession), "file")
