@@ -183,12 +183,19 @@ def _estimated(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(j)], ["rep", "lead", "j"])
 
 
+def _led(rows: DataFrame) -> tuple[DataFrame, dict]:
+    """rep, band, lead for the members of buckets (rep, band) that have others, and how many rows that is."""
+    leads = rows.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").drop("top")
+    leads, many = store_counted(leads, "leads", n=F.count(F.lit(1)))
+    led = rows.join(small(leads, many["n"]), "band").where("rep <> lead").select("rep", "band", "lead")
+    return store_counted(led, "buckets", n=F.count(F.lit(1)))
+
+
 def candidate_edges(reps: DataFrame, threshold: tuple[int, int], band_rows: int) -> DataFrame:
     """Pairs (a, b) whose components are the candidate groups; see step 3 above. reps: rep, n, registers."""
     t = threshold[0] / threshold[1]
     banded = reps.select("rep", "registers").mapInArrow(_banded(band_rows), "rep long, band long")
-    leads = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").drop("top")
-    open_, left = store_counted(banded.join(leads, "band").where("rep <> lead").select("rep", "band", "lead"), "buckets", n=F.count(F.lit(1)))
+    open_, left = _led(banded)
     edges = []
     for _ in range(ROUNDS):
         if not left["n"]:
@@ -199,8 +206,7 @@ def candidate_edges(reps: DataFrame, threshold: tuple[int, int], band_rows: int)
         pairs = store(pairs.mapInArrow(_estimated, "rep long, lead long, j double"), "estimates")
         edges.append(pairs.where(F.col("j") >= 2 * t - 1 - MARGIN).select(F.col("rep").alias("a"), F.col("lead").alias("b")))
         rest = open_.join(pairs.where(F.col("j") < t).drop("j"), ["rep", "lead"]).select("rep", "band")
-        leads = rest.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").drop("top")
-        open_, left = store_counted(rest.join(leads, "band").where("rep <> lead").select("rep", "band", "lead"), "buckets", n=F.count(F.lit(1)))
+        open_, left = _led(store(rest, "rest"))
     edges.append(open_.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
     out = edges[0]
     for more in edges[1:]:
