@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Nulls: a null text carries no evidence of quality and has no words, so the first three stages keep it and mixing, which takes words, drops it with other texts
+without words. Rows with a null doc_id are kept by the stages that name documents to drop. Repeated rows stay together: what drops a doc_id drops all its rows, and
+mixing repeats each of them. An empty table stays empty. Columns besides those of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,10 +49,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document that the mix takes no word of goes, and so do those without words."""
     plan = mixing.mix(docs, mixing.label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    plan = plan.select("doc_id", times.alias("__times")).where("__times > 0").groupBy("doc_id").agg(F.max("__times").alias("__times"))
+    plan = plan.select(F.col("doc_id").alias("id"), times.alias("times")).where("times > 0").groupBy("id").agg(F.max("times").alias("times"))
     plan, seen = store_counted(plan, "times", n=F.count(F.lit(1)))
-    out = docs.join(small(plan, seen["n"]).withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    # the document's columns travel as one, whatever their names
+    whole = docs.select(F.col("doc_id").alias("own"), F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    out = whole.join(small(plan, seen["n"]), F.col("own").eqNullSafe(F.col("id")))
+    return out.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
