@@ -42,5 +42,37 @@ def test_near_duplicates_from_080(spark):
     assert kept == set(range(0, 300, 2)) | {i + 1 for i, x in share.items() if x < 0.8}
 
 
+EDGE = "doc_id long, text string, lang string, source string, n_chars long, turn int, id string, own string, e string, host string, row int, grp long"
+
+
+def edge_rows():
+    r = random.Random(4)
+    text = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    same = text(40)
+    data = [(i, text(30), "en", f"s{i % 3}") for i in range(30)] + [(i, same, "en", "s0") for i in range(100, 110)]
+    data += [(200, None, None, None), (201, "", "en", "s1"), (None, text(20), "en", None), (None, None, None, None), (7, data[7][1], "en", "s1"), (300, text(30_000), "fr", "s2")]
+    return [(*d, 1, 2, "x", "y", "z", "h", 3, 4) for d in data]
+
+
+def test_every_stage_on_edge_rows(spark):
+    """Nulls, empty and very long texts, copies, repeated rows, extra columns with the names of inner ones; and empty tables."""
+    docs = spark.createDataFrame(edge_rows(), EDGE)
+    want = {"quality": {d[0] for d in edge_rows()}, "near_duplicates": {d[0] for d in edge_rows()} - set(range(101, 110))}
+    want["decontamination"] = want["near_duplicates"]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name == "sharding":
+            assert out.count() == docs.count()
+            break
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        got = [r["doc_id"] for r in docs.collect()]
+        if name in want:
+            assert set(got) == want[name] and got.count(7) == 2, name
+        else:
+            assert None in got and not {200, 201} & set(got)
+
+
 def test_oracle_is_declared():
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
