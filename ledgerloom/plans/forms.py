@@ -263,3 +263,48 @@ def profile_scores(spark, sf_dir):
     texts = sup.select(k.alias("doc_id"), F.concat(F.lit("Facture BC-2024 "), F.when(k % 4 != 0, F.col("s_name")).otherwise("")).alias("text"), F.when(k % 3 == 0, F.upper("s_name")).alias("detected_name"))
     found = S.profile_scores(texts, profiles).where("score >= 0.27")
     return found.select("doc_id", "name", F.round("score", 6).alias("score"), S.detection(F.col("score"), F.lit("X")).alias("action"))
+
+
+_FIX = f"""{W._DICT}, words as (select distinct raw from seedw where raw <> ''),
+tok as (select raw token, 'K' kind from words union select substr(raw, 1, 2) || 'q' || substr(raw, 4), 'K' from words union select 'AB12-' || len(raw), 'P' from words union select 'zzzzzzz', 'K' from words),
+near as (select token, canonical_form, weight, raw_form, levenshtein(lower(token), raw_form) d, len(token) n, len(raw_form) m from tok join dict on verified and not ignored and kind = 'K' and levenshtein(lower(token), raw_form) <= 2),
+scored as (select *, 2.0::double * (least(n, m) - (d - abs(n - m))) / (n + m) ratio from near),
+best as (select token, arg_max(canonical_form, (ratio * (1 - 0.05 * d), weight, raw_form)) fuzzy, max(ratio * (1 - 0.05 * d)) score from scored where ratio >= 0.8 group by token),
+fixed as (select t.token, coalesce(e.canonical_form, b.fuzzy, t.token) corrected, case when kind = 'P' then 'PROTECTED' when e.raw_form is not null then 'EXACT' when b.token is not null then 'FUZZY' else 'PASSTHROUGH' end as method,
+  case when kind = 'P' then 1.0::double when e.raw_form is not null then e.weight when b.token is not null then least(score * 0.95::double, 0.95::double) else 0.5::double end confidence
+  from tok t left join dict e on kind = 'K' and lower(t.token) = e.raw_form and e.verified and not e.ignored and e.weight > 0.7 left join best b on b.token = t.token)"""
+
+
+def _damaged(spark, sf_dir) -> DataFrame:
+    """Words, words with their third letter replaced by a q, codes, and a word of no entry."""
+    words = W._seed_words(spark, sf_dir).where("raw <> ''").select("raw").distinct()
+    return words.select(F.explode(F.array(
+        F.col("raw"), F.concat(F.substring("raw", 1, 2), F.lit("q"), F.substring("raw", 4, 100)), F.concat(F.lit("AB12-"), _str(F.length("raw"))), F.lit("zzzzzzz")
+    )).alias("token"))
+
+
+@register("dictionary_corrections", "DIC3 JN17 JN18", f"with {_FIX} select token, corrected, method, round(confidence, 6) confidence from fixed")
+def dictionary_corrections(spark, sf_dir):
+    return D.correct_tokens(_damaged(spark, sf_dir), W._dictionary(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+_TEXTS = _FIX + """, lines as (select p_partkey id, '  ' || string_split(p_name, ' ')[1] || e'\\t' || substr(p_name, 1, 2) || 'q' || substr(string_split(p_name, ' ')[1], 4) || ' AB12-5' as text from part),
+parts as (select id, text, unnest(regexp_extract_all(text, '\\s+|\\S+')) part, unnest(range(1, len(regexp_extract_all(text, '\\s+|\\S+')) + 1)) pos from lines),
+whole as (select id, text, string_agg(coalesce(corrected, part), '' order by pos) normalised from parts left join fixed on token = part group by id, text)"""
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    first = F.element_at(F.split("p_name", " "), 1)
+    text = F.concat(F.lit("  "), first, F.lit("\t"), F.substring("p_name", 1, 2), F.lit("q"), F.substring(first, 4, 100), F.lit(" AB12-5"))
+    return P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"))
+
+
+@register("normalised_texts", "DIC4 DIC5", f"with {_TEXTS} select id, text, normalised from whole")
+def normalised_texts(spark, sf_dir):
+    return D.normalise_texts(_lines(spark, sf_dir), W._dictionary(spark, sf_dir))
+
+
+@register("renormalised_lines", "DIC11 FLT20", f"""with {_TEXTS} select id line_item_id, case when id % 2 = 0 then text end as before, normalised as after from whole where contains(lower(text), 'q') and (case when id % 2 = 0 then text end) is distinct from normalised""")
+def renormalised_lines(spark, sf_dir):
+    at = _lines(spark, sf_dir).select(F.col("id").alias("line_item_id"), F.when(F.col("id") % 2 == 0, F.col("text")).alias("designation"), F.col("text").alias("raw_designation"))
+    return D.renormalised(at, W._dictionary(spark, sf_dir), prefer_raw=True, only_containing="Q")

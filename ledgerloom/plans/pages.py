@@ -107,7 +107,7 @@ def aliased_header(spark, sf_dir):
     return _pages(spark, sf_dir).where("page_number = 0").select("job_id", D.header_field(text, D.HEADERS["ref_bc"])["value"].alias("ref_document"))
 
 
-@register("invoice_header", "EXT4 NUM3", f"""with {_PAGES}, h as (select job_id, {_HEADS} from p where page_number = 2)
+@register("invoice_header", "EXT4", f"""with {_PAGES}, h as (select job_id, {_HEADS} from p where page_number = 2)
 select job_id, ref_facture ref_document, ref_bc_linked, (o_totalprice::decimal(18, 3) * case when o_totalprice >= 10000 then 1000 else 1 end)::double total_ht, 19::double tva_rate, 0::double confidence from h join orders on o_orderkey = job_id""")
 def invoice_header(spark, sf_dir):
     docs = _pages(spark, sf_dir).where("page_number = 2").select(F.col("job_id").alias("doc_id"), "text")
@@ -149,7 +149,7 @@ def _text_lines(spark, sf_dir) -> DataFrame:
     return out
 
 
-@register("text_table", "EXT5 WIN5 WIN7 FLT7 FLT11 FLT13", f"with {_LINES} select doc_id, (line_no - 1)::int line_number, ref, case kind when 2 then 'ARTICLE TYPE B' when 3 then null else 'ARTICLE DIVERS' end designation, qty::double qty, case when kind < 3 then 2.5::double end price, case when kind < 3 then total::double end total, case kind when 0 then 19 when 2 then 7 end::double tva_rate, 0.75::double confidence from t")
+@register("text_table", "EXT5 WIN5 WIN7 FLT7 FLT13", f"with {_LINES} select doc_id, (line_no - 1)::int line_number, ref, case kind when 2 then 'ARTICLE TYPE B' when 3 then null else 'ARTICLE DIVERS' end designation, qty::double qty, case when kind < 3 then 2.5::double end price, case when kind < 3 then total::double end total, case kind when 0 then 19 when 2 then 7 end::double tva_rate, 0.75::double confidence from t")
 def text_table(spark, sf_dir):
     d = lambda c: F.col(c).cast("double").alias(c)
     return D.text_items(_text_lines(spark, sf_dir)).select("doc_id", "line_number", "ref", "designation", d("qty"), d("price"), d("total"), d("tva_rate"), "confidence")
@@ -193,7 +193,7 @@ def column_bounds(spark, sf_dir):
     return _columns(D.word_rows(_boxes(spark, sf_dir), ["doc_id"])).select("doc_id", "name", "low", "high")
 
 
-@register("spatial_table", "EXT6 EXT7 AGG20 FLT12", f"with {_BOX} select doc_id, i::int as \"row\", 'P' || l_partkey ref_produit, 'VIS' designation, l_quantity::bigint::double qty, 'PCE' unit, floor(l_extendedprice)::double total_ligne_ht, 0.85::double confidence from b")
+@register("spatial_table", "EXT6 EXT7 AGG20 FLT11 FLT12", f"with {_BOX} select doc_id, i::int as \"row\", 'P' || l_partkey ref_produit, 'VIS' designation, l_quantity::bigint::double qty, 'PCE' unit, floor(l_extendedprice)::double total_ligne_ht, 0.85::double confidence from b")
 def spatial_table(spark, sf_dir):
     rows = D.word_rows(_boxes(spark, sf_dir), ["doc_id"])
     out = D.cell_lines(D.table_cells(rows, _columns(rows), ["doc_id"]), ["doc_id"])

@@ -66,13 +66,13 @@ def _exact_jobs(spark, sf_dir: str) -> DataFrame:
     return M.match_results(lines, jobs)
 
 
-@register("verdict_exact_match", "JN1 VRD2 VRD3 VRD4 AGG1 AGG3 SET1", _EXACT + " select global_verdict, count(*)::bigint jobs, sum(total_lines)::bigint n_lines from jobs group by 1")
+@register("verdict_exact_match", "VRD2 VRD3 AGG1 AGG3", _EXACT + " select global_verdict, count(*)::bigint jobs, sum(total_lines)::bigint n_lines from jobs group by 1")
 def verdict_exact_match(spark, sf_dir):
     jobs = _exact_jobs(spark, sf_dir)
     return jobs.groupBy("global_verdict").agg(F.count(F.lit(1)).alias("jobs"), F.sum("total_lines").alias("n_lines"))
 
 
-@register("line_verdicts", "VRD1 VRD2 VRD3 NUM5", _EXACT + " select job_id, ref, ord, qty_bc, qty_fac, price_bc, price_fac, tva_bc, tva_fac, verdict from lines")
+@register("line_verdicts", "VRD2 VRD3 NUM5", _EXACT + " select job_id, ref, ord, qty_bc, qty_fac, price_bc, price_fac, tva_bc, tva_fac, verdict from lines")
 def line_verdicts(spark, sf_dir):
     return _exact_lines(spark, sf_dir)
 
@@ -88,7 +88,7 @@ def verdict_distribution(spark, sf_dir):
     return _exact_lines(spark, sf_dir).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("quality_metrics", "AGG16 FMT1", _EXACT + """, c as (select job_id, match_count m, mismatch_count x, extra_count e, missing_count s, low_confidence_count r from jobs)
+@register("quality_metrics", "AGG16", _EXACT + """, c as (select job_id, match_count m, mismatch_count x, extra_count e, missing_count s, low_confidence_count r from jobs)
 select job_id, case when m + x + e + r > 0 then floor(100.0::double * m / (m + x + e + r) + 0.5)::int end validated_pct,
   case when m + x + s + r > 0 then floor(100.0::double * (m + x + r) / (m + x + s + r) + 0.5)::int end coverage_pct from c""")
 def quality_metrics(spark, sf_dir):
@@ -159,7 +159,7 @@ def alias_lookup(spark, sf_dir):
     return M.alias_targets(fac.where("h = 4"), good.unionByName(other), keys).where("alias_target is not null").select("job_id", "ord", "ref", "alias_target")
 
 
-@register("alias_mine_range", "JN21", WITH + """, p as (select o.job_id, o.ref, o.ord, f.ref external_ref, f.ord ord_f, abs(o.qty - f.qty) dq, abs(o.price_m - f.price_m) dp
+@register("alias_mine_range", "", WITH + """, p as (select o.job_id, o.ref, o.ord, f.ref external_ref, f.ord ord_f, abs(o.qty - f.qty) dq, abs(o.price_m - f.price_m) dp
   from orders_ o join fac f on o.job_id = f.job_id and o.designation = f.designation and abs(o.qty - f.qty) <= 0.5 and abs(o.price_m - f.price_m) <= 20),
 r as (select *, row_number() over (partition by job_id, ord order by dq, dp, ord_f) as k from p)
 select ref internal_ref, external_ref, count(*)::bigint n from r where k = 1 and ref <> external_ref group by all""")
@@ -197,7 +197,7 @@ def scale_correct(spark, sf_dir):
     return P.order_lines(spark, sf_dir).select("job_id", "ord", X.scale_corrected(F.col("qty"), (F.col("price_m") * m).cast("double"), F.col("qty") * F.col("price_m")).alias("corrected"))
 
 
-@register("line_math_check", "EXT7", """select l_orderkey job_id, l_linenumber line, l_quantity qty,
+@register("line_math_check", "", """select l_orderkey job_id, l_linenumber line, l_quantity qty,
   (abs(floor(l_extendedprice * (1 - l_discount) * 1000) - floor(l_extendedprice * 1000)) <= greatest(20, 0.01::double * floor(l_extendedprice * 1000))) ok from lineitem""")
 def line_math_check(spark, sf_dir):
     from ledgerloom.operators.validation import line_math
@@ -356,7 +356,7 @@ def job_progress(spark, sf_dir):
     return done.crossJoin(F.broadcast(steps)).select("job_id", F.floor(100.0 * F.col("done") / F.col("steps") + 0.5).cast("int").alias("progress"))
 
 
-@register("human_review", "VRD8 FLT16", _EXACT + """, s as (select job_id, global_verdict, case when global_verdict in ('REVIEW', 'INCOMPLETE') then 'REVIEW_REQUIRED' else 'COMPLETED' end status,
+@register("human_review", "VRD8", _EXACT + """, s as (select job_id, global_verdict, case when global_verdict in ('REVIEW', 'INCOMPLETE') then 'REVIEW_REQUIRED' else 'COMPLETED' end status,
   case when job_id % 3 = 0 then 'approve' when job_id % 3 = 1 then 'reject' end d from jobs)
 select job_id, case when status = 'REVIEW_REQUIRED' and d = 'approve' then 'COMPLETED' when status = 'REVIEW_REQUIRED' and d = 'reject' then 'FAILED' else status end new_status,
   case when status = 'REVIEW_REQUIRED' and d = 'approve' then 'VALIDATED' when status = 'REVIEW_REQUIRED' and d = 'reject' then 'REJECTED' else global_verdict end new_verdict from s""")

@@ -258,7 +258,7 @@ def cleanup_flags(spark, sf_dir):
     return t.select("token", G.is_hard_protected("token").alias("hard"), G.looks_generated("token", source).alias("generated"))
 
 
-@register("renormalize_diff", "DIC4 DIC5 DIC11 FLT20")
+@register("renormalize_diff", "DIC4 DIC5 DIC11")
 def renormalize_diff(spark, sf_dir):
     p = P.table(spark, sf_dir, "part")
     lines = p.select(F.col("p_partkey").alias("line_item_id"), F.upper("p_name").alias("designation"), F.translate("p_name", "o", "0").alias("raw_designation"))
