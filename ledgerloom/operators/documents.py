@@ -121,6 +121,7 @@ def classify(text: Column, keywords: dict[str, tuple[str, ...]] = KEYWORDS) -> C
             s = F.lit(0.0)
             for p in patterns:
                 s = s + F.when(v["top"].rlike("(?U)" + p), 0.40).when(v["up"].rlike("(?U)" + p), 0.15).otherwise(0.0)
+            s = F.when(v["up"].rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns)), s).otherwise(0.0)  # most classes end here
             each.append(F.struct((-F.least(F.lit(1.0), s)).alias("s"), F.lit(i).alias("i"), F.lit(kind).alias("k")))
         return F.array_sort(F.array(*each))
 

@@ -15,7 +15,7 @@ from ledgerloom.plans import reconcile as C
 from ledgerloom.plans import texts as W
 from ledgerloom.registry import register
 from ledgerloom.sources import readers, sinks
-from ledgerloom.sources.scratch import folder
+from ledgerloom.sources.scratch import folder, stored
 from ledgerloom.streaming import jobs
 
 
@@ -193,7 +193,7 @@ def attached_pages(spark, sf_dir):
 select doc_id, i::int line_number, 'P' || l_partkey as ref, l_quantity::bigint::double qty, 'SPATIAL' as by from b where doc_id % 2 = 0 union all select doc_id, (line_no - 1)::int, ref, qty::double, 'TEXT' from t where doc_id % 2 = 1""")
 def document_lines(spark, sf_dir):
     """Word boxes are known of every second document."""
-    rows = D.word_rows(G._boxes(spark, sf_dir).where("doc_id % 2 = 0"), ["doc_id"])
+    rows = stored(D.word_rows(G._boxes(spark, sf_dir).where("doc_id % 2 = 0"), ["doc_id"]), "word-rows")
     spatial = D.cell_lines(D.table_cells(rows, G._columns(rows), ["doc_id"]), ["doc_id"]).select("doc_id", F.col("row").alias("line_number"), F.col("ref_produit").alias("ref"), F.col("qty").cast("double").alias("qty"))
     text = D.text_items(G._text_lines(spark, sf_dir)).select("doc_id", "line_number", "ref", F.col("qty").cast("double").alias("qty"))
     return D.spatial_or_text(spatial, text)

@@ -13,6 +13,7 @@ from ledgerloom.operators import validation as V
 from ledgerloom.plans import projection as P
 from ledgerloom.registry import register
 from ledgerloom.sources.readers import page_counts as count_pages
+from ledgerloom.sources.scratch import stored
 from ledgerloom.streaming.jobs import audit_counts
 
 _PAGES = """p as (select o_orderkey job_id, n page_number, case when n = 0 then 'BON DE COMMANDE N°' || o_orderkey || chr(10) || 'BC-2024-' || lpad(o_orderkey::varchar, 6, '0') || chr(10) || 'DATE: ' || strftime(o_orderdate, '%d/%m/%Y') || chr(10) || 'Lignes' || chr(10) || 'Fin'
@@ -195,7 +196,7 @@ def column_bounds(spark, sf_dir):
 
 @register("spatial_table", "EXT6 EXT7 AGG20 FLT11 FLT12", f"with {_BOX} select doc_id, i::int as \"row\", 'P' || l_partkey ref_produit, 'VIS' designation, l_quantity::bigint::double qty, 'PCE' unit, floor(l_extendedprice)::double total_ligne_ht, 0.85::double confidence from b")
 def spatial_table(spark, sf_dir):
-    rows = D.word_rows(_boxes(spark, sf_dir), ["doc_id"])
+    rows = stored(D.word_rows(_boxes(spark, sf_dir), ["doc_id"]), "word-rows")
     out = D.cell_lines(D.table_cells(rows, _columns(rows), ["doc_id"]), ["doc_id"])
     return out.select("doc_id", "row", "ref_produit", "designation", F.col("qty").cast("double").alias("qty"), "unit", F.col("total_ligne_ht").cast("double").alias("total_ligne_ht"), "confidence")
 
