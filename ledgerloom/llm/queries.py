@@ -16,6 +16,8 @@ MODULES = {
     "op8_minhash_dedup": "minhash",
     "op9_warc": "warc",
     "op10_substring_dedup": "substring",
+    "op12_merkle_manifest": "merkle",
+    "op13_tokenizer_alignment": "align",
 }
 
 
