@@ -16,6 +16,7 @@ MODULES = {
     "op8_minhash_dedup": "minhash",
     "op9_warc": "warc",
     "op10_substring_dedup": "substring",
+    "op11_suffix_array": "suffixes",
     "op12_merkle_manifest": "merkle",
     "op13_tokenizer_alignment": "align",
 }
