@@ -16,15 +16,20 @@ PROTECTED_FIELDS = (
 )
 NORMALIZABLE_FIELDS = ("designation", "column_header", "unit", "supplier_name", "product_word", "category", "label")
 CODES = (
-    r"^[A-Za-z]{1,6}[0-9]{2,}$", r"^[0-9]{2,}[A-Za-z]{1,6}$", r"^[A-Za-z0-9]{3,}[-/_.*+x×][A-Za-z0-9]", r"[0-9]+[xX×*][0-9]+",
-    r"[A-Za-z]+/[A-Za-z]+", r"^[0-9]{6,}$", r"^[A-Za-z]{2,6}[-/][0-9]{2,4}[-/][0-9]{2,8}$",
+    r"^[A-Za-z]{1,6}\d{2,}$", r"^\d{2,}[A-Za-z]{1,6}$", r"^[A-Za-z0-9]{3,}[-/_.*+x×][A-Za-z0-9]", r"\d+[xX×*]\d+",
+    r"[A-Za-z]+/[A-Za-z]+", r"^\d{6,}$", r"(?i)^[A-Z]{2,6}[-/]\d{2,4}[-/]\d{2,8}$",
 )
-DIMENSION, SLASHED = r"[0-9]+[xX×*][0-9]+", r"[A-Za-z]+/[A-Za-z]+"
-AMOUNT = r"^\s*[0-9\s]+[,.]?[0-9]{0,3}\s*$"
-DATE = r"[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}"
-FISCAL_ID = r"[0-9]{7}[/\-][A-Z][/\-][A-Z][/\-][A-Z][/\-][0-9]{3}"
+DIMENSION, SLASHED = r"\d+[xX×*]\d+", r"[A-Za-z]+/[A-Za-z]+"
+AMOUNT = r"^\s*[\d\s]+[,.]?\d{0,3}\s*$"
+DATE = r"\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}"
+FISCAL_ID = r"\d{7}[/\-][A-Z][/\-][A-Z][/\-][A-Z][/\-]\d{3}"
 EMAIL = r"[\w.+-]+@[\w.-]+\.\w+"
-IBAN = r"[A-Z]{2}[0-9]{2}[0-9A-Z]{4,}"
+IBAN = r"[A-Z]{2}\d{2}[\dA-Z]{4,}"
+HARD = (
+    r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$", r"^\d{4}[/-]\d{1,2}[/-]\d{1,2}$",
+    r"(?i)\b(bl|bc|fa|fac|fact|facture)[-_/]?\s*\d+", r"(?i)\b(mf|m\.f)\s*[:\-/]?\s*[0-9]",
+    r"(?i)\b(matricule\s+fiscal|mat\s+fiscal|code\s+tva|c\.?tva)\b.*[0-9]", r"\d+\s*[xX*]\s*\d+",
+)
 CONTINUATION = (
     r"PAGE\s+\d+\s+(?:OF|SUR|DE)\s+\d+", r"\bSUITE\b", r"\bSUITE\s+ET\s+FIN\b", r"\*SUITE\*",
     r"(?<!\w)(?<!\d\s)(?:PAGE\s+)?\d{1,2}\s*/\s*\d{1,2}(?!\s*\d)(?!\w)",
@@ -70,13 +75,13 @@ def looks_like_code(x: Column | str) -> Column:
     dense = F.length(bare).between(3, 15) & (F.length(v) - F.length(F.replace(v, F.lit(" "), F.lit(""))) <= 2) & (
         _count(bare, "0-9") >= F.lit(0.30) * F.length(bare)
     )
-    return F.coalesce((mixed & (_any(v, CODES, "") | dense)) | v.rlike(DIMENSION) | v.rlike(SLASHED), F.lit(False))
+    return F.coalesce((mixed & (_any(v, CODES) | dense)) | _any(v, (DIMENSION, SLASHED)), F.lit(False))
 
 
 def is_protected(x: Column | str, field: Column | None = None, patterns: tuple[str, ...] = ()) -> Column:
     """FLT1: a value that no correction may touch. patterns: a supplier's reference patterns."""
     v = F.trim(_c(x))
-    out = looks_like_code(v) | (v.rlike(DATE) & (F.length(v) <= 12)) | v.rlike(AMOUNT) | v.rlike(FISCAL_ID) | v.rlike(EMAIL) | v.rlike(IBAN)
+    out = looks_like_code(v) | (_any(v, (DATE,)) & (F.length(v) <= 12)) | _any(v, (AMOUNT, FISCAL_ID, EMAIL, IBAN))
     if field is not None:
         out = out | F.coalesce(F.lower(field).isin(*PROTECTED_FIELDS), F.lit(False))
     if patterns:
@@ -98,14 +103,10 @@ def is_normalizable_field(x: Column | str) -> Column:
 
 
 def is_hard_protected(x: Column | str) -> Column:
-    """FLT5: what even a manual dictionary entry may not be."""
+    """FLT5: what even a manual dictionary entry may not be: addresses, whole dates, amounts, document references, fiscal ids, dimensions, digits with a separator."""
     v = cleanup_key(x)
-    out = (
-        v.rlike(EMAIL) | v.rlike(r"^[0-9\s.,/\-]+$") | v.rlike(DATE) | v.rlike(r"(?i)^[a-z]{2}[0-9]{2}[0-9a-z]{4,}$") | v.rlike("(?i)" + FISCAL_ID)
-        | v.rlike(r"(?i)\b(mf|m\.f)\s*[:\-/]?\s*[0-9]") | v.rlike(r"(?i)\b(matricule\s+fiscal|mat\s+fiscal|code\s+tva|c\.?tva)\b.*[0-9]")
-        | v.rlike(r"[0-9]+\s*[xX*]\s*[0-9]+") | (v.rlike("[0-9]") & v.rlike(r"[/_\-=]"))
-    )
-    return F.coalesce((v != "") & out, F.lit(False))
+    amount = v.rlike(r"(?U)^[\d\s.,]+$") & v.rlike(r"(?U)\d")
+    return F.coalesce((v != "") & (_any(v, HARD) | amount | (v.rlike(r"(?U)\d") & v.rlike(r"[/_\-=]"))), F.lit(False))
 
 
 def looks_generated(x: Column | str, source: Column) -> Column:
@@ -134,10 +135,15 @@ def is_continuation(text: Column | str) -> Column:
     return _any(F.upper(_c(text)), CONTINUATION)
 
 
+def has_order_totals(text: Column | str) -> Column:
+    """FLT10's part that the text decides: totals of an order, and no mark of an invoice."""
+    up = F.upper(_c(text))
+    return _any(up, ORDER_TOTALS) & ~_any(up, INVOICE_MARKS)
+
+
 def is_order_summary(group_type: Column, text: Column | str) -> Column:
     """FLT10: totals of an order that were read as an invoice."""
-    up = F.upper(_c(text))
-    return F.coalesce(group_type.isin("BC", "BL"), F.lit(False)) & _any(up, ORDER_TOTALS) & ~_any(up, INVOICE_MARKS)
+    return F.coalesce(group_type.isin("BC", "BL"), F.lit(False)) & has_order_totals(text)
 
 
 def is_table_stop(text: Column | str) -> Column:
@@ -181,6 +187,26 @@ def safe_alias_candidate(verdict: Column, n_mismatch: Column, bc_ref: Column, do
     return F.coalesce(verdict.isin(*SAFE_VERDICTS) & (n_mismatch == 0) & (bc_ref != "") & (doc_ref != "") & both, F.lit(False))
 
 
+def shown_alias_candidate(verdict: Column, n_mismatch: Column, internal: Column, invoice_ref: Column, delivery_ref: Column, applied: Column,
+                          bc_qty: Column, delivery_qty: Column, invoice_qty: Column, bc_price: Column, invoice_price: Column) -> Column:
+    """FLT17: what a reviewer is offered. The invoice's reference counts before the delivery's; quantities agree on either side, on the invoice the price too."""
+    by_invoice = F.coalesce(invoice_ref != "", F.lit(False))
+    external = F.when(by_invoice, invoice_ref).otherwise(F.coalesce(delivery_ref, F.lit("")))
+    same = bc_qty == F.when(by_invoice, invoice_qty).otherwise(delivery_qty)
+    price = ~by_invoice | F.coalesce(F.abs(bc_price - invoice_price) <= 0.100, F.lit(False))
+    some = (external != "") & (internal != "") & (external != internal)
+    return F.coalesce(some & verdict.isin(*SAFE_VERDICTS) & (F.coalesce(n_mismatch, F.lit(0)) == 0) & ~F.coalesce(applied, F.lit(False)) & same & price, F.lit(False))
+
+
+def listed_alias_candidate(internal: Column, invoice_ref: Column, delivery_ref: Column, applied: Column, bc_qty: Column, delivery_qty: Column, invoice_qty: Column, relaxed: bool = False) -> Column:
+    """FLT18: what the list of candidates holds: both references and not applied; unless relaxed, whole quantities that agree, the invoice's where it has a
+    reference. A missing quantity agrees with none."""
+    by_invoice = F.coalesce(invoice_ref != "", F.lit(False))
+    some = (by_invoice | F.coalesce(delivery_ref != "", F.lit(False))) & (internal != "") & (F.coalesce(F.lower(applied.cast("string")), F.lit("")) != "true")
+    whole = lambda q: q.try_cast("double").try_cast("bigint")
+    return F.coalesce(some & (F.lit(True) if relaxed else whole(bc_qty) == F.when(by_invoice, whole(invoice_qty)).otherwise(whole(delivery_qty))), F.lit(False))
+
+
 def is_alias_line(bc_ref: Column, document_ref: Column, external: Column, internal: Column) -> Column:
     """FLT19: a verdict line of the requested alias pair, both sides normalised."""
     return F.coalesce((match_key(bc_ref) == match_key(internal)) & (match_key(F.coalesce(document_ref, F.lit(""))) == match_key(external)), F.lit(False))

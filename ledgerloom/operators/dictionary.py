@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import guards as G
 from ledgerloom.functions import text as X
 from ledgerloom.functions.similarity import ratio_column
+from ledgerloom.sources.scratch import apart
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 VARIANTS = (("o", "0"), ("0", "o"), ("i", "1"), ("1", "i"), ("l", "1"), ("1", "l"), ("s", "5"), ("5", "s"), ("b", "8"), ("8", "b"), ("rn", "m"), ("cl", "d"), ("vv", "w"))
@@ -58,9 +59,14 @@ def seed_with_variants(entries: DataFrame) -> DataFrame:
 
 
 def confusion_candidates(token: Column, limit: int = 6) -> Column:
-    """DIC12: the token and its single confusions in code-point order, at most limit; long tokens alone."""
-    each = [F.coalesce(first_replaced(token, a, b), token) for a, b in CONFUSIONS]
-    return F.when(F.length(token) > 20, F.array(token)).otherwise(F.slice(F.array_sort(F.array_distinct(F.array(token, *each))), 1, limit))
+    """DIC12: the token and its single confusions in code-point order, at most limit; long tokens alone. Each confusion is looked for as it is written and, at its
+    first place, in any case."""
+    def anywhere(a: str, b: str) -> Column:
+        at = F.locate(a.lower(), F.lower(token))
+        return F.when(at > 0, F.concat(F.substring(token, F.lit(1), at - 1), F.lit(b), F.substring(token, at + len(a), F.length(token))))
+
+    each = [c for a, b in CONFUSIONS for c in (first_replaced(token, a, b), anywhere(a, b))]
+    return F.when(F.length(token) > 20, F.array(token)).otherwise(F.slice(F.array_sort(F.array_distinct(F.array_compact(F.array(token, *each)))), 1, limit))
 
 
 def usable(dictionary: DataFrame) -> DataFrame:
@@ -131,7 +137,7 @@ def correct_tokens(tokens: DataFrame, dictionary: DataFrame, field: str = "desig
     t = F.col("token")
     blank, protected = F.coalesce(F.trim(t), F.lit("")) == "", G.is_protected(t, F.lit(field))
     open_ = ~blank & ~protected & G.is_dictionary_candidate(t, F.lit(field)) & G.is_normalizable_field(F.lit(field))
-    at = tokens.select("token").distinct().withColumn("open", open_).withColumn("key", F.when(F.col("open"), X.dictionary_key("token")))
+    at = apart(tokens.select("token").distinct()).withColumn("open", open_).withColumn("key", F.when(F.col("open"), X.dictionary_key("token")))
     exact = usable(dictionary).select(F.col("raw_form").alias("key"), F.col("canonical_form").alias("exact"), F.col("weight").alias("exact_weight"))
     at = at.join(exact, "key", "left")
     missing = at.where("open and exact is null").select("key").distinct()

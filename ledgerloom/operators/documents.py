@@ -1,11 +1,14 @@
 """Pages to documents: scan facts, classification, grouping, header extraction and line tables.
 
 Ordered logic (grouping, word rows) is a fold over the ordered array of one document's pages or words with aggregate();
-such arrays are bounded by the page limit. Nothing here is a UDF except the JSON brace scan.
+such arrays are bounded by the page limit. Nothing here is a UDF except the reading of JSON out of free text.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +67,9 @@ NATIVE_CHARS, NATIVE_COVERAGE = 50, 0.3
 TRANSCRIBE_BELOW = 0.70
 ROW_GAP = 6
 MAX_BYTES, MAX_PAGES = 50 * 1024 * 1024, 50
+PRINTED_PAGE = r"(?iU)\bPAGE\s*[:\.]?\s*(\d+)\b"
+TRAILING = r"(?U)[\s—\-\.…]+$"
+ODD_REFERENCE = r"[^A-Za-z0-9\-]"
 # --------------------------------------------------------------------------------------------------------------------
 
 
@@ -163,26 +169,30 @@ def reference_hint(text: Column) -> Column:
 def group_pages(pages: DataFrame) -> DataFrame:
     """WIN1: logical documents of a job's classified pages (job_id, page_number, doc_type, confidence, tier, ref, text).
 
-    RECEPTION pages vanish without closing the open group; UNKNOWN ones close it and stand alone; others join it if types agree and
-    references do not conflict, or if they are an order's summary misread as an invoice. A group takes the first reference it
-    meets. Returns job_id, group_no, doc_type, pages, ref, confidence (min), tier (max)."""
-    page = F.struct("page_number", "doc_type", "confidence", "tier", F.coalesce("ref", F.lit("")).alias("ref"), F.coalesce("text", F.lit("")).alias("text"))
+    RECEPTION pages vanish without closing the open group; UNKNOWN ones close it and stand alone. A page of the group's type joins it if it is marked as a continuation, whatever
+    its reference; else if both have the same reference, or only the page has one. A page without one does not join, also where the group has none. An order's
+    summary misread as an invoice joins whatever its reference. A group takes the first reference it meets. What a page's text says is two flags
+    before the fold, which carries no text. Returns job_id, group_no, doc_type, pages, ref, confidence (min), tier (max)."""
+    page = F.struct(
+        F.col("page_number").cast("int").alias("page_number"), "doc_type", F.col("confidence").cast("double").alias("confidence"), F.col("tier").cast("int").alias("tier"),
+        F.coalesce("ref", F.lit("")).alias("ref"), G.is_continuation("text").alias("continues"), ((F.col("doc_type") == "FACTURE") & G.has_order_totals("text")).alias("totals"),
+    )
     per_job = pages.groupBy("job_id").agg(F.array_sort(F.collect_list(page)).alias("p"))
     group = "struct<doc_type:string,pages:array<int>,ref:string,confidence:double,tier:int>"
     start = F.array().cast(f"array<{group}>")
 
     def fresh(p: Column) -> Column:
-        return F.struct(p["doc_type"].alias("doc_type"), F.array(p["page_number"].cast("int")).alias("pages"), p["ref"].alias("ref"), p["confidence"].cast("double").alias("confidence"), p["tier"].cast("int").alias("tier")).cast(group)
+        return F.struct(p["doc_type"].alias("doc_type"), F.array(p["page_number"]).alias("pages"), p["ref"].alias("ref"), p["confidence"].alias("confidence"), p["tier"].alias("tier")).cast(group)
 
     def step(acc: Column, p: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         open_ = F.coalesce(last["doc_type"] != "UNKNOWN", F.lit(False))
-        same = (last["doc_type"] == p["doc_type"]) & ((last["ref"] == "") | (p["ref"] == "") | (last["ref"] == p["ref"]))
-        summary = (p["doc_type"] == "FACTURE") & G.is_order_summary(last["doc_type"], p["text"])
-        join = open_ & (p["doc_type"] != "UNKNOWN") & F.coalesce(same | summary, F.lit(False))
+        fits = F.when(p["continues"], True).when((p["ref"] != "") & (last["ref"] != ""), p["ref"] == last["ref"]).otherwise(p["ref"] != "")
+        same = (last["doc_type"] == p["doc_type"]) & fits
+        join = open_ & (p["doc_type"] != "UNKNOWN") & F.coalesce(same | (p["totals"] & last["doc_type"].isin("BC", "BL")), F.lit(False))
         merged = F.struct(
-            last["doc_type"].alias("doc_type"), F.concat(last["pages"], F.array(p["page_number"].cast("int"))).alias("pages"), F.when(last["ref"] == "", p["ref"]).otherwise(last["ref"]).alias("ref"),
-            F.least(last["confidence"], p["confidence"].cast("double")).alias("confidence"), F.greatest(last["tier"], p["tier"].cast("int")).alias("tier"),
+            last["doc_type"].alias("doc_type"), F.concat(last["pages"], F.array(p["page_number"])).alias("pages"), F.when(last["ref"] == "", p["ref"]).otherwise(last["ref"]).alias("ref"),
+            F.least(last["confidence"], p["confidence"]).alias("confidence"), F.greatest(last["tier"], p["tier"]).alias("tier"),
         ).cast(group)
         rest = F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))
         return F.when(p["doc_type"] == "RECEPTION", acc).when(join, F.concat(rest, F.array(merged))).otherwise(F.concat(acc, F.array(fresh(p))))
@@ -193,8 +203,8 @@ def group_pages(pages: DataFrame) -> DataFrame:
 
 def printed_order(pages: DataFrame) -> DataFrame:
     """WIN6: pages of a document in the order of their printed numbers, if every page has one; else as they are."""
-    no = F.regexp_extract(F.upper(F.substring("text", 1, 600)), r"PAGE\s*:?\s*(\d+)", 1)
-    at = pages.withColumn("printed", F.nullif(no, F.lit("")).cast("int"))
+    no = F.regexp_extract(F.substring("text", 1, 600), PRINTED_PAGE, 1)
+    at = pages.withColumn("printed", F.nullif(no, F.lit("")).try_cast("bigint"))
     w = Window.partitionBy("doc_id")
     all_known = F.count("printed").over(w) == F.count(F.lit(1)).over(w)
     key = F.when(all_known, F.col("printed")).otherwise(F.col("page_number"))
@@ -353,61 +363,150 @@ def cell_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
     return out.where(G.valid_product_line(F.col("ref_produit"), F.col("prix_unitaire"), F.col("qty"), F.col("designation")))
 
 
-def polished_reference(ref: Column, confidence: Column) -> Column:
-    """EXT12: struct(ref, confidence): trailing dashes removed; odd characters cap the confidence at 0.40; clamped to [0, 1]."""
-    clean = F.regexp_replace(F.trim(ref), r"[-–—\s]+$", "")
-    odd = F.coalesce(clean.rlike(r"[^A-Za-z0-9\-/_. +*=]"), F.lit(False))
-    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
-    return F.struct(clean.alias("ref"), F.when(odd, F.least(c, F.lit(0.40))).otherwise(c).alias("confidence"))
-
-
-def _first_json(texts: pd.Series) -> pd.Series:
-    def scan(text):
-        start, depth, quoted, escaped = -1, 0, False, False
-        for i, ch in enumerate(text or ""):
-            if quoted:
-                quoted, escaped = (ch != '"' or escaped), ch == "\\" and not escaped
-            elif ch == '"' and depth:
-                quoted = True
-            elif ch == "{":
-                start, depth = (i if depth == 0 else start), depth + 1
-            elif ch == "}" and depth:
-                depth -= 1
-                if depth == 0:
-                    return text[start : i + 1]
-        return None
+_QUOTED_REST, _OUTSIDE = re.compile(r'(?:[^"\\]|\\.)*"', re.DOTALL), re.compile(r'["{}]')
+_FENCES = ((r"(?m)^```(?:json)?\s*", ""), (r"(?m)\s*```$", ""))
+_FENCE_ENDS = ((r"(?i)^```(?:json)?\s*\n?", ""), (r"(?i)\n?```\s*$", ""))
+
+
+def _balanced(text: str):
+    """Substrings between an outermost brace and its partner; braces in strings do not count, and a stray closing one takes an opening one with it."""
+    depth, start, at = 0, None, 0
+    while found := _OUTSIDE.search(text, at):
+        at = found.end()
+        if found[0] == '"':
+            rest = _QUOTED_REST.match(text, at)
+            if rest is None:
+                return
+            at = rest.end()
+        elif found[0] == "{":
+            start = found.start() if depth == 0 else start
+            depth += 1
+        else:
+            depth -= 1
+            if depth == 0 and start is not None:
+                yield text[start:at]
+                start = None
+
+
+def _candidates(text: str):
+    """What of an answer may be JSON, in the order in which it counts: all of it, all within fences, each balanced part."""
+    for pattern, new in _FENCES:
+        text = re.sub(pattern, new, text.strip())
+    yield text.strip()
+    inner = text.strip()
+    for pattern, new in _FENCE_ENDS:
+        inner = re.sub(pattern, new, inner)
+    yield inner.strip()
+    yield from _balanced(text)
+
+
+def read_answer(text: str | None) -> tuple[bool, str | None, int | None, int]:
+    """EXT11: whether an answer holds JSON; its first valid JSON if that is an object; the row count that it declares, if a whole number; its lines."""
+    for candidate in _candidates(text or ""):
+        try:
+            value = json.loads(candidate)
+        except (ValueError, RecursionError):
+            continue
+        if not isinstance(value, dict):
+            return True, None, None, 0
+        declared, lines = value.get("line_count_in_document"), value.get("lines", [])
+        whole = isinstance(declared, int) and abs(declared) < 1 << 62
+        return True, candidate, int(declared) if whole else None, len(lines) if isinstance(lines, list) else 0
+    return False, None, None, 0
+
+
+ANSWER = "struct<parsed:boolean,object:string,declared:bigint,n_lines:int>"
+
+
+def _answers(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda texts: [dict(zip(("parsed", "object", "declared", "n_lines"), read_answer(t))) for t in (texts if texts is not None else [])])
+
+
+def answers_read(texts):
+    """EXT11 over a column of answers, an array in the order of the calls; an array of ANSWER."""
+    return F.pandas_udf(_answers, f"array<{ANSWER}>")(texts)
+
+
+def accepted_answer(answers: Column, visible: Column, ref_key: Column) -> Column:
+    """EXT10, EXT14: which of a document's answers (array of ANSWER, in the order of the calls) counts: struct(object, used, tries); a null object is a failed extraction.
+
+    Within a try each guard sends back one answer: no JSON; fewer lines than declared; fewer lines than references are visible. Asking again for JSON or
+    for lines forgets what the other asked, the references' guard is asked once. What is not an object ends the extraction. An answer without the document's own
+    reference can't be mapped: a second try begins with all guards; an empty object ends it. If the answers run out, the extraction failed."""
+    state = "struct<json:boolean,line:boolean,ref:boolean,tries:int,used:int,over:boolean,object:string>"
+
+    def now(a: Column, json_: Column, line: Column, ref: Column, tries: Column, over: Column, object_: Column) -> Column:
+        return F.struct(json_.alias("json"), line.alias("line"), ref.alias("ref"), tries.alias("tries"), (a["used"] + 1).alias("used"), over.alias("over"), object_.alias("object")).cast(state)
+
+    def step(a: Column, x: Column) -> Column:
+        yes, no, none = F.lit(True), F.lit(False), F.lit(None).cast("string")
+        fewer = F.coalesce((x["declared"] != 0) & (x["n_lines"] < x["declared"]), no)
+        mapped = F.array_contains(F.coalesce(F.json_object_keys(x["object"]), F.array()), ref_key)
+        return (
+            F.when(a["over"], a)
+            .when(~x["parsed"] & ~a["json"], now(a, yes, no, a["ref"], a["tries"], no, none))
+            .when(x["object"].isNull(), now(a, no, no, no, a["tries"], yes, none))
+            .when(~a["line"] & fewer, now(a, no, yes, a["ref"], a["tries"], no, none))
+            .when(~a["ref"] & (visible > x["n_lines"]), now(a, no, a["line"], yes, a["tries"], no, none))
+            .when(mapped, now(a, no, no, no, a["tries"], yes, x["object"]))
+            .when((a["tries"] == 1) & (F.size(F.json_object_keys(x["object"])) > 0), now(a, no, no, no, F.lit(2), no, none))
+            .otherwise(now(a, no, no, no, a["tries"], yes, none))
+        )
 
-    return texts.map(scan)
+    start = F.struct(*[F.lit(False).alias(k) for k in ("json", "line", "ref")], F.lit(1).alias("tries"), F.lit(0).alias("used"), F.lit(False).alias("over"), F.lit(None).cast("string").alias("object")).cast(state)
+    return F.aggregate(answers, start, step, lambda a: F.struct(a["object"].alias("object"), a["used"].alias("used"), a["tries"].alias("tries")))
 
 
-def first_json(text):
-    """EXT11: the first balanced JSON object in free text, strings honoured; null if there is none."""
-    return F.pandas_udf(_first_json, "string")(text)
+def polished_line(designation: Column, ref: Column, ref_confidence: Column, issues: Column) -> Column:
+    """EXT12: struct(designation, ref, ref_confidence, issues, note). Dashes, dots and space at the designation's end go; a reference with other characters than letters,
+    digits and dashes has a confidence of 0.40 at most and a note. Confidences are clamped to [0, 1]; what is no number is 0.5; null stays null."""
+    odd = F.coalesce(F.trim(ref).rlike(ODD_REFERENCE), F.lit(False))
+    number = F.when(ref_confidence.isNotNull(), F.coalesce(ref_confidence.try_cast("double"), F.lit(0.5)))
+    bounded = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    given, capped = F.when(number.isNotNull(), bounded(number)), bounded(F.least(F.lit(0.40), F.coalesce(F.when(number != 0, number), F.lit(1.0))))
+    return F.struct(
+        F.trim(F.regexp_replace(F.trim(F.coalesce(designation, F.lit(""))), TRAILING, "")).alias("designation"), F.trim(ref).alias("ref"), F.when(odd, capped).otherwise(given).alias("ref_confidence"),
+        (F.coalesce(issues, F.lit(False)) | odd).alias("issues"), F.when(odd, F.concat(F.lit("Ref '"), F.trim(ref), F.lit("' contains invalid characters — needs manual review"))).alias("note"),
+    )
 
 
 EXTERNAL = (
-    "struct<ref_document:string,ref_bc_linked:string,date:string,supplier:string,total_ht:string,total_ttc:string,tva_rate:string,"
+    "struct<ref_bc:string,ref_bl:string,ref_facture:string,ref_bc_linked:string,document_date:string,supplier_name:string,total_ht:string,total_ttc:string,tva_rate:string,"
     "lines:array<struct<ref_produit:string,designation:string,qty:string,unit:string,prix_unitaire:string,tva_rate:string,total_ligne_ht:string,"
-    "ref_confidence:double,designation_confidence:double>>>"
+    "ref_confidence:string,designation_confidence:string,ocr_issues_detected:boolean>>>"
 )
+REF_KEYS = {"BC": "ref_bc", "BL": "ref_bl", "FACTURE": "ref_facture"}
+
+
+def mapped_external(docs: DataFrame, patterns: tuple[str, ...] | None = None) -> DataFrame:
+    """EXT13: documents from external answers (columns doc_id, kind, text, answers; the answers in the order of the calls); confidence 0.70, tier 3. Texts are those that
+    the answers speak of; patterns are a supplier's own references. Documents whose extraction failed are left out."""
+    from ledgerloom.operators.suppliers import visible_references
+
+    key = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in REF_KEYS.items()])
+    seen = visible_references("text", *([patterns] if patterns else []))
+    at = docs.select("doc_id", "kind", key.alias("key"), seen.alias("visible"), answers_read(F.col("answers")).alias("answers"))
+    at = at.select("doc_id", "kind", F.explode(F.array(accepted_answer(F.col("answers"), F.col("visible"), F.col("key")))).alias("a"))  # computed once
+    at = at.where("a.object is not null").select("doc_id", "kind", "a.used", "a.tries", F.from_json("a.object", EXTERNAL).alias("j"))
+    bounded = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(v.try_cast("double"), F.lit(0.5))))
+
+    def line(x: Column) -> Column:
+        qty, price, total = X.quantity(x["qty"])["value"], X.money(x["prix_unitaire"])["value"], X.money(x["total_ligne_ht"])["value"]
+        p = polished_line(x["designation"], x["ref_produit"], x["ref_confidence"], x["ocr_issues_detected"])
+        described = F.when(x["designation_confidence"].isNotNull(), bounded(x["designation_confidence"]))
+        confidence = F.least(F.coalesce(p["ref_confidence"], F.lit(1.0)), F.coalesce(described, F.lit(1.0)), F.when(p["issues"], 0.85).otherwise(1.0))
+        return F.struct(
+            X.safe_reference(p["ref"]).alias("ref_produit"), p["designation"].alias("designation"), x["unit"].alias("unit"), confidence.alias("line_confidence"), qty.alias("qty"),
+            X.scale_corrected(qty, price, total).cast(X.NUMBER).alias("prix_unitaire"), X.normalised_number(x["tva_rate"]).alias("tva_rate"), total.alias("total_ligne_ht"),
+            ((confidence < 0.70) | p["issues"]).alias("has_low_confidence"), p["note"].alias("note"),
+        )
 
-
-def mapped_external(docs: DataFrame) -> DataFrame:
-    """EXT13, EXT14: documents from external JSON (columns doc_id, first_try, second_try), the second try where the first
-    does not parse; confidence 0.70, tier 3."""
-    at = docs.withColumn("j", F.coalesce(F.from_json(first_json("first_try"), EXTERNAL), F.from_json(first_json("second_try"), EXTERNAL)))
-    polished = lambda x: polished_reference(x["ref_produit"], F.coalesce(x["ref_confidence"], F.lit(1.0)))
-    described = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x["designation_confidence"], F.lit(1.0))))
-    line = lambda x: F.struct(
-        X.safe_reference(polished(x)["ref"]).alias("ref_produit"), x["designation"].alias("designation"), x["unit"].alias("unit"),
-        F.least(polished(x)["confidence"], described(x)).alias("line_confidence"), X.quantity(x["qty"])["value"].alias("qty"),
-        X.scale_corrected(X.quantity(x["qty"])["value"], X.money(x["prix_unitaire"])["value"], X.money(x["total_ligne_ht"])["value"]).cast(X.NUMBER).alias("prix_unitaire"),
-        X.number(x["tva_rate"]).alias("tva_rate"), X.money(x["total_ligne_ht"])["value"].alias("total_ligne_ht"),
-    )
-    return at.where("j is not null").select(
-        "doc_id", F.upper(F.trim("j.ref_document")).alias("ref_document"), F.upper(F.trim("j.ref_bc_linked")).alias("ref_bc_linked"), X.date("j.date").alias("document_date"),
-        F.col("j.supplier").alias("supplier_name"), *[X.number(f"j.{c}").alias(c) for c in ("total_ht", "total_ttc", "tva_rate")],
-        F.lit(0.70).alias("extraction_confidence"), F.lit(3).alias("extraction_tier"), F.transform("j.lines", line).alias("lines"),
+    lines = F.filter(F.transform(F.coalesce("j.lines", F.array()), line), lambda x: G.valid_product_line(x["ref_produit"], x["prix_unitaire"], x["qty"], x["designation"]))
+    invoice = lambda c: F.when((F.col("kind") == "FACTURE") & (F.col(f"j.{c}") != ""), X.normalised_number(f"j.{c}"))
+    return at.select(
+        "doc_id", "kind", "used", "tries", X.reference(F.coalesce(*[F.when(F.col("kind") == k, F.col(f"j.{v}")) for k, v in REF_KEYS.items()])).alias("ref_document"),
+        F.when(F.col("kind") != "BC", X.safe_reference("j.ref_bc_linked")).alias("ref_bc_linked"), X.date("j.document_date").alias("document_date"), X.squeeze("j.supplier_name").alias("supplier_name"),
+        *[invoice(c).alias(c) for c in ("total_ht", "total_ttc", "tva_rate")], F.lit(0.70).alias("extraction_confidence"), F.lit(3).alias("extraction_tier"), lines.alias("lines"),
     )
 
 

@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import guards as G
 from ledgerloom.functions import text as X
 from ledgerloom.functions.similarity import fuzz_column, ratio_column
+from ledgerloom.operators.containment import contained
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 ISSUER_LABELS = ("fournisseur", "vendeur", "emetteur", "émetteur", "société", "societe", "raison sociale", "de :", "de:", "from:")
 RECIPIENT_LABELS = ("client", "acheteur", "destinataire", "à :", "a:", "to:", "bon de commande", "commande", "réception", "reception")
-REF_PATTERNS = (r"[A-Z]{1,4}\d{6,12}", r"[A-Z]{2,4}-\d{2,4}-\d{2,8}", r"[A-Z]{2,6}\d{2,4}-\d{2,4}", r"[A-Z]{1,3}\d{3,6}[A-Z]?", r"\d{4,8}[A-Z]{1,3}", r"[A-Z]{2,4}\.\d{3,8}")
+VISIBLE_REFS = (r"\b[A-Z]\d{6,}\b", r"\b[A-Z]{2,4}\d{4,}\b")
+NAME_PATTERNS = (
+    r"(?:FOURNISSEUR|RAISON SOCIALE|VENDEUR|SOCIETE|SOCIÉTÉ)\s*[:\-]?\s*([A-ZÀ-Ÿ][A-ZÀ-Ÿa-zà-ÿ0-9\s&\.\-]{3,60})",
+    r"(?:DE\s*:)\s*([A-ZÀ-Ÿ][A-ZÀ-Ÿa-zà-ÿ0-9\s&\.\-]{3,60})",
+)
+TITLES, TITLES_ONLY = r"^(BON|FACTURE|COMMANDE|LIVRAISON|RECEPTION|N[°O])", r"^(BON|FACTURE|COMMANDE|LIVRAISON|RECEPTION)"
+#: A word's ends are letters, digits or underscores; marks do not count.
+WORD = r"(?<![\p{L}\p{N}_])([A-ZÀ-Ÿ]{3,20})(?![\p{L}\p{N}_])"
+GENERIC_WORDS = (
+    "BON", "DE", "COMMANDE", "LIVRAISON", "FACTURE", "DATE", "REF", "REFERENCE", "TOTAL", "TVA", "HT", "TTC", "PRIX", "QTE",
+    "DESIGNATION", "ARTICLE", "MONTANT", "NET",
+)
 COLUMNS = {
     "ref_produit": ("réf", "ref", "reference", "référence", "article", "code", "cod", "art", "produit", "item"),
     "designation": ("désignation", "designation", "description", "libellé", "libelle", "intitulé", "intitule", "produit", "article"),
@@ -22,7 +35,7 @@ COLUMNS = {
     "remise": ("remise", "rem", "% rem", "rabais", "discount", "%rem"),
     "total_ligne": ("montant ht", "total ht", "montant", "total", "total ligne", "net ht", "tot ht", "montant net"),
 }
-TOKEN = r"([A-Za-z0-9][A-Za-z0-9.\-/]{2,18}[A-Za-z0-9])"
+TOKEN = r"\b([A-Z]{1,6}[\-\.]?[A-Z0-9]{2,}(?:[\-\.][A-Z0-9]+)*)\b"
 PROMOTE_AT, KEEP, TOP = 3, 12, 8
 ENRICH_AT, CREATE_AT = 0.35, 0.20
 SAME_NAME = 0.85
@@ -30,34 +43,73 @@ SAME_NAME = 0.85
 
 
 def containing_supplier(texts: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """JN15: the first confirmed supplier by name whose name, ids or aliases a text contains.
-
-    texts: doc_id, text; suppliers: name, identifiers (array). The supplier dimension is the broadcast side of a nested
-    loop only while Spark's own size estimate allows it."""
-    up = texts.select("doc_id", F.upper(X.fold_accents("text")).alias("__t"))
-    own = suppliers.select("name", F.transform("identifiers", lambda v: F.upper(X.fold_accents(v))).alias("__i"))
-    hit = up.join(own, F.exists("__i", lambda v: (v != "") & F.col("__t").contains(v)))
-    return hit.groupBy("doc_id").agg(F.min("name").alias("supplier_name"))
-
-
-def profile_scores(texts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """JN16: doc_id, name, score of the best profile. profiles: name, siret, vat_number, name_aliases, keywords,
-    ref_patterns. The weights of the checks that count are summed and divided by their number; keywords count wherever a profile has some. Of equal scores
-    the last name counts. Names are compared once a distinct pair, and only pairs whose lengths allow the similarity."""
-    up = texts.select("doc_id", "detected_name", F.col("text").alias("__raw"), F.upper("text").alias("__t"))
-    at = up.join(profiles, F.lit(True))
-    names = at.select(F.upper("detected_name").alias("__d"), F.upper("name").alias("__n")).where("__d <> '' and __n <> ''").distinct()
-    alike = names.where(F.abs(F.length("__d") - F.length("__n")) <= F.lit(1 - SAME_NAME) * (F.length("__d") + F.length("__n")))
-    alike = alike.withColumn("__alike", ratio_column("__d", "__n") >= 100 * SAME_NAME).where("__alike")
-    at = at.join(alike, (F.upper("detected_name") == F.col("__d")) & (F.upper("name") == F.col("__n")), "left")
-    inside = lambda v: F.coalesce((F.length(v) >= 3) & F.col("__t").contains(F.upper(v)), F.lit(False))
-    exact = lambda v: F.coalesce((v != "") & F.col("__raw").contains(v), F.lit(False))
-    n = lambda c: (F.coalesce(F.size(c), F.lit(0)) > 0)
-    words = F.size(F.filter("keywords", lambda k: (k != "") & F.col("__t").contains(F.upper(k)))) / F.greatest(F.size("keywords"), F.lit(1))
+    """JN15: the first confirmed supplier by name whose name, ids or aliases a text contains, accents and case aside. texts: doc_id, text; suppliers: name, identifiers (array)."""
+    up = lambda c: F.upper(X.fold_accents(c))
+    own = suppliers.select("name", F.explode(F.array_distinct(F.transform("identifiers", up))).alias("needle")).where("needle <> ''").groupBy("needle").agg(F.min("name").alias("name"))
+    hits = contained(texts.select("doc_id", up("text").alias("text")), own)
+    return hits.join(own, "needle").groupBy("doc_id").agg(F.min("name").alias("supplier_name"))
+
+
+def _alike(detected: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of upper-cased detected names and profile names (detected, up) with a ratio of SAME_NAME or more. Distinct pairs of lengths that allow it are compared, first by their edit
+    distance: a ratio r of strings of n and m characters leaves (1 - r)(n + m) insertions and deletions, and so as many edits, at most. Few reach the scorer."""
+    d, n = detected.where("detected <> ''").distinct(), names.where("up <> ''").distinct()
+    far = (2 - SAME_NAME) / SAME_NAME
+    reach = F.sequence(F.floor(F.length("detected") / far).cast("int"), F.ceil(F.length("detected") * far).cast("int"))
+    near = d.withColumn("len", F.explode(reach)).join(n.withColumn("len", F.length("up")), "len")
+    near = near.where(F.levenshtein("detected", "up") <= (1 - SAME_NAME) * (F.length("detected") + F.length("up")) + 1e-9)
+    return near.withColumn("ratio", ratio_column("detected", "up")).where(F.col("ratio") >= 100 * SAME_NAME).select("detected", "up")
+
+
+def profile_scores(texts: DataFrame, profiles: DataFrame, buyers: tuple[str, ...] = ()) -> DataFrame:
+    """JN16: doc_id, name, score of the best profile. profiles: name (unique), siret, vat_number, name_aliases, keywords, ref_patterns; texts: doc_id, text, detected_name. The weights of the
+    checks that count are summed and divided by their number; keywords count wherever a profile has some. Of equal scores the last name counts. Known buyers are no suppliers.
+
+    Names, aliases, ids and keywords are found in one scan of the texts; every distinct pattern is tried once a text. What a text says for sure of a profile (name, alias, id, like name)
+    makes a pair. All other profiles differ by their keywords and patterns only: of each class of equal ones, a text needs the last name that is in none of its pairs."""
+    own = profiles.where(~G.is_known_buyer("name", buyers)).withColumn("name", F.coalesce("name", F.lit("")))
+    kept = lambda c: F.array_sort(F.filter(F.coalesce(c, F.array()), lambda v: v.isNotNull()))
+    own = own.select("name", "siret", "vat_number", "name_aliases", kept(F.col("keywords")).alias("keywords"), F.array_distinct(kept(F.col("ref_patterns"))).alias("ref_patterns"))
+    own = own.withColumn("class", F.sha2(F.to_json(F.struct("keywords", "ref_patterns")), 256))
+    known = texts.select("doc_id", F.col("text").alias("raw"), F.upper("text").alias("text"), F.upper("detected_name").alias("detected"))
+
+    # needles of upper-cased texts, and of texts as they are
+    long_ = lambda v: F.length(v) >= 3
+    named = own.select("name", F.upper("name").alias("needle"), F.lit("name_").alias("check")).where(F.length("name") >= 3)
+    aliased = own.select("name", F.explode(F.filter(F.coalesce("name_aliases", F.array()), long_)).alias("v")).select("name", F.upper("v").alias("needle"), F.lit("alias").alias("check"))
+    ids = [own.select("name", F.col(c).alias("needle"), F.lit(c).alias("check")).where("needle <> ''") for c in ("siret", "vat_number")]
+    words = own.select("class", "keywords").distinct().select("class", F.explode("keywords").alias("v")).where("v <> ''").select("class", F.upper("v").alias("needle"))
+    upper = contained(known.select("doc_id", "text"), named.select("needle").union(aliased.select("needle")).union(words.select("needle")))
+    plain = contained(known.select("doc_id", F.col("raw").alias("text")), ids[0].select("needle").union(ids[1].select("needle")))
+
+    # pairs by certain checks
+    like = known.select("doc_id", "detected").join(_alike(known.select("detected"), own.select(F.upper("name").alias("up"))), "detected").join(own.select("name", F.upper("name").alias("up")), "up").select("doc_id", "name", F.lit("like").alias("check"))
+    sure = upper.join(named.unionByName(aliased), "needle").select("doc_id", "name", "check").distinct().unionByName(plain.join(ids[0].unionByName(ids[1]), "needle").select("doc_id", "name", "check").distinct()).unionByName(like)
+    marks = ("name_", "like", "alias", "siret", "vat_number")
+    pairs = sure.groupBy("doc_id", "name").agg(*[F.max(F.col("check") == m).alias(m) for m in marks]).join(own.select("name", "class"), "name")
+
+    # classes by keywords and patterns
+    classes = own.groupBy("class").agg(F.first("keywords").alias("keywords"), F.first("ref_patterns").alias("ref_patterns"))
+    n_words = classes.select("class", F.size("keywords").alias("n_words"))
+    said = words.groupBy("class", "needle").agg(F.count(F.lit(1)).alias("n"))
+    heard = upper.join(said, "needle").groupBy("doc_id", "class").agg(F.sum("n").alias("words"))
+    patterns = classes.select("class", F.explode("ref_patterns").alias("pattern"))
+    tried = known.select("doc_id", "text").join(patterns.select("pattern").distinct(), F.regexp_like("text", "pattern")).select("doc_id", "pattern")
+    matched = tried.join(patterns, "pattern").select("doc_id", "class").distinct().withColumn("pattern", F.lit(True))
+    of_class = heard.join(matched, ["doc_id", "class"], "full").select("doc_id", "class", F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("pattern", F.lit(False)).alias("pattern"))
+
+    # of each class the last name that is in no pair: one of the last k + 1 for k pairs
+    ranked = own.select("class", "name", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("name"))).alias("rank"))
+    per = pairs.groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("k"))
+    free = of_class.join(per, ["doc_id", "class"], "left").select("doc_id", "class", F.explode(F.sequence(F.lit(1), F.coalesce("k", F.lit(0)).cast("int") + 1)).alias("rank"))
+    free = free.join(ranked, ["class", "rank"]).join(pairs.select("doc_id", "name"), ["doc_id", "name"], "left_anti").groupBy("doc_id", "class").agg(F.max("name").alias("name"))
+    every = pairs.select("doc_id", "name", "class", *marks).unionByName(free.select("doc_id", "name", "class", *[F.lit(False).alias(m) for m in marks]))
+    at = every.join(n_words, "class").join(of_class, ["doc_id", "class"], "left")
+
+    part = F.coalesce("words", F.lit(0)) / F.greatest("n_words", F.lit(1))
     checks = [
-        (inside(F.col("name")), F.lit(0.70)), (F.coalesce("__alike", F.lit(False)), F.lit(0.30)), (F.coalesce(F.exists("name_aliases", inside), F.lit(False)), F.lit(0.50)),
-        (exact(F.col("siret")), F.lit(0.90)), (exact(F.col("vat_number")), F.lit(0.90)), (n("keywords"), words * 0.40),
-        (F.coalesce(F.exists("ref_patterns", lambda p: F.regexp_like(F.col("__t"), p)), F.lit(False)), F.lit(0.30)),
+        (F.col("name_"), F.lit(0.70)), (F.col("like"), F.lit(0.30)), (F.col("alias"), F.lit(0.50)), (F.col("siret"), F.lit(0.90)), (F.col("vat_number"), F.lit(0.90)),
+        (F.col("n_words") > 0, part * 0.40), (F.coalesce("pattern", F.lit(False)), F.lit(0.30)),
     ]
     total, used = F.lit(0.0), F.lit(0)
     for counted, weight in checks:
@@ -72,48 +124,78 @@ def detection(score: Column, detected_name: Column, enrich_at: float = ENRICH_AT
     return F.when(s >= enrich_at, "ENRICH").when(F.coalesce(detected_name, F.lit("")) == "", "GENERIC").when(s < cold_start_min, "GENERIC").otherwise("CREATE")
 
 
-def roles(lines: DataFrame) -> DataFrame:
-    """SUP1-SUP3: issuer and recipient candidates of texts. lines: doc_id, line_no (from 1), line.
+def _unknown(name: Column, buyers: tuple[str, ...]) -> Column:
+    return ~G.is_known_buyer(name, buyers)
 
-    Returns doc_id, role, name, confidence, line_no; names follow a label after a colon, or stand on the next line."""
+
+def _in_capitals(line: Column, titles: str, buyers: tuple[str, ...]) -> Column:
+    """A line of capitals: two words and five characters at least, no title of a document, no known buyer."""
+    v = F.trim(line)
+    return (v == F.upper(v)) & (F.size(F.split(v, r"(?U)\s+")) >= 2) & (F.length(v) >= 5) & ~v.rlike(titles) & _unknown(v, buyers)
+
+
+def roles(lines: DataFrame, buyers: tuple[str, ...] = ()) -> DataFrame:
+    """SUP1, SUP2: issuer and recipient candidates of texts. lines: doc_id, line_no (from 1), line; buyers: known buyers in lower case, which are no issuers.
+
+    A label in the first 30 lines names what follows its line's first colon, if that has three characters, else the next of these lines, if it has and holds no label. The first line of
+    capitals of the first 15 is an issuer too. Returns doc_id, role, name, confidence, line_no."""
     low = F.lower(F.col("line"))
-    nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    labelled = lambda names: F.exists(F.array(*[F.lit(v) for v in names]), lambda v: low.contains(v))
-    at = lines.where("line_no <= 31").withColumn("next", nxt).where("line_no <= 30")
-    after = F.substring(F.trim(F.regexp_extract("line", ":(.*)$", 1)), 1, 80)
-    any_label = lambda c: F.exists(F.array(*[F.lit(v) for v in (*ISSUER_LABELS, *RECIPIENT_LABELS)]), lambda v: F.lower(c).contains(v))
-    name = F.when(F.length(after) >= 3, after).when(F.col("next").isNotNull() & ~any_label(F.col("next")), F.substring(F.trim("next"), 1, 80))
-    issuer = at.where(labelled(ISSUER_LABELS)).select("doc_id", F.lit("ISSUER").alias("role"), name.alias("name"), F.lit(0.80).alias("confidence"), "line_no")
-    recipient = at.where(labelled(RECIPIENT_LABELS)).select("doc_id", F.lit("RECIPIENT").alias("role"), name.alias("name"), F.lit(0.75).alias("confidence"), "line_no")
-    caps = at.where("line_no <= 15").where(F.col("line").rlike(r"^[\p{Lu}0-9 .&'-]{4,}$") & F.col("line").rlike(r"\p{Lu}{3}"))
-    caps = caps.groupBy("doc_id").agg(F.min_by(F.struct("line", "line_no"), "line_no").alias("c")).select("doc_id", F.lit("ISSUER").alias("role"), F.trim("c.line").alias("name"), F.lit(0.55).alias("confidence"), "c.line_no")
-    return issuer.unionByName(recipient).unionByName(caps).where("name is not null and name <> ''")
+    at = lines.where("line_no <= 30").withColumn("next", F.trim(F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))))
+    holds = lambda c, labels: F.exists(F.array(*[F.lit(v) for v in labels]), lambda v: c.contains(v))
+    after = F.trim(F.regexp_extract("line", "(?s):(.*)$", 1))
+    follows = (F.length("next") >= 3) & ~holds(F.lower("next"), (*ISSUER_LABELS, *RECIPIENT_LABELS))
+    name = F.substring(F.when(F.length(after) >= 3, after).when(follows, F.col("next")), 1, 80)
+    issuer = at.where(holds(low, ISSUER_LABELS)).select("doc_id", F.lit("ISSUER").alias("role"), name.alias("name"), F.lit(0.80).alias("confidence"), "line_no").where(_unknown(F.col("name"), buyers))
+    recipient = at.where(holds(low, RECIPIENT_LABELS)).select("doc_id", F.lit("RECIPIENT").alias("role"), name.alias("name"), F.lit(0.75).alias("confidence"), "line_no")
+    caps = at.where("line_no <= 15").where(_in_capitals(F.col("line"), TITLES, buyers)).groupBy("doc_id").agg(F.min_by(F.struct("line", "line_no"), "line_no").alias("c"))
+    caps = caps.select("doc_id", F.lit("ISSUER").alias("role"), F.substring(F.trim("c.line"), 1, 100).alias("name"), F.lit(0.55).alias("confidence"), "c.line_no")
+    return issuer.unionByName(recipient).unionByName(caps).where("name <> ''")
+
+
+def supplier_names(lines: DataFrame, buyers: tuple[str, ...] = ()) -> DataFrame:
+    """SUP1-SUP3, SRT6: doc_id, name, found_by: the issuer of the highest confidence, the first among equals; without one, what follows a label anywhere in the
+    first 20 lines; else the first line of capitals of the first 15, a number's heading included."""
+    issuer = roles(lines, buyers).where("role = 'ISSUER'").groupBy("doc_id").agg(F.min_by("name", F.struct(-F.col("confidence"), F.col("line_no"))).alias("by_role"))
+    head = lines.where("line_no <= 20").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("head"))
+    tidy = lambda p: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract("head", "(?iU)" + p, 1), r"(?U)^\s+|\s+$", "")), "[.,;]+$", "")
+    usable = lambda v: F.when((F.length(v) >= 3) & _unknown(v, buyers), v)
+    caps = lines.where("line_no <= 15").where(_in_capitals(F.col("line"), TITLES_ONLY, buyers)).groupBy("doc_id").agg(F.min_by("line", "line_no").alias("caps"))
+    at = head.join(issuer, "doc_id", "left").join(caps, "doc_id", "left")
+    at = at.select("doc_id", "by_role", F.coalesce(*[usable(tidy(p)) for p in NAME_PATTERNS]).alias("by_label"), F.substring(F.trim("caps"), 1, 100).alias("by_capitals"))
+    found_by = F.when(F.col("by_role").isNotNull(), "ROLE").when(F.col("by_label").isNotNull(), "LABEL").otherwise("CAPITALS")
+    return at.select("doc_id", F.coalesce("by_role", "by_label", "by_capitals").alias("name"), found_by.alias("found_by")).where("name is not null")
 
 
 def column_layout(lines: DataFrame) -> DataFrame:
-    """SUP5: the line of a document with most column vocabularies (at least 3), and which they are."""
+    """SUP5: doc_id, line_no, detected_header and columns (name, x_position) of the first line of a document with most column vocabularies, at least 3. A column stands where the first word of its
+    vocabulary that occurs in the line begins; columns in the order of their places."""
     low = F.lower(F.col("line"))
-    found = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(v) for v in words]), lambda v: low.contains(v)), F.lit(name)) for name, words in COLUMNS.items()]))
-    at = lines.withColumn("columns", found).where(F.size("columns") >= 3)
-    return at.groupBy("doc_id").agg(F.max_by(F.struct("line_no", "columns"), F.struct(F.size("columns"), -F.col("line_no"))).alias("b")).select("doc_id", "b.line_no", F.array_join("b.columns", ",").alias("columns"))
+    place = lambda words: F.coalesce(*[F.nullif(F.locate(w, low), F.lit(0)) for w in words]) - 1
+    each = F.array(*[F.struct(place(words).alias("x_position"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, words) in enumerate(COLUMNS.items())])
+    at = lines.withColumn("columns", F.array_sort(F.filter(each, lambda c: c["x_position"].isNotNull()))).where(F.size("columns") >= 3)
+    best = at.groupBy("doc_id").agg(F.max_by(F.struct("line_no", "line", "columns"), F.struct(F.size("columns"), -F.col("line_no"))).alias("b"))
+    columns = F.transform("b.columns", lambda c: F.struct(c["name"].alias("name"), c["x_position"].alias("x_position")))
+    return best.select("doc_id", "b.line_no", F.trim("b.line").alias("detected_header"), columns.alias("columns"))
 
 
 def mine_patterns(texts: DataFrame, key: str, top: int = TOP) -> DataFrame:
-    """AGG11: generalised patterns of code-like tokens that occur twice, the most frequent ones of each key."""
-    tokens = texts.select(key, F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 1)).alias("token"))
-    tokens = tokens.where(F.col("token").rlike("[A-Za-z]") & F.col("token").rlike("[0-9]") & (F.length("token") <= 20))
-    seen = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    found = seen.withColumn("pattern", X.generalised("token")).groupBy(key, "pattern").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "pattern"))
-    return found.withColumn("place", place).where(F.col("place") <= top)
+    """AGG11: key, pattern, n, place: generalised patterns of a document's code-like tokens that occur twice in it, by their number, the first seen among equals. texts has one
+    row a key. Tokens begin with letters, of upper-cased text, and have a digit and 4 to 20 characters."""
+    tokens = texts.select(key, F.posexplode(F.regexp_extract_all(F.upper("text"), F.lit("(?U)" + TOKEN), 1)).alias("pos", "token"))
+    tokens = tokens.where(F.col("token").rlike(r"(?U)\d") & F.length("token").between(4, 20))
+    seen = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")).where("n >= 2")
+    found = seen.withColumn("pattern", X.generalised("token")).groupBy(key, "pattern").agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "pos"))
+    return found.withColumn("place", place).where(F.col("place") <= top).drop("pos")
 
 
-def header_keywords(texts: DataFrame, key: str, stop_words: tuple[str, ...] = (), top: int = 15) -> DataFrame:
-    """AGG12: the most common words of 3 to 20 letters in the first 500 characters."""
-    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower(F.substring("text", 1, 500)), F.lit(r"(?U)\b(\p{L}{3,20})\b"), 1)).alias("word"))
-    words = words.where(~F.col("word").isin(*stop_words)) if stop_words else words
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word"))
-    return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place).where(F.col("place") <= top)
+def header_keywords(texts: DataFrame, key: str, stop_words: tuple[str, ...] = GENERIC_WORDS, top: int = 15) -> DataFrame:
+    """AGG12: key, word, n, place: the most common words of 3 to 20 capitals in the first 500 characters, upper-cased, the first seen among equals; then the generic ones
+    go, so there may be fewer than top. texts has one row a key; a known buyer's name belongs to stop_words."""
+    words = texts.select(key, F.posexplode(F.regexp_extract_all(F.upper(F.substring("text", 1, 500)), F.lit(WORD), 1)).alias("pos", "word"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "pos"))
+    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos")).withColumn("place", place)
+    return counted.where((F.col("place") <= top) & ~F.col("word").isin(*stop_words)).drop("pos")
 
 
 def promoted_patterns(evidence: DataFrame, promote_at: int = PROMOTE_AT, keep: int = KEEP) -> DataFrame:
@@ -123,10 +205,11 @@ def promoted_patterns(evidence: DataFrame, promote_at: int = PROMOTE_AT, keep: i
     return seen.withColumn("place", place).where(F.col("place") <= keep)
 
 
-def visible_references(text: Column | str, patterns: tuple[str, ...] = REF_PATTERNS) -> Column:
-    """AGG14: the number of distinct references in a text."""
-    up = F.upper(text if isinstance(text, Column) else F.col(text))
-    return F.size(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(up, F.lit(f"({p})"), 1) for p in patterns]))))
+def visible_references(text: Column | str, patterns: tuple[str, ...] = VISIBLE_REFS) -> Column:
+    """AGG14: the number of distinct references in a text as it is, by a supplier's own patterns or the generic ones."""
+    t = text if isinstance(text, Column) else F.col(text)
+    found = [F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)) for p in patterns]
+    return F.coalesce(F.size(F.array_distinct(F.flatten(F.array(*found)))), F.lit(0))
 
 
 def mine_aliases(orders: DataFrame, invoices: DataFrame, scorer=fuzz_column, least: float = 50.0) -> DataFrame:

@@ -199,38 +199,6 @@ def document_lines(spark, sf_dir):
     return D.spatial_or_text(spatial, text)
 
 
-@register("external_lines", "EXT10 EXT11 EXT12 EXT13 EXT14", """select o_orderkey doc_id, 'BC-' || o_orderkey ref_document, strftime(o_orderdate, '%d/%m/%Y') as \"day\", 'P10' ref_produit, 5.0::double price, 'PCE' unit, case when o_orderkey % 3 = 0 then 0.4 when o_orderkey % 3 = 1 then 0.3 else 1.0 end::double confidence from orders where o_orderkey % 7 <> 0""")
-def external_lines(spark, sf_dir):
-    """External extractions as free text around JSON: a broken first try for some, none that parses for others."""
-    k = F.col("o_orderkey")
-    ref = F.when(k % 3 == 0, "P1O–").otherwise("P1O -")
-    odd = F.when(k % 3 == 0, F.concat(F.lit("P1O"), F.lit(" -"))).otherwise(ref)
-    line = F.struct(
-        odd.alias("ref_produit"), F.lit("vis {m8}").alias("designation"), F.lit("2").alias("qty"), F.lit("PCE").alias("unit"), F.lit("5000").alias("prix_unitaire"), F.lit("10").alias("total_ligne_ht"),
-        F.when(k % 3 == 0, 0.4).otherwise(1.5).alias("ref_confidence"), F.when(k % 3 == 1, 0.3).alias("designation_confidence"),
-    )
-    json = F.to_json(F.struct(F.concat(F.lit(" bc-"), _str(k)).alias("ref_document"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date"), F.array(line).alias("lines")))
-    tries = P.table(spark, sf_dir, "orders").select(
-        k.alias("doc_id"), F.when(k % 5 == 0, F.lit("{broken")).when(k % 7 == 0, "rien").otherwise(F.concat(F.lit("Voici: "), json, F.lit(" fin }"))).alias("first_try"), F.when(k % 7 == 0, F.lit("{x")).otherwise(json).alias("second_try")
-    )
-    one = F.element_at("lines", 1)
-    return D.mapped_external(tries).select("doc_id", "ref_document", F.date_format("document_date", "dd/MM/yyyy").alias("day"), one["ref_produit"].alias("ref_produit"), one["prix_unitaire"].cast("double").alias("price"), one["unit"].alias("unit"), one["line_confidence"].alias("confidence"))
-
-
-@register("issuer_names", "SUP1 SUP2 SUP3 SRT6", """select s_suppkey doc_id, 'ISSUER' as role, case when s_suppkey % 3 = 0 then upper(s_name) else 'Boulons ' || s_suppkey end as name, 0.8::double confidence, 1 line_no from supplier where s_suppkey % 3 <> 2
-union all select s_suppkey, 'RECIPIENT', 'Acme ' || s_suppkey, 0.75::double, 3 from supplier union all select s_suppkey, 'ISSUER', 'GRANDE MAISON ' || s_suppkey, 0.55::double, 4 from supplier where s_suppkey % 3 = 2""")
-def issuer_names(spark, sf_dir):
-    from ledgerloom.operators import suppliers as S
-
-    k = F.col("s_suppkey")
-    text = F.array(
-        F.when(k % 3 == 0, "FOURNISSEUR : ").when(k % 3 == 1, F.concat(F.lit("Vendeur: Boulons "), _str(k))).otherwise("Bonjour"), F.when(k % 3 == 0, F.upper("s_name")).otherwise("ligne deux"),
-        F.concat(F.lit("Client: Acme "), _str(k)), F.when(k % 3 == 2, F.concat(F.lit("GRANDE MAISON "), _str(k))).otherwise("ligne"),
-    )
-    lines = P.table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.posexplode(text).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), "line")
-    return S.roles(lines).select("doc_id", "role", "name", "confidence", "line_no")
-
-
 @register("pair_scores", "JN2 JN4", """with p as (select p_partkey, p_partkey % 8 as k from part)
 select p_partkey, case k when 0 then 1.0 when 1 then 0.85 when 2 then 0.65 when 3 then 0.75 when 4 then 0.55 when 5 then 0.75 when 6 then 0.0 else 0.85 end::double confidence, case k when 0 then 1 when 1 then 2 when 2 then 2 when 3 then 3 when 4 then 3 when 5 then 4 when 6 then 0 else 2 end::int as layer from p""")
 def pair_scores(spark, sf_dir):

@@ -196,15 +196,6 @@ def near_links(spark, sf_dir):
     return P.table(spark, sf_dir, "orders").select(k.alias("job_id"), linked.alias("linked"), confidence.alias("confidence"), near.alias("near"))
 
 
-@register("printed_order", "WIN6", """select doc_id, page_number, case when doc_id % 3 = 0 then 3 - page_number else page_number + 1 end::int place from (select o_orderkey doc_id, unnest(range(0, 3))::int page_number from orders)""")
-def printed_order(spark, sf_dir):
-    """Three pages an order; every third order has its printed numbers reversed, others lack one."""
-    o = P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("page_number"))
-    printed = (F.col("doc_id") % 3 == 0) | (F.col("page_number") != 1)
-    text = F.when(printed, F.concat(F.lit("x\nPage : "), _str(3 - F.col("page_number")))).otherwise("sans numero")
-    return O.printed_order(o.withColumn("text", text)).select("doc_id", "page_number", "place")
-
-
 @register("token_contexts", "WIN8", """select p_partkey, array_to_string(list_slice(w, greatest(1, pos - 5), pos + 5), ' ') context from (select *, list_position(list_transform(w, lambda x: contains(x, 'KEY')), true) pos
 from (select p_partkey, string_split(repeat('a b c ', (p_partkey % 4)::int) || 'xKEYx ' || p_name || ' d e f g', ' ') w from part))""")
 def token_contexts(spark, sf_dir):
@@ -212,14 +203,20 @@ def token_contexts(spark, sf_dir):
     return P.table(spark, sf_dir, "part").select("p_partkey", O.token_context(text, F.lit("KEY")).alias("context"))
 
 
-_CONFUSED = ", ".join(
-    f"case when contains(raw, '{a}') then substr(raw, 1, instr(raw, '{a}') - 1) || '{b}' || substr(raw, instr(raw, '{a}') + {len(a)}) else raw end" for a, b in D.CONFUSIONS
-)
+_PAIRS = "[" + ", ".join(f"['{a}', '{b}']" for a, b in (
+    ("0", "O"), ("O", "0"), ("1", "I"), ("I", "1"), ("1", "L"), ("L", "1"), ("5", "S"), ("S", "5"), ("8", "B"), ("B", "8"), ("6", "G"), ("G", "6"), ("2", "Z"), ("Z", "2"), ("4", "A"), ("A", "4"), ("rn", "m"), ("m", "rn"),
+    ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("li", "h"), ("ri", "n"), ("fi", "A"), ("e", "é"), ("e", "è"), ("e", "ê"), ("e", "ë"), ("a", "à"), ("a", "â"), ("a", "ä"), ("u", "ù"), ("u", "û"), ("u", "ü"),
+    ("i", "î"), ("i", "ï"), ("o", "ô"), ("o", "ö"), ("c", "ç"), (" ", ""),
+)) + "]"
 
 
-@register("confusions", "DIC12", f"with {W._WORDS}, d as (select distinct raw from seedw where raw <> '') select raw, case when len(raw) > 20 then raw else array_to_string(list_slice(list_sort(list_distinct([raw, {_CONFUSED}])), 1, 6), ',') end candidates from d")
+@register("confusions", "DIC12 SRT8", f"""with {W._WORDS}, d as (select distinct raw from seedw where raw <> '' union select distinct upper(raw) from seedw where raw <> ''), x as (select raw, unnest({_PAIRS}) p from d where len(raw) <= 20),
+f as (select raw, raw c from d union select raw, substr(raw, 1, instr(raw, p[1]) - 1) || p[2] || substr(raw, instr(raw, p[1]) + len(p[1])) from x where contains(raw, p[1])
+  union select raw, substr(raw, 1, instr(lower(raw), lower(p[1])) - 1) || p[2] || substr(raw, instr(lower(raw), lower(p[1])) + len(p[1])) from x where contains(lower(raw), lower(p[1])))
+select raw, array_to_string(list_slice(list_sort(list(c)), 1, 6), ',') candidates from f group by raw""")
 def confusions(spark, sf_dir):
-    words = W._seed_words(spark, sf_dir).where("raw <> ''").select("raw").distinct()
+    """Words as they are and in capitals, where a confusion of small letters is found too."""
+    words = W._seed_words(spark, sf_dir).where("raw <> ''").select(F.explode(F.array("raw", F.upper("raw"))).alias("raw")).distinct()
     return words.select("raw", F.array_join(D.confusion_candidates(F.col("raw")), ",").alias("candidates"))
 
 
@@ -248,20 +245,30 @@ def dictionary_learn(spark, sf_dir):
     return D.learn_external(both.select("token"), answers, d).select("raw_form", "canonical_form", "weight", "verified")
 
 
-@register("profile_scores", "JN16 SUP4", """with p as (select s_name as name from supplier), t as (select s_suppkey doc_id, upper('Facture BC-2024 ' || case when s_suppkey % 4 <> 0 then s_name else '' end) t, case when s_suppkey % 3 = 0 then upper(s_name) end d from supplier),
-s as (select doc_id, name, contains(t, upper(name)) c, coalesce(d = upper(name), false) same from t, p), w as (select doc_id, name, ((case when c then 1.2 else 0 end) + (case when same then 0.3 else 0 end) + 0.2 + 0.3) / ((case when c then 2 else 0 end) + same::int + 2) score from s),
-b as (select doc_id, arg_max(name, (score, name)) as name, max(score) score from w group by doc_id)
-select doc_id, name, round(score, 6)::double score, case when score >= 0.35 then 'ENRICH' else 'CREATE' end as action from b where score >= 0.27""")
+@register("profile_scores", "JN16 SUP4 FLT15", """with p as (select s_name as name, s_suppkey % 3 as m, s_suppkey % 5 as v, s_suppkey as k from supplier where s_suppkey % 11 <> 3),
+t as (select s_suppkey doc_id, upper('Facture BC-2024 ' || case when s_suppkey % 4 <> 0 then s_name else '' end || case when s_suppkey % 5 = 1 then ' id' || lpad(((s_suppkey * 7) % 1000)::varchar, 6, '0') else '' end) t, case when s_suppkey % 3 = 0 then upper(s_name) when s_suppkey % 3 = 1 then 'QQ' end d from supplier),
+s as (select doc_id, name, contains(t, upper(name)) c, coalesce(d = upper(name), false) same, contains(t, 'ID' || lpad(((k * 7) % 1000)::varchar, 6, '0')) and v = 1 vat, m, v from t, p),
+l as (select s.*, case when d is null or d = 'QQ' or same then 0 else 1 end as one, d from s join t using (doc_id)),
+g as (select *, 2.0 * (length(name) - (select count(*) from (select unnest(range(1, len(name) + 1)) i) where substr(upper(name), i, 1) <> substr(d, i, 1))) / (2 * length(name)) >= 0.85 as like_hamming from l),
+w as (select doc_id, name, ((case when c then 1.2 else 0 end) + (case when same or (one = 1 and like_hamming) then 0.3 else 0 end) + (case when vat then 0.9 else 0 end) + (case m when 0 then 0.2 when 1 then 0 else 0.4 end) + (case when v % 2 = 0 then 0.3 else 0 end))
+  / greatest(1, (case when c then 2 else 0 end) + (same or (one = 1 and like_hamming))::int + vat::int + (m <> 1)::int + (v % 2 = 0)::int) score from g),
+b as (select doc_id, arg_max(name, (score, name)) as name, max(score) score from w where score > 0 group by doc_id)
+select doc_id, name, round(score, 6)::double score, case when score >= 0.35 then 'ENRICH' when score >= 0.2 then 'CREATE' else 'GENERIC' end as action from b""")
 def profile_scores(spark, sf_dir):
-    """One letter a supplier, scored against every profile. Letters that only share keywords with all profiles are left to similarity, which SQL has not."""
+    """One letter a supplier, scored against every profile: profiles of three keyword lists, with and without a pattern, an id, and known buyers among them. Names differ in few digits, so that the ratio of
+    two is what they have in common place by place."""
     sup = P.table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    vat = lambda c: F.concat(F.lit("ID"), F.lpad(_str((c * 7) % 1000), 6, "0"))
+    none = F.lit(None)
     profiles = sup.select(
-        F.col("s_name").alias("name"), F.lit("").alias("siret"), F.lit(None).cast("string").alias("vat_number"), F.array(F.upper("s_name")).alias("name_aliases"),
-        F.array(F.lit("FACTURE"), F.lit("LIVRAISON")).alias("keywords"), F.array(F.lit(r"[A-Z]{2}-\d{4}")).alias("ref_patterns"),
+        F.when(k % 11 == 3, F.concat(F.lit(" Acheteur "), F.lit(""))).otherwise(F.col("s_name")).alias("name"), F.lit("").alias("siret"), F.when(k % 5 == 1, F.lower(vat(k))).alias("vat_number"), F.array(F.upper("s_name"), F.lit("zz")).alias("name_aliases"),
+        F.when(k % 3 == 0, F.array(F.lit("FACTURE"), F.lit("LIVRAISON"))).when(k % 3 == 2, F.array(F.lit("facture"))).otherwise(none.cast("array<string>")).alias("keywords"),
+        F.when(k % 5 % 2 == 0, F.array(F.lit(r"[A-Z]{2}-\d{4}"), F.lit("QQQ"))).otherwise(F.array(F.lit("QQQ"))).alias("ref_patterns"),
     )
-    k = F.col("s_suppkey")
-    texts = sup.select(k.alias("doc_id"), F.concat(F.lit("Facture BC-2024 "), F.when(k % 4 != 0, F.col("s_name")).otherwise("")).alias("text"), F.when(k % 3 == 0, F.upper("s_name")).alias("detected_name"))
-    found = S.profile_scores(texts, profiles).where("score >= 0.27")
+    text = F.concat(F.lit("Facture BC-2024 "), F.when(k % 4 != 0, F.col("s_name")).otherwise(""), F.when(k % 5 == 1, F.concat(F.lit(" "), F.lower(vat(k)))).otherwise(""))
+    texts = sup.select(k.alias("doc_id"), text.alias("text"), F.when(k % 3 == 0, F.upper("s_name")).when(k % 3 == 1, "QQ").alias("detected_name"))
+    found = S.profile_scores(texts, profiles, ("acheteur",))
     return found.select("doc_id", "name", F.round("score", 6).alias("score"), S.detection(F.col("score"), F.lit("X")).alias("action"))
 
 

@@ -79,13 +79,6 @@ def ref_hint(spark, sf_dir):
     return _pages(spark, sf_dir).select("job_id", "page_number", D.reference_hint(F.col("text")).alias("hint"))
 
 
-@register("page_groups", "WIN1 AGG10", f"""with {_CLASS}, g as (select job_id, page_number, doc_type, confidence, case when doc_type = 'BC' and page_number = 1 then 0 else page_number end grp from c where doc_type <> 'RECEPTION')
-select job_id, (dense_rank() over (partition by job_id order by grp) - 1)::int group_no, any_value(doc_type) doc_type, string_agg(page_number, ',' order by page_number) pages, min(confidence) confidence from g group by job_id, grp""")
-def page_groups(spark, sf_dir):
-    at = _classified(spark, sf_dir).withColumn("tier", F.lit(1)).withColumn("ref", F.lit(""))
-    return D.group_pages(at).select("job_id", "group_no", "doc_type", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "confidence")
-
-
 def _header(patterns: tuple[str, ...], x: str = "upper(text)") -> str:
     return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract({x}, {_sql_regex(p)}, 1)), '')" for p in patterns) + ")"
 
@@ -213,33 +206,6 @@ def text_source(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.source", F.length("c.text").alias("n"))
 
 
-@register("issuer_roles", "SUP1 SUP2 SUP3 SRT6")
-def issuer_roles(spark, sf_dir):
-    sup = P.table(spark, sf_dir, "supplier")
-    text = F.array(F.lit("FOURNISSEUR : "), F.upper("s_name"), F.concat(F.lit("Client: "), F.lit("Acme")), F.lit("ligne"))
-    lines = sup.select(F.col("s_suppkey").alias("doc_id"), F.posexplode(text).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), "line")
-    return S.roles(lines)
-
-
-@register("column_layout", "SUP5", "select s_suppkey doc_id, 2 line_no, 'designation,qty,prix_unitaire' as columns from supplier")
-def column_layout(spark, sf_dir):
-    text = F.array(F.lit("bonjour"), F.lit("Désignation   Qté   P.U"), F.col("s_name"))
-    lines = P.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.posexplode(text).alias("n", "line")).select("doc_id", (F.col("n") + 1).alias("line_no"), "line")
-    return S.column_layout(lines)
-
-
-@register("external_documents", "EXT10 EXT11 EXT12 EXT13 EXT14 NUM4")
-def external_documents(spark, sf_dir):
-    """External extractions as free text around JSON, with a broken first try for some."""
-    o = P.table(spark, sf_dir, "orders")
-    json = F.to_json(F.struct(
-        F.concat(F.lit("bc-"), F.col("o_orderkey").cast("string")).alias("ref_document"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date"), F.col("o_totalprice").cast("string").alias("total_ht"),
-        F.array(F.struct(F.lit("P1O").alias("ref_produit"), F.lit("vis {m8}").alias("designation"), F.lit("2").alias("qty"), F.lit("5000").alias("prix_unitaire"), F.lit("10").alias("total_ligne_ht"))).alias("lines"),
-    ))
-    tries = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("{broken")).otherwise(F.concat(F.lit("Voici: "), json, F.lit(" fin"))).alias("first_try"), json.alias("second_try"))
-    return D.mapped_external(tries).select("doc_id", "ref_document", "document_date", F.col("total_ht").cast("double").alias("total_ht"), F.element_at("lines", 1)["prix_unitaire"].cast("double").alias("price"), F.element_at("lines", 1)["ref_produit"].alias("ref_produit"))
-
-
 _DOCS = "d as (select o_orderkey doc_id, case when o_orderkey % 11 = 0 then '' else 'R' || o_orderkey end r, case when o_orderkey % 13 <> 0 then o_orderdate::date end dt from orders)"
 
 

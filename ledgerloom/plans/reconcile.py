@@ -367,15 +367,6 @@ def human_review(spark, sf_dir):
     return jobs.select("job_id", status.alias("new_status"), verdict.alias("new_verdict"))
 
 
-@register("alias_candidates", "FLT16 FLT17 FLT18", WITH + """ select o.job_id, o.ref internal_ref, f.ref external_ref from orders_ o join fac f on o.job_id = f.job_id and o.ord = f.ord
-  where o.ref <> f.ref and o.qty = f.qty and abs(o.price_m - f.price_m) <= 100""")
-def alias_candidates(spark, sf_dir):
-    bc = P.order_lines(spark, sf_dir)
-    fac = P.invoice_lines(bc).select("job_id", "ord", F.col("ref").alias("external_ref"), F.col("qty").alias("q"), F.col("price_m").alias("p"))
-    safe = G.safe_alias_candidate(F.lit("MATCH"), F.lit(0), F.col("ref"), F.col("external_ref"), F.lit(True), F.col("qty"), F.col("q"), P.dec("price_m"), P.dec("p"))
-    return bc.join(fac, ["job_id", "ord"]).where(safe & (F.col("ref") != F.col("external_ref"))).select("job_id", F.col("ref").alias("internal_ref"), "external_ref")
-
-
 @register("best_documents", "AGG9", """with d as (select l_orderkey job_id, l_returnflag doc, count(*) n from lineitem group by all)
 select job_id, arg_max(doc, (n, -ascii(doc))) best_invoice, arg_max(doc, (n, ascii(doc))) best_order from d group by 1""")
 def best_documents(spark, sf_dir):

@@ -11,6 +11,7 @@ from ledgerloom.operators import dictionary as D
 from ledgerloom.operators import suppliers as S
 from ledgerloom.plans import projection as P
 from ledgerloom.registry import register
+from ledgerloom.sources.scratch import apart
 
 ACCENT = f"translate({{}}, '{X.ACCENTED}', '{X.PLAIN}')"
 FOLD = "replace(replace(replace(replace(replace(" + ACCENT + ", 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE'), 'ß', 'ss')"
@@ -122,20 +123,28 @@ def _tokens(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("P"), F.lpad(s("p_partkey"), 6, "0")), F.concat(s("p_partkey"), F.lit("x"), s("p_size"), F.lit("X10")),
         F.concat(F.lit("12/0"), (F.col("p_size") % 9 + 1).cast("string"), F.lit("/2024")), F.concat("p_brand", F.lit("/"), "p_type"),
     )).alias("token"))
-    return docs.unionByName(more).distinct()
+    return apart(docs.unionByName(more).distinct())
+
+
+# Written out for the SQL, not taken from the guards that it checks.
+_CODES = (
+    r"^[A-Za-z]{1,6}\d{2,}$", r"^\d{2,}[A-Za-z]{1,6}$", r"^[A-Za-z0-9]{3,}[-/_.*+x×][A-Za-z0-9]", r"\d+[xX×*]\d+", r"[A-Za-z]+/[A-Za-z]+", r"^\d{6,}$", r"(?i)^[A-Z]{2,6}[-/]\d{2,4}[-/]\d{2,8}$",
+)
+_PLAIN = (r"^\s*[\d\s]+[,.]?\d{0,3}\s*$", r"\d{7}[/\-][A-Z][/\-][A-Z][/\-][A-Z][/\-]\d{3}", r"[\w.+-]+@[\w.-]+\.\w+", r"[A-Z]{2}\d{2}[\dA-Z]{4,}")
+_DAY = r"\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}"
 
 
 def _sql_code(v: str) -> str:
-    any_ = " or ".join(f"regexp_matches({v}, {_lit(p)})" for p in G.CODES)
+    any_ = " or ".join(f"regexp_matches({v}, {_lit(p)})" for p in _CODES)
     bare = f"regexp_replace({v}, '[-/.]', '', 'g')"
     return (
         f"((regexp_matches({v}, '[A-Za-z]') and regexp_matches({v}, '[0-9]') and len(replace({v}, ' ', '')) between 4 and 25 and (({any_}) or (len({bare}) between 3 and 15 "
-        f"and len({v}) - len(replace({v}, ' ', '')) <= 2 and len(regexp_replace({bare}, '[^0-9]', '', 'g')) >= 0.30 * len({bare})))) or regexp_matches({v}, {_lit(G.DIMENSION)}) or regexp_matches({v}, {_lit(G.SLASHED)}))"
+        f"and len({v}) - len(replace({v}, ' ', '')) <= 2 and len(regexp_replace({bare}, '[^0-9]', '', 'g')) >= 0.30 * len({bare})))) or regexp_matches({v}, '\\d+[xX×*]\\d+') or regexp_matches({v}, '[A-Za-z]+/[A-Za-z]+'))"
     )
 
 
 def _sql_protected(v: str) -> str:
-    return f"({_sql_code(v)} or (regexp_matches({v}, {_lit(G.DATE)}) and len({v}) <= 12) or " + " or ".join(f"regexp_matches({v}, {_lit(p)})" for p in (G.AMOUNT, G.FISCAL_ID, G.EMAIL, G.IBAN)) + ")"
+    return f"({_sql_code(v)} or (regexp_matches({v}, {_lit(_DAY)}) and len({v}) <= 12) or " + " or ".join(f"regexp_matches({v}, {_lit(p)})" for p in _PLAIN) + ")"
 
 
 _ALNUM = "len(regexp_replace(token, '[^A-Za-z0-9]', '', 'g'))"
@@ -248,16 +257,6 @@ def dictionary_insert(spark, sf_dir):
     return D.absent(d.where("length(raw_form) % 2 = 0"), d).select("raw_form")
 
 
-@register("cleanup_flags", "FLT5 FLT6 NRM10", f"""with {_TOKENS}, t as (select token, lower(trim(token)) v, case len(token) % 2 when 0 then 'MANUAL' else 'MODEL' end source from w),
-h as (select *, (regexp_matches(v, {_lit(G.EMAIL)}) or regexp_matches(v, '^[0-9\\s.,/\\-]+$') or regexp_matches(v, {_lit(G.DATE)}) or regexp_matches(v, '^[a-z]{{2}}[0-9]{{2}}[0-9a-z]{{4,}}$') or regexp_matches(v, {_lit('(?i)' + G.FISCAL_ID)})
-  or regexp_matches(v, '\\b(mf|m\\.f)\\s*[:\\-/]?\\s*[0-9]') or regexp_matches(v, '\\b(matricule\\s+fiscal|mat\\s+fiscal|code\\s+tva|c\\.?tva)\\b.*[0-9]') or regexp_matches(v, '[0-9]+\\s*[xX*]\\s*[0-9]+') or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[/_\\-=]'))) hard from t)
-select token, hard, (hard or (source <> 'MANUAL' and ((regexp_matches(v, '[a-z]') and regexp_matches(v, '[0-9]') and len(regexp_replace(v, '[^a-z0-9]', '', 'g')) >= 4) or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[/_.+\\-=]'))))) generated from h""")
-def cleanup_flags(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    source = F.when(F.length("token") % 2 == 0, "MANUAL").otherwise("MODEL")
-    return t.select("token", G.is_hard_protected("token").alias("hard"), G.looks_generated("token", source).alias("generated"))
-
-
 @register("renormalize_diff", "DIC4 DIC5 DIC11")
 def renormalize_diff(spark, sf_dir):
     p = P.table(spark, sf_dir, "part")
@@ -276,21 +275,6 @@ def broken_spaces(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", F.length(X.join_broken(F.replace("text", F.lit(", "), F.lit("- ")))).alias("n"))
 
 
-_GEN = """array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]'), lambda p: case when regexp_matches(p, '^[0-9]+$') then '\\d{{' || len(p) || '}}' when regexp_matches(p, '^[A-Za-z]{{1,3}}$') then upper(p)
-  when regexp_matches(p, '^[A-Za-z]+$') then '[A-Z]{{1,' || len(p) || '}}' else '\\' || p end), '')"""
-
-
-@register("pattern_mining", "AGG11 NRM13 SRT8", f"""with t as (select l_suppkey supplier, case l_linenumber % 3 when 0 then 'REF-' || l_partkey when 1 then 'BOLT' || l_partkey || 'A' else 'P' || lpad(l_partkey::varchar, 9, '0') end token from lineitem),
-s as (select supplier, token, count(*) n from t where len(token) <= 20 group by all having count(*) >= 2), g as (select supplier, {_GEN.format(x='token')} pattern, sum(n)::bigint n from s group by all)
-select supplier, pattern, n, place from (select *, row_number() over (partition by supplier order by n desc, pattern)::int place from g) where place <= 8""")
-def pattern_mining(spark, sf_dir):
-    k = F.col("l_linenumber") % 3
-    part = F.col("l_partkey").cast("string")
-    token = F.when(k == 0, F.concat(F.lit("REF-"), part)).when(k == 1, F.concat(F.lit("BOLT"), part, F.lit("A"))).otherwise(F.concat(F.lit("P"), F.lpad(part, 9, "0")))
-    texts = P.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), token.alias("text"))
-    return S.mine_patterns(texts, "supplier")
-
-
 @register("pattern_promotion", "AGG13", """with e as (select l_suppkey supplier_key, l_returnflag || l_linestatus || (l_partkey % 50) pattern, l_orderkey doc_id from lineitem),
 c as (select supplier_key, pattern, count(distinct doc_id)::bigint documents from e group by all having count(distinct doc_id) >= 3)
 select supplier_key, pattern, documents, place from (select *, row_number() over (partition by supplier_key order by documents desc, pattern)::int place from c) where place <= 12""")
@@ -299,12 +283,6 @@ def pattern_promotion(spark, sf_dir):
     return S.promoted_patterns(e)
 
 
-@register("header_keywords", "AGG12 SRT8", """with w as (select source, unnest(regexp_extract_all(lower(substr(text, 1, 500)), '\\p{L}+')) word from documents), c as (select source, word, count(*)::bigint n from w where len(word) between 3 and 20 group by all)
-select source, word, n, place from (select *, row_number() over (partition by source order by n desc, word)::int place from c) where place <= 15""")
-def header_keywords(spark, sf_dir):
-    return S.header_keywords(P.table(spark, sf_dir, "documents").select("source", "text"), "source").select("source", "word", "n", "place")
-
-
 _SUPPLIED = """d as (select doc_id, case when doc_id % 4 = 0 then text || ' ' || (select min(s_name) from supplier where s_suppkey = 1 + doc_id % 10) else text end as text from documents)"""
 
 
@@ -328,12 +306,3 @@ def supplier_profiles(spark, sf_dir):
     text = F.concat(F.lit("Facture BC-2024 "), F.when(F.col("s_suppkey") % 4 != 0, F.col("s_name")).otherwise(F.lit("")))
     texts = sup.select(F.col("s_suppkey").alias("doc_id"), text.alias("text"), F.lit(None).cast("string").alias("detected_name"))
     return S.profile_scores(texts, profiles).withColumn("action", S.detection(F.col("score"), F.lit("X")))
-
-
-_VIS = " ".join(f"list_concat(regexp_extract_all(t, {_lit(p)})," for p in S.REF_PATTERNS) + " []::varchar[]" + ")" * len(S.REF_PATTERNS)
-
-
-@register("visible_refs", "AGG14", f"with x as (select o_orderkey job_id, upper('BC-2024-' || o_orderkey || ' P' || lpad(o_custkey::varchar, 7, '0') || ' AB12-' || (o_custkey % 100 + 10)) t from orders) select job_id, len(list_distinct({_VIS}))::int n from x")
-def visible_refs(spark, sf_dir):
-    t = F.concat(F.lit("BC-2024-"), F.col("o_orderkey").cast("string"), F.lit(" P"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"), F.lit(" AB12-"), (F.col("o_custkey") % 100 + 10).cast("string"))
-    return P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), S.visible_references(t).alias("n"))

@@ -18,7 +18,7 @@ class Entry:
     operators: tuple[str, ...]
 
 
-MODULES = ("reconcile", "texts", "pages", "forms", "flows")
+MODULES = ("reconcile", "texts", "pages", "forms", "flows", "rules")
 
 _ENTRIES: dict[str, Entry] = {}
 

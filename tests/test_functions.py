@@ -105,10 +105,12 @@ def test_hungarian_against_brute_force():
     for _ in range(200):
         n, m = (int(x) for x in r.integers(1, 6, 2))
         cost = r.integers(0, 4, (n, m)).astype(float)
-        got = hungarian(cost)
+        got, u, v = hungarian(cost)
         small, big = min(n, m), max(n, m)
         best = min(sum((cost if n <= m else cost.T)[i, p[i]] for i in range(small)) for p in itertools.permutations(range(big), small))
         assert sum(cost[i, j] for i, j in got) == best and len(got) == small
+        # the potentials prove it
+        assert (u[:, None] + v[None, :] <= cost + 1e-9).all() and u.sum() + v.sum() == pytest.approx(best) and (v if n <= m else u).max() <= 1e-9
 
 
 def test_assignment_prefers_document_order_and_aliases():

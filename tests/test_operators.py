@@ -73,16 +73,19 @@ def test_delivery_merge_and_global_verdict(spark, frames):
 
 
 def fold(pages):
-    groups = []
-    for p in pages:
-        last = groups[-1] if groups else None
-        if p[1] == "RECEPTION":
+    """Pages (number, kind, reference, text) grouped one after the other."""
+    groups, open_ = [], None
+    for number, kind, ref, text in pages:
+        if kind == "RECEPTION":
             continue
-        if last and last[0] != "UNKNOWN" and p[1] != "UNKNOWN" and last[0] == p[1] and (not last[2] or not p[2] or last[2] == p[2]):
-            last[1].append(p[0])
-            last[2] = last[2] or p[2]
-        else:
-            groups.append([p[1], [p[0]], p[2]])
+        if open_ and kind != "UNKNOWN":
+            fits = text == "SUITE" or (open_[2] in ("", ref) if ref else False)
+            if (kind == open_[0] and fits) or (kind == "FACTURE" and text == "NET HORS TAXES" and open_[0] in ("BC", "BL")):
+                open_[1].append(number)
+                open_[2] = open_[2] or ref
+                continue
+        groups.append([kind, [number], ref])
+        open_ = groups[-1] if kind != "UNKNOWN" else None
     return [tuple(g) for g in groups]
 
 
@@ -91,10 +94,10 @@ def test_page_groups_against_a_fold(spark):
 
     r = random.Random(4)
     data, want = [], {}
-    for job in range(40):
-        pages = [(n, r.choice(["BC", "BL", "FACTURE", "RECEPTION", "UNKNOWN"]), r.choice(["", "", "R1", "R2"])) for n in range(r.randrange(1, 9))]
+    for job in range(120):
+        pages = [(n, r.choice(["BC", "BC", "BL", "FACTURE", "RECEPTION", "UNKNOWN"]), r.choice(["", "", "R1", "R2"]), r.choice(["", "x", "SUITE", "NET HORS TAXES"])) for n in range(r.randrange(1, 12))]
         want[job] = fold(pages)
-        data += [(job, n, k, 0.5, 1, ref, "") for n, k, ref in pages]
+        data += [(job, n, k, 0.5, 1, ref, text) for n, k, ref, text in pages]
     df = spark.createDataFrame(data, "job_id long, page_number int, doc_type string, confidence double, tier int, ref string, text string")
     got = {}
     for g in P.group_pages(df).orderBy("job_id", "group_no").collect():
@@ -155,10 +158,21 @@ def test_aliases(spark):
     assert [r["external_ref"] for r in clash.collect()] == ["X2"]
 
 
-def test_external_json(spark):
-    docs = spark.createDataFrame([(1, 'Voici {"ref_document": "a}1", "lines": [{"qty": "2", "prix_unitaire": "5000", "total_ligne_ht": "10"}]} fin', None), (2, "{bad", '{"ref_document": "b2"}'), (3, None, None)], "doc_id long, first_try string, second_try string")
+def test_external_answers(spark):
+    good = '{"ref_bc": "a}1", "lines": [{"qty": "2", "prix_unitaire": "5000", "total_ligne_ht": "10"}]}'
+    data = [(1, "BC", "", [f"Voici {good} fin"]), (2, "BC", "", ["{note}", good]), (3, "BC", "", None), (4, "BL", "", [good, good]), (5, "BC", "P1000001 P1000002", [good, good])]
+    docs = spark.createDataFrame(data, "doc_id long, kind string, text string, answers array<string>")
     got = {r["doc_id"]: r for r in P.mapped_external(docs).collect()}
-    assert set(got) == {1, 2} and got[1]["ref_document"] == "A}1" and got[1]["lines"][0]["prix_unitaire"] == Decimal("5.000000")
+    assert set(got) == {1, 2, 5} and got[1]["ref_document"] == "A}1" and got[1]["lines"][0]["prix_unitaire"] == Decimal("5.000000")
+    assert [(got[i]["used"], got[i]["tries"]) for i in (1, 2, 5)] == [(1, 1), (2, 1), (2, 1)]
+
+
+def test_answers_are_read_as_they_come():
+    read = lambda t: P.read_answer(t)[:2]
+    assert read('{"a": 1}') == (True, '{"a": 1}') and read("[1]") == (True, None) and read("") == read(None) == (False, None)
+    assert read('x {"a": "}"} {"b": 2}') == (True, '{"a": "}"}') and read("{x} {\"b\": 2}") == (True, '{"b": 2}')
+    assert read('```json\n{"a": 1}\n```') == (True, '{"a": 1}') and read('"open {"') == (True, None) and read('"open {') == (False, None)
+    assert P.read_answer('{"line_count_in_document": 3, "lines": [1]}')[2:] == (3, 1) and P.read_answer('{"line_count_in_document": "3"}')[2:] == (None, 0)
 
 
 def test_roles_and_detection(spark):
@@ -201,3 +215,65 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r["q"] for r in sinks.stored_lines(df).orderBy("r").collect()] == [None, 1.5]
     now = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
     assert {tuple(r) for r in sinks.replace_keys(now, spark.createDataFrame([(2, "z")], "id int, v string"), ["id"]).collect()} == {(1, "x"), (2, "z")}
+
+
+def test_contained_against_brute_force(spark):
+    import random
+
+    from ledgerloom.operators.containment import contained
+
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcé ") for _ in range(n))
+    texts = [(i, word(r.randrange(0, 60)) if i else None) for i in range(80)]
+    needles = sorted({word(r.randrange(1, 6)) for _ in range(60)} | {""})
+    got = [contained(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(n,) for n in needles], "needle string"), limit) for limit in (10_000, 40)]
+    want = sorted((i, n) for i, t in texts for n in needles if n and t and n in t)
+    assert all(sorted(map(tuple, g.collect())) == want for g in got)
+
+
+def test_profiles_against_brute_force(spark):
+    import random
+    import re
+
+    r = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "REF-1", "zz"]
+    data = []
+    for i in range(14):
+        pick = lambda k: r.sample(words, k) if r.random() < 0.7 else None
+        data.append((f"Maison {i % 7}{'abcdefghij'[i % 10]}", str(1000 + i) if r.random() < 0.4 else None, f"TN{i}" if r.random() < 0.4 else "", pick(1), pick(2), [r"REF-\d", "Q+"] if r.random() < 0.5 else None))
+    texts = [(i, " ".join(r.choice([*words, *[d[0] for d in data], "1003", "TN5", "x"]) for _ in range(r.randrange(0, 6))), r.choice([None, "MAISON 1B", "Maison 22C", "rien"])) for i in range(60)]
+
+    def alike(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return 2 * rows[-1][-1] / (len(a) + len(b))
+
+    def best(text, detected):
+        up, found = text.upper(), (0.0, "")
+        for name, siret, vat, aliases, keywords, patterns in data:
+            if name == data[3][0]:
+                continue
+            weights = [0.70] * (name.upper() in up) + [0.30] * bool(detected and alike(detected.upper(), name.upper()) >= 0.85) + [0.50] * any(len(a) >= 3 and a.upper() in up for a in aliases or [])
+            weights += [0.90] * bool(siret and siret in text) + [0.90] * bool(vat and vat in text)
+            weights += [0.40 * sum(k.upper() in up for k in keywords) / len(keywords)] * bool(keywords) + [0.30] * any(re.search(p, up) for p in patterns or [])
+            if weights:
+                found = max(found, (round(min(1.0, sum(weights) / len(weights)), 9), name))
+        return found if found[0] > 0 else None
+
+    profiles = spark.createDataFrame(data, "name string, siret string, vat_number string, name_aliases array<string>, keywords array<string>, ref_patterns array<string>")
+    got = S.profile_scores(spark.createDataFrame(texts, "doc_id long, text string, detected_name string"), profiles, (data[3][0].lower(),)).collect()
+    assert {r["doc_id"]: (round(r["score"], 9), r["name"]) for r in got} == {i: b for i, t, d in texts if (b := best(t, d))}
+
+
+def test_a_worse_assignment_is_not_optimal(spark):
+    from ledgerloom.operators import assignment as A
+
+    scores = [(1, "BL", 1, 1, 1.0), (1, "BL", 1, 2, 0.85), (1, "BL", 2, 1, 0.85), (1, "BL", 2, 2, 0.0)]
+    scores = spark.createDataFrame(scores, "job_id long, side string, bc_idx int, doc_idx int, score double")
+    proof = "job_id long, side string, of string, idx int, potential double, mate int, confidence double"
+    good = [(1, "BL", "BC", 1, 0.0, 2, 0.85), (1, "BL", "BC", 2, 0.15, 1, 0.85), (1, "BL", "BL", 1, 0.0, None, None), (1, "BL", "BL", 2, 0.15, None, None)]
+    greedy = [(1, "BL", "BC", 1, 0.0, 1, 1.0), (1, "BL", "BC", 2, 0.15, 2, 0.0), (1, "BL", "BL", 1, 0.0, None, None), (1, "BL", "BL", 2, 0.15, None, None)]
+    bold = [(j, s, o, i, p + 0.5, m, c) for j, s, o, i, p, m, c in greedy]
+    assert [A.optimality(spark.createDataFrame(p, proof), scores).first()["optimal"] for p in (good, greedy, bold)] == [True, False, False]
