@@ -193,17 +193,28 @@ class Sweep:
     def meet(self) -> None:
         """Closes all groups up to the last byte where tokens of both sides end."""
         ends = [self.begin[s] + np.cumsum(self.both[s].length[self.open[s]]) for s in (0, 1)]
-        common, at_a, at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
-        if not len(common):
+        low = min(self.begin)
+        hit = [self._ends_in(ends[s], ends[1 - s], low) for s in (0, 1)]
+        at_a, at_b = np.flatnonzero(hit[0]), np.flatnonzero(hit[1])
+        if not len(at_a):
             return
         a, b = self.open[0][: at_a[-1] + 1], self.open[1][: at_b[-1] + 1]
-        text = self.groups.of(a, np.searchsorted(common, ends[0][: len(a)]), b, np.searchsorted(common, ends[1][: len(b)]))
+        # the number of closed groups before a token is the number of its group
+        group = [(np.cumsum(h) - h)[: len(x)] for h, x in zip(hit, (a, b))]
+        text = self.groups.of(a, group[0], b, group[1])
         self.sha.update(self.mark + text[:-1])
         self.mark = b";"
         self.links.append(a[at_a] << SHIFT | b[at_b])
-        self.n_groups += len(common)
+        self.n_groups += len(at_a)
+        self.begin = [int(ends[0][at_a[-1]])] * 2
         self.open = [self.open[0][len(a) :], self.open[1][len(b) :]]
-        self.begin = [int(common[-1]), int(common[-1])]
+
+    @staticmethod
+    def _ends_in(own: np.ndarray, other: np.ndarray, low: int) -> np.ndarray:
+        """For each end whether it is one of the other side's."""
+        marks = np.zeros(int(max(own[-1:].max(initial=low), other[-1:].max(initial=low))) - low + 1, bool)
+        marks[other - low] = True
+        return marks[own - low]
 
     def pairs(self) -> bytes:
         """Distinct pairs since the last call and how often each was linked, packed."""
