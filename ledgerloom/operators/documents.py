@@ -52,20 +52,10 @@ TABLE_HEADERS = {
     "tva_rate": (r"T\.?V\.?A\.?", r"TVA\s*%"),
     "total_ligne_ht": (r"TOTAL\s*H\.?T\.?", r"MONTANT\s*H\.?T\.?", r"TOTAL\s*LIGNE"),
 }
-COLUMN_HEADERS = {
-    "ref_produit": (r"R[ÉE]F[.\s]*(?:PRODUIT|ART(?:ICLE)?)?", r"CODE\s*(?:ARTICLE|PRODUIT)?", r"R[ÉE]F\.?", r"ARTICLE"),
-    "designation": (r"D[ÉE]SIGNATION", r"LIBELL[ÉE]", r"DESCRIPTION"),
-    "qty": (r"(?:QT[ÉE]|QUANTIT[ÉE]|QTE|NB)\b", r"QT[ÉE]\.?"),
-    "unit": (r"UNIT[ÉE]", r"U\.?M\.?", r"MESURE"),
-    "prix_unitaire": (r"PRIX\s*U(?:NIT\.?)?(?:\s*H\.?T\.?)?", r"P\.?\s*U\.?\s*H\.?T\.?", r"P\.?U\.?", r"PRIX\s*UN"),
-    "tva_rate": (r"T\.?V\.?A\.?", r"TVA\s*%"),
-    "total_ligne_ht": (r"TOTAL\s*H\.?T\.?", r"MONTANT\s*H\.?T\.?", r"TOTAL\s*LIGNE", r"TOTAL\s*HT"),
-}
 HIT, MISS = 0.85, 0.0
 RULE_AT, EXTERNAL_AT = 0.90, 0.70
 NATIVE_CHARS, NATIVE_COVERAGE = 50, 0.3
 TRANSCRIBE_BELOW = 0.70
-ROW_GAP = 6
 MAX_BYTES, MAX_PAGES = 50 * 1024 * 1024, 50
 PRINTED_PAGE = r"(?iU)\bPAGE\s*[:\.]?\s*(\d+)\b"
 TRAILING = r"(?U)[\s—\-\.…]+$"
@@ -288,81 +278,6 @@ def spatial_or_text(spatial: DataFrame, text: DataFrame) -> DataFrame:
     return spatial.withColumn("by", F.lit("SPATIAL")).unionByName(rest.withColumn("by", F.lit("TEXT")))
 
 
-def word_rows(words: DataFrame, keys: list[str], gap: int = ROW_GAP) -> DataFrame:
-    """WIN2: row numbers of words by vertical centre; a row's anchor is its first word. words: keys, ord, text, x, y, w, h, conf."""
-    word = F.struct((F.col("y") + F.col("h") / 2.0).alias("c"), "x", "ord", "text", "w", "conf")
-    per = words.groupBy(*keys).agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    state = F.struct(F.lit(-1).alias("row"), F.lit(-1e9).alias("anchor"), F.array().cast("array<int>").alias("rows"))
-
-    def step(acc: Column, w: Column) -> Column:
-        new = F.abs(w["c"] - acc["anchor"]) > gap
-        row = acc["row"] + new.cast("int")
-        return F.struct(row.alias("row"), F.when(new, w["c"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    rows = F.aggregate("ws", state, step, lambda a: a["rows"])
-    out = per.select(*keys, F.explode(F.arrays_zip(F.col("ws").alias("w"), rows.alias("row"))).alias("z"))
-    return out.select(*keys, F.col("z.row").alias("row"), F.col("z.w.ord").alias("ord"), F.col("z.w.text").alias("text"), F.col("z.w.x").alias("x"), F.col("z.w.w").alias("w"), F.col("z.w.conf").alias("conf"))
-
-
-def column_headers(rows: DataFrame, keys: list[str], search_rows: int = 120) -> DataFrame:
-    """WIN3: the header row's columns: keys, row, name, x_min, x_max. Shorter spans of one to three words first; three columns needed, else two."""
-    w = Window.partitionBy(*keys, "row").orderBy("x", "ord")
-    at = rows.where(F.col("row") < search_rows)
-    for k in (1, 2):
-        at = at.withColumn(f"t{k}", F.lead("text", k).over(w)).withColumn(f"r{k}", F.lead(F.col("x") + F.col("w"), k).over(w))
-    spans = F.filter(F.array(
-        F.struct(F.lit(1).alias("n"), F.col("text").alias("t"), (F.col("x") + F.col("w")).cast("double").alias("r")),
-        F.struct(F.lit(2).alias("n"), F.concat_ws(" ", "text", "t1").alias("t"), F.when(F.col("t1").isNotNull(), F.col("r1").cast("double")).alias("r")),
-        F.struct(F.lit(3).alias("n"), F.concat_ws(" ", "text", "t1", "t2").alias("t"), F.when(F.col("t2").isNotNull(), F.col("r2").cast("double")).alias("r")),
-    ), lambda s: s["r"].isNotNull())
-    spans = at.select(*keys, "row", "x", F.explode(spans).alias("s"))
-    named = [F.when(F.upper("s.t").rlike("|".join(ps)), F.lit(name)) for name, ps in COLUMN_HEADERS.items()]
-    hits = spans.select(*keys, "row", "x", "s.n", "s.r", F.explode(F.array_compact(F.array(*named))).alias("name"))
-    cols = hits.groupBy(*keys, "row", "name").agg(F.min_by(F.struct("x", "r"), F.struct("n", "x")).alias("b"))
-    found = cols.groupBy(*keys, "row").agg(F.count(F.lit(1)).alias("k"))
-    best = found.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("k") >= 3, F.col("row"))), F.min(F.when(F.col("k") >= 2, F.col("row")))).alias("row")).where("row is not null")
-    return cols.join(best, [*keys, "row"]).select(*keys, "row", "name", F.col("b.x").cast("double").alias("x_min"), F.col("b.r").alias("x_max"))
-
-
-def column_bounds(columns: DataFrame, keys: list[str], page_width: Column | None = None) -> DataFrame:
-    """WIN4: each column's range from the midpoints to its neighbours; 0 and the page width at the ends."""
-    w = Window.partitionBy(*keys).orderBy("x_min")
-    left = (F.lag("x_max").over(w) + F.col("x_min")) / 2
-    right = (F.col("x_max") + F.lead("x_min").over(w)) / 2
-    end = page_width if page_width is not None else F.lit(float("inf"))
-    return columns.withColumn("low", F.coalesce(left, F.lit(0.0))).withColumn("high", F.coalesce(right, end))
-
-
-def table_cells(rows: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame:
-    """EXT6, AGG20: cells below the header row: keys, row, name, text, confidence; words by the column range of their centre."""
-    head = columns.select(*keys, F.col("row").alias("head"), "name", "low", "high")
-    centre = F.col("x") + F.col("w") / 2.0
-    at = rows.join(head, keys).where((F.col("row") > F.col("head")) & (centre >= F.col("low")) & (centre < F.col("high")))
-    cells = at.groupBy(*keys, "row", "name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda z: z["text"]), " ").alias("text"), (F.avg("conf") / 100).alias("confidence")
-    )
-    line = rows.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))).alias("ws"))
-    line = line.select(*keys, "row", F.array_join(F.transform("ws", lambda z: z["text"]), " ").alias("line"), G.has_number(F.transform("ws", lambda z: z["text"])).alias("numeric"))
-    stop = line.where(G.is_table_stop("line")).join(head.select(*keys, "head").distinct(), keys).where("row > head").groupBy(*keys).agg(F.min("row").alias("stop"))
-    kept = cells.join(line.where("numeric").select(*keys, "row"), [*keys, "row"], "left_semi")
-    return kept.join(stop, keys, "left").where("stop is null or row < stop").drop("stop")
-
-
-def cell_lines(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """EXT7: line items of table cells with their confidences; rows without anything useful go."""
-    names = list(COLUMN_HEADERS)
-    wide = cells.groupBy(*keys, "row").pivot("name", names).agg(F.first(F.struct("text", "confidence")))
-    value = {n: F.col(f"{n}.text") for n in names}
-    confs = [F.col(f"{n}.confidence") for n in ("ref_produit", "designation", "qty", "prix_unitaire", "total_ligne_ht")]
-    conf = F.coalesce(F.least(*confs), F.lit(0.5))
-    out = wide.select(
-        *keys, "row", X.safe_reference(value["ref_produit"]).alias("ref_produit"), value["designation"].alias("designation"), X.quantity(value["qty"])["value"].alias("qty"), value["unit"].alias("unit"),
-        X.money(value["prix_unitaire"])["value"].alias("prix_unitaire"), X.number(F.regexp_replace(value["tva_rate"], "%", "")).alias("tva_rate"),
-        X.money(value["total_ligne_ht"])["value"].alias("total_ligne_ht"), conf.alias("confidence"), (conf < 0.70).alias("low"),
-    )
-    return out.where(G.valid_product_line(F.col("ref_produit"), F.col("prix_unitaire"), F.col("qty"), F.col("designation")))
-
-
 _QUOTED_REST, _OUTSIDE = re.compile(r'(?:[^"\\]|\\.)*"', re.DOTALL), re.compile(r'["{}]')
 _FENCES = ((r"(?m)^```(?:json)?\s*", ""), (r"(?m)\s*```$", ""))
 _FENCE_ENDS = ((r"(?i)^```(?:json)?\s*\n?", ""), (r"(?i)\n?```\s*$", ""))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.operators.assignment import assign_lines
+from ledgerloom.sources.scratch import stored
 
 # Fixed values -------------------------------------------------------------------------------------------------------
 MATCH_AT = 0.80
@@ -214,7 +215,8 @@ def three_way_match(bc: DataFrame, bl: DataFrame, fac: DataFrame, invoices: Data
         target = F.col("alias_target") if "alias_target" in df.columns else F.lit(None).cast("string")
         return df.select("job_id", F.lit(name).alias("side"), "idx", X.match_key("ref").alias("ref"), X.description("designation").alias("description"), "price", target.alias("alias_target"))
 
-    pairs = assign_lines(side(bc, "BC").unionByName(side(bl, "BL")).unionByName(side(fac, "FACTURE")))
+    # four joins read the pairs: they are written once, so each job is solved once
+    pairs = stored(assign_lines(side(bc, "BC").unionByName(side(bl, "BL")).unionByName(side(fac, "FACTURE"))), "pairs")
     both = pairs.groupBy("job_id", "bc_idx").agg(
         *[F.max(F.when(F.col("side") == s, F.struct("doc_idx", "confidence", "layer"))).alias(s) for s in ("BL", "FACTURE")]
     )

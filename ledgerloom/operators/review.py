@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
+from ledgerloom.operators import matching as M
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -83,10 +84,72 @@ def alias_order(aliases: DataFrame, keys: DataFrame) -> DataFrame:
     return at.select("job_id", "id", "supplier_key", "priority", place.alias("place"))
 
 
-def rematched(saved: DataFrame, again: DataFrame) -> DataFrame:
-    """VRD9: saved results (job_id, status and more) overwritten by those of a new run over the saved data; the job's status stays."""
-    fields = [c for c in saved.columns if c not in ("job_id", "status")]
+SAVED = (
+    "struct<ref_bc:string,ref_bl:string,ref_facture:string,ref_bc_linked:string,total_ht:decimal(18,4),tva_rate:decimal(9,4),lines:array<struct<line_number:int,ref_produit:string,designation:string,"
+    "qty:decimal(18,4),prix_unitaire:decimal(18,4),tva_rate:decimal(9,4),total_ligne_ht:decimal(18,4),extraction_confidence:double>>,_corrupt_record:string>"
+)
+_FIELDS = ("line_number", "ref_produit", "designation", "qty", "prix_unitaire", "tva_rate", "total_ligne_ht", "extraction_confidence")
+
+
+def saved_lines(documents: DataFrame, rows: DataFrame, source: str = "edited") -> DataFrame:
+    """The documents of each job with the lines that a new match reads: job_id, doc_id, doc_type, ref_document, ref_bc_linked, total_ht, tva_rate, lines.
+
+    documents: job_id, doc_id, doc_type, raw (the JSON as extracted), ref_document, ref_bc_linked, total_ht, tva_rate; rows: the stored lines, as edited since (job_id, doc_id and SAVED's
+    line fields). By "edited" the rows count, and the JSON only for documents without any; by "raw" the JSON counts, and the rows where it is no valid document. Documents
+    with neither are left out."""
+    key = F.when(F.col("doc_type") == "BC", F.col("j.ref_bc")).when(F.col("doc_type") == "BL", F.col("j.ref_bl")).otherwise(F.col("j.ref_facture"))
+    parsed = documents.withColumn("j", F.from_json("raw", SAVED, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    valid = F.coalesce(F.col("j._corrupt_record").isNull() & key.isNotNull() & F.col("j.lines").isNotNull(), F.lit(False))
+    per = rows.groupBy("job_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("edited"))
+    at = parsed.withColumn("valid", valid).join(per, ["job_id", "doc_id"], "left")
+    by_rows = F.col("edited").isNotNull() if source == "edited" else ~F.col("valid") & F.col("edited").isNotNull()
+    pick = lambda own, json: F.when(by_rows, own).otherwise(json)
+    lines = F.when(by_rows, F.col("edited")).when(F.col("valid"), F.transform("j.lines", lambda x: F.struct(*[x[f].alias(f) for f in _FIELDS])))
+    return at.select(
+        "job_id", "doc_id", "doc_type", pick(F.col("ref_document"), key).alias("ref_document"), pick(F.col("ref_bc_linked"), F.col("j.ref_bc_linked")).alias("ref_bc_linked"),
+        pick(F.col("total_ht"), F.col("j.total_ht")).alias("total_ht"), pick(F.col("tva_rate"), F.col("j.tva_rate")).alias("tva_rate"), lines.alias("lines"),
+    ).where("lines is not null")
+
+
+def rematch(documents: DataFrame, rows: DataFrame, saved: DataFrame, source: str = "edited", aliases: DataFrame | None = None, tolerances: M.Tolerances = M.DEFAULT) -> DataFrame:
+    """VRD9: saved results matched again from the saved documents: job_id, status (which stays), the counters and global_verdict of the new run where a job has documents, else the
+    saved ones, previous_verdict, and changed. saved: job_id, status and the columns of match_results. aliases: job_id, external_ref, alias_target.
+
+    The document with most lines is the order (the last among equals) and the invoice (the first); deliveries are merged. Links that fail or are missing warn as in the first run."""
+    at = saved_lines(documents, rows, source)
+    most = lambda last: F.row_number().over(Window.partitionBy("job_id", "doc_type").orderBy(F.desc(F.size("lines")), F.desc("doc_id") if last else F.asc("doc_id")))
+    bc_doc = at.where("doc_type = 'BC'").withColumn("n", most(True)).where("n = 1")
+    fac_doc = at.where("doc_type = 'FACTURE'").withColumn("n", most(False)).where("n = 1")
+    bl_docs = at.where("doc_type = 'BL'").withColumn("doc_ord", F.row_number().over(Window.partitionBy("job_id").orderBy("doc_id")))
+
+    def lines(df: DataFrame, *more: str) -> DataFrame:
+        one = df.select("job_id", *more, F.posexplode("lines").alias("idx", "x"))
+        conf = F.coalesce("x.extraction_confidence", F.lit(1.0))
+        return one.select(
+            "job_id", *more, "idx", F.col("x.ref_produit").alias("ref"), F.col("x.designation").alias("designation"), F.col("x.qty").alias("qty"), F.col("x.prix_unitaire").alias("price"),
+            F.col("x.tva_rate").alias("tva"), F.col("x.total_ligne_ht").alias("total"), conf.alias("confidence"), (conf < 0.70).alias("low"),
+        )
+
+    def aliased(df: DataFrame) -> DataFrame:
+        if aliases is None:
+            return df.withColumn("alias_target", F.lit(None).cast("string"))
+        known = aliases.select("job_id", X.match_key("external_ref").alias("__key"), X.match_key("alias_target").alias("alias_target"))
+        return df.withColumn("__key", X.match_key("ref")).join(known, ["job_id", "__key"], "left").drop("__key")
+
+    bc, bl, fac = lines(bc_doc), aliased(M.merge_deliveries(lines(bl_docs, "doc_ord"))), aliased(lines(fac_doc))
+    verdicts = M.three_way_match(bc, bl, fac, fac_doc.select("job_id", "total_ht", "tva_rate"), tolerances)
+    order = bc_doc.select("job_id", F.col("ref_document").alias("bc_ref"))
+    sides = bl_docs.where("doc_ord = 1").unionByName(fac_doc, allowMissingColumns=True).select("job_id", F.col("ref_bc_linked").alias("other")).join(order, "job_id")
+    linked, _, _ = M.link_references(F.col("bc_ref"), F.col("other"))
+    warned = sides.groupBy("job_id").agg(F.count_if(~linked | (F.coalesce(F.trim("other"), F.lit("")) == "")).cast("int").alias("n_warnings"))
+    jobs = at.select("job_id").distinct().join(order.select("job_id", F.lit(True).alias("has_order")), "job_id", "left")
+    jobs = jobs.join(fac_doc.select("job_id", F.lit(True).alias("has_invoice")), "job_id", "left").join(warned, "job_id", "left")
+    jobs = jobs.select("job_id", F.coalesce("has_order", F.lit(False)).alias("has_order"), F.coalesce("has_invoice", F.lit(False)).alias("has_invoice"), F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))
+    again = M.match_results(verdicts, jobs)
+    fields = [c for c in again.columns if c not in ("job_id", "status")]
     new = again.select("job_id", F.struct(*fields).alias("__new"))
-    return saved.join(new, "job_id", "left").select(
-        "job_id", "status", *[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
+    out = saved.join(new, "job_id", "left")
+    return out.select(
+        "job_id", "status", *[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in fields], F.col("global_verdict").alias("previous_verdict"),
+        F.coalesce(F.col("__new.global_verdict") != F.col("global_verdict"), F.lit(False)).alias("changed"),
     )

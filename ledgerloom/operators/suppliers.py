@@ -199,10 +199,24 @@ def header_keywords(texts: DataFrame, key: str, stop_words: tuple[str, ...] = GE
 
 
 def promoted_patterns(evidence: DataFrame, promote_at: int = PROMOTE_AT, keep: int = KEEP) -> DataFrame:
-    """AGG13: patterns of a supplier seen in promote_at documents; the first ones promoted are kept."""
-    seen = evidence.groupBy("supplier_key", "pattern").agg(F.countDistinct("doc_id").alias("documents")).where(F.col("documents") >= promote_at)
-    place = F.row_number().over(Window.partitionBy("supplier_key").orderBy(F.desc("documents"), "pattern"))
-    return seen.withColumn("place", place).where(F.col("place") <= keep)
+    """AGG13: supplier_key, pattern, documents, promoted_by, place: patterns of a supplier seen in promote_at documents, in the order of their promotion, the first keep of them. evidence:
+    supplier_key, pattern, doc_id (documents come in its order) and, where it is there, pos, the place of a pattern in its document. promoted_by is the document that promotes."""
+    once = evidence.groupBy("supplier_key", "pattern", "doc_id").agg((F.min("pos") if "pos" in evidence.columns else F.min("pattern")).alias("pos"))
+    seen = once.withColumn("n", F.row_number().over(Window.partitionBy("supplier_key", "pattern").orderBy("doc_id")))
+    found = seen.groupBy("supplier_key", "pattern").agg(F.max("n").cast("long").alias("documents"), F.max(F.when(F.col("n") == promote_at, F.struct("doc_id", "pos"))).alias("by")).where("by is not null")
+    place = F.row_number().over(Window.partitionBy("supplier_key").orderBy("by.doc_id", "by.pos", "pattern"))
+    return found.withColumn("place", place).where(F.col("place") <= keep).select("supplier_key", "pattern", "documents", F.col("by.doc_id").alias("promoted_by"), "place")
+
+
+def raised_confidence(evidence: DataFrame, start: float = 0.4, step: float = 0.05, promote_at: int = PROMOTE_AT, keep: int = KEEP) -> DataFrame:
+    """AGG13: supplier_key, changes, confidence: a profile's confidence rises with every document that promotes a pattern, to 1 at most. A pattern that finds no room among the kept ones
+    is promoted again by every later document that shows it. evidence as for promoted_patterns(); suppliers whose patterns promote nothing have no row."""
+    once = evidence.groupBy("supplier_key", "pattern", "doc_id").agg(F.lit(1).alias("one")).drop("one")
+    seen = once.withColumn("n", F.row_number().over(Window.partitionBy("supplier_key", "pattern").orderBy("doc_id"))).where(F.col("n") >= promote_at)
+    kept = promoted_patterns(evidence, promote_at, keep).select("supplier_key", "pattern", F.lit(True).alias("kept"))
+    changing = seen.join(kept, ["supplier_key", "pattern"], "left").where((F.col("n") == promote_at) | F.col("kept").isNull())
+    per = changing.groupBy("supplier_key").agg(F.countDistinct("doc_id").alias("changes"))
+    return per.withColumn("confidence", F.least(F.lit(1.0), F.round(start + step * F.col("changes"), 9)))
 
 
 def visible_references(text: Column | str, patterns: tuple[str, ...] = VISIBLE_REFS) -> Column:

@@ -9,6 +9,7 @@ from ledgerloom.functions.similarity import pair_score_columns
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import matching as M
 from ledgerloom.operators import review as R
+from ledgerloom.operators import tables as B
 from ledgerloom.plans import pages as G
 from ledgerloom.plans import projection as P
 from ledgerloom.plans import reconcile as C
@@ -133,15 +134,6 @@ def edited_lines(spark, sf_dir):
     return R.edited(rows, edits, ["job_id", "line", "part"])
 
 
-@register("rematched", "VRD9", C._EXACT + """, s as (select job_id, 'VALIDATED' old, 'COMPLETED' status from jobs)
-select s.job_id, status, case when s.job_id % 2 = 0 then global_verdict else old end global_verdict, case when s.job_id % 2 = 0 then total_lines else 0 end::bigint total_lines from s join jobs using (job_id)""")
-def rematched(spark, sf_dir):
-    """Even jobs are matched again from their saved lines."""
-    new = C._exact_jobs(spark, sf_dir).select("job_id", "global_verdict", "total_lines")
-    saved = new.select("job_id", F.lit("COMPLETED").alias("status"), F.lit("VALIDATED").alias("global_verdict"), F.lit(0).cast("long").alias("total_lines"))
-    return R.rematched(saved, new.where("job_id % 2 = 0"))
-
-
 @register("job_tree", "JN20 VRD12", """with d as (select l_orderkey job_id, l_returnflag doc_id, count(*) n, min(l_linenumber)::int first_line from lineitem group by all), j as (select job_id, count(*)::int n_docs, sum(n)::int n_lines, arg_min(first_line, doc_id)::int first_line from d group by 1)
 select job_id, case when job_id % 3 = 0 then 'MATCHING' else 'COMPLETED' end status, case when job_id % 3 <> 0 then n_docs end n_docs, case when job_id % 3 <> 0 then n_lines end n_lines, case when job_id % 3 <> 0 then first_line end first_line, case when job_id % 3 = 0 then 'not complete' end message from j""")
 def job_tree(spark, sf_dir):
@@ -193,8 +185,7 @@ def attached_pages(spark, sf_dir):
 select doc_id, i::int line_number, 'P' || l_partkey as ref, l_quantity::bigint::double qty, 'SPATIAL' as by from b where doc_id % 2 = 0 union all select doc_id, (line_no - 1)::int, ref, qty::double, 'TEXT' from t where doc_id % 2 = 1""")
 def document_lines(spark, sf_dir):
     """Word boxes are known of every second document."""
-    rows = stored(D.word_rows(G._boxes(spark, sf_dir).where("doc_id % 2 = 0"), ["doc_id"]), "word-rows")
-    spatial = D.cell_lines(D.table_cells(rows, G._columns(rows), ["doc_id"]), ["doc_id"]).select("doc_id", F.col("row").alias("line_number"), F.col("ref_produit").alias("ref"), F.col("qty").cast("double").alias("qty"))
+    spatial = B.table_lines(G._boxes(spark, sf_dir).where("doc_id % 2 = 0"), ["doc_id"], F.lit(1000.0)).select("doc_id", F.col("row").alias("line_number"), F.col("ref_produit").alias("ref"), F.col("qty").cast("double").alias("qty"))
     text = D.text_items(G._text_lines(spark, sf_dir)).select("doc_id", "line_number", "ref", F.col("qty").cast("double").alias("qty"))
     return D.spatial_or_text(spatial, text)
 

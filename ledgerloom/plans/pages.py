@@ -9,6 +9,7 @@ from ledgerloom.functions import guards as G
 from ledgerloom.functions import text as X
 from ledgerloom.operators import documents as D
 from ledgerloom.operators import suppliers as S
+from ledgerloom.operators import tables as B
 from ledgerloom.operators import validation as V
 from ledgerloom.plans import projection as P
 from ledgerloom.registry import register
@@ -174,23 +175,19 @@ def _boxes(spark, sf_dir) -> DataFrame:
 
 @register("word_rows", "WIN2", f"with {_BOX} select doc_id, i * 10 + k as \"ord\", i::int as \"row\" from b, (select unnest(range(0, 5)) k) union all select distinct doc_id, k, 0 from b, (select unnest(range(0, 5)) k)")
 def word_rows(spark, sf_dir):
-    return D.word_rows(_boxes(spark, sf_dir), ["doc_id"]).select("doc_id", F.col("ord").cast("long").alias("ord"), "row")
-
-
-def _columns(rows: DataFrame) -> DataFrame:
-    return D.column_bounds(D.column_headers(rows, ["doc_id"]), ["doc_id"], F.lit(1000.0))
+    return B.word_rows(_boxes(spark, sf_dir), ["doc_id"]).select("doc_id", F.col("ord").cast("long").alias("ord"), "row")
 
 
 @register("column_bounds", "WIN3 WIN4", f"""with {_BOX}, c as (select distinct doc_id, unnest([('ref_produit', 10), ('designation', 110), ('qty', 210), ('unit', 310), ('total_ligne_ht', 410)]) z from b)
 select doc_id, z[1] as \"name\", coalesce((lag(z[2] + 50) over w + z[2]) / 2.0, 0)::double low, coalesce((z[2] + 50 + lead(z[2]) over w) / 2.0, 1000)::double high from c window w as (partition by doc_id order by z[2])""")
 def column_bounds(spark, sf_dir):
-    return _columns(D.word_rows(_boxes(spark, sf_dir), ["doc_id"])).select("doc_id", "name", "low", "high")
+    at = B.with_columns(B.page_rows(_boxes(spark, sf_dir), ["doc_id"]), F.lit(1000.0))
+    return at.select("doc_id", F.explode("columns").alias("c")).select("doc_id", "c.name", "c.low", "c.high")
 
 
 @register("spatial_table", "EXT6 EXT7 AGG20 FLT11 FLT12", f"with {_BOX} select doc_id, i::int as \"row\", 'P' || l_partkey ref_produit, 'VIS' designation, l_quantity::bigint::double qty, 'PCE' unit, floor(l_extendedprice)::double total_ligne_ht, 0.85::double confidence from b")
 def spatial_table(spark, sf_dir):
-    rows = stored(D.word_rows(_boxes(spark, sf_dir), ["doc_id"]), "word-rows")
-    out = D.cell_lines(D.table_cells(rows, _columns(rows), ["doc_id"]), ["doc_id"])
+    out = B.table_lines(_boxes(spark, sf_dir), ["doc_id"], F.lit(1000.0))
     return out.select("doc_id", "row", "ref_produit", "designation", F.col("qty").cast("double").alias("qty"), "unit", F.col("total_ligne_ht").cast("double").alias("total_ligne_ht"), "confidence")
 
 

@@ -9,9 +9,13 @@ from ledgerloom.functions import guards as G
 from ledgerloom.functions.similarity import pair_score_columns
 from ledgerloom.operators import assignment as A
 from ledgerloom.operators import documents as D
+from ledgerloom.operators import review as R
 from ledgerloom.operators import suppliers as S
 from ledgerloom.plans import projection as P
 from ledgerloom.registry import register
+from ledgerloom.sources import sinks
+from ledgerloom.sources.scratch import folder
+from ledgerloom.streaming import jobs
 
 _ORDER = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
 _SEQ = "row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice)"
@@ -271,3 +275,84 @@ def alias_candidates(spark, sf_dir):
         G.shown_alias_candidate(verdict, bad, F.col("ref"), invoice, delivery, applied, bq, lq, fq, bp, fp).alias("shown"),
         G.listed_alias_candidate(F.col("ref"), invoice, delivery, applied, bq, lq, fq).alias("listed"), G.listed_alias_candidate(F.col("ref"), invoice, delivery, applied, bq, lq, fq, relaxed=True).alias("relaxed"),
     )
+
+
+_EVIDENCE = "e as (select l_suppkey supplier_key, l_returnflag || (l_partkey % 23) pattern, l_orderkey doc_id, min(l_linenumber) pos from lineitem group by all), n as (select *, row_number() over (partition by supplier_key, pattern order by doc_id) n from e)"
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    return P.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier_key"), F.concat("l_returnflag", _str(F.col("l_partkey") % 23)).alias("pattern"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"))
+
+
+@register("pattern_promotion", "AGG13", f"""with {_EVIDENCE}, p as (select supplier_key, pattern, max(n)::bigint documents, arg_max(doc_id, n = 3) promoted_by, arg_max(pos, n = 3) pos from n group by all having max(n) >= 3)
+select supplier_key, pattern, documents, promoted_by, place from (select *, row_number() over (partition by supplier_key order by promoted_by, pos, pattern)::int place from p) where place <= 12""")
+def pattern_promotion(spark, sf_dir):
+    """Patterns in the order in which documents promote them."""
+    return S.promoted_patterns(_evidence(spark, sf_dir))
+
+
+@register("raised_confidence", "AGG13", f"""with {_EVIDENCE}, p as (select supplier_key, pattern, arg_max(doc_id, n = 3) d, arg_max(pos, n = 3) pos from n group by all having max(n) >= 3), k as (select supplier_key, pattern, row_number() over (partition by supplier_key order by d, pos, pattern) <= 12 kept from p)
+select supplier_key, count(distinct doc_id)::bigint changes, least(1.0, round(0.4 + 0.05 * count(distinct doc_id), 9))::double confidence from n join k using (supplier_key, pattern) where n = 3 or (n > 3 and not kept) group by 1""")
+def raised_confidence(spark, sf_dir):
+    return S.raised_confidence(_evidence(spark, sf_dir))
+
+
+# Review -------------------------------------------------------------------------------------------------------------
+@register("rematched", "VRD9", f"""with l as (select l_orderkey job_id, ({_SEQ} - 1)::int idx from lineitem), j as (select job_id, count(*)::bigint n from l group by 1)
+select job_id, 'COMPLETED' status, n total_lines, case when job_id % 2 = 0 then 'REJECTED' else 'VALIDATED' end previous_verdict, case when job_id % 4 = 2 then 'REJECTED' when job_id % 5 = 0 then 'REVIEW' else 'VALIDATED' end by_edits, case when (job_id % 4 = 2 and job_id % 3 = 0) or (job_id % 2 = 0 and job_id % 3 <> 0) then 'REJECTED' when job_id % 5 = 0 then 'REVIEW' else 'VALIDATED' end by_json,
+  case when job_id % 4 = 2 then 'REJECTED' when job_id % 5 = 0 then 'REVIEW' else 'VALIDATED' end <> case when job_id % 2 = 0 then 'REJECTED' else 'VALIDATED' end changed from j""")
+def rematched(spark, sf_dir):
+    """Jobs matched again from what was saved: invoices whose JSON has a wrong price for even jobs, corrected since in the rows of every fourth job, JSON that is broken for every third, and a
+    delivery that names another order in every fifth."""
+    at = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), (_sequence() - 1).alias("idx"), F.col("l_quantity").cast("decimal(18,4)").alias("qty"), (F.floor("l_extendedprice") + 1).cast("decimal(18,4)").alias("price"))
+    k = F.col("job_id")
+
+    def lines(price: F.Column) -> F.Column:
+        none = F.lit(None)
+        return F.struct(
+            (F.col("idx") + 1).cast("int").alias("line_number"), F.repeat(F.char(F.lit(65) + F.col("idx")), F.lit(8)).alias("ref_produit"), none.cast("string").alias("designation"), F.col("qty"), price.cast("decimal(18,4)").alias("prix_unitaire"),
+            none.cast("decimal(9,4)").alias("tva_rate"), none.cast("decimal(18,4)").alias("total_ligne_ht"), F.lit(1.0).alias("extraction_confidence"),
+        )
+
+    first = F.col("idx") == 0
+    wrong = F.when(first & (k % 2 == 0), F.col("price") + 5).otherwise(F.col("price"))
+    corrected = F.when(first & (k % 4 == 2), F.col("price") + 5).otherwise(F.col("price"))
+    docs, rows = [], []
+    for i, (kind, key, in_json, in_rows) in enumerate((("BC", "ref_bc", F.col("price"), F.col("price")), ("BL", "ref_bl", F.col("price"), F.col("price")), ("FACTURE", "ref_facture", wrong, corrected))):
+        own = F.concat(F.lit("BC-2024-") if kind == "BC" else F.lit(f"{kind}-"), F.lpad(_str(k), 8, "0"))
+        linked = F.when((k % 5 == 0) & F.lit(kind == "BL"), "BC-XXXX-YYYYYYYY").otherwise(F.concat(F.lit("BC-2024-"), F.lpad(_str(k), 8, "0")))
+        json = F.to_json(F.struct(own.alias(key), linked.alias("ref_bc_linked"), F.col("lines")))
+        per = at.groupBy("job_id").agg(F.array_sort(F.collect_list(lines(in_json))).alias("lines"))
+        docs.append(per.select("job_id", F.lit(i).alias("doc_id"), F.lit(kind).alias("doc_type"), F.when((k % 3 == 0) & F.lit(kind == "FACTURE"), "{broken").otherwise(json).alias("raw"), own.alias("ref_document"), linked.alias("ref_bc_linked"), F.lit(None).cast("decimal(18,4)").alias("total_ht"), F.lit(None).cast("decimal(9,4)").alias("tva_rate")))
+        rows.append(at.select("job_id", F.lit(i).alias("doc_id"), lines(in_rows).alias("x")).select("job_id", "doc_id", "x.*"))
+    documents, edited = docs[0].unionByName(docs[1]).unionByName(docs[2]), rows[0].unionByName(rows[1]).unionByName(rows[2])
+    none = F.lit(0).cast("long")
+    saved = at.select("job_id").distinct().select("job_id", F.lit("COMPLETED").alias("status"), F.when(k % 2 == 0, "REJECTED").otherwise("VALIDATED").alias("global_verdict"), *[none.alias(f"{c}_count") for c in ("match", "mismatch", "missing", "extra", "low_confidence")], none.alias("total_lines"))
+    by_edits, by_json = R.rematch(documents, edited, saved), R.rematch(documents, edited, saved, source="raw")
+    return by_edits.join(by_json.select("job_id", F.col("global_verdict").alias("by_json")), "job_id").select("job_id", "status", "total_lines", "previous_verdict", F.col("global_verdict").alias("by_edits"), "by_json", "changed")
+
+
+@register("source_quality", "AGG16", """with p as (select o_custkey job_id, case o_orderkey % 3 when 0 then 'BC' when 1 then 'BL' else 'FACTURE' end doc_type, (o_orderkey % 11) / 10.0 c, case o_orderkey % 4 when 0 then 'NATIVE' when 1 then 'TRANSCRIPTION' else 'OCR' end s, (o_orderkey % 7) / 10.0 o from orders)
+select job_id, doc_type, round(avg(floor(c * 100 + 0.5)), 6)::double classification_pct, round(avg(case when s = 'OCR' then floor(o * 100 + 0.5) else 100 end), 6)::double ocr_pct, array_to_string(list_sort(list(distinct s)), ',') sources from p group by all""")
+def source_quality(spark, sf_dir):
+    """Confidences of classification and recognition by job and type of document, and the sources of its pages."""
+    k = F.col("o_orderkey")
+    pages = P.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("job_id"), F.when(k % 3 == 0, "BC").when(k % 3 == 1, "BL").otherwise("FACTURE").alias("doc_type"), ((k % 11) / 10).alias("confidence"),
+        F.when(k % 4 == 0, "NATIVE").when(k % 4 == 1, "TRANSCRIPTION").otherwise("OCR").alias("ocr_source"), ((k % 7) / 10).alias("ocr_confidence"),
+    )
+    out = R.source_quality(pages)
+    return out.select("job_id", "doc_type", F.round("classification_pct", 6).alias("classification_pct"), F.round("ocr_pct", 6).alias("ocr_pct"), F.array_join("sources", ",").alias("sources"))
+
+
+# Streams ------------------------------------------------------------------------------------------------------------
+@register("stream_upserts", "STR2 SNK5", """select l_partkey part, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity))::double qty, max((l_orderkey, l_linenumber))[1]::bigint order_key from lineitem group by l_partkey""")
+def stream_upserts(spark, sf_dir):
+    """Lines read as a stream of files; a key that comes in several batches ends once, with its last line."""
+    at = folder(spark, "upserts")
+    li = P.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_quantity").cast("double").alias("qty"))
+    li.repartition(5, "order_key").write.parquet(f"{at}/in")
+    schema = "part long, order_key long, line int, qty double"
+    stream = jobs.file_stream(spark, f"{at}/in", schema, 2)
+    assert jobs.finished(jobs.upserts(stream, f"{at}/out", f"{at}/checkpoint", ["part"], ["order_key", "line", "qty"], 16))
+    return sinks.current_rows(spark, f"{at}/out", schema).select("part", "qty", "order_key")

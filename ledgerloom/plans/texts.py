@@ -275,14 +275,6 @@ def broken_spaces(spark, sf_dir):
     return P.table(spark, sf_dir, "documents").select("doc_id", F.length(X.join_broken(F.replace("text", F.lit(", "), F.lit("- ")))).alias("n"))
 
 
-@register("pattern_promotion", "AGG13", """with e as (select l_suppkey supplier_key, l_returnflag || l_linestatus || (l_partkey % 50) pattern, l_orderkey doc_id from lineitem),
-c as (select supplier_key, pattern, count(distinct doc_id)::bigint documents from e group by all having count(distinct doc_id) >= 3)
-select supplier_key, pattern, documents, place from (select *, row_number() over (partition by supplier_key order by documents desc, pattern)::int place from c) where place <= 12""")
-def pattern_promotion(spark, sf_dir):
-    e = P.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier_key"), F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 50).cast("string")).alias("pattern"), F.col("l_orderkey").alias("doc_id"))
-    return S.promoted_patterns(e)
-
-
 _SUPPLIED = """d as (select doc_id, case when doc_id % 4 = 0 then text || ' ' || (select min(s_name) from supplier where s_suppkey = 1 + doc_id % 10) else text end as text from documents)"""
 
 

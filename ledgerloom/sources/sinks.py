@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import nonzero
@@ -41,3 +42,49 @@ def job_status(has_unknown_page: Column, extracted: Column, verdict: Column, has
         F.when(verdict.isNotNull(), F.when(verdict.isin("REVIEW", "INCOMPLETE"), "REVIEW_REQUIRED").otherwise("COMPLETED"))
         .when(has_order == F.lit(False), "FAILED").when(extracted, "MATCHING").when(has_unknown_page.isNotNull(), "EXTRACTING").otherwise("PROCESSING")
     )
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """bucket, version of the last complete batch; None before the first."""
+    try:
+        every = spark.read.schema("bucket int, version long, batch long").parquet(f"{path}/manifest")
+        last = every.agg(F.max("batch")).first()[0]
+    except AnalysisException:
+        return None
+    return None if last is None else every.where(F.col("batch") == last)
+
+
+def current_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a table of merge_by_key() holds: of every bucket the version that the last complete batch names."""
+    known = _manifest(spark, path)
+    if known is None:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, version long, bucket int").parquet(f"{path}/rows")
+    # a row a bucket, whose number is fixed
+    return rows.join(F.broadcast(known.select("bucket", "version")), ["bucket", "version"], "left_semi").drop("bucket", "version")
+
+
+def merge_by_key(new: DataFrame, path: str, keys: list[str], order: list[str], batch: int, buckets: int = 64) -> None:
+    """STR2, SNK5: a batch merged into a table with one row a key: that with the greatest order, of equal ones the one of the later batch.
+
+    Rows lie in a fixed number of buckets of the keys. A batch reads and writes only the buckets of its keys, each as a new version, and then names the version of every bucket in one manifest
+    file. Readers follow the last manifest, so a batch that is killed anywhere leaves the table as it was, and may be run again; one that is complete changes
+    nothing when it is repeated. Old versions stay until they are removed by age."""
+    spark = new.sparkSession
+    known = _manifest(spark, path)
+    if known is not None and known.first()["batch"] >= batch:
+        return
+    schema = ", ".join(f"`{n}` {t}" for n, t in new.dtypes)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = new.select(bucket.alias("bucket")).distinct()
+    rows = new.withColumn("__new", F.lit(1)).withColumn("bucket", bucket)
+    if known is not None:
+        old = spark.read.schema(f"{schema}, version long, bucket int").parquet(f"{path}/rows").join(F.broadcast(known.select("bucket", "version")), ["bucket", "version"], "left_semi")
+        old = old.join(F.broadcast(touched), "bucket", "left_semi").drop("version").withColumn("__new", F.lit(0))
+        rows = rows.unionByName(old)
+    best = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*new.columns), F.struct(*order, "__new")).alias("r")).select("r.*", "bucket", F.lit(batch).cast("long").alias("version"))
+    best.repartition("bucket").write.mode("overwrite").partitionBy("version", "bucket").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/rows")
+    names = touched.select("bucket", F.lit(batch).cast("long").alias("version"))
+    if known is not None:
+        names = names.unionByName(known.select("bucket", "version").join(touched, "bucket", "left_anti"))
+    names.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch}")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerloom.operators.suppliers import KEEP, PROMOTE_AT
+from ledgerloom.sources.sinks import merge_by_key
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
@@ -31,6 +32,15 @@ def run_batches(stream: DataFrame, batch: Callable[[DataFrame], DataFrame], targ
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upserts(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
+    """STR2, SNK5: each micro-batch merged into a table with one row a key, whatever batch a key comes in; see merge_by_key()."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        merge_by_key(df, target, keys, order, batch_id, buckets)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def promoted_patterns(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """AGG13, STR4: evidence (supplier_key, pattern, doc_id) counted across micro-batches by keyed state; a pattern is written once, when its
     PROMOTE_AT-th document is seen. State is at most PROMOTE_AT document ids a pattern."""
@@ -74,4 +84,4 @@ def finished(query: StreamingQuery, seconds: int = 600) -> bool:
     return query.awaitTermination(seconds)
 
 
-__all__ = ["KEEP", "PROMOTE_AT", "audit_counts", "file_stream", "finished", "promoted_patterns", "run_batches", "sessions", "with_dimension"]
+__all__ = ["KEEP", "PROMOTE_AT", "audit_counts", "file_stream", "finished", "promoted_patterns", "run_batches", "sessions", "upserts", "with_dimension"]

@@ -257,7 +257,7 @@ def test_profiles_against_brute_force(spark):
                 continue
             weights = [0.70] * (name.upper() in up) + [0.30] * bool(detected and alike(detected.upper(), name.upper()) >= 0.85) + [0.50] * any(len(a) >= 3 and a.upper() in up for a in aliases or [])
             weights += [0.90] * bool(siret and siret in text) + [0.90] * bool(vat and vat in text)
-            weights += [0.40 * sum(k.upper() in up for k in keywords) / len(keywords)] * bool(keywords) + [0.30] * any(re.search(p, up) for p in patterns or [])
+            weights += [0.40 * sum(k.upper() in up for k in keywords or []) / len(keywords or "-")] * bool(keywords) + [0.30] * any(re.search(p, up) for p in patterns or [])
             if weights:
                 found = max(found, (round(min(1.0, sum(weights) / len(weights)), 9), name))
         return found if found[0] > 0 else None
@@ -277,3 +277,56 @@ def test_a_worse_assignment_is_not_optimal(spark):
     greedy = [(1, "BL", "BC", 1, 0.0, 1, 1.0), (1, "BL", "BC", 2, 0.15, 2, 0.0), (1, "BL", "BL", 1, 0.0, None, None), (1, "BL", "BL", 2, 0.15, None, None)]
     bold = [(j, s, o, i, p + 0.5, m, c) for j, s, o, i, p, m, c in greedy]
     assert [A.optimality(spark.createDataFrame(p, proof), scores).first()["optimal"] for p in (good, greedy, bold)] == [True, False, False]
+
+
+def test_merged_keys_survive_killed_batches(spark, tmp_path):
+    schema, at = "k long, v int, t int", str(tmp_path / "t")
+    batch = lambda rows: spark.createDataFrame(rows, schema)
+    now = lambda: [tuple(r) for r in sinks.current_rows(spark, at, schema).collect()]
+    merge = lambda rows, n: sinks.merge_by_key(batch(rows), at, ["k"], ["t"], n, 4)
+    assert now() == []
+    merge([(1, 10, 1), (2, 20, 1), (2, 21, 2), (None, 5, 1)], 0)
+    merge([(1, 11, 0), (3, 30, 1), (2, 22, 2)], 1)
+    want = [(1, 10, 1), (2, 22, 2), (3, 30, 1)]
+    assert sorted(map(str, now())) == sorted(map(str, [*want, (None, 5, 1)]))
+    # a batch that was killed after its rows and before its manifest leaves no trace, and ends as it should when it is run again
+    merge([(1, 99, 9), (4, 40, 1)], 2)
+    import shutil
+
+    shutil.rmtree(f"{at}/manifest/batch=2")
+    assert sorted(map(str, now())) == sorted(map(str, [*want, (None, 5, 1)]))
+    for _ in range(2):
+        merge([(1, 99, 9), (4, 40, 1)], 2)
+        assert sorted(map(str, now())) == sorted(map(str, [(1, 99, 9), (2, 22, 2), (3, 30, 1), (4, 40, 1), (None, 5, 1)]))
+    merge([(1, 100, 10)], 1)  # an older batch again
+    assert "(1, 99, 9)" in set(map(str, now()))
+
+
+def test_table_rows_against_a_loop(spark):
+    import random
+
+    from ledgerloom.operators import tables as B
+
+    r = random.Random(11)
+    data = [(p, i, f"w{i}", r.randrange(0, 400), r.randrange(0, 120), 20, 10, 90.0) for p in range(12) for i in range(r.randrange(1, 40))]
+    df = spark.createDataFrame(data, "doc_id long, ord int, text string, x int, y int, w int, h int, conf double")
+    want = {}
+    for p in {d[0] for d in data}:
+        row, anchor = -1, None
+        for d in sorted((d for d in data if d[0] == p), key=lambda d: (d[4] + d[6] / 2, d[3], d[1])):
+            centre = d[4] + d[6] / 2
+            if anchor is None or abs(centre - anchor) > B.ROW_GAP:
+                row, anchor = row + 1, centre
+            want[p, d[1]] = row
+    assert {(x["doc_id"], x["ord"]): x["row"] for x in B.word_rows(df, ["doc_id"]).collect()} == want
+
+
+def test_table_of_two_columns_ends_at_its_total(spark):
+    from ledgerloom.operators import tables as B
+
+    lines = [("ACME", "2024"), ("REF", "PRIX UNIT"), ("A10", "5,000"), ("vis", "rouge"), ("TOTAL HT", "5,000"), ("B20", "6,000")]
+    data = [(1, 10 * i + j, t, 10 + 200 * j, 30 * i, 60, 10, 80.0 + 10 * j) for i, row in enumerate(lines) for j, t in enumerate(row)]
+    df = spark.createDataFrame(data, "doc_id long, ord int, text string, x int, y int, w int, h int, conf double")
+    got = B.table_lines(df, ["doc_id"]).collect()
+    assert [(g["row"], g["ref_produit"], g["prix_unitaire"], g["confidence"]) for g in got] == [(2, "A10", Decimal("5.000000"), 0.8)]
+    assert B.with_columns(B.page_rows(df.where("text <> 'REF'"), ["doc_id"])).count() == 0
