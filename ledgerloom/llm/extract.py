@@ -1,6 +1,6 @@
 """Main text of web pages, with a suffix array per host for boilerplate.
 
-A page's markup gives blocks of text and is a prior. Blocks in an article or main element are likely content; what is marked as a menu,
+A page's markup gives blocks of text and is a prior. Blocks in an article or main element are likely content, a form or widget around it or not; what is marked as a menu,
 header, footer, aside, form, advert, notice or comment goes; all other blocks are loose, and so are those whose class or id only hints at such
 (share-price, search-results). Repeats over the pages of a host decide about loose text, with or without an article on the page:
 
@@ -74,6 +74,7 @@ _MARKED = frozenset(
     "promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_MAIN = re.compile(r"(?:^|\s)role\s*=\s*(?:\"main\"|'main'|main(?=[\s/]|$))", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[\s_-]+")
 #: What may stand beside a marked word in the name of a class or id that is marked as a whole.
@@ -83,9 +84,9 @@ CONTENT, LOOSE, MARKED = "main", "loose", "marked"
 
 
 def _marks(name: str, attributes: str, rooted: bool) -> int:
-    """2 for an element marked as something other than content, 1 for one that a class or id hints at, otherwise 0."""
+    """3 for an element marked as something other than content, 2 for one that may also wrap a page (a form, a widget), 1 for one that a class or id hints at, otherwise 0."""
     if name in _OUT or name == "header" and not rooted:
-        return 2
+        return 2 if name == "form" else 3
     if not attributes or name in ("html", "body", "main", "article"):
         return 0
     most = 0
@@ -93,13 +94,15 @@ def _marks(name: str, attributes: str, rooted: bool) -> int:
         value = (a or b or c).lower()
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in _ROLES:
-            return 2
+            return 3
         if key in ("class", "id"):
             for token in value.split():
                 words = set(_WORDS.split(token)) - {""}
                 found = words & _MARKED or not rooted and "header" in words
                 if found and words <= _MARKED | _PARTS:
-                    return 2
+                    if found != {"widget"}:
+                        return 3
+                    most = 2
                 most = max(most, int(bool(found)))
     return most
 
@@ -117,7 +120,7 @@ def ordered_blocks(source: str) -> list[tuple[str, str]]:
             joined = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             text.clear()
             if joined:
-                found.append((MARKED if out == 2 else CONTENT if rooted and not out else LOOSE, joined))
+                found.append((MARKED if out >= 2 else CONTENT if rooted and not out else LOOSE, joined))
 
     def close(to: int) -> None:
         nonlocal rooted, out
@@ -165,8 +168,11 @@ def ordered_blocks(source: str) -> list[tuple[str, str]]:
                         break
         if name in _VOID or closed and name not in _BLOCK:
             continue
-        inner = rooted or name in ("article", "main") or "role=\"main\"" in m.group(4)
-        skip = 2 if name in _DRAWN else max(out, _marks(name, m.group(4), rooted))
+        whole = name == "main" or _MAIN.search(m.group(4)) is not None
+        inner = rooted or name == "article" or whole
+        # a page's main, and an article within a form or widget around the page, begin anew
+        around = 0 if not rooted and (whole or name == "article" and out == 2) else out
+        skip = 3 if name in _DRAWN else max(around, _marks(name, m.group(4), rooted))
         if (inner, skip) != (rooted, out):
             flush()
         rooted, out = inner, skip

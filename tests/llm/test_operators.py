@@ -455,6 +455,9 @@ def test_extract_markup():
     assert text('<article><p>a <svg viewBox="0"/> b</p><p>c</p></article>') == "a b\nc"
     assert text("<article><p>x<svg><g>t</g><p>y</article>") == "x\ny"
     assert text('<article><p class="share-price">1</p><div id="search-results">2</div><p class="related-work">3</p><div class="share-buttons">no</div></article>') == "1\n2\n3"
+    assert text("<form><main><p>Story</main><input></form>") == text("<div class='content-widget'><article><p>Story</article></div>") == "Story"
+    assert text("<form><div role=main><p>a</div>b</form>") == text("<div class='sidebar-page'><main>a<form>b</form></main>c</div>") == "a"
+    assert text("<article>a</article><div class='comments'><article>no</article></div><aside class='related'><article>no</article></aside><div class=widget>no</div>") == "a"
     assert text("</div></p>" * 3000 + "<p>a" + "<div>" * 3000 + "b") == "a\nb"
     assert len(text("<p>" + "word " * 200_000)) == 999_999
 
