@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import guards as G
 from ledgerloom.functions import text as X
-from ledgerloom.functions.similarity import fuzz_column, ratio_column
+from ledgerloom.functions.similarity import ratio_column
 from ledgerloom.operators.containment import contained
 
 # Fixed values -------------------------------------------------------------------------------------------------------
@@ -50,15 +50,20 @@ def containing_supplier(texts: DataFrame, suppliers: DataFrame) -> DataFrame:
     return hits.join(own, "needle").groupBy("doc_id").agg(F.min("name").alias("supplier_name"))
 
 
+def ratios_of_at_least(pairs: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """pairs with their ratio in percent where it is least or more. What cannot reach it by its edit distance does not reach the scorer."""
+    room = (1 - least / 100) * (F.length(a) + F.length(b)) + 1e-9
+    at = pairs.where((F.abs(F.length(a) - F.length(b)) <= room) & (F.levenshtein(a, b) <= room))
+    return at.withColumn("ratio", ratio_column(a, b)).where(F.col("ratio") >= least)
+
+
 def _alike(detected: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of upper-cased detected names and profile names (detected, up) with a ratio of SAME_NAME or more. Distinct pairs of lengths that allow it are compared, first by their edit
-    distance: a ratio r of strings of n and m characters leaves (1 - r)(n + m) insertions and deletions, and so as many edits, at most. Few reach the scorer."""
+    """Pairs of upper-cased detected names and profile names (detected, up) with a ratio of SAME_NAME or more: distinct names of lengths that allow it."""
     d, n = detected.where("detected <> ''").distinct(), names.where("up <> ''").distinct()
     far = (2 - SAME_NAME) / SAME_NAME
     reach = F.sequence(F.floor(F.length("detected") / far).cast("int"), F.ceil(F.length("detected") * far).cast("int"))
     near = d.withColumn("len", F.explode(reach)).join(n.withColumn("len", F.length("up")), "len")
-    near = near.where(F.levenshtein("detected", "up") <= (1 - SAME_NAME) * (F.length("detected") + F.length("up")) + 1e-9)
-    return near.withColumn("ratio", ratio_column("detected", "up")).where(F.col("ratio") >= 100 * SAME_NAME).select("detected", "up")
+    return ratios_of_at_least(near, "detected", "up", 100 * SAME_NAME).select("detected", "up")
 
 
 def profile_scores(texts: DataFrame, profiles: DataFrame, buyers: tuple[str, ...] = ()) -> DataFrame:
@@ -226,14 +231,19 @@ def visible_references(text: Column | str, patterns: tuple[str, ...] = VISIBLE_R
     return F.coalesce(F.size(F.array_distinct(F.flatten(F.array(*found)))), F.lit(0))
 
 
-def mine_aliases(orders: DataFrame, invoices: DataFrame, scorer=fuzz_column, least: float = 50.0) -> DataFrame:
-    """JN21: internal and external references of lines close in quantity and price with similar descriptions.
+def mine_aliases(orders: DataFrame, invoices: DataFrame, least: float = 50.0) -> DataFrame:
+    """JN21: internal_ref, external_ref, score (the best), n: references of lines of a job that are close in quantity and price and have similar descriptions. Both: job_id, ord, ref, designation, qty,
+    price. An order line takes the invoice line with the highest ratio of its sorted words, the first among equals, if it is least or more; pairs of equal references go then. Spaces
+    and case of references do not count.
 
-    Both: job_id, ord, ref, designation, qty, price. Distinct description pairs are scored once."""
+    A ratio r of n and m characters leaves (1 - r)(n + m) insertions and deletions, so at most as many edits, which the JVM counts. Only pairs within that are scored, once a distinct pair."""
     f = invoices.select("job_id", *[F.col(c).alias(f"f_{c}") for c in ("ord", "ref", "designation", "qty", "price")])
-    near = orders.join(f, "job_id").where("abs(qty - f_qty) <= 0.5 and abs(price - f_price) <= 0.02 and ref <> f_ref")
-    near = near.withColumn("__a", X.description("designation")).withColumn("__b", X.description("f_designation"))
-    scores = near.select("__a", "__b").distinct().withColumn("score", scorer("__a", "__b")).where(F.col("score") >= least)
-    best = near.join(scores, ["__a", "__b"]).groupBy("job_id", "ord").agg(F.max_by(F.struct("ref", "f_ref", "score"), F.struct("score", -F.col("f_ord"))).alias("b"))
-    pairs = best.select(F.col("b.ref").alias("internal_ref"), F.col("b.f_ref").alias("external_ref"), "b.score")
-    return pairs.groupBy("internal_ref", "external_ref").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    near = orders.join(f, "job_id").where("abs(qty - f_qty) <= 0.5 and abs(price - f_price) <= 0.02")
+    words = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(F.coalesce(c, F.lit("None"))), r"(?U)\s+"), lambda w: w != "")), " ")
+    near = near.withColumn("__a", words("designation")).withColumn("__b", words("f_designation"))
+    pairs = near.select("__a", "__b").distinct()
+    scored = ratios_of_at_least(pairs, "__a", "__b", least).withColumnRenamed("ratio", "score")
+    best = near.join(scored, ["__a", "__b"]).groupBy("job_id", "ord").agg(F.max_by(F.struct("ref", "f_ref", "score"), F.struct("score", -F.col("f_ord"))).alias("b"))
+    clean = lambda c: F.upper(F.replace(c, F.lit(" "), F.lit("")))
+    found = best.where("b.ref <> b.f_ref").select(clean(F.col("b.ref")).alias("internal_ref"), clean(F.col("b.f_ref")).alias("external_ref"), "b.score")
+    return found.groupBy("internal_ref", "external_ref").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))

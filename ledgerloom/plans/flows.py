@@ -284,21 +284,3 @@ def stream_lines(spark, sf_dir):
 select user_id, min(ts) \"start\", max(ts) + interval 30 minute as \"end\", count(*)::bigint n from s group by user_id, s""")
 def user_sessions(spark, sf_dir):
     return jobs.sessions(P.table(spark, sf_dir, "events"))
-
-
-@register("mined_aliases", "JN21", """with l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) as idx from lineitem)
-select 'P' || idx internal_ref, 'X' || idx external_ref, 80.0::double score, count(*)::bigint n from l where idx % 3 <> 2 group by idx""")
-def mined_aliases(spark, sf_dir):
-    """Descriptions of one repeated letter, eight of ten kept on the invoice: the ratio is 80 for the line's own and 0 for others. Every third line is too dear."""
-    from pyspark.sql import Window
-
-    from ledgerloom.functions.similarity import ratio_column
-    from ledgerloom.operators.suppliers import mine_aliases
-
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
-    at = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), seq.alias("ord"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"))
-    letter = F.char(F.lit(97) + F.col("ord"))
-    orders = at.withColumn("ref", F.concat(F.lit("P"), _str("ord"))).withColumn("designation", F.repeat(letter, F.lit(10)))
-    dear = F.when(F.col("ord") % 3 == 2, F.col("price") + 0.5).otherwise(F.col("price") + 0.01)
-    invoices = at.withColumn("price", dear).withColumn("ref", F.concat(F.lit("X"), _str("ord"))).withColumn("designation", F.concat(F.repeat(letter, F.lit(8)), F.lit("99")))
-    return mine_aliases(orders, invoices, ratio_column)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import guards as G
 from ledgerloom.functions import text as X
-from ledgerloom.functions.similarity import pair_score_columns, ratio_column
+from ledgerloom.functions.similarity import pair_score_columns
 from ledgerloom.operators import matching as M
 from ledgerloom.plans import projection as P
 from ledgerloom.registry import register
@@ -313,7 +313,7 @@ def alias_mine_fuzzy(spark, sf_dir):
     bc = P.order_lines(spark, sf_dir)
     fac = P.invoice_lines(bc)
     shape = lambda df: df.select("job_id", "ord", "ref", "designation", F.col("qty").cast("double").alias("qty"), (F.col("price_m") / 1000).alias("price"))
-    return mine_aliases(shape(bc), shape(fac), ratio_column)
+    return mine_aliases(shape(bc), shape(fac))
 
 
 @register("recent_jobs", "SRT1", "select o_orderkey job_id, o_orderdate created_at from orders order by o_orderdate desc, o_orderkey desc limit 20")

@@ -229,6 +229,23 @@ def visible_refs(spark, sf_dir):
     return P.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), S.visible_references(t).alias("n"))
 
 
+@register("mined_aliases", "JN21", f"""with l as (select {_SEQ} as idx, 3 + l_partkey % 8 as kept, l_suppkey % 4 = 0 as same from lineitem)
+select 'P' || idx internal_ref, 'X' || idx external_ref, max(10.0 * kept)::double score, count(*)::bigint n from l where idx % 3 <> 2 and kept >= 5 and not same group by idx""")
+def mined_aliases(spark, sf_dir):
+    """Descriptions of one letter, of which the invoice keeps three to ten of ten, in words of another order: the ratio is 10 a letter kept for the line's own and 0 for others. Every third line is
+    too dear, and some have the same reference on both sides."""
+    at = P.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("job_id"), _sequence().alias("ord"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), (F.col("l_partkey") % 8 + 3).cast("int").alias("kept"), (F.col("l_suppkey") % 4 == 0).alias("same")
+    )
+    letter, own = F.char(F.lit(97) + F.col("ord")), F.concat(F.lit("P"), _str("ord"))
+    columns = ("job_id", "ord", "ref", "designation", "qty", "price")
+    orders = at.withColumn("ref", own).withColumn("designation", F.upper(F.repeat(letter, F.lit(10)))).select(*columns)
+    dear = F.when(F.col("ord") % 3 == 2, F.col("price") + 0.5).otherwise(F.col("price") + 0.01)
+    text = F.concat(F.repeat(letter, F.col("kept")), F.repeat(F.lit("9"), 10 - F.col("kept")))
+    invoices = at.withColumn("price", dear).withColumn("ref", F.when(F.col("same"), own).otherwise(F.concat(F.lit("x "), _str("ord")))).withColumn("designation", text).select(*columns)
+    return S.mine_aliases(orders, invoices)
+
+
 # Guards and aliases -------------------------------------------------------------------------------------------------
 @register("cleanup_flags", "FLT5 FLT6 NRM10", """with t as (select p_partkey id, p_partkey % 12 as c, p_name, p_size from part),
 w as (select id, case c when 0 then '"bl' || id || '"' when 1 then 'ab' || (10 + id % 90) || 'cdef' when 2 then '2025-06-' || (10 + id % 20) when 3 then 'le 30/06/2025' when 4 then p_name when 5 then '6 576,' || lpad((id % 1000)::varchar, 3, '0') when 6 then 'code tva ' || id when 7 then 'x@y.tn' when 8 then '12 X ' || p_size

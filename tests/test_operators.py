@@ -330,3 +330,15 @@ def test_table_of_two_columns_ends_at_its_total(spark):
     got = B.table_lines(df, ["doc_id"]).collect()
     assert [(g["row"], g["ref_produit"], g["prix_unitaire"], g["confidence"]) for g in got] == [(2, "A10", Decimal("5.000000"), 0.8)]
     assert B.with_columns(B.page_rows(df.where("text <> 'REF'"), ["doc_id"])).count() == 0
+
+
+def test_ratios_lose_no_pair_to_the_edit_distance(spark):
+    import random
+
+    from ledgerloom.functions.similarity import ratio
+
+    r = random.Random(12)
+    words = sorted({"".join(r.choice("abc ") for _ in range(r.randrange(0, 12))).strip() for _ in range(60)})
+    pairs = [(a, b) for a in words for b in words]
+    got = S.ratios_of_at_least(spark.createDataFrame(pairs, "a string, b string"), "a", "b", 60.0)
+    assert {(x["a"], x["b"], x["ratio"]) for x in got.collect()} == {(a, b, ratio(a, b)) for a, b in pairs if ratio(a, b) >= 60}
