@@ -1,9 +1,9 @@
 """A deterministic sharded WARC writer and its reader.
 
 Writing. Of records with equal payloads of at least MIN_REVISIT bytes the one with the smallest page_id is a response,
-others revisit it; that is settled by a map-side combined aggregation over digests, joined back. Each record is made
+others revisit it; that is settled by a map-side combined aggregation over digests, joined back with rows of frequent digests dealt by page_id. Each record is made
 and compressed (a gzip member of its own) where its page is read, so only compressed records are moved. They are
-range-sorted by page_id. A range is a run of cells of CELL_IDS ids with about SHARD_BYTES of payload (more in a very large input, so that there are SHARDS
+range-sorted by page_id. A range is a run of cells of equal width, CELLS at most whatever the ids, with about SHARD_BYTES of payload (more in a very large input, so that there are SHARDS
 ranges at most), from exact sums over all rows; a cell heavier than that is split by a hash of page_id and digest. So shards, files and their bytes depend on the
 rows alone, not on settings or partitions. A shard's task rolls to a new file once FILE_BYTES of compressed records
 are reached, begins each file with a warcinfo record, writes it under a temporary name of its own attempt and renames it to its final name, which holds
@@ -31,13 +31,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._spark import partitions, scratch, small, store, store_counted
+from ledgerloom.llm._spark import HUB, _meet, partitions, scratch, small, store, store_counted
 
 MIN_REVISIT = 100
 FILE_BYTES = 64 << 20
 SHARD_BYTES = 16 << 20
 SHARDS = 100_000
-CELL_IDS = 1024
+#: Cells of equal width into which the ids' range is cut: one for so many rows, and so many at most; running sums go by blocks of BLOCK cells.
+CELL_ROWS, CELLS, BLOCK = 256, 100_000, 1_024
 #: Bytes of a record besides its payload, about.
 OVERHEAD = 700
 DATE = "2024-01-01T00:00:00Z"
@@ -231,35 +232,37 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     size = F.octet_length("html")
     pages = pages.withColumn("digest", F.sha2("html", 256))
-    keyed = pages.where(size >= MIN_REVISIT).where("page_id is not null").select("page_id", F.unhex("digest").alias("d"))
-    first = keyed.groupBy("d").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    refers = keyed.join(first, "d").where("page_id > first").select(F.col("page_id").alias("__page"), F.hex("d").alias("__digest"), "first").distinct()
+    keyed = pages.where(size >= MIN_REVISIT).where("page_id is not null").select(F.unhex("digest").alias("u"), F.col("page_id").alias("v"))
+    first = keyed.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("last"), F.count(F.lit(1)).alias("n")).where("m < last")
+    first, seen = store_counted(first.select("u", "m", "n"), "payloads", hubs=F.count_if(F.col("n") > HUB))
+    met = _meet(keyed, first.select("u", "m"), first.where(F.col("n") > HUB).select("u", "n"), seen["hubs"])
+    refers = met.where("v > m").select(F.col("v").alias("__page"), F.hex("u").alias("__digest"), F.col("m").alias("first")).distinct()
     refers = store(refers, "revisits")
     marked = pages.join(refers, (F.col("page_id") == F.col("__page")) & (F.upper("digest") == F.col("__digest")), "left")
-    cells, n = _ranges(pages, size)
-    cell = _cell()
+    cells, n, cell = _ranges(pages, size)
     marked = marked.join(cells, cell.eqNullSafe(F.col("cell"))).withColumn("shard", (F.col("base") + F.pmod(F.xxhash64("page_id", "digest"), F.col("parts"))).cast("int"))
     records = marked.select("page_id", "url", "html", "digest", "first", "shard").mapInArrow(_records, "page_id long, shard int, digest string, url string, packed binary")
     sorted_ = records.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
     return store(sorted_.mapInArrow(_files(folder, file_bytes), "file string, shard long, number long, records long, bytes long, sha256 string"), "manifest")
 
 
-def _cell() -> Column:
-    return F.floor(F.col("page_id") / F.lit(CELL_IDS)).cast("long")
-
-
-def _ranges(pages: DataFrame, size: Column) -> tuple[DataFrame, int]:
-    """cell, base, parts: the first shard of each cell of ids and the shards it takes; and the number of shards. Running sums go by blocks of cells."""
+def _ranges(pages: DataFrame, size: Column) -> tuple[DataFrame, int, Column]:
+    """cell, base, parts: the first shard of each cell of ids and the shards it takes; the number of shards; and the cell of a row. There are CELLS cells at most, dense ids or
+    hashed ones, so the sums ahead of their blocks are some hundred rows."""
     bytes_ = (size + F.lit(OVERHEAD)).cast("long")
-    sums, seen = store_counted(pages.groupBy(_cell().alias("cell")).agg(F.sum(bytes_).alias("bytes")), "cells", n=F.count(F.lit(1)), total=F.sum("bytes"))
+    known = pages.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count("page_id").alias("n")).first()
+    span = (known["high"] or 0) - (known["low"] or 0) + 1
+    width = min(1 << 62, max(1, -(-span // max(1, min(CELLS, known["n"] // CELL_ROWS)))))
+    cell = F.expr(f"page_id div {width}L")
+    sums, seen = store_counted(pages.groupBy(cell.alias("cell")).agg(F.sum(bytes_).alias("bytes")), "cells", n=F.count(F.lit(1)), total=F.sum("bytes"))
     share = max(SHARD_BYTES, -(-(seen["total"] or 0) // SHARDS))
-    sums = sums.withColumn("block", F.floor(F.col("cell") / F.lit(CELL_IDS)).cast("long"))
+    sums = sums.withColumn("block", F.expr(f"cell div {BLOCK}L"))
     before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = sums.groupBy("block").agg(F.sum("bytes").alias("bytes")).select(F.col("block").alias("b"), before(Window.orderBy(F.col("block").asc_nulls_first())).alias("ahead"))
     at = sums.withColumn("inside", before(Window.partitionBy("block").orderBy(F.col("cell").asc_nulls_first()))).join(F.broadcast(blocks), F.col("block").eqNullSafe(F.col("b")))
     parts = F.greatest(F.lit(1), F.floor(F.col("bytes") / F.lit(share))).cast("long")
     out = at.select("cell", F.floor((F.col("ahead") + F.col("inside")) / F.lit(share)).cast("long").alias("base"), parts.alias("parts"))
-    return small(out, seen["n"]), int(-(-(seen["total"] or 0) // share)) + 1
+    return small(out, seen["n"]), int(-(-(seen["total"] or 0) // share)) + 1, cell
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:

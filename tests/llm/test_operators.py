@@ -544,6 +544,31 @@ def test_warc(spark, tmp_path):
     assert rows(warc.read(warc.write(empty, f"file://{tmp_path}/e"), f"file://{tmp_path}/e")) == []
 
 
+def test_warc_hashed_ids_and_a_frequent_payload(spark, tmp_path, monkeypatch):
+    """Ids over all of 64 bits, one payload on a third of the rows, texts of a megabyte; small cells, hubs and shards."""
+    from ledgerloom.llm import _spark
+
+    monkeypatch.setattr(warc, "HUB", 20)
+    monkeypatch.setattr(_spark, "HUB", 20)
+    monkeypatch.setattr(warc, "CELL_ROWS", 10)
+    monkeypatch.setattr(warc, "SHARD_BYTES", 20_000)
+    r = random.Random(7)
+    ids = sorted({r.randrange(-(1 << 63), 1 << 63) for _ in range(400)} | {-(1 << 63), (1 << 63) - 1, 0, -1, 5})
+    data = [(i, f"u{i}", "frequent " * 30 if n % 3 == 0 else f"page {n % 90} " * 20 if n % 3 == 1 else f"own {n}") for n, i in enumerate(ids)] + [(7, "long", "é" * 600_000)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write(df, folder)
+    got = {x["page_id"]: (x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in rows(warc.read(manifest, folder))}
+    first = {}
+    for i, _, html in sorted(data):
+        first.setdefault(html, i)
+    want = {}
+    for i, _, html in data:
+        again = len(html.encode()) >= 100 and first[html] != i
+        want[i] = (len(html.encode()), hashlib.sha256(html.encode()).hexdigest(), "revisit" if again else "response", first[html] if again else None)
+    assert got == want and manifest.select("shard").distinct().count() > 3
+
+
 def test_warc_rejects_damage():
     data = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), "response", None)
     assert warc.parse(data)["payload_bytes"] == 7
