@@ -185,7 +185,7 @@ def attached_pages(spark, sf_dir):
 select doc_id, i::int line_number, 'P' || l_partkey as ref, l_quantity::bigint::double qty, 'SPATIAL' as by from b where doc_id % 2 = 0 union all select doc_id, (line_no - 1)::int, ref, qty::double, 'TEXT' from t where doc_id % 2 = 1""")
 def document_lines(spark, sf_dir):
     """Word boxes are known of every second document."""
-    spatial = B.table_lines(G._boxes(spark, sf_dir).where("doc_id % 2 = 0"), ["doc_id"], F.lit(1000.0)).select("doc_id", F.col("row").alias("line_number"), F.col("ref_produit").alias("ref"), F.col("qty").cast("double").alias("qty"))
+    spatial = stored(B.table_lines(G._boxes(spark, sf_dir).where("doc_id % 2 = 0"), ["doc_id"], F.lit(1000.0)), "spatial-lines").select("doc_id", F.col("row").alias("line_number"), F.col("ref_produit").alias("ref"), F.col("qty").cast("double").alias("qty"))
     text = D.text_items(G._text_lines(spark, sf_dir)).select("doc_id", "line_number", "ref", F.col("qty").cast("double").alias("qty"))
     return D.spatial_or_text(spatial, text)
 

@@ -373,3 +373,18 @@ def stream_upserts(spark, sf_dir):
     stream = jobs.file_stream(spark, f"{at}/in", schema, 2)
     assert jobs.finished(jobs.upserts(stream, f"{at}/out", f"{at}/checkpoint", ["part"], ["order_key", "line", "qty"], 16))
     return sinks.current_rows(spark, f"{at}/out", schema).select("part", "qty", "order_key")
+
+
+@register("stream_profiles", "STR4 AGG13", f"""with {_EVIDENCE}, p as (select supplier_key, pattern, arg_max(doc_id, n = 3) promoted_by, arg_max(pos, n = 3) pos from n group by all having max(n) >= 3)
+select supplier_key::varchar supplier_key, pattern, 3::bigint documents, promoted_by, place from (select *, row_number() over (partition by supplier_key order by promoted_by, pos, pattern)::int place from p) where place <= 12""")
+def stream_profiles(spark, sf_dir):
+    """The same evidence as a stream of files in the order of the documents, promoted by keyed state."""
+    at = folder(spark, "profiles")
+    e = _evidence(spark, sf_dir)
+    low, high = e.agg(F.min("doc_id"), F.max("doc_id")).first()
+    for i in range(3):
+        part = F.floor((F.col("doc_id") - low) * 3 / (high - low + 1)) == i
+        e.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = jobs.file_stream(spark, f"{at}/in", "supplier_key long, pattern string, doc_id long, pos int", 1)
+    assert jobs.finished(jobs.profiles(stream, f"{at}/out", f"{at}/checkpoint"))
+    return spark.read.parquet(f"{at}/out").where("pattern is not null").select("supplier_key", "pattern", "documents", "promoted_by", "place")

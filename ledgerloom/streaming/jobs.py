@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.operators.suppliers import KEEP, PROMOTE_AT
 from ledgerloom.sources.sinks import merge_by_key
@@ -64,6 +65,72 @@ def _evidence(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
         yield pd.DataFrame({"supplier_key": [key[0]], "pattern": [key[1]], "documents": [len(docs)]})
 
 
+_PROFILE = "supplier_key string, pattern string, documents long, promoted_by long, place int, changes long, confidence double"
+
+
+class _Profile(StatefulProcessor):
+    """State of a supplier: how many documents showed each pattern, the patterns kept in the order of their promotion, and how often a document changed the profile. Counts lie in
+    a map that the state store holds, not in memory; those that nothing raises for ttl_ms are forgotten."""
+
+    def __init__(self, promote_at: int, keep: int, start: float, step: float, ttl_ms: int | None) -> None:
+        self.rule, self.ttl = (promote_at, keep, start, step), ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "pattern string", "documents long, last long", self.ttl)
+        self.kept = handle.getListState("kept", "pattern string")
+        self.changes = handle.getValueState("changes", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        promote_at, keep, start, step = self.rule
+        kept = [x[0] for x in self.kept.get()]
+        before, out = len(kept), []
+        changes = was = self.changes.get()[0] if self.changes.exists() else 0
+        for doc, patterns in pd.concat(rows).sort_values(["doc_id", "pos", "pattern"]).groupby("doc_id", sort=True):
+            changed = False
+            for pattern in dict.fromkeys(patterns["pattern"]):
+                if pattern in kept:
+                    continue
+                n, last = self.seen.getValue((pattern,)) if self.seen.containsKey((pattern,)) else (0, None)
+                if last == doc:
+                    continue
+                self.seen.updateValue((pattern,), (n + 1, int(doc)))
+                if n + 1 >= promote_at:
+                    changed = True
+                    if len(kept) < keep:
+                        kept.append(pattern)
+                        self.seen.removeKey((pattern,))
+                        out.append((key[0], pattern, n + 1, int(doc), len(kept), None, None))
+            changes += changed
+        for pattern in kept[before:]:
+            self.kept.appendValue((pattern,))
+        if changes != was:
+            self.changes.update((int(changes),))
+            out.append((key[0], None, None, None, None, int(changes), round(min(1.0, start + step * changes), 9)))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PROFILE.split(", ")]).astype({"documents": "Int64", "promoted_by": "Int64", "place": "Int32", "changes": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def profiles(stream: DataFrame, target: str, checkpoint: str, promote_at: int = PROMOTE_AT, keep: int = KEEP, start: float = 0.4, step: float = 0.05, ttl_ms: int | None = None) -> StreamingQuery:
+    """AGG13, STR4: evidence (supplier_key, pattern, doc_id, pos) into profiles: a row for each pattern in the order of its promotion, the first keep of them, and a row with the
+    number of changes and the confidence for each micro-batch that raises it. As the batch forms promoted_patterns() and raised_confidence(), for documents that come in the order
+    of their ids; the rows of a document come in one micro-batch. Needs the RocksDB state store, which is set while the query starts."""
+    spark, conf = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    once = stream.dropna(subset=["supplier_key", "pattern", "doc_id"]).select(F.col("supplier_key").cast("string").alias("supplier_key"), "pattern", F.col("doc_id").cast("long").alias("doc_id"), "pos")
+    found = once.groupBy("supplier_key").transformWithStateInPandas(_Profile(promote_at, keep, start, step, ttl_ms), _PROFILE, "Update", "ProcessingTime" if ttl_ms else "None")
+    old = spark.conf.get(conf, None)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        def write(df: DataFrame, batch_id: int) -> None:
+            df.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+        return found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(conf, old) if old is not None else spark.conf.unset(conf)
+
+
 def with_dimension(stream: DataFrame, load: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
     """STR5: the dimension is loaded anew for each micro-batch, so edits between batches take effect."""
     return run_batches(stream, lambda df: apply(df, load()), target, checkpoint)
@@ -84,4 +151,4 @@ def finished(query: StreamingQuery, seconds: int = 600) -> bool:
     return query.awaitTermination(seconds)
 
 
-__all__ = ["KEEP", "PROMOTE_AT", "audit_counts", "file_stream", "finished", "promoted_patterns", "run_batches", "sessions", "upserts", "with_dimension"]
+__all__ = ["KEEP", "PROMOTE_AT", "audit_counts", "file_stream", "finished", "profiles", "promoted_patterns", "run_batches", "sessions", "upserts", "with_dimension"]

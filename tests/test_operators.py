@@ -342,3 +342,23 @@ def test_ratios_lose_no_pair_to_the_edit_distance(spark):
     pairs = [(a, b) for a in words for b in words]
     got = S.ratios_of_at_least(spark.createDataFrame(pairs, "a string, b string"), "a", "b", 60.0)
     assert {(x["a"], x["b"], x["ratio"]) for x in got.collect()} == {(a, b, ratio(a, b)) for a, b in pairs if ratio(a, b) >= 60}
+
+
+def test_streamed_profiles_equal_the_batch(spark, tmp_path):
+    import random
+
+    r = random.Random(13)
+    schema = "supplier_key string, pattern string, doc_id long, pos int"
+    rows = [(r.choice("st"), f"p{r.randrange(9)}", doc, pos) for doc in range(60) for pos in range(r.randrange(0, 5))]
+    every = spark.createDataFrame(rows, schema)
+    for i in range(4):
+        every.where(f"doc_id div 15 = {i}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.file_stream(spark, f"{tmp_path}/in", schema, 1)
+    assert jobs.finished(jobs.profiles(stream, f"{tmp_path}/out", f"{tmp_path}/cp", keep=5))
+    out = spark.read.parquet(f"{tmp_path}/out")
+    got = {tuple(x) for x in out.where("pattern is not null").select("supplier_key", "pattern", "promoted_by", "place").collect()}
+    want = S.promoted_patterns(every, keep=5).select("supplier_key", "pattern", "promoted_by", "place")
+    assert got == {tuple(x) for x in want.collect()} and len(got) == 10
+    last = {tuple(x) for x in out.groupBy("supplier_key").agg(F.max("changes"), F.max("confidence")).collect()}
+    assert last == {tuple(x) for x in S.raised_confidence(every, keep=5).select("supplier_key", "changes", "confidence").collect()}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
