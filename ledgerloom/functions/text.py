@@ -145,7 +145,15 @@ def number(x: Column | str) -> Column:
     otherwise it groups. d=1, c=0: dot is decimal. c=1, d>=1: dots group. d=1, c>=2: commas group. Else all but the last
     separator go and that one is decimal.
     """
-    s = F.regexp_replace(_c(x), "[^0-9.,]", "")
+    return _decimal(F.regexp_replace(_c(x), "[^0-9.,]", ""))
+
+
+def number_within(x: Column) -> Column:
+    """NUM1 inside a lambda, where common parts are not shared: the cleaned text is computed once."""
+    return F.transform(F.array(F.regexp_replace(x, "[^0-9.,]", "")), _decimal)[0]
+
+
+def _decimal(s: Column) -> Column:
     c = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
     d = F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
     before = F.regexp_extract(s, "^([0-9]*),", 1)

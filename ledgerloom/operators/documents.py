@@ -238,11 +238,16 @@ def text_line(line: Column) -> Column:
     numeric = lambda p: F.regexp_replace(F.replace(p, F.lit(","), F.lit(".")), r"[€%\s]", "").rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
 
     def sorted_out(p: Column) -> Column:
-        numbers = F.filter(p, numeric)
-        rates = F.filter(numbers, lambda x: F.coalesce(x.contains("%") & (X.number(x) > 0) & (X.number(x) <= 30), F.lit(False)))
-        first = F.array_position(numbers, F.try_element_at(rates, F.lit(1)))
-        rest = F.filter(F.transform(F.filter(numbers, lambda x, i: F.coalesce(i + 1 != first, F.lit(True))), X.number), lambda x: x.isNotNull())
-        return F.struct(F.size(p).alias("n"), F.filter(p, lambda x: ~numeric(x)).alias("words"), X.number(F.try_element_at(rates, F.lit(1))).alias("rate"), rest.alias("numbers"))
+        numbers = F.transform(F.filter(p, numeric), lambda x: F.struct(x.alias("text"), X.number_within(x).alias("value")))
+        is_rate = lambda z: F.coalesce(z["text"].contains("%") & (z["value"] > 0) & (z["value"] <= 30), F.lit(False))
+
+        def told(ns: Column) -> Column:
+            first = F.array_position(F.transform(ns, is_rate), F.lit(True)).cast("int")
+            rest = F.filter(F.transform(F.filter(ns, lambda z, i: i + 1 != first), lambda z: z["value"]), lambda v: v.isNotNull())
+            rate = F.when(first > 0, F.try_element_at(ns, F.nullif(first, F.lit(0)))["value"])
+            return F.struct(F.size(p).alias("n"), F.filter(p, lambda x: ~numeric(x)).alias("words"), rate.alias("rate"), rest.alias("numbers"))
+
+        return _let(numbers, told)
 
     def item(v: Column) -> Column:
         at = lambda i: F.try_element_at(v["numbers"], F.lit(i))
