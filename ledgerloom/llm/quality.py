@@ -6,24 +6,28 @@ ratios) of the distinct terms that a text has from a learnt lexicon; a word coun
 bytes. Its support is counted over different texts, copies and near
 copies once (by min-hashes of the sampled texts). A term enters the lexicon if its support alone is strong: STRONG texts, with a precision whose lower
 confidence bound is BOUND. Of weaker terms, with MIN_SUPPORT texts at least (more in a large sample) and precision PRECISION, as few enter as cover the toxic rows that
-no strong term covers, chosen greedily by the rows they newly cover. Candidates are the MAX_TERMS terms of the sample with most toxic rows; MAX_WEAK bounds the
-weak ones. Both classifiers yield probabilities.
+no strong term covers, chosen greedily by the rows they newly cover. Candidates are all terms of the sample with that support, of
+which toxic rows are BOUND at least. Both classifiers yield probabilities.
 
 Hierarchy. A document's host is its source, its path is (source, lang). Evidence is summed by path and by host in map-side
 combined aggregations. A host's posterior shrinks its mean evidence toward the global mean with a strength found from
-the spread between hosts (method of moments); a path's shrinks toward its host's. The log odds of a document move by
-its path's log odds against the global ones, and documents with final probability above REJECT are rejected.
+the spread between hosts (method of moments); a path's shrinks toward its host's with a strength found from the spread of
+paths within hosts. The log odds of a document move by the log odds of its path against the global ones; that posterior leaves the
+document's own evidence out at both levels, so nothing counts twice. Documents with final probability above REJECT are rejected.
 
 A text is scored once: its evidence is stored, posteriors are summed from what is stored and joined back to it.
 
 Texts without words, or null, carry no evidence: their probability is their path's posterior. Null sources and langs are
 values of their own. Without labels there is no lexicon and no style model, evidence is EPS everywhere, nothing is
 rejected. Label rows with null doc_id are ignored; of repeated ones, the largest values count. Repeated document rows
-are judged one by one. Other columns pass through the filter untouched, whatever their names.
+are judged one by one, each with the others as evidence of its path. Very long texts are scored whole, as one row. Terms that cover
+equally many rows are taken in the order of their hashes; a probability of exactly REJECT stays. Other columns pass through the filter untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,8 +44,6 @@ PRECISION = 0.9
 BOUND, QUANTILE = 0.7, 1.64
 #: A term needs a sample row in so many besides, so that chance finds of a large sample do not enter.
 ROWS_PER_SUPPORT = 5_000
-MAX_TERMS = 20_000
-MAX_WEAK = 400
 SIGNS = 4
 REJECT = 0.5
 EPS = 1e-4
@@ -164,6 +166,29 @@ def _sums(shared):
     return run
 
 
+def logistic(z: np.ndarray, y: np.ndarray, ridge: float, start: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression with a ridge around start: Newton steps, halved until the loss falls, so that
+    classes that are nearly separable do not throw the weights away."""
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).sum() + ridge * ((w - start) ** 2).sum() / 2)
+
+    w, now = start, loss(start)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(z.shape[1]), z.T @ (p - y) + ridge * (w - start))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        before, at = now, loss(w - size * step)
+        if at >= before:
+            break
+        w, now = w - size * step, at
+        if before - now < 1e-9:
+            break
+    return w
+
+
 class Model:
     """Style weights, lexicon and calibration."""
 
@@ -178,16 +203,7 @@ class Model:
             return
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        w = np.zeros(z.shape[1])
-        ridge = np.full(z.shape[1], 0.1)
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            g = z.T @ (p - bad) + ridge * w
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge), g)
-            w -= step
-            if np.abs(step).max() < 1e-6:
-                break
-        self.weights = w
+        self.weights = logistic(z, bad, 0.1, np.zeros(z.shape[1]))
 
     def fit_lexicon(self, keys: np.ndarray, rows: list[list[int]], signs: np.ndarray, toxic: np.ndarray, least: int) -> None:
         members: dict[int, list[int]] = {}
@@ -205,16 +221,17 @@ class Model:
                 bad[k] = hit
         covered = {r for k in chosen for r in members[k]}
         open_rows = {r for own in bad.values() for r in own} - covered
-        weak = 0
-        while weak < MAX_WEAK and bad:
-            gain = {k: sum(r in open_rows for r in own) for k, own in bad.items()}
-            best = max(gain, key=lambda k: (gain[k], -k))
-            if gain[best] < least:
-                break
-            chosen.append(best)
-            weak += 1
-            open_rows -= set(bad.pop(best))
-            bad = {k: own for k, own in bad.items() if gain[k] >= least}
+        # gains only fall, so a term whose noted gain still holds is the best one
+        queue = [(-len(own), k) for k, own in bad.items()]
+        heapq.heapify(queue)
+        while queue:
+            noted, best = heapq.heappop(queue)
+            gain = sum(r in open_rows for r in bad[best])
+            if gain >= least and gain == -noted:
+                chosen.append(best)
+                open_rows -= set(bad[best])
+            elif gain >= least:
+                heapq.heappush(queue, (-gain, best))
         chosen = sorted(chosen, key=lambda k: keys[k])
         self.lexicon = keys[chosen] if chosen else np.zeros(0, np.uint64)
         texts = different(signs[toxic]), different(signs[~toxic])
@@ -233,22 +250,7 @@ class Model:
             return
         z = np.column_stack([sums / 5, np.ones(len(y))])
         start = np.array([5.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) - sums.mean()])
-        ridge = np.array([0.05, 0.05])
-
-        def loss(w: np.ndarray) -> float:
-            return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (z @ w)).sum() + (ridge * (w - start) ** 2).sum() / 2)
-
-        w, now = start, loss(start)
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * (w - start))
-            size = 1.0
-            while size > 1e-4 and loss(w - size * step) > now:
-                size /= 2
-            w = w - size * step
-            before, now = now, loss(w)
-            if before - now < 1e-9:
-                break
+        w = logistic(z, y, 0.05, start)
         self.slope, self.offset = max(float(w[0]) / 5, 0.05), float(w[1])
 
     def sums(self, words: T.Words, h: np.ndarray) -> np.ndarray:
@@ -313,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = rows.mapInArrow(_term_counts, "term long, toxic long, n long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     least = support(min(n, SAMPLE_ROWS))
     good = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= BOUND * F.col("n")))
-    keys = np.sort(np.array([r["term"] for r in good.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()], np.int64).view(np.uint64))
+    keys = np.sort(good.select("term").toArrow().column(0).to_numpy().view(np.uint64))
     got = rows.mapInArrow(
         _sample_rows(spark.sparkContext.broadcast(keys)), "quality int, toxic int, style array<double>, terms array<int>, n long, signs array<long>"
     ).where("n > 0").collect()
@@ -356,24 +358,41 @@ def _logit(p: Column) -> Column:
     return F.when(p.isNotNull(), F.log(q / (1 - q)))
 
 
-def posteriors(found: DataFrame) -> tuple[DataFrame, float, int]:
-    """Paths (host, path) with host_posterior and path_posterior, the global mean and the number of paths."""
+def _strength(mean: float, spread: float) -> float:
+    """The number of rows that a prior of this spread around its mean is worth."""
+    return float(min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 2.0), 1e6))
+
+
+def posteriors(found: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Paths (host, path) with host_posterior, path_posterior, their rows with evidence and its sums (n, s; of the host: hn, hs); and the global mean, the
+    strengths of the two levels (host, path) and the number of paths (rows)."""
     paths = found.groupBy("host", "path").agg(F.count("e").alias("n"), F.coalesce(F.sum("e"), F.lit(0.0)).alias("s"))
     paths = store(paths, "paths")
-    hosts = paths.groupBy(F.col("host").alias("__h")).agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    one = hosts.agg(F.sum("hn"), F.sum("hs"), F.sum(F.col("hs") * F.col("hs") / F.greatest("hn", F.lit(1))), F.count_if(F.col("hn") > 0)).first()
-    n, mean = one[0] or 0, (one[1] or 0.0) / max(one[0] or 0, 1)
-    mean = min(max(mean, EPS), 1 - EPS)
-    spread = (one[2] or 0.0) / max(n, 1) - mean * mean - mean * (1 - mean) * (one[3] or 0) / max(n, 1)
-    strength = float(min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 2.0), 1e6))
-    host = (F.lit(strength * mean) + F.col("hs")) / (F.lit(strength) + F.col("hn"))
-    out = paths.join(hosts, F.col("host").eqNullSafe(F.col("__h")))
-    out = out.select(
-        "host", "path", host.alias("host_posterior"),
-        ((F.lit(strength) * host + F.col("s")) / (F.lit(strength) + F.col("n"))).alias("path_posterior"),
+    square = F.col("s") * F.col("s") / F.greatest("n", F.lit(1))
+    hosts = paths.groupBy(F.col("host").alias("__h")).agg(
+        F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum(square).alias("squares"), F.count_if(F.col("n") > 0).alias("full")
     )
-    out, seen = store_counted(out, "posteriors", n=F.count(F.lit(1)))
-    return out, mean, seen["n"]
+    one = hosts.agg(
+        F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum(F.col("hs") * F.col("hs") / F.greatest("hn", F.lit(1))).alias("between"),
+        F.count_if(F.col("hn") > 0).alias("hosts"), F.sum("squares").alias("squares"), F.sum("full").alias("paths"),
+    ).first()
+    rows = max(one["n"] or 0, 1)
+    mean = min(max((one["s"] or 0.0) / rows, EPS), 1 - EPS)
+    noise, between = mean * (1 - mean) / rows, (one["between"] or 0.0) / rows
+    level = {
+        "mean": mean, "host": _strength(mean, between - mean * mean - noise * (one["hosts"] or 0)),
+        "path": _strength(mean, (one["squares"] or 0.0) / rows - between - noise * ((one["paths"] or 0) - (one["hosts"] or 0))),
+    }
+    out = paths.join(hosts.drop("squares", "full"), F.col("host").eqNullSafe(F.col("__h"))).drop("__h")
+    host, path = _shrunk(level, F.lit(0.0), F.lit(0))
+    out, seen = store_counted(out.withColumns({"host_posterior": host, "path_posterior": path}), "posteriors", n=F.count(F.lit(1)))
+    return out, level | {"rows": seen["n"]}
+
+
+def _shrunk(level: dict[str, float], own: Column, one: Column) -> tuple[Column, Column]:
+    """Posteriors of a host and a path from n, s, hn and hs without one (0 or 1) row of evidence own."""
+    host = (F.lit(level["host"] * level["mean"]) + F.col("hs") - own) / (F.lit(level["host"]) + F.col("hn") - one)
+    return host, (F.lit(level["path"]) * host + F.col("s") - own) / (F.lit(level["path"]) + F.col("n") - one)
 
 
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
@@ -382,11 +401,13 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     row = F.struct(*[F.col(c) for c in keep]).alias("row")
     at = docs.select(row, F.col("source").alias("host"), F.col("lang").alias("path"), evidence(F.col("text"), model, docs.sparkSession).alias("e"))
     at = store(at, "evidence")
-    means, mean, n = posteriors(at.select("host", "path", _either("e").alias("e")))
-    means = small(means.withColumnsRenamed({"host": "h", "path": "p"}), n)
+    means, level = posteriors(at.select("host", "path", _either("e").alias("e")))
+    means = small(means.withColumnsRenamed({"host": "h", "path": "p"}), level["rows"])
     at = at.join(means, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    shift = _logit(F.col("path_posterior")) - F.lit(float(np.log(mean / (1 - mean))))
-    odds = F.coalesce(_logit(_either("e")) + shift, _logit(F.col("path_posterior")))
+    own = _either("e")
+    _, others = _shrunk(level, F.coalesce(own, F.lit(0.0)), own.isNotNull().cast("int"))
+    prior = F.lit(float(np.log(level["mean"] / (1 - level["mean"]))))
+    odds = F.coalesce(_logit(own), prior) + _logit(others) - prior
     score = 1 / (1 + F.exp(-odds))
     return at.select("row", "e", "host_posterior", "path_posterior", score.alias("score"), (score > REJECT).alias("rejected"))
 

@@ -643,19 +643,134 @@ def test_embeddings_single_and_repeated_ids(spark):
     assert by == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (None, 0, None), (5, 0, 5)])
 
 
-def test_quality_held_out(spark):
-    """Labels outside the sample, at sf0.1: precision and recall of toxic and of low-quality rows."""
+@pytest.mark.parametrize("deal", [[5], []])
+def test_quality_held_out(spark, deal):
+    """Labels outside the sample, at sf0.1: precision and recall of toxic and of low-quality rows. The second deal has classes that style separates nearly."""
     from pyspark.sql import functions as F
 
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0
+    half = F.pmod(F.xxhash64("doc_id", *map(F.lit, deal)), F.lit(2)) == 0
     out = quality.judged(docs, labels.where(half), ["doc_id"]).select("row.doc_id", "rejected").join(labels.where(~half), "doc_id").toPandas()
     toxic, bad = out.toxic == 1, out.quality == 0
     assert (toxic & out.rejected).sum() >= 0.8 * toxic.sum() and (bad & out.rejected).sum() >= 0.95 * bad.sum()
     assert (~toxic & ~bad & out.rejected).sum() <= 0.01 * (~toxic & ~bad).sum()
 
 
+def brute_posteriors(found):
+    """From rows (host, path, e): the mean, both strengths and, for any row, the posteriors of its host and path without that row."""
+    known = [x for x in found if x[2] is not None]
+    mean = sum(x[2] for x in known) / len(known)
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for host, path, e in known:
+        hosts[host].append(e)
+        paths[host, path].append(e)
+
+    def average(x):
+        return sum(x) / len(x)
+
+    noise = mean * (1 - mean) / len(known)
+    between = sum(len(x) * (average(x) - mean) ** 2 for x in hosts.values()) / len(known) - noise * len(hosts)
+    within = sum(len(x) * (average(x) - average(hosts[h])) ** 2 for (h, _), x in paths.items()) / len(known) - noise * (len(paths) - len(hosts))
+    kh, kp = (min(max(mean * (1 - mean) / max(v, 1e-9) - 1, 2.0), 1e6) for v in (between, within))
+
+    def at(host, path, without=None):
+        h, p = list(hosts[host]), list(paths[host, path])
+        if without is not None:
+            h.remove(without)
+            p.remove(without)
+        up = (kh * mean + sum(h)) / (kh + len(h))
+        return up, (kp * up + sum(p)) / (kp + len(p))
+
+    return mean, kh, kp, at
+
+
+def test_quality_posteriors_equal_brute_force(spark):
+    r = random.Random(5)
+    found = []
+    for host in (None, "", "a", "b", "c"):
+        for path in (None, "en", "fr", "de"):
+            rate = r.random()
+            found += [(host, path, min(max(r.gauss(rate, 0.1), 0.0), 1.0)) for _ in range(r.randrange(1, 40))]
+    found += [("a", "en", None), ("empty", None, None), ("single", "en", 0.75)]
+    out, level = quality.posteriors(spark.createDataFrame(found, "host string, path string, e double"))
+    mean, kh, kp, at = brute_posteriors(found)
+    assert (level["mean"], level["host"], level["path"]) == pytest.approx((mean, kh, kp)) and kh != pytest.approx(kp)
+    got = {(x["host"], x["path"]): (x["host_posterior"], x["path_posterior"]) for x in out.collect()}
+    assert len(got) == level["rows"] == 22
+    for key, two in got.items():
+        assert two == pytest.approx(at(*key)), key
+
+
+def test_quality_scores_leave_the_own_evidence_out(spark):
+    r = random.Random(6)
+    data, labels = [], []
+    for i in range(300):
+        toxic = (i % 7 == 0) if i % 2 else (i % 3 == 0)
+        text = " ".join(f"{r.choice('aeiou')}{r.randrange(9000)}" for _ in range(30)) + (" vile slur" if toxic else "")
+        data.append((i, text if i % 50 else None, ["en", "fr", None][i % 3], f"s{i % 2}", 1, 7, "x", 3))
+        labels.append((i, 1, int(toxic)))
+    out = quality.judged(spark.createDataFrame(data, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ["doc_id", "source", "lang"]).collect()
+    own = {x["row"]["doc_id"]: None if x["e"]["toxic"] is None else 1 - (1 - x["e"]["toxic"]) * (1 - x["e"]["bad"]) for x in out}
+    assert len(out) == 300 and sum(e is None for e in own.values()) == 6
+    mean, _, _, at = brute_posteriors([(x["row"]["source"], x["row"]["lang"], own[x["row"]["doc_id"]]) for x in out])
+
+    def logit(p):
+        p = min(max(p, quality.EPS), 1 - quality.EPS)
+        return math.log(p / (1 - p))
+
+    for x in out:
+        e, key = own[x["row"]["doc_id"]], (x["row"]["source"], x["row"]["lang"])
+        others = at(*key, e)[1]
+        odds = logit(others) + (0 if e is None else logit(e) - logit(mean))
+        assert x["score"] == pytest.approx(1 / (1 + math.exp(-odds))) and x["rejected"] == (x["score"] > quality.REJECT)
+        assert (x["host_posterior"], x["path_posterior"]) == pytest.approx(at(*key))
+    # without a text, the path decides: that of 0 and 150 is toxic throughout
+    assert {x["row"]["doc_id"] for x in out if x["rejected"]} == {0, 150} | {i for i, (_, _, toxic) in enumerate(labels) if toxic and i % 50}
+
+
+def test_quality_lexicon_equals_a_plain_greedy_choice():
+    r = np.random.default_rng(3)
+    n, keys = 900, np.arange(10, 310, dtype=np.uint64)
+    toxic = np.arange(n) < 400
+    rows = [sorted(set(r.integers(0, 300, 4))) if toxic[i] else sorted(set(r.integers(0, 300, 12) // 12 * 12)) for i in range(n)]
+    signs = np.tile(np.arange(n)[:, None], (1, quality.SIGNS))
+    model = quality.Model()
+    model.fit_lexicon(keys, rows, signs, toxic, 2)
+    have = {k: [i for i in range(n) if k in rows[i]] for k in range(300)}
+    hit = {k: {i for i in own if toxic[i]} for k, own in have.items()}
+    strong = {k for k in have if len(hit[k]) >= quality.STRONG and quality.lower_bound(len(hit[k]), len(have[k])) >= quality.BOUND}
+    weak = {k for k in have if k not in strong and len(hit[k]) >= max(2, quality.PRECISION * len(have[k]))}
+    left = set().union(*(hit[k] for k in weak)) - set().union(*(set(have[k]) for k in strong))
+    while weak:
+        best = max(weak, key=lambda k: (len(hit[k] & left), -k))
+        if len(hit[best] & left) < 2:
+            break
+        strong.add(best)
+        weak.remove(best)
+        left -= hit[best]
+    assert model.lexicon.tolist() == [10 + k for k in sorted(strong)] and len(strong) > 20
+
+
+@pytest.mark.parametrize("steep", [1, 8, 1000])
+def test_quality_style_fit_is_the_least_loss(steep):
+    """Also where the classes are nearly, or wholly, separable."""
+    r = np.random.default_rng(4)
+    x = np.column_stack([r.normal(size=(400, 3)), r.random(400) < 0.02, r.exponential(size=400) ** 4]).astype(float)
+    bad = (r.random(400) < 1 / (1 + np.exp(np.clip(-steep * (x @ np.array([1.0, -2, 0, 0.5, 0]) - 1), -700, 700)))).astype(float)
+    model = quality.Model()
+    model.fit_style(x, bad)
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(400)])
+
+    def loss(w):
+        return np.logaddexp(0, np.where(bad > 0, -1, 1) * (z @ w)).sum() + 0.05 * (w * w).sum()
+
+    for i in range(6):
+        step = np.zeros(6)
+        step[i] = 1e-2
+        assert loss(model.weights) < min(loss(model.weights + step), loss(model.weights - step))
+
+
 def test_quality_clashing_names_and_repeated_rows(spark):
     data = [(i % 40, f"word{i % 7} other words here {i}", "en", "s", "c", "d", 1.0) for i in range(80)] + [(None, None, None, None, None, None, None)]
     docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, host string, path string, score double")
