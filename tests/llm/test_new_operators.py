@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import align, merkle, suffixes
@@ -86,6 +88,31 @@ def test_suffix_array_and_prefixes_against_a_sort():
             assert all(g == s if s < enough else g >= enough for g, s in zip(got, shared))
 
 
+def test_suffix_arrays_memory_a_byte():
+    """A shard of 1.5 MB takes less than 60 bytes a byte at once; two workers of an executor hold one each."""
+    r = np.random.default_rng(5)
+    text = r.integers(97, 123, 1_500_000).astype(np.uint8)
+    text[900_000:1_400_000] = text[:500_000]
+    ends = np.full(len(text), len(text))
+    tracemalloc.start()
+    again, first = suffixes.repeated_windows(text, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int(again.sum()) == 2 * (500_000 - suffixes.WINDOW + 1) and (first >= 0).sum() == len(text) - suffixes.WINDOW + 1
+    assert peak < 60 * len(text)
+
+
+def test_suffix_arrays_leave_no_memory_behind():
+    start = np.arange(0, 200_001, 1000)
+    own = np.arange(len(start) - 1)
+    before = pa.total_allocated_bytes()
+    for part in (0, 1):
+        raw = np.frombuffer(pa.array([prose(200_000, 6, "abc").encode()], pa.large_binary()).buffers()[2], np.uint8)
+        suffixes._shard(raw, start, own, own, np.zeros(len(own), np.int64), part, 4)
+        del raw
+    assert pa.total_allocated_bytes() - before < 100_000
+
+
 def test_equal_windows_have_equal_keys():
     p = np.frombuffer(prose(900, 5).encode(), np.uint8)
     data = np.concatenate([np.frombuffer(b"x" * 500, np.uint8), p, np.frombuffer(b"yz" * 300, np.uint8), p])
