@@ -415,6 +415,25 @@ def test_kneser_ney_against_dictionaries(spark):
             assert got[i] == pytest.approx(math.log(probability(tables[lang], 4, gram)), abs=1e-4)
 
 
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_language_beyond_what_is_stored(spark, monkeypatch, most):
+    """Answers do not depend on how many grams travel to the tasks, in languages of many grams or of equally rare ones."""
+    r = random.Random(8)
+    stems = {"en": ["the", "and", "ing", "tion", "whe"], "fr": ["le", "éau", "oux", "ment", "que"], "zz": [chr(0x4E00 + i) for i in range(900)]}
+    data = [(i, " ".join("".join(r.choice(stems[k]) for _ in range(2)) for _ in range(40)), k) for i, k in enumerate(["en", "fr", "zz"] * 50)]
+    data += [(500, None, "en"), (501, "", "fr"), (502, "12 !", None), (None, data[0][1], None), (503, "ωмега " * 50 + "the thing", None), (0, data[0][1], "en")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    order = lambda g: (g["doc_id"] is None, g["doc_id"] or 0)
+    want = sorted(rows(language.identify(docs)), key=order)
+    monkeypatch.setattr(language, "MAX_GRAMS", most)
+    monkeypatch.setattr(language, "RARE", 8)
+    got = sorted(rows(language.identify(docs)), key=order)
+    assert len(got) == len(data)
+    for g, w in zip(got, want, strict=True):
+        assert all(g[c] == w[c] for c in ("doc_id", "held_out", "lang_pred", "rejected"))
+        assert g["entropy"] == pytest.approx(w["entropy"], abs=1e-5) and g["score"] == pytest.approx(w["score"], abs=1e-3)
+
+
 def test_language_holds_out(spark):
     """Held-out accuracy and the rejection on texts that the counts have not seen."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
