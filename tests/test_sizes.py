@@ -28,3 +28,40 @@ def suppliers(keys):
 
 def test_profile_scores_of_names_that_share_digits_in_other_places(spark, tmp_path):
     assert len(against_sql(spark, tmp_path, "profile_scores", supplier=suppliers([9, 39, 48, 69, 84, 881, 956, 986, 998, 19998, 89999]))) == 11
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cascade_classifies_a_page_once_in_many_tasks(spark):
+    once, cascade = (ENTRIES[n].query(spark, SF) for n in ("classify_rule", "classify_cascade"))
+    assert plan(cascade).count("ORDRE") == plan(once).count("ORDRE") > 0
+    assert cascade.rdd.getNumPartitions() >= 4
+
+
+def test_classify_by_guards_equals_plain_patterns(spark):
+    from ledgerloom.operators import documents as D
+
+    texts = ["BON DE COMMANDE N°12\nx\ny", "a\nb\nc\nd\nBL-2024", "RÉCEPTION : le\nQTÉ RÉCEPT", "facture n° 7\nAVOIR", "ORDRE D'ACHAT : 5", "DATE REÇU 12\nEXPODIO LE", "rien du tout ici", "N° BC 12 et FACT N°3\n\n\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", D.classify(F.col("text"))["confidence"].alias("c"), D.classify(F.col("text"))["type"].alias("t")).collect()
+    import re
+
+    for r in rows:
+        up = r["text"].upper()
+        lines = up.splitlines()
+        top = "\n".join(lines[: max(1, len(up.split("\n")) * 4 // 10)])
+        s = {k: min(1.0, sum(0.40 if re.search(p, top) else 0.15 if re.search(p, up) else 0.0 for p in ps)) for k, ps in D.KEYWORDS.items()}
+        best, second = sorted(s.values(), reverse=True)[:2]
+        want = ("UNKNOWN", 0.0) if best < 0.15 else (next(k for k in s if s[k] == best), best * 0.7 if best - second < 0.10 else best)
+        assert r["t"] == want[0] and r["c"] == pytest.approx(want[1]), r["text"]
+
+
+@pytest.mark.parametrize("pattern, fixed", [(r"\bBC[-/]\d{4}", "BC"), (r"ab|cd", ""), (r"a?bc", "bc"), (r"(abc)?d", "d"), (r"\bR[ÉE]CEPTION\b", "CEPTION")])
+def test_letters_that_every_match_holds(pattern, fixed):
+    from ledgerloom.operators import documents as D
+
+    assert D._fixed(pattern) == fixed
