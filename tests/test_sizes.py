@@ -65,3 +65,34 @@ def test_letters_that_every_match_holds(pattern, fixed):
     from ledgerloom.operators import documents as D
 
     assert D._fixed(pattern) == fixed
+
+
+def test_bounded_streams_are_waited_for_without_a_limit():
+    from ledgerloom.streaming import jobs
+
+    class Slow:
+        def awaitTermination(self, *seconds):  # noqa: N802
+            return None if not seconds else False
+
+    assert jobs.finished(Slow()) and not jobs.finished(Slow(), 1)
+
+
+def test_promotion_by_keyed_state_across_batches(spark, tmp_path):
+    """Documents that repeat in later batches count once; a hot pattern keeps three ids; older states go."""
+    from ledgerloom.streaming import jobs
+
+    schema, rng = "supplier_key string, pattern string, doc_id long", __import__("random").Random(5)
+    rows = [[(rng.choice("st"), f"p{rng.randrange(12)}", rng.randrange(6)) for _ in range(14)] + [("s", "hot", d) for d in range(500 * i)] for i in range(4)]
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert jobs.finished(jobs.promoted_patterns(jobs.file_stream(spark, f"{tmp_path}/in", schema, 1), f"{tmp_path}/out", f"{tmp_path}/cp"))
+    docs, want = {}, {}
+    for i, part in enumerate(rows):
+        for s, p, d in part:
+            docs.setdefault((s, p), set()).add(d)
+        want |= {k: i for k, v in docs.items() if len(v) >= 3 and k not in want}
+    got = {(r["supplier_key"], r["pattern"]): r["batch"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == want and len(set(want.values())) > 1
+    state = spark.read.parquet(f"{tmp_path}/cp/keyed/state-3")
+    assert state.count() == len(docs) and state.agg(F.max(F.size("docs"))).first()[0] == 3
+    assert not (tmp_path / "cp/keyed/state-1").exists() and (tmp_path / "cp/keyed/state-2").exists()
