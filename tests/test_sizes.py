@@ -96,3 +96,21 @@ def test_promotion_by_keyed_state_across_batches(spark, tmp_path):
     state = spark.read.parquet(f"{tmp_path}/cp/keyed/state-3")
     assert state.count() == len(docs) and state.agg(F.max(F.size("docs"))).first()[0] == 3
     assert not (tmp_path / "cp/keyed/state-1").exists() and (tmp_path / "cp/keyed/state-2").exists()
+
+
+def test_alias_order_ranks_a_list_of_keys_once(spark, monkeypatch):
+    """No row of a job is sorted or moved: the window stands below the join. Equal priorities, null keys' jobs and blocks of jobs as in the plain form."""
+    from pyspark.sql import Window
+
+    from ledgerloom.operators import review as R
+
+    aliases = spark.createDataFrame([(i, f"k{i % 4}", i % 5 > 0) for i in range(60)], "id long, supplier_key string, is_active boolean")
+    keys = spark.createDataFrame([(j, f"k{k}", p) for j in range(30) for k, p in ((j % 3, 0), (3, j % 2), (9, 5))], "job_id long, supplier_key string, priority int")
+    plain = aliases.where("is_active").join(keys, "supplier_key").withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("priority", "id")))
+    want = sorted(map(tuple, plain.select("job_id", "id", "supplier_key", "priority", "place").collect()))
+    for small in (R.SMALL, 7):
+        monkeypatch.setattr(R, "SMALL", small)
+        got = R.alias_order(aliases, keys)
+        assert sorted(map(tuple, got.collect())) == want
+        above = plan(got).split("Window ")[0]
+        assert "job_id" in above and "Sort" not in above and len(want) > 400
