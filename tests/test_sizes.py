@@ -114,3 +114,11 @@ def test_alias_order_ranks_a_list_of_keys_once(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want
         above = plan(got).split("Window ")[0]
         assert "job_id" in above and "Sort" not in above and len(want) > 400
+
+
+def test_external_lines_polish_a_line_once_in_many_tasks(spark):
+    from ledgerloom.operators import documents as D
+
+    df = ENTRIES["external_lines"].query(spark, SF)
+    assert 0 < plan(df).count(D.ODD_REFERENCE) <= 6  # 12 where each field of a line polishes it anew
+    assert df.rdd.getNumPartitions() >= 4
