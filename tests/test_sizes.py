@@ -122,3 +122,9 @@ def test_external_lines_polish_a_line_once_in_many_tasks(spark):
     df = ENTRIES["external_lines"].query(spark, SF)
     assert 0 < plan(df).count(D.ODD_REFERENCE) <= 6  # 12 where each field of a line polishes it anew
     assert df.rdd.getNumPartitions() >= 4
+
+
+def test_rematch_parses_saved_documents_once(spark):
+    """What the later steps read is written before: no JSON is parsed in the plan that is returned, and no pair is looked up."""
+    text = plan(ENTRIES["rematched"].query(spark, SF))
+    assert "from_json" not in text and "jsontostructs" not in text.lower() and "doc_idx" not in text
