@@ -128,3 +128,7 @@ def test_rematch_parses_saved_documents_once(spark):
     """What the later steps read is written before: no JSON is parsed in the plan that is returned, and no pair is looked up."""
     text = plan(ENTRIES["rematched"].query(spark, SF))
     assert "from_json" not in text and "jsontostructs" not in text.lower() and "doc_idx" not in text
+
+
+def test_nested_results_pair_lines_once(spark):
+    assert "lineitem" not in plan(ENTRIES["nested_results"].query(spark, SF)) and "l_orderkey" not in plan(ENTRIES["nested_results"].query(spark, SF))
